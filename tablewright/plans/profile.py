@@ -133,6 +133,18 @@ def semantic_types(leading: DataFrame, profile: DataFrame) -> DataFrame:
     )
 
 
+def primary_key(profile: DataFrame, words: list[str] = naming.KEY_WORDS) -> DataFrame:
+    """primary_key: of the columns without blanks or repeats the first whose
+    name says so, else the first.  No row if there is none."""
+    unique = profile.filter((F.col("null_count") == 0) & (F.col("unique_count") == F.col("total_rows")))
+    return first_by_name(unique, words)
+
+
+def first_by_name(columns: DataFrame, words: list[str]) -> DataFrame:
+    says_so = F.lower("column_name").rlike("|".join(words))
+    return columns.orderBy(says_so.desc(), "position").limit(1).select(F.col("column_name").alias("primary_key"))
+
+
 # --- the report --------------------------------------------------------------
 
 
