@@ -6,3 +6,4 @@ from .base import ORACLE, QUERIES  # noqa: F401
 from . import q_functions  # noqa: F401
 from . import q_zones  # noqa: F401
 from . import q_profile  # noqa: F401
+from . import q_clean  # noqa: F401
