@@ -88,8 +88,8 @@ def classified(catalog: DataFrame, run_time: str) -> DataFrame:
 
 
 def replace_tables(catalog: DataFrame, entries: DataFrame) -> DataFrame:
-    """Catalog in which every table named in ``entries`` has just those entries,
-    one per (table, column): the last one given for a column wins nothing, the
-    key must be unique in ``entries``."""
+    """Catalog in which every table named in ``entries`` has just those entries.
+    ``entries`` holds one row per (table, column), the catalog's key."""
     named = entries.select("table_name").distinct()
-    return catalog.join(F.broadcast(named), "table_name", "left_anti").select(catalog.columns).unionByName(entries)
+    kept = catalog.join(named, "table_name", "left_anti").select(catalog.columns)
+    return kept.unionByName(entries.select(catalog.columns))
