@@ -8,3 +8,4 @@ from . import q_zones  # noqa: F401
 from . import q_profile  # noqa: F401
 from . import q_clean  # noqa: F401
 from . import q_quality  # noqa: F401
+from . import q_sources  # noqa: F401
