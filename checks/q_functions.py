@@ -51,8 +51,10 @@ def f4_date_any(spark, sf):
 SELECT seq, strftime({q.date_stamp('dob')}, '%Y-%m-%d %H:%M:%S') AS stamp, {q.date_format('dob')} AS date_format
 FROM dirty_customer""")
 def f5_date_parse(spark, sf):
-    parsed = view(spark, sf, "dirty_customer").select("seq", dates.profile_date(F.col("dob")).alias("p"))
-    return parsed.select("seq", "p.stamp", F.col("p.format").alias("date_format"))
+    stripped = view(spark, sf, "dirty_customer").select("seq", text.strip(F.col("dob")).alias("dob"))
+    tagged = stripped.select("seq", dates.tagged_date(F.col("dob")).alias("t"))
+    return tagged.select("seq", dates.tagged_stamp(F.col("t")).alias("stamp"),
+                         dates.tagged_format(F.col("t")).alias("date_format"))
 
 
 @query("f6_number", ctes("dirty_txn") + f"""

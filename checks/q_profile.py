@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tablewright.functions import naming, numbers, text
 from tablewright.operators import cells, histogram
 from tablewright.operators.dedupe import duplicate_counts
-from tablewright.operators.ranks import statistics
+from tablewright.operators.ranks import long_numbers, statistics
 from tablewright.plans import profile
+from tablewright.session import stage
 
 from . import sqltext as q
 from .base import query
@@ -155,12 +156,12 @@ def p1_documents_profile(spark, sf):
 
 @query("p2_semantic_type", PROF + "SELECT column_name, inferred_type FROM prof")
 def p2_semantic_type(spark, sf):
-    return profile.types(customer(spark, sf), CUSTOMER, "seq")[1].select("column_name", "inferred_type")
+    return profile.types(customer(spark, sf), CUSTOMER, "seq").select("column_name", "inferred_type")
 
 
 @query("p3_date_format", PROF + "SELECT column_name, date_format FROM prof WHERE inferred_type = 'date'")
 def p3_date_format(spark, sf):
-    kinds = profile.types(customer(spark, sf), CUSTOMER, "seq")[1]
+    kinds = profile.types(customer(spark, sf), CUSTOMER, "seq")
     return kinds.filter("inferred_type = 'date'").select("column_name", "date_format")
 
 
@@ -172,7 +173,7 @@ def p4_whitespace(spark, sf):
 
 
 def of_type(df, cols, *kinds):
-    found = profile.types(df, cols, "seq")[1].filter(F.col("inferred_type").isin(*kinds)).orderBy("position")
+    found = profile.types(df, cols, "seq").filter(F.col("inferred_type").isin(*kinds)).orderBy("position")
     return [r["column_name"] for r in found.select("column_name", "position").collect()]
 
 
@@ -180,19 +181,20 @@ def of_type(df, cols, *kinds):
 WHERE inferred_type IN ('text', 'categorical', 'email')""")
 def p5_case(spark, sf):
     df = customer(spark, sf)
-    return histogram.case_variants(df, of_type(df, CUSTOMER, *profile.CASE_TYPES))
+    return histogram.case_variants(histogram.value_histogram(df, CUSTOMER), CUSTOMER,
+                                   of_type(df, CUSTOMER, *profile.CASE_TYPES))
 
 
 @query("p6_format", PROF + "SELECT column_name, format_issues FROM prof WHERE inferred_type = 'date'")
 def p6_format(spark, sf):
-    kinds = profile.types(customer(spark, sf), CUSTOMER, "seq")[1]
+    kinds = profile.types(customer(spark, sf), CUSTOMER, "seq")
     return kinds.filter("inferred_type = 'date'").select("column_name", "format_issues")
 
 
 @query("p7_email", PROF + "SELECT column_name, email_invalid FROM prof WHERE inferred_type = 'email'")
 def p7_email(spark, sf):
     df = customer(spark, sf)
-    return profile.email_issues(df, of_type(df, CUSTOMER, "email"))
+    return histogram.invalid_emails(histogram.value_histogram(df, CUSTOMER), CUSTOMER, of_type(df, CUSTOMER, "email"))
 
 
 @query("p8_negative", PROF_HR + "SELECT column_name, negative_count FROM prof WHERE inferred_type = 'number'")
@@ -206,11 +208,15 @@ def p8_negative(spark, sf):
 @query("p9_outliers", PROF_HR + """SELECT q.column_name, q.n, q1, q3, outlier_count
 FROM prof JOIN quart q ON q.column_name = prof.column_name WHERE inferred_type = 'number'""")
 def p9_outliers(spark, sf):
-    df = view(spark, sf, "dirty_hr")
-    stats = profile.number_statistics(df, of_type(df, COLUMNS["dirty_hr"], "number"))
-    bounds = spark.createDataFrame([(c, s.n, s.q1, s.q3) for c, s in stats.items()],
-                                   "column_name string, n bigint, q1 double, q3 double")
-    return profile.number_issues(df, stats).drop("negative_count").join(F.broadcast(bounds), "column_name")
+    df, cols = view(spark, sf, "dirty_hr"), COLUMNS["dirty_hr"]
+    values = stage(histogram.numeric_values(histogram.value_histogram(df, cols), cols, of_type(df, cols, "number")), "p9")
+    return outliers(spark, values, statistics(values, median=False)).drop("median")
+
+
+def outliers(spark, values, stats):
+    bounds = spark.createDataFrame([(c, s.n, s.q1, s.median, s.q3) for c, s in stats.items()],
+                                   "column_name string, n bigint, q1 double, median double, q3 double")
+    return profile.number_issues(values, stats).drop("negative_count").join(F.broadcast(bounds), "column_name")
 
 
 NUMERIC = {"events": ["value", "user_id"],
@@ -229,14 +235,8 @@ FROM (SELECT any_value(n) AS n, max(x) FILTER (i = n // 4) AS q1, max(x) FILTER
 for _t in NUMERIC:
     @query(f"p9_outliers_{_t}", quartile_sql(_t))
     def p9_outliers_table(spark, sf, t=_t):
-        df = table(spark, sf, t)
-        x = {c: F.col(c).cast("double") for c in NUMERIC[t]}
-        stats = statistics(df, x, small=10_000)  # narrow even at test size
-        bounds = spark.createDataFrame([(c, s.n, s.q1, s.median, s.q3) for c, s in stats.items()],
-                                       "column_name string, n bigint, q1 double, median double, q3 double")
-        out = lambda c: F.count_if((x[c] < stats[c].band[0]) | (x[c] > stats[c].band[1])) if stats[c].band else F.lit(0)
-        row = df.agg(*[out(c).cast("bigint").alias(c) for c in x])
-        return row.unpivot([], list(x), "column_name", "outlier_count").join(F.broadcast(bounds), "column_name")
+        values = stage(long_numbers(table(spark, sf, t), {c: F.col(c).cast("double") for c in NUMERIC[t]}), "p9")
+        return outliers(spark, values, statistics(values, small=10_000))  # narrows even at test size
 
 
 @query("p10_full_dup", PROF + "SELECT total_rows, full_duplicates FROM dups")

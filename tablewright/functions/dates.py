@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import is_blank, strip
+from .text import strip
 
 YEAR_FIRST = r"^(?!0000)(\d{4})%s(\d{1,2})%s(\d{1,2})$"
 YEAR_LAST = r"^(\d{1,2})%s(\d{1,2})%s(?!0000)(\d{4})$"
@@ -50,41 +50,38 @@ def _parsed(s: Column, fmt: str) -> Column:
     raise ValueError(f"unknown date format {fmt!r}")
 
 
-def _iso(c: Column, formats: list[str]) -> Column:
-    s = strip(c)
-    found = [_parsed(s, f).cast("string") for f in formats]
-    return F.when(is_empty_text(s), c).otherwise(F.coalesce(*found, s))
-
-
-def is_empty_text(s: Column) -> Column:
-    return s.isNull() | (s == "")
+def iso_text(s: Column, formats: list[str]) -> Column:
+    """ISO text of a stripped cell; text in no known format is kept.  ``s`` is
+    looked at many times: pass a column, not a computation."""
+    return F.coalesce(*[_parsed(s, f).cast("string") for f in formats], s)
 
 
 def zone_date(c: Column) -> Column:
     """ISO text of a date in one of the zone formats; other text is kept."""
-    return _iso(c, ZONE_FORMATS)
+    return F.when(strip(c) == "", c).otherwise(iso_text(strip(c), ZONE_FORMATS))
 
 
 def any_file_date(c: Column) -> Column:
-    return _iso(c, ANY_FILE_FORMATS)
-
-
-def profile_date(c: Column) -> Column:
-    """struct(day ISO text, stamp ISO text, format) of the first format that
-    matches, NULL if none does."""
-    s = strip(c)
-    # value|format in one text: NULL when the format does not match, so that
-    # coalesce stops at the first match and each format is parsed once.
-    tagged = F.coalesce(*[F.concat(_parsed(s, f).cast("string"), F.lit("|" + f)) for f in PROFILE_FORMATS])
-    stamp = F.substring_index(tagged, "|", 1)
-    return F.when(
-        tagged.isNotNull(),
-        F.struct(
-            F.left(stamp, F.lit(10)).alias("day"),
-            F.when(F.length(stamp) == 10, F.concat(stamp, F.lit(" 00:00:00"))).otherwise(stamp).alias("stamp"),
-            F.substring_index(tagged, "|", -1).alias("format"),
-        ),
-    )
+    return F.when(strip(c) == "", c).otherwise(iso_text(strip(c), ANY_FILE_FORMATS))
+
+
+def tagged_date(s: Column) -> Column:
+    """'stamp|format' of a stripped cell in the first format that matches, NULL
+    if none does.  One text, so that coalesce stops at the first match and each
+    format is parsed once."""
+    return F.coalesce(*[F.concat(_parsed(s, f).cast("string"), F.lit("|" + f)) for f in PROFILE_FORMATS])
+
+
+def tagged_day(tagged: Column) -> Column:
+    return F.left(tagged, F.lit(10))
+
+
+def tagged_stamp(tagged: Column) -> Column:
+    return F.rpad(F.substring_index(tagged, "|", 1), 19, " 00:00:00")
+
+
+def tagged_format(tagged: Column) -> Column:
+    return F.substring_index(tagged, "|", -1)
 
 
 def iso_day(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import is_blank, strip
+from .text import strip
 
 # A fraction or an exponent needs a dot: 1.0e5 is a number, 1e5 is not.
 NUMBER_PATTERN = r"^[+-]?(\d+|\d*\.\d*([eE][+-]?\d+)?)$"
@@ -20,10 +20,9 @@ def without_commas(c: Column) -> Column:
 
 def number(c: Column) -> Column:
     """Double value of a cell, thousands commas removed; NULL if not a number."""
-    text = without_commas(c)
-    # The pattern stops Spark from reading '1d' or 'inf'; it also excludes
-    # every blank token, so no separate test is needed.
-    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+    # The pattern stops Spark from reading '1d' or 'inf'.  Taking the match
+    # itself, the text is worked out once.
+    return F.regexp_extract(without_commas(c), NUMBER_PATTERN, 0).try_cast("double")
 
 
 def plain_float(c: Column) -> Column:

@@ -63,15 +63,16 @@ def is_phone(c: Column) -> Column:
     return s.rlike(PHONE_PATTERN) & ~F.translate(s, " -", "").rlike(PLAIN_NUMBER_PATTERN)
 
 
+KEY_LENGTH = 64
+
+
 def compact_key(c: Column) -> Column:
-    """Stand-in for a long value in a grouping key.
-
-    Texts over 64 characters are replaced by their length and SHA-256, so that
-    counting distinct documents shuffles digests and not documents.
-    """
-    return F.when(F.length(c) <= 64, c).otherwise(
-        F.concat(F.lit("\u0000"), F.length(c).cast("string"), F.lit(":"), F.sha2(c, 256))
-    )
+    """Stand-in for a long value in a grouping key: texts over 64 characters are
+    replaced by their length and SHA-256, so that counting distinct documents
+    shuffles digests and not documents.  ``c`` is looked at several times: pass
+    a column, not a computation."""
+    return F.when(F.length(c) <= KEY_LENGTH, c).otherwise(
+        F.concat(F.lit("\u0000"), F.length(c).cast("string"), F.lit(":"), F.sha2(c, 256)))
 
 
 def row_digest(values: list[Column]) -> Column:

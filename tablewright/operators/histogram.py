@@ -1,42 +1,97 @@
-"""Value histograms and what follows from them: distinct counts, case variants,
-modes, samples.  Counts merge before every shuffle, so a value that fills a
-third of a column travels as one row per task."""
+"""Value histograms and what follows from them: blanks, distinct counts, case
+variants, invalid e-mails, numbers, modes, samples.
+
+Counts merge before the shuffle, so a value that fills a third of a column
+travels as one row per task, and everything derived later looks at each distinct
+value once instead of at every cell.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from .cells import long_cells
+from ..functions import numbers, text
+from .cells import by_name, long_cells
 
 
 def filled(value):
     return ~text.is_blank(value)
 
 
+def value_histogram(df: DataFrame, cols: list[str]) -> DataFrame:
+    """position, key, n, padded, and for long texts fold, email, number.
+
+    One row per distinct stripped value of each column, blanks included: ``n``
+    cells, ``padded`` of them with outer whitespace.  A text over 64 characters
+    is represented by a digest, next to which stands what can no longer be read
+    off the key.
+    """
+    cells = long_cells(df, cols).select("position", "value", text.strip(F.col("value")).alias("s"))
+    s = F.col("s")
+    long = F.length(s) > text.KEY_LENGTH
+    keyed = cells.select(
+        "position", F.coalesce(text.compact_key(s), F.lit("")).alias("key"),
+        F.when(long, text.compact_key(F.lower(s))).alias("fold"),
+        F.when(long, text.is_email(s)).alias("email"),
+        F.when(long, numbers.number(s)).alias("number"),
+        F.coalesce((F.col("value") != s).cast("int"), F.lit(0)).alias("padded"))
+    return keyed.groupBy("position", "key", "fold", "email", "number").agg(
+        F.count("*").alias("n"), F.sum("padded").alias("padded"))
+
+
+def _blank():
+    # Keys are stripped and never NULL.
+    return F.lower("key").isin("", *text.BLANK_TOKENS)
+
+
+def column_counts(hist: DataFrame) -> DataFrame:
+    """position, total_rows, null_count, unique_count, whitespace_count."""
+    return hist.groupBy("position").agg(
+        F.sum("n").alias("total_rows"),
+        F.coalesce(F.sum(F.when(_blank(), F.col("n"))), F.lit(0)).alias("null_count"),
+        F.count_if(~_blank()).alias("unique_count"),
+        F.sum("padded").alias("whitespace_count"))
+
+
+def _of(hist: DataFrame, cols: list[str], names: list[str]) -> DataFrame:
+    """Filled values of some of the columns, by name."""
+    places = {cols.index(c): c for c in names}
+    return hist.filter(F.col("position").isin(list(places)) & ~_blank()).withColumn(
+        "column_name", by_name(F.col("position"), places))
+
+
+def case_variants(hist: DataFrame, cols: list[str], names: list[str]) -> DataFrame:
+    """column_name, case_issues: cells that are not in the commonest spelling
+    of their value, spellings differing only in case."""
+    spellings = _of(hist, cols, names).select("column_name", F.coalesce("fold", F.lower("key")).alias("fold"), "n")
+    folded = spellings.groupBy("column_name", "fold").agg((F.sum("n") - F.max("n")).alias("odd"))
+    return folded.groupBy("column_name").agg(F.sum("odd").alias("case_issues"))
+
+
+def invalid_emails(hist: DataFrame, cols: list[str], names: list[str]) -> DataFrame:
+    """column_name, email_invalid."""
+    valid = F.coalesce("email", F.col("key").rlike(text.EMAIL_PATTERN))
+    return _of(hist, cols, names).groupBy("column_name").agg(
+        F.coalesce(F.sum(F.when(~valid, F.col("n"))), F.lit(0)).alias("email_invalid"))
+
+
+def numeric_values(hist: DataFrame, cols: list[str], names: list[str]) -> DataFrame:
+    """values(name, x, n) of the numbers in number columns."""
+    x = F.coalesce("number", numbers.number(F.col("key")))
+    return _of(hist, cols, names).select(F.col("column_name").alias("name"), x.alias("x"), "n").filter("x IS NOT NULL")
+
+
 def distinct_counts(df: DataFrame, cols: list[str], keep=filled, raw: bool = False) -> DataFrame:
     """column_name, filled, distinct over the cells that satisfy ``keep``;
     stripped unless ``raw``.  Long texts are counted by digest."""
     cells = long_cells(df, cols, keep=keep)
     value = F.col("value") if raw else text.strip(F.col("value"))
-    keyed = cells.select("column_name", text.compact_key(value).alias("key"))
+    keyed = cells.select("column_name", value.alias("value")).select("column_name", text.compact_key(F.col("value")).alias("key"))
     counts = keyed.groupBy("column_name", "key").agg(F.count("*").alias("n"))
     return counts.groupBy("column_name").agg(F.sum("n").alias("filled"), F.count("*").alias("distinct"))
 
 
-def case_variants(df: DataFrame, cols: list[str]) -> DataFrame:
-    """column_name, case_issues: cells that are not in the commonest spelling
-    of their value, spellings differing only in case."""
-    cells = long_cells(df, cols, keep=filled)
-    value = text.strip(F.col("value"))
-    keyed = cells.select("column_name", text.compact_key(F.lower(value)).alias("folded"),
-                         text.compact_key(value).alias("spelling"))
-    spellings = keyed.groupBy("column_name", "folded", "spelling").agg(F.count("*").alias("n"))
-    folded = spellings.groupBy("column_name", "folded").agg((F.sum("n") - F.max("n")).alias("odd"))
-    return folded.groupBy("column_name").agg(F.sum("odd").alias("case_issues"))
-
-
 def modes(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
     """column_name, mode: commonest raw text of each column, the first seen
     among equals."""
@@ -47,8 +102,17 @@ def modes(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
 
 
 def smallest(df: DataFrame, cols: list[str], k: int) -> DataFrame:
-    """position, column_name, value: the k smallest distinct values."""
+    """position, column_name, value, rank: the k smallest distinct values."""
     cells = long_cells(df, cols, keep=filled)
     values = cells.select("position", "column_name", text.strip(F.col("value")).alias("value")).distinct()
+    return _ranked(values, k)
+
+
+def smallest_keys(hist: DataFrame, cols: list[str], names: list[str], k: int) -> DataFrame:
+    """The same from a histogram, for columns without long texts."""
+    return _ranked(_of(hist, cols, names).select("position", "column_name", F.col("key").alias("value")), k)
+
+
+def _ranked(values: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("position", "column_name").orderBy("value")
     return values.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

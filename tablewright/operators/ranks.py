@@ -1,154 +1,138 @@
 """Exact order statistics of many columns without sorting a column.
 
-A rank is found by narrowing: quantile sketches give a bracket of values that
-must hold it, one pass counts the rows below and inside the bracket, and only
-the distinct values inside are ordered.  Sketches steer, counts decide: the
-result is exact.  Nothing but one summary row reaches the driver per pass.
+Input is ``values(name, x, n)``: n copies of the number x in the column name.
+A rank is found by narrowing.  Quantile sketches propose split points, one pass
+counts the values below, at and between them, and the interval that holds the
+rank is split again until few enough values are left to order.  Sketches only
+propose and counts decide, so the result is exact whatever the sketches say.
+Per pass, a handful of counts per column reaches the driver.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL = 1_000_000  # distinct values one task may order
-GROUPS = 64  # sketches are merged in this many tasks
-ACCURACY = 2000  # rank error of a sketch is at most 1 / ACCURACY
-MARGIN = 2.5 / ACCURACY
+SMALL = 1_000_000  # rows of one interval that one task may order
+GROUPS = 64  # tasks that merge sketches
+SPLITS = 32  # split points per interval and pass
+ACCURACY = 500  # rank error of a sketch is at most 1 / ACCURACY
 
 
-@dataclass(frozen=True)
-class Bracket:
-    """Values between ``low`` and ``high`` hold the rank; ``below`` rows are
-    smaller, ``inside`` rows lie between, ``between`` of them strictly."""
-
-    low: float
-    high: float
-    below: int
-    inside: int
-    between: int
+def long_numbers(df: DataFrame, numbers: dict[str, Column]) -> DataFrame:
+    """values(name, x, n) of numeric expressions, one row per number."""
+    entries = [F.struct(F.lit(name).alias("name"), x.alias("x")) for name, x in numbers.items()]
+    cells = df.select(F.inline(F.array(*entries)))
+    return cells.filter(F.col("x").isNotNull() & ~F.isnan("x")).withColumn("n", F.lit(1).cast("bigint"))
 
 
 @dataclass(frozen=True)
-class Summary:
-    n: int
-    mean: float | None
+class Interval:
+    """Open interval of one column that holds a rank; ``below`` numbers are
+    smaller, ``rows`` input rows lie inside.  None is unbounded."""
+
+    name: str
     low: float | None
     high: float | None
+    below: int
+    rows: int
+
+    def holds(self) -> Column:
+        inside = F.col("name") == self.name
+        if self.low is not None:
+            inside = inside & (F.col("x") > self.low)
+        if self.high is not None:
+            inside = inside & (F.col("x") < self.high)
+        return inside
+
+
+def _numbered(values: DataFrame, intervals: list[Interval]) -> DataFrame:
+    """Rows inside the intervals, with the number of theirs.  Intervals of one
+    column do not overlap."""
+    which = F.coalesce(*[F.when(i.holds(), F.lit(at)) for at, i in enumerate(intervals)])
+    return values.withColumn("at", which).filter(F.col("at").isNotNull())
+
+
+def _split_points(rows: DataFrame) -> dict[int, list[float]]:
+    shares = [(i + 1) / (SPLITS + 1) for i in range(SPLITS)]
+    groups = rows.groupBy("at", (F.spark_partition_id() % GROUPS).alias("part")).agg(
+        F.percentile_approx("x", shares, ACCURACY).alias("points"))
+    # The middle answer of the groups is a number that occurs, so a number
+    # that fills a third of the column becomes a split point itself.
+    points = groups.select("at", F.posexplode("points").alias("i", "point")).groupBy("at", "i").agg(
+        F.percentile_approx("point", 0.5).alias("point"))
+    out: dict[int, set[float]] = {}
+    for r in points.collect():
+        out.setdefault(r["at"], set()).add(r["point"])
+    return {at: sorted(ps) for at, ps in out.items()}
+
+
+def _narrow(values: DataFrame, wanted: dict[Interval, list[int]]) -> dict[tuple[Interval, int], Interval | float]:
+    intervals = list(wanted)
+    rows = _numbered(values, intervals)
+    points = _split_points(rows)
+    lists = [F.when(F.col("at") == at, F.array(*[F.lit(p) for p in ps])) for at, ps in points.items()]
+    placed = rows.withColumn("points", F.coalesce(*lists)).select(
+        "at", "n", F.size(F.filter("points", lambda p: p < F.col("x"))).alias("i"),
+        F.array_contains("points", F.col("x")).alias("on"))
+    found: dict[int, list] = {}
+    for r in placed.groupBy("at", "i", "on").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect():
+        found.setdefault(r["at"], []).append((r["i"], r["on"], r["n"], r["rows"]))
+    out: dict[tuple[Interval, int], Interval | float] = {}
+    for at, interval in enumerate(intervals):
+        ps, below = points[at], interval.below
+        for i, on, n, size in sorted(found[at]):
+            for k in wanted[interval]:
+                if below <= k < below + n:
+                    low = ps[i - 1] if i > 0 else interval.low
+                    high = ps[i] if i < len(ps) else interval.high
+                    out[interval, k] = ps[i] if on else Interval(interval.name, low, high, below, size)
+            below += n
+    return out
 
 
-def summaries(df: DataFrame, numbers: dict[str, Column]) -> dict[str, Summary]:
-    """Count, mean and extremes of every numeric expression in one pass."""
-    if not numbers:
-        return {}
-    values = df.select(*[x.alias(f"x{i}") for i, x in enumerate(numbers.values())])
-    aggs = []
-    for i in range(len(numbers)):
-        x = F.col(f"x{i}")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}")]
-    row = values.agg(*aggs).first()
-    return {name: Summary(row[f"n{i}"], row[f"m{i}"], row[f"l{i}"], row[f"h{i}"]) for i, name in enumerate(numbers)}
-
-
-def select_ranks(df: DataFrame, numbers: dict[str, Column], ranks: dict[str, list[int]],
-                 known: dict[str, Summary], small: int = SMALL) -> dict[str, dict[int, float]]:
-    """{name: {rank: value}} with 0-based ranks in ascending order."""
-    wanted = [(name, k) for name, ks in ranks.items() for k in sorted(set(ks))]
-    if not wanted:
-        return {}
-    names = [n for n in numbers if n in ranks]
-    values = df.select(*[numbers[n].alias(f"x{i}") for i, n in enumerate(names)])
-    column = {n: F.col(f"x{i}") for i, n in enumerate(names)}
-    brackets = {}
-    for name, k in wanted:
-        s = known[name]
-        if not 0 <= k < s.n:
-            raise ValueError(f"rank {k} of {s.n} values of {name!r}")
-        brackets[name, k] = Bracket(s.low, s.high, 0, s.n, s.n)
-    while True:
-        wide = [w for w in wanted if brackets[w].between > small and brackets[w].low < brackets[w].high]
-        if not wide:
-            break
-        before = dict(brackets)
-        _narrow(values, column, wide, brackets)
-        if all(brackets[w] == before[w] for w in wide):
-            break  # infinite values or the like: order what is left
-    return _pick(values, column, wanted, brackets)
-
-
-def _inside(x: Column, b: Bracket) -> Column:
-    return (x >= b.low) & (x <= b.high)
-
-
-def _narrow(values: DataFrame, column: dict[str, Column], wide: list[tuple[str, int]], brackets: dict) -> None:
-    # Rows are dealt to GROUPS sketches in turn.  If a value has at most a
-    # share p of the rows of every group below it, it has at most that share
-    # of all rows below it, so the outermost answers over the groups bound
-    # the rank.
-    dealt = values.withColumn("_group", F.monotonically_increasing_id() % GROUPS)
-    aggs = []
-    for i, w in enumerate(wide):
-        b = brackets[w]
-        share = (w[1] - b.below + 0.5) / b.inside
-        x = column[w[0]]
-        ends = [max(0.0, share - MARGIN), min(1.0, share + MARGIN)]
-        aggs.append(F.percentile_approx(F.when(_inside(x, b), x), ends, ACCURACY).alias(f"q{i}"))
-    sketched = dealt.groupBy("_group").agg(*aggs)
-    ends = sketched.agg(*[
-        a for i in range(len(wide))
-        for a in (F.min(F.get(f"q{i}", F.lit(0))).alias(f"l{i}"), F.max(F.get(f"q{i}", F.lit(1))).alias(f"h{i}"))
+def _order(values: DataFrame, wanted: dict[Interval, list[int]]) -> dict[tuple[Interval, int], float]:
+    intervals = list(wanted)
+    counts = _numbered(values, intervals).groupBy("at", "x").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("at").orderBy("x"))
+    targets = [(at, interval, k) for at, interval in enumerate(intervals) for k in wanted[interval]]
+    # One conditional minimum per rank: the ordered numbers stay in their tasks.
+    picks = counts.withColumn("upto", upto).agg(*[
+        F.min(F.when((F.col("at") == at) & (F.col("upto") > k - interval.below), F.col("x"))).alias(f"k{j}")
+        for j, (at, interval, k) in enumerate(targets)
     ]).first()
-    tried = {}
-    for i, w in enumerate(wide):
-        b = brackets[w]
-        tried[w] = replace(b, low=max(b.low, ends[f"l{i}"]), high=min(b.high, ends[f"h{i}"]))
-    counts = []
-    for i, w in enumerate(wide):
-        b, x = tried[w], column[w[0]]
-        counts += [
-            F.count_if(x < b.low).alias(f"b{i}"),
-            F.count_if(_inside(x, b)).alias(f"i{i}"),
-            F.count_if((x > b.low) & (x < b.high)).alias(f"s{i}"),
-        ]
-    row = values.agg(*counts).first()
-    for i, w in enumerate(wide):
-        found = replace(tried[w], below=row[f"b{i}"], inside=row[f"i{i}"], between=row[f"s{i}"])
-        if found.below <= w[1] < found.below + found.inside:
-            brackets[w] = found
-
-
-def _pick(values, column, wanted, brackets) -> dict[str, dict[int, float]]:
-    out: dict[str, dict[int, float]] = {}
-    open_brackets: dict[tuple[str, Bracket], list[int]] = {}
-    for name, k in wanted:
-        b = brackets[name, k]
-        if b.low == b.high:
-            out.setdefault(name, {})[k] = b.low
-        else:
-            open_brackets.setdefault((name, b), []).append(k)
-    if not open_brackets:
+    return {(interval, k): picks[f"k{j}"] for j, (_, interval, k) in enumerate(targets)}
+
+
+def select_ranks(values: DataFrame, ranks: dict[str, list[int]], rows: dict[str, int],
+                 small: int = SMALL) -> dict[str, dict[int, float]]:
+    """{name: {rank: number}} for 0-based ranks in ascending order; ``rows`` are
+    the input rows per name."""
+    place: dict[tuple[str, int], Interval | float] = {
+        (name, k): Interval(name, None, None, 0, rows[name]) for name, ks in ranks.items() for k in ks}
+
+    def pending(test) -> dict[Interval, list[int]]:
+        out: dict[Interval, list[int]] = {}
+        for (_, k), where in place.items():
+            if isinstance(where, Interval) and test(where):
+                out.setdefault(where, []).append(k)
         return out
-    entries, targets = [], []
-    for i, ((name, b), ks) in enumerate(open_brackets.items()):
-        x = column[name]
-        entries.append(F.when(_inside(x, b), F.struct(F.lit(i).alias("bracket"), x.alias("value"))))
-        targets += [(i, k, k - b.below) for k in ks]
-    cells = values.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
-    counts = cells.groupBy("e.bracket", "e.value").agg(F.count("*").alias("n"))
-    running = F.sum("n").over(Window.partitionBy("bracket").orderBy("value"))
-    cumulated = counts.withColumn("upto", running)
-    # The first value whose running count exceeds the rank; one conditional
-    # minimum per target, so the ordered values never leave their tasks.
-    picks = cumulated.agg(*[
-        F.min(F.when((F.col("bracket") == i) & (F.col("upto") > local), F.col("value"))).alias(f"t{j}")
-        for j, (i, _, local) in enumerate(targets)
-    ]).first()
-    names = [name for (name, _) in open_brackets]
-    for j, (i, k, _) in enumerate(targets):
-        out.setdefault(names[i], {})[k] = picks[f"t{j}"]
+
+    def settle(results):
+        for (name, k), where in list(place.items()):
+            if isinstance(where, Interval) and (where, k) in results:
+                place[name, k] = results[where, k]
+
+    while wide := pending(lambda i: i.rows > small):
+        settle(_narrow(values, wide))
+    if left := pending(lambda i: True):
+        settle(_order(values, left))
+    out: dict[str, dict[int, float]] = {}
+    for (name, k), x in place.items():
+        out.setdefault(name, {})[k] = x
     return out
 
 
@@ -174,24 +158,22 @@ class Stats:
         return self.q1 - 1.5 * self.iqr, self.q3 + 1.5 * self.iqr
 
 
-def statistics(df: DataFrame, numbers: dict[str, Column], median: bool = True, quartiles: bool = True,
-               small: int = SMALL) -> dict[str, Stats]:
-    """Statistics of every numeric expression: two passes over small data, two
-    more for each round of narrowing."""
-    known = summaries(df, numbers)
+def statistics(values: DataFrame, median: bool = True, quartiles: bool = True, small: int = SMALL) -> dict[str, Stats]:
+    """Statistics of every column in ``values``.  It is read several times, so
+    pass a stored table if it is expensive to compute."""
+    weighted = F.sum(F.col("x") * F.col("n")) / F.sum("n")
+    sums = values.groupBy("name").agg(F.sum("n").alias("n"), weighted.alias("mean"), F.count("*").alias("rows")).collect()
     ranks = {}
-    for name, s in known.items():
-        ks = ([s.n // 2] if median and s.n else []) + ([s.n // 4, 3 * s.n // 4] if quartiles and s.n >= 8 else [])
+    for s in sums:
+        n = s["n"]
+        ks = ({n // 2} if median else set()) | ({n // 4, 3 * n // 4} if quartiles and n >= 8 else set())
         if ks:
-            ranks[name] = ks
-    found = select_ranks(df, numbers, ranks, known, small)
+            ranks[s["name"]] = sorted(ks)
+    found = select_ranks(values, ranks, {s["name"]: s["rows"] for s in sums}, small)
     out = {}
-    for name, s in known.items():
-        at = found.get(name, {})
-        out[name] = Stats(
-            n=s.n, mean=s.mean,
-            median=at.get(s.n // 2) if median else None,
-            q1=at.get(s.n // 4) if quartiles and s.n >= 8 else None,
-            q3=at.get(3 * s.n // 4) if quartiles and s.n >= 8 else None,
-        )
+    for s in sums:
+        at, n = found.get(s["name"], {}), s["n"]
+        quarter = quartiles and n >= 8
+        out[s["name"]] = Stats(n, s["mean"], at.get(n // 2) if median else None,
+                               at.get(n // 4) if quarter else None, at.get(3 * n // 4) if quarter else None)
     return out

@@ -51,11 +51,15 @@ def detect(df: DataFrame, cols: list[str], seq: str) -> Shape:
 
 
 def _standardized(df: DataFrame, shape: Shape, seq: str) -> DataFrame:
+    # Two projections: each cell is stripped once, then looked at many times.
+    stripped = df.select(seq, *[text.strip(F.col(f"`{c}`")).alias(c) for c in shape.cols])
+
     def cell(c):
-        value = text.strip_to_null(F.col(f"`{c}`"))
-        return dates.any_file_date(value) if c in shape.date_cols else value
+        value = F.col(f"`{c}`")
+        value = dates.iso_text(value, dates.ANY_FILE_FORMATS) if c in shape.date_cols else value
+        return F.when(F.col(f"`{c}`") != "", value)
 
-    return df.select(seq, *[cell(c).alias(c) for c in shape.cols])
+    return stripped.select(seq, *[cell(c).alias(c) for c in shape.cols])
 
 
 def _key(shape: Shape):

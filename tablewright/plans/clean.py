@@ -17,15 +17,16 @@ from pyspark.sql import functions as F
 from ..functions import dates, derive, numbers, text
 from ..operators import dedupe, histogram
 from ..operators.cells import measure
-from ..operators.ranks import Stats, statistics
-from ..session import materialize
+from ..operators.ranks import Stats, long_numbers, statistics
+from ..session import spread, stage
 from .profile import Report, analyze
 
 MEAN_ACTIONS = ("fill_missing_mean",)
 MEDIAN_ACTIONS = ("fill_missing_median",)
 MODE_ACTIONS = ("fill_missing_mode",)
 BAND_ACTIONS = ("cap_outliers", "drop_outliers")
-NO_CHANGE = ("keep_missing", "keep_outliers")
+CASES = {"standardize_lower": F.lower, "standardize_upper": F.upper, "standardize_title": text.title}
+FILLS = {"fill_missing_zero": "0", "fill_missing_unknown": "Unknown"}
 
 
 def cents_text(x: float) -> str:
@@ -57,9 +58,41 @@ class Effect:
     drops: bool = False
 
 
-def effect(action: str, v: Column, facts: ColumnFacts, as_of: str) -> Effect | None:
+class Cell:
+    """A column and what its action asks about it.  Each answer is a helper
+    column, worked out once per row however often the action refers to it."""
+
+    def __init__(self, name: str, at: int):
+        self.raw, self.at, self.helpers = F.col(f"`{name}`"), at, {}
+
+    def _helper(self, kind: str, expr: Column) -> Column:
+        self.helpers[f"_{kind}{self.at}"] = expr
+        return F.col(f"_{kind}{self.at}")
+
+    @property
+    def stripped(self) -> Column:
+        return self._helper("s", text.strip(self.raw))
+
+    @property
+    def blank(self) -> Column:
+        return self._helper("b", text.is_blank(self.raw))
+
+    @property
+    def number(self) -> Column:
+        return self._helper("x", numbers.number(self.raw))
+
+    @property
+    def day(self) -> Column:
+        return self._helper("d", dates.tagged_day(dates.tagged_date(text.strip(self.raw))))
+
+    @property
+    def bad_email(self) -> Column:
+        return self._helper("e", ~text.is_blank(self.raw) & ~text.is_email(self.raw))
+
+
+def effect(action: str, cell: Cell, facts: ColumnFacts, as_of: str) -> Effect | None:
     """Effect of an action on a column, or None if it changes nothing."""
-    blank, s, x = text.is_blank(v), text.strip(v), numbers.number(v)
+    v = cell.raw
 
     def when(condition, value, change):
         return Effect(F.when(condition, value).otherwise(v), condition, change)
@@ -68,58 +101,48 @@ def effect(action: str, v: Column, facts: ColumnFacts, as_of: str) -> Effect | N
         return Effect(v, condition, "rows_dropped", drops=True)
 
     def fill(value):
-        return None if value is None else when(blank, F.lit(value), "filled")
+        return None if value is None else when(cell.blank, F.lit(value), "filled")
+
+    def known(condition):
+        return F.coalesce(condition, F.lit(False))
 
     null = F.lit(None).cast("string")
-    negative = F.coalesce(x < 0, F.lit(False))
-    bad_email = ~blank & ~text.is_email(v)
     if action == "trim_whitespace":
-        return when(F.coalesce(v != s, F.lit(False)), s, "trimmed")
-    if action == "standardize_lower":
-        return when(~blank, F.lower(s), "case_normalized")
-    if action == "standardize_upper":
-        return when(~blank, F.upper(s), "case_normalized")
-    if action == "standardize_title":
-        return when(~blank, text.title(s), "case_normalized")
+        return when(known(v != cell.stripped), cell.stripped, "trimmed")
+    if action in CASES:
+        return when(~cell.blank, CASES[action](cell.stripped), "case_normalized")
     if action == "standardize_date_iso":
-        day = dates.profile_date(v)["day"]
-        return Effect(F.coalesce(day, v), F.coalesce(day != s, F.lit(False)), "dates_normalized")
+        return Effect(F.coalesce(cell.day, v), known(cell.day != cell.stripped), "dates_normalized")
+    if action in FILLS:
+        return fill(FILLS[action])
     if action == "fill_missing_mean":
         return fill(facts.mean)
     if action == "fill_missing_median":
         return fill(facts.median)
-    if action == "fill_missing_zero":
-        return fill("0")
     if action == "fill_missing_mode":
         return fill(facts.mode)
-    if action == "fill_missing_unknown":
-        return fill("Unknown")
     if action == "fill_missing_today":
         return fill(as_of)
     if action == "drop_rows_missing":
-        return drop(blank)
+        return drop(cell.blank)
     if action == "drop_rows_invalid_email":
-        return drop(bad_email)
+        return drop(cell.bad_email)
     if action == "null_invalid_email":
-        return when(bad_email, null, "nulled")
-    if action in BAND_ACTIONS:
-        if facts.band is None:
-            return None
+        return when(cell.bad_email, null, "nulled")
+    if action in BAND_ACTIONS and facts.band is not None:
         low, high = facts.band
-        under, over = F.coalesce(x < low, F.lit(False)), F.coalesce(x > high, F.lit(False))
+        under, over = known(cell.number < low), known(cell.number > high)
         if action == "drop_outliers":
             return drop(under | over)
         capped = F.when(under, cents_text(low)).when(over, cents_text(high)).otherwise(v)
         return Effect(capped, under | over, "capped")
     if action == "abs_values":
-        return when(negative, numbers.number_text(v, F.abs(x)), "abs_applied")
+        return when(known(cell.number < 0), numbers.number_text(v, F.abs(cell.number)), "abs_applied")
     if action == "drop_rows_negative":
-        return drop(negative)
+        return drop(known(cell.number < 0))
     if action == "null_negative":
-        return when(negative, null, "nulled")
-    if action in NO_CHANGE:
-        return None
-    return None  # unknown actions leave the column alone
+        return when(known(cell.number < 0), null, "nulled")
+    return None  # keep_missing, keep_outliers and unknown actions
 
 
 def deduplicate(df: DataFrame, cols: list[str], seq: str, rules: dict, key: str | None) -> DataFrame:
@@ -144,11 +167,13 @@ def column_facts(df: DataFrame, actions: dict[str, str], seq: str) -> dict[str,
     needed = list(dict.fromkeys(mean + median + mode + band))
     if not needed:
         return {}
-    x = lambda cols: {c: numbers.number(F.col(f"`{c}`")) for c in cols}
     stats: dict[str, Stats] = {}
-    stats.update(statistics(df, x(mean), median=False, quartiles=False))
-    stats.update(statistics(df, x(median), quartiles=False))
-    stats.update(statistics(df, x(band), median=False))
+    numeric = list(dict.fromkeys(mean + median + band))
+    if numeric:
+        parsed = long_numbers(df, {c: numbers.number(F.col(f"`{c}`")) for c in numeric})
+        values = stage(parsed, "numbers")
+        stats = statistics(values, median=bool(median), quartiles=bool(band))
+    stats = {c: stats.get(c, Stats()) for c in needed}
     texts = median_texts(df, {c: stats[c].median for c in median})
     common = {r["column_name"]: r["mode"] for r in histogram.modes(df, mode, seq).collect()} if mode else {}
     return {
@@ -257,7 +282,8 @@ def clean(df: DataFrame, cols: list[str], seq: str, rules: dict, key: str | None
     """Apply a rule set to a table of text columns."""
     as_of = str(as_of or datetime.date.today())
     table_rules = rules.get("global", {})
-    rows = deduplicate(df.select(seq, *[f"`{c}`" for c in cols]), cols, seq, table_rules, key)
+    df = spread(df.select(seq, *[f"`{c}`" for c in cols]), seq)
+    rows = deduplicate(df, cols, seq, table_rules, key)
     actions = {c: r.get("action") for c, r in rules.get("columns", {}).items() if c in cols and r.get("action")}
     wanted = [c for c, a in actions.items() if a in MEAN_ACTIONS + MEDIAN_ACTIONS + MODE_ACTIONS + BAND_ACTIONS]
     facts = {}
@@ -265,12 +291,15 @@ def clean(df: DataFrame, cols: list[str], seq: str, rules: dict, key: str | None
         basis = rows.select(seq, *[f"`{c}`" for c in wanted])
         # Statistics take several passes: deduplicate once, keeping only the
         # columns they read.
-        facts = column_facts(materialize(basis) if any(table_rules.values()) else basis, actions, seq)
-    effects = []
+        facts = column_facts(stage(basis, "basis") if any(table_rules.values()) else basis, actions, seq)
+    effects, helpers = [], {}
     for c, action in actions.items():
-        e = effect(action, F.col(f"`{c}`"), facts.get(c, ColumnFacts()), as_of)
+        cell = Cell(c, len(effects))
+        e = effect(action, cell, facts.get(c, ColumnFacts()), as_of)
         if e is not None:
             effects.append((c, e))
+            helpers.update(cell.helpers)
+    rows = rows.withColumns(helpers) if helpers else rows
     new = {c: e.value for c, e in effects}
     dropped = [F.when(e.counted, F.lit(i)) for i, (_, e) in enumerate(effects) if e.drops]
     changed = rows.select(

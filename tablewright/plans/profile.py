@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, naming, numbers, text
 from ..operators import histogram
-from ..operators.cells import first_values, measure
+from ..operators.cells import by_name, first_values
 from ..operators.dedupe import duplicate_counts
 from ..operators.ranks import Stats, statistics
+from ..session import spread, stage
 
 # How many leading values decide the type, the date format, and
 # the count of mixed formats; shares above which a type is assigned.
@@ -62,21 +63,17 @@ CASE_TYPES = ("text", "categorical", "email")
 
 def column_profile(df: DataFrame, cols: list[str]) -> DataFrame:
     """position, column_name, total_rows, null_count, null_pct, completeness,
-    unique_count, whitespace_count."""
-    counters = measure(
-        df, cols,
-        {"null_count": lambda c: F.count_if(text.is_blank(c)),
-         "whitespace_count": lambda c: F.count_if(c != text.strip(c))},
-        {"total_rows": F.count("*")},
-    )
-    distinct = histogram.distinct_counts(df, cols).select("column_name", F.col("distinct").alias("unique_count"))
+    unique_count, whitespace_count: one pass and one shuffle of distinct values."""
+    return _profiled(histogram.value_histogram(df, cols), cols)
+
+
+def _profiled(hist: DataFrame, cols: list[str]) -> DataFrame:
     n, total = F.col("null_count"), F.col("total_rows")
-    return counters.join(F.broadcast(distinct), "column_name", "left").select(
-        "position", "column_name", "total_rows", "null_count",
+    return histogram.column_counts(hist).select(
+        "position", by_name(F.col("position"), dict(enumerate(cols))).alias("column_name"), "total_rows", "null_count",
         numbers.ratio(n, total, 2).alias("null_pct"),
         numbers.ratio(total - n, total, 1).alias("completeness"),
-        F.coalesce("unique_count", F.lit(0)).cast("bigint").alias("unique_count"),
-        "whitespace_count",
+        "unique_count", "whitespace_count",
     )
 
 
@@ -84,8 +81,8 @@ def leading_values(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
     """The first filled cells of each column with what they look like."""
     head = first_values(df, cols, seq, MIXED_SAMPLE, histogram.filled)
     v = F.col("value")
-    return head.withColumns({
-        "date_format": dates.profile_date(v)["format"],
+    return head.withColumn("s", text.strip(v)).withColumn("t", dates.tagged_date(F.col("s"))).withColumns({
+        "date_format": dates.tagged_format(F.col("t")),
         "is_email": text.is_email(v),
         "is_number": numbers.number(v).isNotNull(),
         "is_phone": text.is_phone(v),
@@ -306,63 +303,62 @@ def _tenths(x: Fraction) -> float:
     return float((x * 20 + 1) // 2) / 10
 
 
-def number_statistics(df: DataFrame, cols: list[str], median: bool = False) -> dict[str, Stats]:
-    return statistics(df, {c: numbers.number(F.col(f"`{c}`")) for c in cols}, median=median)
-
-
-def number_issues(df: DataFrame, stats: dict[str, Stats]) -> DataFrame:
-    """column_name, outlier_count, negative_count for number columns; the
-    bands are literals in a single pass."""
-    aggs = []
-    for i, (name, s) in enumerate(stats.items()):
-        x = numbers.number(F.col(f"`{name}`"))
-        outside = F.lit(False) if s.band is None else (x < s.band[0]) | (x > s.band[1])
-        aggs += [F.count_if(outside).alias(f"o{i}"), F.count_if(x < 0).alias(f"n{i}")]
-    row = df.agg(*aggs)
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("column_name"), F.col(f"o{i}").alias("outlier_count"),
-                 F.col(f"n{i}").alias("negative_count"))
-        for i, name in enumerate(stats)
-    ])))
+def number_issues(values: DataFrame, stats: dict[str, Stats]) -> DataFrame:
+    """column_name, outlier_count, negative_count from values(name, x, n); the
+    bands are literals."""
+    x, n = F.col("x"), F.col("n")
+    outside = F.coalesce(*[
+        F.when(F.col("name") == c, (x < s.band[0]) | (x > s.band[1])) for c, s in stats.items() if s.band], F.lit(False))
+    some = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
+    return values.groupBy(F.col("name").alias("column_name")).agg(
+        some(outside).alias("outlier_count"), some(x < 0).alias("negative_count"))
 
 
-def email_issues(df: DataFrame, cols: list[str]) -> DataFrame:
-    """column_name, email_invalid."""
-    invalid = lambda c: F.count_if(~text.is_blank(c) & ~text.is_email(c))
-    return measure(df, cols, {"email_invalid": invalid}).select("column_name", "email_invalid")
-
-
-def types(df: DataFrame, cols: list[str], seq: str) -> tuple[DataFrame, DataFrame]:
-    """(column profile, semantic types), both lazy."""
-    profile = column_profile(df, cols)
-    return profile, semantic_types(leading_values(df, cols, seq), profile)
+def types(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
+    """Semantic types as a lazy plan."""
+    return semantic_types(leading_values(df, cols, seq), column_profile(df, cols))
 
 
 def analyze(df: DataFrame, cols: list[str], seq: str, samples: int = 5) -> Report:
     """Profile a table of text columns.
 
-    The number of jobs does not depend on the number of columns: types first,
-    then each count over only the columns whose type asks for it.  One summary
-    row per column comes back to the driver.
+    The table itself is read for a histogram of all columns, which is stored,
+    for the leading values of each column, and for duplicate rows.  Everything
+    else looks at the distinct values, and of those only at the columns whose
+    type asks for it.  The number of jobs does not grow with the columns, and
+    one summary row per column comes back to the driver.
     """
-    profile = {r["column_name"]: r.asDict() for r in column_profile(df, cols).collect()}
-    known = df.sparkSession.createDataFrame(
+    spark = df.sparkSession
+    rows = spread(df.select(seq, *[f"`{c}`" for c in cols]), seq)
+    hist = stage(histogram.value_histogram(rows, cols), "histogram")
+    profile = {r["column_name"]: r.asDict() for r in _profiled(hist, cols).collect()}
+    if not profile:
+        raise ValueError("The table is empty or has no columns.")
+    known = spark.createDataFrame(
         [(p["position"], n, p["unique_count"]) for n, p in profile.items()],
         "position int, column_name string, unique_count bigint")
     kinds = {r["column_name"]: r for r in semantic_types(leading_values(df, cols, seq), known).collect()}
     of_type = lambda *ts: [c for c in cols if kinds[c]["inferred_type"] in ts]
 
     def counts(make, names):
-        return {r["column_name"]: r.asDict() for r in make(df, names).collect()} if names else {}
+        return {r["column_name"]: r.asDict() for r in make(hist, cols, names).collect()} if names else {}
+
+    def numeric_counts(hist, cols, names):
+        values = stage(histogram.numeric_values(hist, cols, names), "numbers")
+        return number_issues(values, statistics(values, median=False))
 
     cased = counts(histogram.case_variants, of_type(*CASE_TYPES))
-    emails = counts(email_issues, of_type("email"))
-    number_cols = of_type("number")
-    numeric = counts(lambda d, names: number_issues(d, number_statistics(d, names)), number_cols)
+    emails = counts(histogram.invalid_emails, of_type("email"))
+    numeric = counts(numeric_counts, of_type("number"))
     picked: dict[str, list[str]] = {}
-    for r in histogram.smallest(df, cols, samples).orderBy("position", "rank").collect() if samples else []:
-        picked.setdefault(r["column_name"], []).append(r["value"])
-    dup = duplicate_counts(df, cols, seq).first()
+    if samples:
+        long = {cols[r["position"]] for r in hist.filter("fold IS NOT NULL").select("position").distinct().collect()}
+        short = [c for c in cols if c not in long]
+        parts = [histogram.smallest_keys(hist, cols, short, samples)] if short else []
+        parts += [histogram.smallest(rows, [c for c in cols if c in long], samples)] if long else []
+        for r in (r for p in parts for r in p.orderBy("column_name", "rank").collect()):
+            picked.setdefault(r["column_name"], []).append(r["value"])
+    dup = duplicate_counts(rows, cols, seq).first()
     out = []
     for c in cols:
         p, k = profile[c], kinds[c]
@@ -375,8 +371,6 @@ def analyze(df: DataFrame, cols: list[str], seq: str, samples: int = 5) -> Repor
             outlier_count=numeric.get(c, {}).get("outlier_count", 0),
             negative_count=numeric.get(c, {}).get("negative_count", 0), samples=picked.get(c, []),
         ))
-    if not out or not dup["total_rows"]:
-        raise ValueError("The table is empty or has no columns.")
     return Report(out, dup["total_rows"], dup["full_duplicates"], dup["near_duplicates"])
 
 

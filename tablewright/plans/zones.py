@@ -33,11 +33,15 @@ def stamp(df: DataFrame, cols: list[str], source: Column, run_time: str, empty_a
 
 
 def _standardized(df: DataFrame, table: ZoneTable, seq: str) -> DataFrame:
+    # Two projections: each cell is stripped once, then looked at many times.
+    stripped = df.select(seq, *[text.strip(F.col(f"`{c}`")).alias(c) for c in table.names])
+
     def cell(c):
-        value = text.strip_to_null(F.col(f"`{c}`"))
-        return dates.zone_date(value) if naming.is_zone_date(c) else value
+        value = F.col(f"`{c}`")
+        value = dates.iso_text(value, dates.ZONE_FORMATS) if naming.is_zone_date(c) else value
+        return F.when(F.col(f"`{c}`") != "", value)
 
-    return df.select(seq, *[cell(c).alias(c) for c in table.names])
+    return stripped.select(seq, *[cell(c).alias(c) for c in table.names])
 
 
 def _flag(table: ZoneTable) -> Column:

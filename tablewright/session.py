@@ -40,7 +40,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return "/".join([shared_folder(spark).rstrip("/"), f"tablewright-{name}-{uuid.uuid4().hex}"])
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, on storage that outlives executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Compute once into a columnar table in the shared folder and read it from
+    there: later passes prune columns, skip row groups, and survive the loss of
+    any executor."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+SPREAD_BYTES = 32 * 1024 * 1024
+
+
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Give a small input one partition per core.
+
+    A file of one row group is a single task however many cores there are.
+    Inputs over 32 MB per core have splits enough and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= cores * SPREAD_BYTES:
+        return df
+    return df.repartition(cores, *keys)
