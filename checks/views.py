@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.session import spread
+
 VIEWS = {
     "dirty_customer": """
 SELECT c_custkey + shift AS seq,
@@ -123,7 +125,7 @@ _COPIES = """FROM (SELECT c.*, explode(array_compact(array(0,
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

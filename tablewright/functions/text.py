@@ -75,11 +75,8 @@ def compact_key(c: Column) -> Column:
         F.concat(F.lit("\u0000"), F.length(c).cast("string"), F.lit(":"), F.sha2(c, 256)))
 
 
-def row_digest(values: list[Column]) -> Column:
-    """SHA-256 of a whole row; every value is length-prefixed, so that two
-    different rows never concatenate to the same text."""
-    parts = []
-    for v in values:
-        v = F.coalesce(v, F.lit(""))
-        parts += [F.length(v).cast("string"), F.lit(":"), v]
-    return F.sha2(F.concat(*parts), 256)
+def row_digest(cells: list[Column]) -> Column:
+    """SHA-256 of a row of texts without NULLs.  The lengths come first, so two
+    different rows never join to the same text."""
+    lengths = F.concat_ws(",", *[F.length(c).cast("string") for c in cells])
+    return F.sha2(F.concat(lengths, F.lit(":"), *cells), 256)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, naming, numbers, text
+from ..session import is_small, stage
 
 
 def by_name(name: Column, values: dict[str, object]) -> Column:
@@ -53,23 +54,46 @@ def long_cells(df: DataFrame, cols: list[str], seq: str | None = None, keep=None
     return out if keep is None else out.filter(keep(F.col("value")))
 
 
-def first_values(df: DataFrame, cols: list[str], seq: str, k: int, keep=None) -> DataFrame:
-    """(position, column_name, value, seq, rank): the first ``k`` cells of each
-    column in arrival order, of those that satisfy ``keep``.
+def head_rows(df: DataFrame, seq: str, k: int) -> DataFrame:
+    """The first k rows in arrival order.
 
-    Each column is a bounded top-k: a task holds k rows and never sorts its
-    input, and a columnar source reads just that column and the order.
+    In a large table a bound is found first, reading only the order: the last
+    row of some partition that holds k rows.  The top-k then reads that far and
+    not the k first rows of every partition.
     """
+    if not is_small(df):
+        sizes = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.max(seq).alias("last"))
+        bound = sizes.filter(F.col("n") >= k).agg(F.min("last")).first()[0]
+        if bound is not None:
+            df = df.filter(F.col(seq) <= F.lit(bound))
+    return df.orderBy(seq).limit(k)
+
+
+def first_values(df: DataFrame, cols: list[str], seq: str, k: int, keep) -> DataFrame:
+    """(column_name, value, rank): the first k cells of each column in arrival
+    order, of those that satisfy ``keep``.  Each column is a bounded top-k: a
+    task holds k rows and never sorts its input."""
     parts = []
-    for i, c in enumerate(cols):
-        one = df.select(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("value"),
-                        F.col(seq).alias("seq"))
-        if keep is not None:
-            one = one.filter(keep(F.col("value")))
-        parts.append(one.orderBy("seq").limit(k))
-    union = reduce(DataFrame.unionAll, parts)
+    for c in cols:
+        one = df.select(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("value"), F.col(seq).alias("seq"))
+        parts.append(one.filter(keep(F.col("value"))).orderBy("seq").limit(k))
     order = Window.partitionBy("column_name").orderBy("seq")
-    return union.withColumn("rank", F.row_number().over(order))
+    return reduce(DataFrame.unionAll, parts).select("column_name", "value", F.row_number().over(order).alias("rank"))
+
+
+def leading_cells(df: DataFrame, cols: list[str], seq: str, k: int, keep, available: dict[str, int]) -> DataFrame:
+    """The same, from the leading rows where they hold enough such cells;
+    ``available`` is the number of such cells in each column."""
+    head = stage(head_rows(df.select(seq, *[f"`{c}`" for c in cols]), seq, 4 * k), "head")
+    order = Window.partitionBy("column_name").orderBy("seq")
+    cells = long_cells(head, cols, seq, keep).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    cells = cells.select("column_name", "value", "rank")
+    found = {r["column_name"]: r["n"] for r in cells.groupBy("column_name").agg(F.count("*").alias("n")).collect()}
+    sparse = [c for c in cols if found.get(c, 0) < min(k, available[c])]
+    if not sparse:
+        return cells
+    rest = first_values(df, sparse, seq, k, keep)
+    return cells.filter(~F.col("column_name").isin(sparse)).unionAll(rest)
 
 
 def date_columns(df: DataFrame, cols: list[str], seq: str) -> DataFrame:

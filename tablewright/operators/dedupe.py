@@ -19,20 +19,30 @@ def keep_first(df: DataFrame, keys: list[Column], seq: str) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
 
 
-def row_key(cols: list[str], lower: bool = False) -> Column:
-    """Digest of the stripped row.  It shuffles 64 characters in place of a
-    second copy of the row."""
-    values = [text.strip(F.col(f"`{c}`")) for c in cols]
-    return text.row_digest([F.lower(v) for v in values] if lower else values)
+def with_row_keys(df: DataFrame, cols: list[str], exact: str | None = None, folded: str | None = None) -> DataFrame:
+    """Add digests of the stripped row, as it is and in lower case.
+
+    A digest shuffles 64 characters in place of a second copy of the row.  The
+    cells are stripped and folded in projections of their own, once each.
+    """
+    places = range(len(cols))
+    out = df.withColumns({f"_s{i}": text.strip(F.col(f"`{c}`")) for i, c in enumerate(cols)})
+    out = out.withColumns({f"_s{i}": F.coalesce(f"_s{i}", F.lit("")) for i in places})
+    digest = lambda: text.row_digest([F.col(f"_s{i}") for i in places])
+    if exact:
+        out = out.withColumn(exact, digest())
+    if folded:
+        out = out.withColumns({f"_s{i}": F.lower(f"_s{i}") for i in places}).withColumn(folded, digest())
+    return out.drop(*[f"_s{i}" for i in places])
 
 
 def drop_full_duplicates(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
-    return keep_first(df, [row_key(cols)], seq)
+    return keep_first(with_row_keys(df, cols, exact="_key"), [F.col("_key")], seq).drop("_key")
 
 
 def drop_near_duplicates(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
     """Rows that differ only in case and outer whitespace count as one."""
-    return keep_first(df, [row_key(cols, lower=True)], seq)
+    return keep_first(with_row_keys(df, cols, folded="_key"), [F.col("_key")], seq).drop("_key")
 
 
 def drop_key_duplicates(df: DataFrame, key: str, seq: str) -> DataFrame:
@@ -49,7 +59,8 @@ def duplicate_counts(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
     and is not spelled like the first of them.  Digests with counts are
     shuffled, never rows; identical rows merge before the shuffle.
     """
-    spelled = df.select(row_key(cols, lower=True).alias("norm"), row_key(cols).alias("exact"), F.col(seq).alias("seq"))
+    keyed = with_row_keys(df, cols, exact="_exact", folded="_folded")
+    spelled = keyed.select(F.col("_folded").alias("norm"), F.col("_exact").alias("exact"), F.col(seq).alias("seq"))
     spellings = spelled.groupBy("norm", "exact").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     groups = spellings.groupBy("norm").agg(
         F.sum("n").alias("rows"), F.count("*").alias("spellings"), F.min_by("n", "first").alias("first_n"))

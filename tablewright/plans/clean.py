@@ -18,7 +18,7 @@ from ..functions import dates, derive, numbers, text
 from ..operators import dedupe, histogram
 from ..operators.cells import measure
 from ..operators.ranks import Stats, long_numbers, statistics
-from ..session import spread, stage
+from ..session import stage
 from .profile import Report, analyze
 
 MEAN_ACTIONS = ("fill_missing_mean",)
@@ -282,7 +282,7 @@ def clean(df: DataFrame, cols: list[str], seq: str, rules: dict, key: str | None
     """Apply a rule set to a table of text columns."""
     as_of = str(as_of or datetime.date.today())
     table_rules = rules.get("global", {})
-    df = spread(df.select(seq, *[f"`{c}`" for c in cols]), seq)
+    df = df.select(seq, *[f"`{c}`" for c in cols])
     rows = deduplicate(df, cols, seq, table_rules, key)
     actions = {c: r.get("action") for c, r in rules.get("columns", {}).items() if c in cols and r.get("action")}
     wanted = [c for c, a in actions.items() if a in MEAN_ACTIONS + MEDIAN_ACTIONS + MODE_ACTIONS + BAND_ACTIONS]

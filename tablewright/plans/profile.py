@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, naming, numbers, text
 from ..operators import histogram
-from ..operators.cells import by_name, first_values
+from ..operators.cells import by_name, leading_cells
 from ..operators.dedupe import duplicate_counts
 from ..operators.ranks import Stats, statistics
-from ..session import spread, stage
+from ..session import settle, stage
 
 # How many leading values decide the type, the date format, and
 # the count of mixed formats; shares above which a type is assigned.
@@ -77,34 +77,32 @@ def _profiled(hist: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
-def leading_values(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
+def leading_values(df: DataFrame, cols: list[str], seq: str, available: dict[str, int]) -> DataFrame:
     """The first filled cells of each column with what they look like."""
-    head = first_values(df, cols, seq, MIXED_SAMPLE, histogram.filled)
-    v = F.col("value")
-    return head.withColumn("s", text.strip(v)).withColumn("t", dates.tagged_date(F.col("s"))).withColumns({
-        "date_format": dates.tagged_format(F.col("t")),
-        "is_email": text.is_email(v),
-        "is_number": numbers.number(v).isNotNull(),
-        "is_phone": text.is_phone(v),
-    })
-
-
-def date_formats(leading: DataFrame) -> DataFrame:
-    """column_name, date_format: commonest of the first fifty, first seen among
-    equals."""
-    seen = leading.filter((F.col("rank") <= FORMAT_SAMPLE) & F.col("date_format").isNotNull())
-    counts = seen.groupBy("column_name", "date_format").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
-    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("first"), F.col("date_format"))).alias("best")
-    return counts.groupBy("column_name").agg(best).select("column_name", "best.date_format")
+    head = leading_cells(df, cols, seq, MIXED_SAMPLE, histogram.filled, available)
+    stripped = head.select("column_name", "rank", text.strip(F.col("value")).alias("s"))
+    s = F.col("s")
+    return stripped.select(
+        "column_name", "rank", dates.tagged_format(dates.tagged_date(s)).alias("date_format"),
+        text.is_email(s).alias("is_email"), numbers.number(s).isNotNull().alias("is_number"),
+        text.is_phone(s).alias("is_phone"))
 
 
 def semantic_types(leading: DataFrame, profile: DataFrame) -> DataFrame:
     """position, column_name, inferred_type, date_format, format_issues."""
-    typed = leading.filter(F.col("rank") <= TYPE_SAMPLE)
-    share = lambda c: F.avg(c.cast("double"))
-    shares = typed.groupBy("column_name").agg(
-        share(F.col("date_format").isNotNull()).alias("dates"), share(F.col("is_email")).alias("emails"),
-        share(F.col("is_number")).alias("numbers"), share(F.col("is_phone")).alias("phones"))
+    rank, found = F.col("rank"), F.col("date_format")
+    share = lambda test: F.avg(F.when(rank <= TYPE_SAMPLE, test.cast("double")))
+    # Per format: seen how often among the first fifty, where first, and how
+    # often among the first five hundred.
+    formats = F.array(*[
+        F.struct((-F.count_if((rank <= FORMAT_SAMPLE) & (found == f))).alias("n"),
+                 F.min(F.when(found == f, rank)).alias("first"), F.lit(f).alias("name"),
+                 F.count_if(found == f).alias("all"))
+        for f in dates.PROFILE_FORMATS])
+    looks = leading.groupBy("column_name").agg(
+        share(found.isNotNull()).alias("dates"), share(F.col("is_email")).alias("emails"),
+        share(F.col("is_number")).alias("numbers"), share(F.col("is_phone")).alias("phones"),
+        F.count("date_format").alias("dated"), F.array_min(formats).alias("usual"))
     kind = (
         F.when(F.col("dates") > DATE_SHARE, "date")
         .when(F.col("emails") > EMAIL_SHARE, "email")
@@ -113,21 +111,11 @@ def semantic_types(leading: DataFrame, profile: DataFrame) -> DataFrame:
         .when(F.col("unique_count").between(2, CATEGORY_LIMIT), "categorical")
         .otherwise("text")
     )
-    formats = date_formats(leading)
-    mixed = (
-        leading.filter(F.col("date_format").isNotNull())
-        .join(F.broadcast(formats.withColumnRenamed("date_format", "usual")), "column_name")
-        .groupBy("column_name").agg(F.count_if(F.col("date_format") != F.col("usual")).alias("mixed"))
-    )
-    joined = profile.select("position", "column_name", "unique_count")
-    for part in (shares, formats, mixed):
-        joined = joined.join(F.broadcast(part), "column_name", "left")
-    is_date = F.col("inferred_type") == "date"
+    has_format = (F.col("inferred_type") == "date") & (F.col("usual.n") < 0)
+    joined = profile.select("position", "column_name", "unique_count").join(F.broadcast(looks), "column_name", "left")
     return joined.withColumn("inferred_type", kind).select(
-        "position", "column_name", "inferred_type",
-        F.when(is_date, F.col("date_format")).alias("date_format"),
-        F.when(is_date, F.coalesce("mixed", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("format_issues"),
-    )
+        "position", "column_name", "inferred_type", F.when(has_format, F.col("usual.name")).alias("date_format"),
+        F.when(has_format, F.col("dated") - F.col("usual.all")).otherwise(F.lit(0)).cast("bigint").alias("format_issues"))
 
 
 def primary_key(profile: DataFrame, words: list[str] = naming.KEY_WORDS) -> DataFrame:
@@ -314,9 +302,18 @@ def number_issues(values: DataFrame, stats: dict[str, Stats]) -> DataFrame:
         some(outside).alias("outlier_count"), some(x < 0).alias("negative_count"))
 
 
-def types(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
-    """Semantic types as a lazy plan."""
-    return semantic_types(leading_values(df, cols, seq), column_profile(df, cols))
+def _known(spark: SparkSession, profile: dict[str, dict]) -> DataFrame:
+    return spark.createDataFrame(
+        [(p["position"], n, p["unique_count"]) for n, p in profile.items()],
+        "position int, column_name string, unique_count bigint")
+
+
+def types(df: DataFrame, cols: list[str], seq: str, profile: dict[str, dict] | None = None) -> DataFrame:
+    """Semantic types; counts each column first unless given its profile."""
+    if profile is None:
+        profile = {r["column_name"]: r.asDict() for r in column_profile(df, cols).collect()}
+    available = {c: p["total_rows"] - p["null_count"] for c, p in profile.items()}
+    return semantic_types(leading_values(df, cols, seq, available), _known(df.sparkSession, profile))
 
 
 def analyze(df: DataFrame, cols: list[str], seq: str, samples: int = 5) -> Report:
@@ -329,15 +326,12 @@ def analyze(df: DataFrame, cols: list[str], seq: str, samples: int = 5) -> Repor
     one summary row per column comes back to the driver.
     """
     spark = df.sparkSession
-    rows = spread(df.select(seq, *[f"`{c}`" for c in cols]), seq)
+    rows = settle(df.select(seq, *[f"`{c}`" for c in cols]), "rows")
     hist = stage(histogram.value_histogram(rows, cols), "histogram")
     profile = {r["column_name"]: r.asDict() for r in _profiled(hist, cols).collect()}
     if not profile:
         raise ValueError("The table is empty or has no columns.")
-    known = spark.createDataFrame(
-        [(p["position"], n, p["unique_count"]) for n, p in profile.items()],
-        "position int, column_name string, unique_count bigint")
-    kinds = {r["column_name"]: r for r in semantic_types(leading_values(df, cols, seq), known).collect()}
+    kinds = {r["column_name"]: r for r in types(rows, cols, seq, profile).collect()}
     of_type = lambda *ts: [c for c in cols if kinds[c]["inferred_type"] in ts]
 
     def counts(make, names):

@@ -70,13 +70,16 @@ def overall(scores: dict[str, Column]) -> Column:
 def row_facts(df: DataFrame, cols: list[str], rule: Column | None, expected: dict[str, type]) -> DataFrame:
     """Per distinct row: copies, given cells, rows that pass, cells that fit.
     Copies merge before the shuffle, which carries digests and counts."""
-    cells = [F.col(f"`{c}`") for c in cols]
-    given = sum(((~text.is_void(c.cast("string"))).cast("int") for c in cells), F.lit(0))
+    # Each cell is turned to text once; missing ones read None in the digest.
+    texts = df.withColumns({f"_t{i}": F.col(f"`{c}`").cast("string") for i, c in enumerate(cols)})
+    places = [F.col(f"_t{i}") for i in range(len(cols))]
+    given = sum(((~text.is_void(t)).cast("int") for t in places), F.lit(0))
     passing = F.lit(1) if rule is None else F.coalesce(rule, F.lit(False)).cast("int")
     fitting = sum((fits(F.col(f"`{c}`"), t).cast("int") for c, t in expected.items()), F.lit(0))
-    rows = df.select(
-        text.row_digest([F.coalesce(c.cast("string"), F.lit("None")) for c in cells]).alias("row"),
+    counted = texts.select(
+        *[F.coalesce(t, F.lit("None")).alias(f"_t{i}") for i, t in enumerate(places)],
         given.alias("given"), passing.alias("passing"), fitting.alias("fitting"))
+    rows = counted.select(text.row_digest(places).alias("row"), "given", "passing", "fitting")
     return rows.groupBy("row").agg(
         F.count("*").alias("n"), F.sum("given").alias("given"), F.sum("passing").alias("passing"),
         F.sum("fitting").alias("fitting"))
@@ -118,10 +121,9 @@ def table_scores(curated: DataFrame, name: str, started: Column | None = None, n
 
 
 def with_aggregate(all_scores: DataFrame) -> DataFrame:
-    """Add the row ``_aggregate``: the mean of each dimension and its overall."""
+    """Add the row ``_aggregate``: the mean of each dimension and its overall.
+    One rollup makes both, so the scores are computed once."""
     hundredths = lambda d: F.sum(F.round(F.col(d) * 100).cast("bigint"))
     mean = lambda d: (numbers.int_div(hundredths(d) * 2 + F.count("*"), F.count("*") * 2).cast("double") / 100.0).alias(d)
-    one = all_scores.agg(F.sum("row_count").alias("row_count"), *[mean(d) for d in DIMENSIONS])
-    one = one.withColumn("overall", overall({d: F.col(d) for d in DIMENSIONS})).withColumn(
-        "table_name", F.lit("_aggregate"))
-    return all_scores.unionByName(one)
+    rolled = all_scores.rollup("table_name").agg(F.sum("row_count").alias("row_count"), *[mean(d) for d in DIMENSIONS])
+    return rolled.withColumn("overall", overall({d: F.col(d) for d in DIMENSIONS})).fillna("_aggregate", ["table_name"])

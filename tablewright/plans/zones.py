@@ -52,8 +52,9 @@ def _flag(table: ZoneTable) -> Column:
 def cleanse(df: DataFrame, name: str, seq: str, run_time: str) -> DataFrame:
     """Curated rows: stripped, ISO dates, no null key, first row per key."""
     table = ZONE_TABLES[name]
-    rows = _standardized(df, table, seq).filter(F.col(table.key).isNotNull())
-    first = keep_first(rows, [F.col(table.key)], seq)
+    # Rows are dropped before the rest of their cells is looked at.
+    key = text.strip(F.col(f"`{table.key}`"))
+    first = _standardized(keep_first(df.filter(key != ""), [key], seq), table, seq)
     return first.withColumns({
         "_cleansed_at": F.lit(run_time).cast("timestamp"),
         "_is_duplicate": F.lit(0),
