@@ -25,7 +25,13 @@ def cents(x):
 
 
 def stat(c, what):
-    return f"(SELECT {what} FROM st WHERE column_name = '{c}')"
+    return f'"{what}_{c}"'  # a column of the one-row table strow
+
+
+def one_row(name, source, cols, values):
+    """CTE with one row that holds each value of each column of a table."""
+    picks = ", ".join(f"""max({v}) FILTER (column_name = '{c}') AS "{v}_{c}" """ for c in cols for v in values)
+    return f"{name} AS MATERIALIZED (SELECT {picks} FROM {source})"
 
 
 def new_value(c, action):
@@ -121,18 +127,24 @@ def clean_parts(v, cols, actions, full=False, near=False, pk=None):
     THEN CAST(CAST(median AS BIGINT) AS VARCHAR) ELSE CAST(median AS VARCHAR) END AS median_text
   FROM dmode m LEFT JOIN dquart k ON k.column_name = m.column_name)""")
 
+    facts = ["mean", "median", "median_text", "mode", "lo", "hi"]
+    out.append(one_row("strow", "st", stat_cols, facts))
+    dynamic = [c for c, a in actions.items() if a is None]
+    if dynamic:
+        out.append(one_row("actrow", "chosen", dynamic, ["action"]))
+
     def pick(make, c, default):
         if actions[c] is not None:
             return make(c, actions[c])
         whens = " ".join(f"WHEN '{a}' THEN {make(c, a)}" for a in ACTIONS)
-        return f"(CASE (SELECT action FROM chosen WHERE column_name = '{c}') {whens} ELSE {default} END)"
+        return f'(CASE "action_{c}" {whens} ELSE {default} END)'
 
     cells = [f'{pick(new_value, c, chr(34) + c + chr(34))} AS "{c}"' if c in actions else f'"{c}"' for c in cols]
     drops = [f"WHEN {pick(drop_test, c, 'false')} THEN {i}" for i, c in enumerate(actions)]
     flags = [f"{pick(change_test, c, 'false')} AS _c{i}" for i, c in enumerate(actions)]
     dropped = f"CASE {' '.join(drops)} END" if drops else "NULL"
     out.append(f"marked AS MATERIALIZED (SELECT seq, {', '.join(cells)}, {dropped} AS _d"
-               + "".join(f", {f}" for f in flags) + " FROM dd)")
+               + "".join(f", {f}" for f in flags) + f" FROM dd CROSS JOIN strow{' CROSS JOIN actrow' if dynamic else ''})")
     nulls = ", ".join(f"""CASE WHEN NOT {q.blank(f'"{c}"')} THEN "{c}" END AS "{c}" """ for c in cols)
     n = " + ".join(f'CAST("{c}" IS NULL AS INT)' for c in cols)
     out.append(f"kept AS (SELECT seq, {nulls} FROM marked WHERE _d IS NULL)")

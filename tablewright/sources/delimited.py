@@ -50,9 +50,10 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
     if sep is None or encoding is None:
         first = detect.list_files(spark, path).filter("length > 0").orderBy("path").limit(1)
         heads = detect.file_heads(first).withColumn("enc", detect.encoding(F.col("head"), F.col("length")))
-        found = heads.select("enc", detect.delimiter(detect.head_text(F.col("head"), F.col("enc"))).alias("sep")).first()
-        if found is None:
+        found = heads.select("enc", detect.delimiter(detect.head_text(F.col("head"), F.col("enc"))).alias("sep")).collect()
+        if not found:
             raise ValueError(f"No data in {path}")
+        found = found[0]
         sep, encoding = sep or found["sep"], encoding or found["enc"]
     charset = CHARSETS.get(encoding, encoding)
     if multi_line is None:
