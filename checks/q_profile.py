@@ -318,7 +318,9 @@ def p17_health_hr(spark, sf):
   SELECT column_name, s, row_number() OVER (PARTITION BY column_name ORDER BY s) AS rank
   FROM (SELECT DISTINCT column_name, s FROM nb)) WHERE rank <= 5""")
 def p18_samples(spark, sf):
-    return histogram.smallest(customer(spark, sf), CUSTOMER, 5).select("column_name", "value", "rank")
+    df = customer(spark, sf)
+    hist = stage(histogram.value_histogram(df, CUSTOMER), "p18")
+    return histogram.samples(hist, df, CUSTOMER, 5).select("column_name", "value", "rank")
 
 
 @query("p18_preview", ctes("dirty_customer") + "SELECT * FROM dirty_customer ORDER BY seq LIMIT 5")

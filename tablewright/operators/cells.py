@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, naming, numbers, text
@@ -54,6 +54,13 @@ def long_cells(df: DataFrame, cols: list[str], seq: str | None = None, keep=None
     return out if keep is None else out.filter(keep(F.col("value")))
 
 
+def _literal(value) -> Column:
+    """Literal of a value of the order column, which may be a struct."""
+    if isinstance(value, Row):
+        return F.struct(*[_literal(v).alias(k) for k, v in value.asDict().items()])
+    return F.lit(value)
+
+
 def head_rows(df: DataFrame, seq: str, k: int) -> DataFrame:
     """The first k rows in arrival order.
 
@@ -65,7 +72,7 @@ def head_rows(df: DataFrame, seq: str, k: int) -> DataFrame:
         sizes = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.max(seq).alias("last"))
         bound = sizes.filter(F.col("n") >= k).agg(F.min("last")).first()[0]
         if bound is not None:
-            df = df.filter(F.col(seq) <= F.lit(bound))
+            df = df.filter(F.col(seq) <= _literal(bound))
     return df.orderBy(seq).limit(k)
 
 
@@ -98,7 +105,7 @@ def leading_cells(df: DataFrame, cols: list[str], seq: str, k: int, keep, availa
 
 def date_columns(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
     """column_name, is_date: by name, or by one of the first five values."""
-    head = df.select(seq, *[f"`{c}`" for c in cols]).orderBy(seq).limit(5)
+    head = head_rows(df.select(seq, *[f"`{c}`" for c in cols]), seq, 5)
     out = measure(head, cols, {"seen": lambda c: F.max(dates.looks_like_date(c).cast("int"))})
     named = by_name(F.col("column_name"), {c: int(naming.has_word(c, naming.ANY_FILE_DATE_WORDS)) for c in cols})
     return out.select("column_name", F.greatest(named, F.coalesce("seen", F.lit(0))).alias("is_date"))
@@ -107,7 +114,7 @@ def date_columns(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
 def storage_types(df: DataFrame, cols: list[str], seq: str, missing=text.is_empty) -> DataFrame:
     """column_name, storage_type: INTEGER, REAL or TEXT from the first twenty
     filled cells among the first two hundred rows."""
-    head = df.select(seq, *[f"`{c}`" for c in cols]).orderBy(seq).limit(200)
+    head = head_rows(df.select(seq, *[f"`{c}`" for c in cols]), seq, 200)
     order = Window.partitionBy("column_name").orderBy("seq")
     filled = long_cells(head, cols, seq).withColumn("filled", ~missing(F.col("value")))
     seen = filled.filter("filled").withColumn("rank", F.row_number().over(order)).filter("rank <= 20")

@@ -101,18 +101,26 @@ def modes(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
     return counts.groupBy("column_name").agg(best).select("column_name", F.col("best.value").alias("mode"))
 
 
-def smallest(df: DataFrame, cols: list[str], k: int) -> DataFrame:
-    """position, column_name, value, rank: the k smallest distinct values."""
-    cells = long_cells(df, cols, keep=filled)
-    values = cells.select("position", "column_name", text.strip(F.col("value")).alias("value")).distinct()
-    return _ranked(values, k)
-
-
-def smallest_keys(hist: DataFrame, cols: list[str], names: list[str], k: int) -> DataFrame:
-    """The same from a histogram, for columns without long texts."""
-    return _ranked(_of(hist, cols, names).select("position", "column_name", F.col("key").alias("value")), k)
-
-
-def _ranked(values: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("position", "column_name").orderBy("value")
-    return values.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def samples(hist: DataFrame, df: DataFrame, cols: list[str], k: int) -> DataFrame:
+    """position, column_name, value, rank: of each column the k values with the
+    smallest keys; these are the smallest values but for long texts, which go
+    by their digest.  Long texts are fetched by a filter on the few keys, so no
+    text is shuffled to find them."""
+    order = Window.partitionBy("position", "column_name").orderBy("key")
+    picked = _of(hist, cols, cols).select("position", "column_name", "key").withColumn(
+        "rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    rows = picked.collect()  # k per column
+    schema = "position int, column_name string, value string, rank int"
+    spark = hist.sparkSession
+    short = [tuple(r) for r in rows if not r["key"].startswith("\0")]
+    out = spark.createDataFrame([(p, c, key, rank) for p, c, key, rank in short], schema)
+    long = [tuple(r) for r in rows if r["key"].startswith("\0")]
+    if not long:
+        return out
+    keys = spark.createDataFrame(long, "position int, column_name string, key string, rank int")
+    cells = long_cells(df, list(dict.fromkeys(c for _, c, _, _ in long))).select(
+        "column_name", text.strip(F.col("value")).alias("s"))
+    wanted = cells.select("column_name", "s", text.compact_key(F.col("s")).alias("key")).filter(
+        F.col("key").isin([key for _, _, key, _ in long]))
+    texts = wanted.groupBy("column_name", "key").agg(F.min("s").alias("value"))
+    return out.unionByName(keys.join(texts, ["column_name", "key"]).drop("key"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import stage
 
 ROWS_PER_BUCKET = 65_536  # rows of one sheet that one task orders
 
@@ -131,9 +132,10 @@ def chosen_blocks(sizes: DataFrame) -> DataFrame:
 def read_sheets(cells: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, facts).  Rows: sheet_id, row, record, a map from header to text;
     a repeated header gets _2.  Facts: one row per sheet."""
-    filled = unmerge(cells, merges)
+    # Both are read several times: join and order once.
+    filled = stage(unmerge(cells, merges), "cells")
     shape = header_shape(filled, merges)
-    blocked = blocks(body_rows(filled, shape))
+    blocked = stage(blocks(body_rows(filled, shape)), "blocks")
     chosen = chosen_blocks(block_sizes(blocked))
     again = F.row_number().over(Window.partitionBy("sheet_id", "header").orderBy("col"))
     named = headers(filled, shape).withColumn("again", again).select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, naming, numbers, text
 from ..operators import histogram
-from ..operators.cells import by_name, leading_cells
+from ..operators.cells import by_name, head_rows, leading_cells
 from ..operators.dedupe import duplicate_counts
 from ..operators.ranks import Stats, statistics
 from ..session import settle, stage
@@ -345,13 +345,8 @@ def analyze(df: DataFrame, cols: list[str], seq: str, samples: int = 5) -> Repor
     emails = counts(histogram.invalid_emails, of_type("email"))
     numeric = counts(numeric_counts, of_type("number"))
     picked: dict[str, list[str]] = {}
-    if samples:
-        long = {cols[r["position"]] for r in hist.filter("fold IS NOT NULL").select("position").distinct().collect()}
-        short = [c for c in cols if c not in long]
-        parts = [histogram.smallest_keys(hist, cols, short, samples)] if short else []
-        parts += [histogram.smallest(rows, [c for c in cols if c in long], samples)] if long else []
-        for r in (r for p in parts for r in p.orderBy("column_name", "rank").collect()):
-            picked.setdefault(r["column_name"], []).append(r["value"])
+    for r in histogram.samples(hist, rows, cols, samples).orderBy("position", "rank").collect() if samples else []:
+        picked.setdefault(r["column_name"], []).append(r["value"])
     dup = duplicate_counts(rows, cols, seq).first()
     out = []
     for c in cols:
@@ -369,4 +364,4 @@ def analyze(df: DataFrame, cols: list[str], seq: str, samples: int = 5) -> Repor
 
 
 def preview(df: DataFrame, seq: str, k: int = 5) -> DataFrame:
-    return df.orderBy(seq).limit(k)
+    return head_rows(df, seq, k)
