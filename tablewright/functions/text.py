@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 # Every character that counts as whitespace when a cell is
 # stripped.  A character set lets Spark trim in one pass; a regex would not.
-WHITESPACE = (
-    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 "
-    "           "
-    "    　"
-)
+WHITESPACE = "".join(map(chr, [
+    9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]))
 
 # Texts that stand for a missing value, compared in lower case.
 BLANK_TOKENS = ["nan", "null", "none", "n/a", "na", "-"]

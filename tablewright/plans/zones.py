@@ -159,14 +159,16 @@ def sensor_alerts(sensors: DataFrame) -> DataFrame:
 
 
 def publish(curated: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The five consumption tables from the curated ones."""
-    return {
-        "cons_active_customers": active_customers(curated["customer_profiles"], curated["transaction_logs"]),
-        "cons_high_value_transactions": high_value_transactions(curated["transaction_logs"]),
-        "cons_department_headcount": department_headcount(curated["hr_records"]),
-        "cons_low_stock_products": low_stock_products(curated["product_catalog"]),
-        "cons_sensor_alerts": sensor_alerts(curated["sensor_telemetry"]),
+    """The consumption tables whose curated tables are given."""
+    made = {
+        "cons_active_customers": (active_customers, ("customer_profiles", "transaction_logs")),
+        "cons_high_value_transactions": (high_value_transactions, ("transaction_logs",)),
+        "cons_department_headcount": (department_headcount, ("hr_records",)),
+        "cons_low_stock_products": (low_stock_products, ("product_catalog",)),
+        "cons_sensor_alerts": (sensor_alerts, ("sensor_telemetry",)),
     }
+    return {name: make(*[curated[n] for n in needs]) for name, (make, needs) in made.items()
+            if all(n in curated for n in needs)}
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
