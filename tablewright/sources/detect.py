@@ -32,6 +32,8 @@ def file_heads(files: DataFrame, size: int = SAMPLE_BYTES) -> DataFrame:
     each of their files and no more."""
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from urllib.parse import quote
+
         from pyarrow import fs
 
         for batch in batches:
@@ -39,7 +41,9 @@ def file_heads(files: DataFrame, size: int = SAMPLE_BYTES) -> DataFrame:
             for uri in batch["path"]:
                 if uri.startswith("file:/") and not uri.startswith("file://"):
                     uri = "file://" + uri[len("file:"):]
-                system, where = fs.FileSystem.from_uri(uri)
+                if uri.startswith(("s3a://", "s3n://")):
+                    uri = "s3" + uri[3:]
+                system, where = fs.FileSystem.from_uri(quote(uri, safe="/:@"))
                 with system.open_input_stream(where, compression=None) as stream:
                     out.append(stream.read(size))
             yield batch.assign(head=out)
