@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets, simhash, urls, warc
+from . import decontaminate, mixing, quality, secrets, simhash, toxicity, urls, warc
 from .common import quoted
 
 QUERIES: dict = {}
@@ -47,6 +47,21 @@ def kind_order(kind):
     return F.array_position(F.array(*[F.lit(k) for k in secrets.KINDS]), kind)
 
 
+@query("op2_decontaminate")
+def op2(spark, sf):
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op3_toxicity")
+def op3(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model, thresholds = toxicity.train(docs, table(spark, sf, "labels"))
+    scored, name = toxicity.with_toxicity(docs, model, thresholds)
+    t = quoted(name)
+    return scored.select("doc_id", (toxicity.remainder(F.col("doc_id")) == 0).alias("held_out"), t.score.alias("score"),
+                         (t.score >= 0.5).cast("int").alias("predicted"), t.threshold.alias("lang_threshold"), t.flagged.alias("flagged"))
+
+
 OP4_SQL = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS digest FROM pages),
