@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, secrets, simhash, toxicity, urls, warc
+from . import decontaminate, mixing, quality, secrets, simhash, substrings, toxicity, urls, warc
 from .common import quoted
 
 QUERIES: dict = {}
@@ -128,3 +128,9 @@ def op8(spark, sf):
 @query("op9_simhash")
 def op9(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op10_repeated_passages")
+def op10(spark, sf):
+    kept = substrings.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -182,7 +182,8 @@ def classes(prints: DataFrame, distance: int = DISTANCE, limit: int = LIST) -> D
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     joined = components(links(nodes.select("fp"), distance, limit))
     named = nodes.join(joined, nodes.fp == joined.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = stage(named, "simhash-named")
+    least = stage(named.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-least")
     return named.join(least, "component").select("fp", "component_id", "component")
 
 
