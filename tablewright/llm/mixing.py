@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablewright.session import stage
 
-from .common import WORD
+from .common import WORD, free_name, quoted
 
 WEIGHTS = (3, 1, 2)
 BUCKETS = 1024          # of each source's shuffled order
@@ -52,12 +52,13 @@ def targets(sources: DataFrame, weights=WEIGHTS, percent: int = 150, max_passes:
                        .otherwise(F.least("cap", F.col("weight") * F.col("final"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, percent: int = 150, max_passes: int = 2) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, percent: int = 150, max_passes: int = 2, row: str | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): doc_id, source, size,
-    source_size, target, taken."""
+    source_size, target, taken, and row (the column so named, if any)."""
+    number = F.lit(0) if row is None else quoted(row)
     src = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), src))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), src.alias("src"), digest.alias("turn"))
+    sized = docs.select("doc_id", "source", number.alias("row"), word_count(F.col("text")).alias("size"), src.alias("src"), digest.alias("turn"))
     # the leading bits of the digest, so buckets are ranges of the order
     bucket = F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("bigint") * BUCKETS / (1 << 32)).cast("int")
     sized = stage(sized.withColumn("bucket", bucket), "mix-sizes")
@@ -79,7 +80,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, percent: int = 150, max_passes: int =
     end = last_served(passes, shares)
     here = [_served(F.lit(i), end) for i in range(max_passes)]
     taken = sum(here[1:], here[0])
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"), "row")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes anything of, with their columns and
+    ``taken`` (or the next free name): the words it takes, repeats counted."""
+    row, out = free_name(docs, "row"), free_name(docs, "taken")
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    taken = stage(mix(rows, row=row, **options).filter("taken > 0").select(F.col("row").alias(row), F.col("taken").alias(out)), "mix-taken")
+    return rows.join(taken, row).select(*[quoted(c) for c in docs.columns], quoted(out))
 
 
 def finish(turn: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, secrets, simhash, substrings, toxicity, urls, warc
+from . import decontaminate, licenses, mixing, quality, secrets, simhash, substrings, toxicity, urls, warc
 from .common import quoted
 
 QUERIES: dict = {}
@@ -134,3 +134,15 @@ def op9(spark, sf):
 def op10(spark, sf):
     kept = substrings.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_license_scan")
+def op7(spark, sf):
+    return licenses.matches(table(spark, sf, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark, sf):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
