@@ -107,7 +107,7 @@ class Links:
 
 def linked(keys: np.ndarray, cells: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Links (fingerprint, the first of its class) within lists given in order."""
-    links = Links(len(fps))
+    links, bits = Links(len(fps)), fps.view(np.uint64)  # signed numbers would count the bits of their absolute value
     as_bytes = fps.view(np.uint8).reshape(-1, 8)
     least = 8 - distance
     at = np.arange(len(fps) - 1) if len(fps) else np.zeros(0, int)
@@ -119,7 +119,7 @@ def linked(keys: np.ndarray, cells: np.ndarray, fps: np.ndarray, distance: int =
             break
         shared = (as_bytes[at] == as_bytes[at + step]).sum(axis=1)
         close = at[shared >= least]
-        close = close[np.bitwise_count(fps[close] ^ fps[close + step]) <= distance]
+        close = close[np.bitwise_count(bits[close] ^ bits[close + step]) <= distance]
         links.add(close, close + step)
         step += 1
     links.join()
