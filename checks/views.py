@@ -5,8 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.session import spread
-
 VIEWS = {
     "dirty_customer": """
 SELECT c_custkey + shift AS seq,
@@ -125,7 +123,10 @@ _COPIES = """FROM (SELECT c.*, explode(array_compact(array(0,
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A given table, dealt to the cores: each is a file of one row group, which
+    is one task otherwise."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return rows.repartition(spark.sparkContext.defaultParallelism)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

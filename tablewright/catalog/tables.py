@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import types as T
-
 
 @dataclass(frozen=True)
 class ZoneTable:
@@ -19,54 +17,40 @@ class ZoneTable:
     def names(self) -> list[str]:
         return list(self.columns)
 
-    def raw_schema(self) -> T.StructType:
-        """Everything is text until it is curated."""
-        fields = [T.StructField(c, T.StringType()) for c in self.columns]
-        return T.StructType(fields + [
-            T.StructField("_ingested_at", T.TimestampType()),
-            T.StructField("_source_file", T.StringType()),
-            T.StructField("_row_hash", T.StringType()),
-        ])
-
-    def curated_schema(self) -> T.StructType:
-        kinds = {"TEXT": T.StringType(), "REAL": T.DoubleType(), "INTEGER": T.LongType()}
-        fields = [T.StructField(c, kinds[k]) for c, k in self.columns.items()]
-        if self.derived:
-            fields.append(T.StructField(self.derived, kinds[self.derived_type]))
-        return T.StructType(fields + [
-            T.StructField("_cleansed_at", T.TimestampType()),
-            T.StructField("_is_duplicate", T.IntegerType()),
-            T.StructField("_quality_flag", T.StringType()),
-        ])
-
-
-def _columns(text: str) -> dict[str, str]:
-    kinds = {"r": "REAL", "i": "INTEGER"}
-    pairs = [w.partition(":") for w in text.split()]
-    return {name: kinds.get(kind, "TEXT") for name, _, kind in pairs}
-
 
-# Tables, keys and stored types (:r real, :i integer, else text).
+# Tables, keys, columns with their stored types, derived columns.
 ZONE_TABLES = {
-    t.name: t
-    for t in [
-        ZoneTable("customer_profiles", "customer_id", _columns(
-            "customer_id full_name email phone dob address city country account_type created_at"),
-            "age_group", "TEXT"),
-        ZoneTable("transaction_logs", "txn_id", _columns(
-            "txn_id customer_id amount:r currency txn_date txn_type merchant status account_number card_last4"),
-            "amount_usd", "REAL"),
-        ZoneTable("hr_records", "emp_id", _columns(
-            "emp_id full_name email department designation salary:r join_date manager_id performance_score:i "
-            "is_active:i"), "tenure_years", "REAL"),
-        ZoneTable("product_catalog", "product_id", _columns(
-            "product_id product_name category sub_category price:r stock_qty:i supplier last_updated"), None, None),
-        ZoneTable("sensor_telemetry", "sensor_id", _columns(
-            "sensor_id timestamp location temperature:r humidity:r pressure:r battery_pct:r alert_flag:i"),
-            "is_anomaly", "INTEGER"),
-        ZoneTable("audit_trail", "audit_id", _columns(
-            "audit_id user_id action entity entity_id ip_address timestamp status"), "ip_country", "TEXT"),
-    ]
+    "customer_profiles": ZoneTable(
+        name="customer_profiles", key="customer_id", derived="age_group", derived_type="TEXT",
+        columns={
+            "customer_id": "TEXT", "full_name": "TEXT", "email": "TEXT", "phone": "TEXT", "dob": "TEXT",
+            "address": "TEXT", "city": "TEXT", "country": "TEXT", "account_type": "TEXT", "created_at": "TEXT"}),
+    "transaction_logs": ZoneTable(
+        name="transaction_logs", key="txn_id", derived="amount_usd", derived_type="REAL",
+        columns={
+            "txn_id": "TEXT", "customer_id": "TEXT", "amount": "REAL", "currency": "TEXT", "txn_date": "TEXT",
+            "txn_type": "TEXT", "merchant": "TEXT", "status": "TEXT", "account_number": "TEXT", "card_last4": "TEXT"}),
+    "hr_records": ZoneTable(
+        name="hr_records", key="emp_id", derived="tenure_years", derived_type="REAL",
+        columns={
+            "emp_id": "TEXT", "full_name": "TEXT", "email": "TEXT", "department": "TEXT", "designation": "TEXT",
+            "salary": "REAL", "join_date": "TEXT", "manager_id": "TEXT", "performance_score": "INTEGER",
+            "is_active": "INTEGER"}),
+    "product_catalog": ZoneTable(
+        name="product_catalog", key="product_id", derived=None, derived_type=None,
+        columns={
+            "product_id": "TEXT", "product_name": "TEXT", "category": "TEXT", "sub_category": "TEXT",
+            "price": "REAL", "stock_qty": "INTEGER", "supplier": "TEXT", "last_updated": "TEXT"}),
+    "sensor_telemetry": ZoneTable(
+        name="sensor_telemetry", key="sensor_id", derived="is_anomaly", derived_type="INTEGER",
+        columns={
+            "sensor_id": "TEXT", "timestamp": "TEXT", "location": "TEXT", "temperature": "REAL", "humidity": "REAL",
+            "pressure": "REAL", "battery_pct": "REAL", "alert_flag": "INTEGER"}),
+    "audit_trail": ZoneTable(
+        name="audit_trail", key="audit_id", derived="ip_country", derived_type="TEXT",
+        columns={
+            "audit_id": "TEXT", "user_id": "TEXT", "action": "TEXT", "entity": "TEXT", "entity_id": "TEXT",
+            "ip_address": "TEXT", "timestamp": "TEXT", "status": "TEXT"}),
 }
 
 # Source file of each raw table.

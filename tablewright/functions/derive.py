@@ -30,12 +30,15 @@ def _lookup(key: Column, table: dict[str, object], default: object) -> Column:
 
 def amount_usd(amount: Column, currency: Column, rates: dict[str, float] = FX_RATES) -> Column:
     """amount x rate, half up to cents; missing or zero is 0, text is NULL."""
-    rate = _lookup(F.upper(currency), {k: F.lit(str(v)).cast("decimal(10,4)") for k, v in rates.items()},
-                   F.lit("1.0").cast("decimal(10,4)"))
+    # A rate is a whole number of ten-thousandths, so products are exact and are
+    # rounded once, at the hundreds place.
+    parts = {k: F.lit(round(v * 10_000)).cast("decimal(5,0)") for k, v in rates.items()}
+    rate = _lookup(F.upper(currency), parts, F.lit(10_000).cast("decimal(5,0)"))
     text = strip(amount)
-    exact = F.round(text.try_cast("decimal(26,6)") * rate, 2).cast("double")
+    # up to twelve digits before the dot with twenty after it, else up to 24 with eight
+    cents = [F.round(text.try_cast(kind) * rate, -2).cast("double") / 10_000 for kind in ("decimal(32,20)", "decimal(32,8)")]
     value = F.when(text.rlike(FLOAT_PATTERN),
-                   F.coalesce(exact, text.try_cast("double") * rate.cast("double")))
+                   F.coalesce(*cents, text.try_cast("double") * rate.cast("double") / 10_000))
     return F.when(text.isNull() | (text == ""), F.lit(0.0)).otherwise(value)
 
 

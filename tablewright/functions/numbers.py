@@ -50,9 +50,16 @@ def float_text(x: Column) -> Column:
     return F.when((size == 0) | ((size >= 1e-4) & (size < 1e16)), plain).otherwise(sci)
 
 
-def number_text(c: Column, x: Column) -> Column:
-    """Text of ``x``, a number read from ``c``: whole if ``c`` has no dot."""
-    return F.when(F.contains(c, F.lit(".")), float_text(x)).otherwise(x.try_cast("decimal(38,0)").cast("string"))
+def whole_text(c: Column) -> Column:
+    """A whole number's digits without its sign, commas and leading zeros; exact
+    at any length."""
+    return F.regexp_replace(without_commas(c), r"^[+-]?0*(?=\d)", "")
+
+
+def abs_text(c: Column, x: Column) -> Column:
+    """Text of the absolute value of the number in ``c``, whose double is ``x``:
+    whole, digit for digit, if it is written without a dot."""
+    return F.when(F.contains(c, F.lit(".")), float_text(F.abs(x))).otherwise(whole_text(c))
 
 
 def int_div(a: Column, b: Column | int) -> Column:

@@ -78,3 +78,16 @@ def row_digest(cells: list[Column]) -> Column:
     different rows never join to the same text."""
     lengths = F.concat_ws(",", *[F.length(c).cast("string") for c in cells])
     return F.sha2(F.concat(lengths, F.lit(":"), *cells), 256)
+
+
+def quoted(name: str) -> Column:
+    """Column by its exact name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_prefix(names: list[str], base: str = "_") -> str:
+    """``base``, with underscores added until no name begins so: helper columns
+    named with it stand beside any columns."""
+    while any(n.lower().startswith(base.lower()) for n in names):
+        base += "_"
+    return base

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, naming, numbers, text
-from ..session import is_small, stage
+from ..session import stage
 
 
 def by_name(name: Column, values: dict[str, object]) -> Column:
@@ -27,7 +27,7 @@ def measure(df: DataFrame, cols: list[str], measures: dict[str, callable], total
     aggregate; ``totals`` are aggregates of the whole table, repeated on each
     row.  The wide aggregate moves one row per task, however many columns."""
     totals = totals or {}
-    aggs = [fn(F.col(f"`{c}`")).alias(f"{m}__{i}") for i, c in enumerate(cols) for m, fn in measures.items()]
+    aggs = [fn(text.quoted(c)).alias(f"{m}__{i}") for i, c in enumerate(cols) for m, fn in measures.items()]
     row = df.agg(*[a.alias(f"total__{t}") for t, a in totals.items()], *aggs)
     entries = F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(c).alias(name), *[F.col(f"{m}__{i}").alias(m) for m in measures])
@@ -46,7 +46,7 @@ def long_cells(df: DataFrame, cols: list[str], seq: str | None = None, keep=None
     """(position, column_name, value[, seq]) for every cell.  Prune ``cols``
     first: the result has one row per cell."""
     pairs = F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("value"))
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), text.quoted(c).alias("value"))
         for i, c in enumerate(cols)
     ])
     extra = [] if seq is None else [F.col(seq).alias("seq")]
@@ -64,16 +64,16 @@ def _literal(value) -> Column:
 def head_rows(df: DataFrame, seq: str, k: int) -> DataFrame:
     """The first k rows in arrival order.
 
-    In a large table a bound is found first, reading only the order: the last
-    row of some partition that holds k rows.  The top-k then reads that far and
-    not the k first rows of every partition.
+    A bound is found first, reading only the order: the last row of some partition
+    that holds k rows.  The top-k then reads that far and not the k first rows of
+    every partition.
     """
-    if not is_small(df):
-        sizes = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.max(seq).alias("last"))
-        bound = sizes.filter(F.col("n") >= k).agg(F.min("last")).first()[0]
-        if bound is not None:
-            df = df.filter(F.col(seq) <= _literal(bound))
-    return df.orderBy(seq).limit(k)
+    order = text.quoted(seq)
+    sizes = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.max(order).alias("last"))
+    bound = sizes.filter(F.col("n") >= k).agg(F.min("last")).first()[0]
+    if bound is not None:
+        df = df.filter(order <= _literal(bound))
+    return df.orderBy(order).limit(k)
 
 
 def first_values(df: DataFrame, cols: list[str], seq: str, k: int, keep) -> DataFrame:
@@ -82,7 +82,7 @@ def first_values(df: DataFrame, cols: list[str], seq: str, k: int, keep) -> Data
     task holds k rows and never sorts its input."""
     parts = []
     for c in cols:
-        one = df.select(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("value"), F.col(seq).alias("seq"))
+        one = df.select(F.lit(c).alias("column_name"), text.quoted(c).alias("value"), F.col(seq).alias("seq"))
         parts.append(one.filter(keep(F.col("value"))).orderBy("seq").limit(k))
     order = Window.partitionBy("column_name").orderBy("seq")
     return reduce(DataFrame.unionAll, parts).select("column_name", "value", F.row_number().over(order).alias("rank"))
@@ -91,7 +91,7 @@ def first_values(df: DataFrame, cols: list[str], seq: str, k: int, keep) -> Data
 def leading_cells(df: DataFrame, cols: list[str], seq: str, k: int, keep, available: dict[str, int]) -> DataFrame:
     """The same, from the leading rows where they hold enough such cells;
     ``available`` is the number of such cells in each column."""
-    head = stage(head_rows(df.select(seq, *[f"`{c}`" for c in cols]), seq, 4 * k), "head")
+    head = stage(head_rows(df.select(seq, *[text.quoted(c) for c in cols]), seq, 4 * k), "head")
     order = Window.partitionBy("column_name").orderBy("seq")
     cells = long_cells(head, cols, seq, keep).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     cells = cells.select("column_name", "value", "rank")
@@ -105,7 +105,7 @@ def leading_cells(df: DataFrame, cols: list[str], seq: str, k: int, keep, availa
 
 def date_columns(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
     """column_name, is_date: by name, or by one of the first five values."""
-    head = head_rows(df.select(seq, *[f"`{c}`" for c in cols]), seq, 5)
+    head = head_rows(df.select(seq, *[text.quoted(c) for c in cols]), seq, 5)
     out = measure(head, cols, {"seen": lambda c: F.max(dates.looks_like_date(c).cast("int"))})
     named = by_name(F.col("column_name"), {c: int(naming.has_word(c, naming.ANY_FILE_DATE_WORDS)) for c in cols})
     return out.select("column_name", F.greatest(named, F.coalesce("seen", F.lit(0))).alias("is_date"))
@@ -114,7 +114,7 @@ def date_columns(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
 def storage_types(df: DataFrame, cols: list[str], seq: str, missing=text.is_empty) -> DataFrame:
     """column_name, storage_type: INTEGER, REAL or TEXT from the first twenty
     filled cells among the first two hundred rows."""
-    head = head_rows(df.select(seq, *[f"`{c}`" for c in cols]), seq, 200)
+    head = head_rows(df.select(seq, *[text.quoted(c) for c in cols]), seq, 200)
     order = Window.partitionBy("column_name").orderBy("seq")
     filled = long_cells(head, cols, seq).withColumn("filled", ~missing(F.col("value")))
     seen = filled.filter("filled").withColumn("rank", F.row_number().over(order)).filter("rank <= 20")

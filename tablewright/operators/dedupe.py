@@ -16,7 +16,8 @@ def keep_first(df: DataFrame, keys: list[Column], seq: str) -> DataFrame:
     the table reaches its reducer as one row per task.
     """
     order = Window.partitionBy(*keys).orderBy(seq)
-    return df.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
+    rank = text.free_prefix(df.columns) + "rank"
+    return df.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank)
 
 
 def with_row_keys(df: DataFrame, cols: list[str], exact: str | None = None, folded: str | None = None) -> DataFrame:
@@ -25,30 +26,33 @@ def with_row_keys(df: DataFrame, cols: list[str], exact: str | None = None, fold
     A digest shuffles 64 characters in place of a second copy of the row.  The
     cells are stripped and folded in projections of their own, once each.
     """
-    places = range(len(cols))
-    out = df.withColumns({f"_s{i}": text.strip(F.col(f"`{c}`")) for i, c in enumerate(cols)})
-    out = out.withColumns({f"_s{i}": F.coalesce(f"_s{i}", F.lit("")) for i in places})
-    digest = lambda: text.row_digest([F.col(f"_s{i}") for i in places])
+    free = text.free_prefix(df.columns) + "s"
+    names = [f"{free}{i}" for i in range(len(cols))]
+    out = df.withColumns({n: text.strip(text.quoted(c)) for n, c in zip(names, cols)})
+    out = out.withColumns({n: F.coalesce(n, F.lit("")) for n in names})
+    digest = lambda: text.row_digest([F.col(n) for n in names])
     if exact:
         out = out.withColumn(exact, digest())
     if folded:
-        out = out.withColumns({f"_s{i}": F.lower(f"_s{i}") for i in places}).withColumn(folded, digest())
-    return out.drop(*[f"_s{i}" for i in places])
+        out = out.withColumns({n: F.lower(n) for n in names}).withColumn(folded, digest())
+    return out.drop(*names)
 
 
 def drop_full_duplicates(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
-    return keep_first(with_row_keys(df, cols, exact="_key"), [F.col("_key")], seq).drop("_key")
+    key = text.free_prefix(df.columns) + "key"
+    return keep_first(with_row_keys(df, cols, exact=key), [F.col(key)], seq).drop(key)
 
 
 def drop_near_duplicates(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
     """Rows that differ only in case and outer whitespace count as one."""
-    return keep_first(with_row_keys(df, cols, folded="_key"), [F.col("_key")], seq).drop("_key")
+    key = text.free_prefix(df.columns) + "key"
+    return keep_first(with_row_keys(df, cols, folded=key), [F.col(key)], seq).drop(key)
 
 
 def drop_key_duplicates(df: DataFrame, key: str, seq: str) -> DataFrame:
     """Rows with an empty key are all kept: each is a group of its own, so they
     are spread over all tasks."""
-    value = F.coalesce(text.strip(F.col(f"`{key}`")), F.lit(""))
+    value = F.coalesce(text.strip(text.quoted(key)), F.lit(""))
     return keep_first(df, [value, F.when(value == "", F.col(seq))], seq)
 
 
@@ -59,8 +63,9 @@ def duplicate_counts(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
     and is not spelled like the first of them.  Digests with counts are
     shuffled, never rows; identical rows merge before the shuffle.
     """
-    keyed = with_row_keys(df, cols, exact="_exact", folded="_folded")
-    spelled = keyed.select(F.col("_folded").alias("norm"), F.col("_exact").alias("exact"), F.col(seq).alias("seq"))
+    free = text.free_prefix(df.columns)
+    keyed = with_row_keys(df, cols, exact=free + "exact", folded=free + "folded")
+    spelled = keyed.select(F.col(free + "folded").alias("norm"), F.col(free + "exact").alias("exact"), text.quoted(seq).alias("seq"))
     spellings = spelled.groupBy("norm", "exact").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     groups = spellings.groupBy("norm").agg(
         F.sum("n").alias("rows"), F.count("*").alias("spellings"), F.min_by("n", "first").alias("first_n"))

@@ -102,25 +102,27 @@ def modes(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
 
 
 def samples(hist: DataFrame, df: DataFrame, cols: list[str], k: int) -> DataFrame:
-    """position, column_name, value, rank: of each column the k values with the
-    smallest keys; these are the smallest values but for long texts, which go
-    by their digest.  Long texts are fetched by a filter on the few keys, so no
-    text is shuffled to find them."""
-    order = Window.partitionBy("position", "column_name").orderBy("key")
-    picked = _of(hist, cols, cols).select("position", "column_name", "key").withColumn(
-        "rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    rows = picked.collect()  # k per column
+    """position, column_name, value, rank: the k smallest values of each column.
+
+    Short texts are their own keys.  Columns that also hold long texts are asked
+    for their least value, then for the least above it, k times: a wide aggregate
+    over all of them that moves one row per task, so no long text is shuffled."""
+    filled_ = _of(hist, cols, cols)
+    long = {r["column_name"] for r in filled_.filter(F.col("key").startswith("\0")).select("column_name").distinct().collect()}
+    order = Window.partitionBy("position", "column_name").orderBy("value")
     schema = "position int, column_name string, value string, rank int"
-    spark = hist.sparkSession
-    short = [tuple(r) for r in rows if not r["key"].startswith("\0")]
-    out = spark.createDataFrame([(p, c, key, rank) for p, c, key, rank in short], schema)
-    long = [tuple(r) for r in rows if r["key"].startswith("\0")]
+    out = (filled_.filter(~F.col("column_name").isin(list(long))).select("position", "column_name", F.col("key").alias("value"))
+           .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
     if not long:
         return out
-    keys = spark.createDataFrame(long, "position int, column_name string, key string, rank int")
-    cells = long_cells(df, list(dict.fromkeys(c for _, c, _, _ in long))).select(
-        "column_name", text.strip(F.col("value")).alias("s"))
-    wanted = cells.select("column_name", "s", text.compact_key(F.col("s")).alias("key")).filter(
-        F.col("key").isin([key for _, _, key, _ in long]))
-    texts = wanted.groupBy("column_name", "key").agg(F.min("s").alias("value"))
-    return out.unionByName(keys.join(texts, ["column_name", "key"]).drop("key"))
+    names, found, last = [c for c in cols if c in long], [], {}
+    for rank in range(1, k + 1):
+        least = []
+        for i, c in enumerate(names):
+            value = text.strip(text.quoted(c))
+            above = F.lit(True) if rank == 1 else F.lit(False) if last[c] is None else value > F.lit(last[c])
+            least.append(F.min(F.when(filled(text.quoted(c)) & above, value)).alias(f"v{i}"))
+        row = df.agg(*least).first()
+        last = {c: row[f"v{i}"] for i, c in enumerate(names)}
+        found += [(cols.index(c), c, v, rank) for c, v in last.items() if v is not None]
+    return out.unionByName(hist.sparkSession.createDataFrame(found, schema))

@@ -52,19 +52,19 @@ def detect(df: DataFrame, cols: list[str], seq: str) -> Shape:
 
 def _standardized(df: DataFrame, shape: Shape, seq: str) -> DataFrame:
     # Two projections: each cell is stripped once, then looked at many times.
-    stripped = df.select(seq, *[text.strip(F.col(f"`{c}`")).alias(c) for c in shape.cols])
+    stripped = df.select(seq, *[text.strip(text.quoted(c)).alias(c) for c in shape.cols])
 
     def cell(c):
-        value = F.col(f"`{c}`")
+        value = text.quoted(c)
         value = dates.iso_text(value, dates.ANY_FILE_FORMATS) if c in shape.date_cols else value
-        return F.when(F.col(f"`{c}`") != "", value)
+        return F.when(text.quoted(c) != "", value)
 
     return stripped.select(seq, *[cell(c).alias(c) for c in shape.cols])
 
 
 def _key(shape: Shape):
     # Keys are compared as stripped, before dates are rewritten.
-    return text.strip_to_null(F.col(f"`{shape.key}`"))
+    return text.strip_to_null(text.quoted(shape.key))
 
 
 def cleanse(df: DataFrame, shape: Shape, seq: str, run_time: str) -> DataFrame:
@@ -73,7 +73,7 @@ def cleanse(df: DataFrame, shape: Shape, seq: str, run_time: str) -> DataFrame:
     if shape.key:
         rows = keep_first(df.filter(_key(shape).isNotNull()), [_key(shape)], seq)
     rows = _standardized(rows, shape, seq)
-    flag = derive.quality_flag([F.col(f"`{c}`").isNull() for c in shape.cols])
+    flag = derive.quality_flag([text.quoted(c).isNull() for c in shape.cols])
     return rows.withColumns({
         "_cleansed_at": F.lit(run_time).cast("timestamp"), "_is_duplicate": F.lit(0), "_quality_flag": flag})
 
@@ -81,14 +81,14 @@ def cleanse(df: DataFrame, shape: Shape, seq: str, run_time: str) -> DataFrame:
 def cleanse_report(df: DataFrame, shape: Shape, seq: str) -> DataFrame:
     """One row: raw_rows, curated_rows, dupes_removed (null keys included),
     poor_quality_rows."""
-    poor = derive.quality_flag([F.col(f"`{c}`").isNull() for c in shape.cols]) == "POOR"
-    rows = _standardized(df, shape, seq).select(F.col(seq).alias("seq"), *[f"`{c}`" for c in shape.cols],
+    poor = derive.quality_flag([text.quoted(c).isNull() for c in shape.cols]) == "POOR"
+    rows = _standardized(df, shape, seq).select(F.col(seq).alias("seq"), *[text.quoted(c) for c in shape.cols],
                                                 poor.cast("int").alias("_poor"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     if not shape.key:
         return rows.agg(F.count("*").alias("raw_rows"), F.count("*").alias("curated_rows"),
                         F.lit(0).cast("bigint").alias("dupes_removed"), total("_poor").alias("poor_quality_rows"))
-    keys = rows.groupBy(F.col(f"`{shape.key}`").alias("key")).agg(
+    keys = rows.groupBy(text.quoted(shape.key).alias("key")).agg(
         F.count("*").alias("n"), F.min_by("_poor", "seq").alias("poor"))
     return keys.agg(
         total("n").alias("raw_rows"), F.count("key").alias("curated_rows"),

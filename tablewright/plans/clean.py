@@ -11,7 +11,7 @@ import datetime
 from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, derive, numbers, text
@@ -62,12 +62,12 @@ class Cell:
     """A column and what its action asks about it.  Each answer is a helper
     column, worked out once per row however often the action refers to it."""
 
-    def __init__(self, name: str, at: int):
-        self.raw, self.at, self.helpers = F.col(f"`{name}`"), at, {}
+    def __init__(self, name: str, at: int, free: str = "_"):
+        self.raw, self.at, self.free, self.helpers = text.quoted(name), at, free, {}
 
     def _helper(self, kind: str, expr: Column) -> Column:
-        self.helpers[f"_{kind}{self.at}"] = expr
-        return F.col(f"_{kind}{self.at}")
+        self.helpers[f"{self.free}{kind}{self.at}"] = expr
+        return F.col(f"{self.free}{kind}{self.at}")
 
     @property
     def stripped(self) -> Column:
@@ -137,7 +137,7 @@ def effect(action: str, cell: Cell, facts: ColumnFacts, as_of: str) -> Effect |
         capped = F.when(under, cents_text(low)).when(over, cents_text(high)).otherwise(v)
         return Effect(capped, under | over, "capped")
     if action == "abs_values":
-        return when(known(cell.number < 0), numbers.number_text(v, F.abs(cell.number)), "abs_applied")
+        return when(known(cell.number < 0), numbers.abs_text(v, cell.number), "abs_applied")
     if action == "drop_rows_negative":
         return drop(known(cell.number < 0))
     if action == "null_negative":
@@ -170,7 +170,7 @@ def column_facts(df: DataFrame, actions: dict[str, str], seq: str) -> dict[str,
     stats: dict[str, Stats] = {}
     numeric = list(dict.fromkeys(mean + median + band))
     if numeric:
-        parsed = long_numbers(df, {c: numbers.number(F.col(f"`{c}`")) for c in numeric})
+        parsed = long_numbers(df, {c: numbers.number(text.quoted(c)) for c in numeric})
         values = stage(parsed, "numbers")
         stats = statistics(values, median=bool(median), quartiles=bool(band))
     stats = {c: stats.get(c, Stats()) for c in needed}
@@ -184,14 +184,32 @@ def column_facts(df: DataFrame, actions: dict[str, str], seq: str) -> dict[str,
     }
 
 
+EXACT = 2 ** 53  # doubles from here on stand for several whole numbers
+
+
 def median_texts(df: DataFrame, medians: dict[str, float | None]) -> dict[str, str]:
     """Median as text: whole if it is written whole somewhere in the column."""
     medians = {c: m for c, m in medians.items() if m is not None}
     if not medians:
         return {}
-    whole = lambda c, m: F.bool_or((numbers.number(F.col(f"`{c}`")) == m) & ~F.contains(F.col(f"`{c}`"), F.lit(".")))
+    whole = lambda c, m: F.bool_or((numbers.number(text.quoted(c)) == m) & ~F.contains(text.quoted(c), F.lit(".")))
     row = df.agg(*[whole(c, m).alias(f"w{i}") for i, (c, m) in enumerate(medians.items())]).first()
-    return {c: str(int(m)) if row[f"w{i}"] else repr(m) for i, (c, m) in enumerate(medians.items())}
+    return {c: (str(int(m)) if abs(m) < EXACT else _whole_median(df, c, m)) if row[f"w{i}"] else repr(m)
+            for i, (c, m) in enumerate(medians.items())}
+
+
+def _whole_median(df: DataFrame, c: str, m: float) -> str:
+    """Digits of the upper median among the whole numbers that are read as ``m``:
+    those below are counted, the rest ordered by length and digits."""
+    x = numbers.number(text.quoted(c))
+    counts = df.agg(F.count(x).alias("n"), F.count_if(x < m).alias("below")).first()
+    cell = text.quoted(c)
+    digits = F.when(F.contains(cell, F.lit(".")), F.lit(str(abs(int(m))))).otherwise(numbers.whole_text(cell))
+    same = df.filter(x == m).groupBy(digits.alias("digits")).agg(F.count("*").alias("n"))
+    rise = [F.length("digits"), F.col("digits")] if m > 0 else [F.length("digits").desc(), F.col("digits").desc()]
+    upto = F.sum("n").over(Window.orderBy(*rise).rowsBetween(Window.unboundedPreceding, 0))
+    row = same.withColumn("upto", upto).filter(F.col("upto") > counts["n"] // 2 - counts["below"]).orderBy("upto").first()
+    return ("-" if m < 0 else "") + row["digits"]
 
 
 @dataclass
@@ -199,22 +217,27 @@ class Cleaned:
     """A cleaning as lazy plans over the same marked rows."""
 
     source: DataFrame
-    marked: DataFrame  # seq, new cells, _quality_flag, _dropped_by, _c<i>
+    marked: DataFrame  # seq, new cells, _quality_flag, <free>dropped_by, <free>c<i>
     cols: list[str]
     seq: str
     effects: list[tuple[str, Effect]]
+    free: str  # what the names of helper columns begin with
+
+    @property
+    def dropped_by(self) -> Column:
+        return F.col(f"{self.free}dropped_by")
 
     @property
     def data(self) -> DataFrame:
         """Cleaned rows; blank cells are NULL."""
-        return self.marked.filter("_dropped_by IS NULL").select(
-            self.seq, *[f"`{c}`" for c in self.cols], "_quality_flag")
+        return self.marked.filter(self.dropped_by.isNull()).select(
+            text.quoted(self.seq), *[text.quoted(c) for c in self.cols], "_quality_flag")
 
     def _counts(self) -> list[Column]:
-        kept = F.col("_dropped_by").isNull()
+        kept = self.dropped_by.isNull()
         return [
-            F.count_if(F.col(f"_c{i}") & ((F.col("_dropped_by") == i) if e.drops else
-                                          (kept | (F.col("_dropped_by") > i)))).alias(f"_n{i}")
+            F.count_if(F.col(f"{self.free}c{i}") & ((self.dropped_by == i) if e.drops else
+                                                    (kept | (self.dropped_by > i)))).alias(f"_n{i}")
             for i, (_, e) in enumerate(self.effects)
         ]
 
@@ -230,7 +253,7 @@ class Cleaned:
 
     def summary(self) -> DataFrame:
         """One row: rows and blank cells before and after, POOR rows."""
-        blanks = lambda test: sum((test(F.col(f"`{c}`")).cast("int") for c in self.cols), F.lit(0))
+        blanks = lambda test: sum((test(text.quoted(c)).cast("int") for c in self.cols), F.lit(0))
         zero = F.lit(0)
         before = self.source.select(F.lit(1).alias("a"), blanks(text.is_blank).alias("b"), zero.alias("c"),
                                     zero.alias("d"), zero.alias("e"))
@@ -251,21 +274,21 @@ class Cleaned:
                              .alias("completeness"), "null_count")
 
     def preview(self, k: int = 10) -> DataFrame:
-        return self.data.orderBy(self.seq).limit(k)
+        return self.data.orderBy(text.quoted(self.seq)).limit(k)
 
     def write(self, path: str, form: str = "parquet", **options) -> dict:
         """Write the cleaned rows and return change log and totals, observed
         while writing: one pass over the data."""
-        kept = F.col("_dropped_by").isNull()
+        kept = self.dropped_by.isNull()
         seen = Observation("cleaning")
         metrics = [
             F.count_if(kept).alias("cleaned_rows"),
             F.count_if(kept & (F.col("_quality_flag") == "POOR")).alias("poor_rows"),
-            *[F.count_if(kept & F.col(f"`{c}`").isNull()).alias(f"_b{i}") for i, c in enumerate(self.cols)],
+            *[F.count_if(kept & text.quoted(c).isNull()).alias(f"_b{i}") for i, c in enumerate(self.cols)],
             *self._counts(),
         ]
         observed = self.marked.observe(seen, *metrics)
-        rows = observed.filter("_dropped_by IS NULL").select(*[f"`{c}`" for c in self.cols], "_quality_flag")
+        rows = observed.filter(kept).select(*[text.quoted(c) for c in self.cols], "_quality_flag")
         rows.write.format(form).mode("overwrite").options(**options).save(path)
         got = seen.get
         changes: dict[str, dict[str, int]] = {}
@@ -279,22 +302,25 @@ class Cleaned:
 
 def clean(df: DataFrame, cols: list[str], seq: str, rules: dict, key: str | None = None,
           as_of: datetime.date | str | None = None) -> Cleaned:
-    """Apply a rule set to a table of text columns."""
+    """Apply a rule set to a table of text columns.  The flag of an earlier
+    cleaning is replaced."""
     as_of = str(as_of or datetime.date.today())
+    cols = [c for c in cols if c.lower() != "_quality_flag"]
+    free = text.free_prefix([seq, "_quality_flag", *cols])
     table_rules = rules.get("global", {})
-    df = df.select(seq, *[f"`{c}`" for c in cols])
+    df = df.select(text.quoted(seq), *[text.quoted(c) for c in cols])
     rows = deduplicate(df, cols, seq, table_rules, key)
     actions = {c: r.get("action") for c, r in rules.get("columns", {}).items() if c in cols and r.get("action")}
     wanted = [c for c, a in actions.items() if a in MEAN_ACTIONS + MEDIAN_ACTIONS + MODE_ACTIONS + BAND_ACTIONS]
     facts = {}
     if wanted:
-        basis = rows.select(seq, *[f"`{c}`" for c in wanted])
+        basis = rows.select(text.quoted(seq), *[text.quoted(c) for c in wanted])
         # Statistics take several passes: deduplicate once, keeping only the
         # columns they read.
         facts = column_facts(stage(basis, "basis") if any(table_rules.values()) else basis, actions, seq)
     effects, helpers = [], {}
     for c, action in actions.items():
-        cell = Cell(c, len(effects))
+        cell = Cell(c, len(effects), free)
         e = effect(action, cell, facts.get(c, ColumnFacts()), as_of)
         if e is not None:
             effects.append((c, e))
@@ -303,12 +329,12 @@ def clean(df: DataFrame, cols: list[str], seq: str, rules: dict, key: str | None
     new = {c: e.value for c, e in effects}
     dropped = [F.when(e.counted, F.lit(i)) for i, (_, e) in enumerate(effects) if e.drops]
     changed = rows.select(
-        seq, *[new.get(c, F.col(f"`{c}`")).alias(c) for c in cols],
-        (F.coalesce(*dropped) if dropped else F.lit(None).cast("int")).alias("_dropped_by"),
-        *[e.counted.alias(f"_c{i}") for i, (_, e) in enumerate(effects)])
-    nulled = changed.withColumns({c: F.when(~text.is_blank(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in cols})
-    marked = nulled.withColumn("_quality_flag", derive.quality_flag([F.col(f"`{c}`").isNull() for c in cols]))
-    return Cleaned(df, marked, cols, seq, effects)
+        text.quoted(seq), *[new.get(c, text.quoted(c)).alias(c) for c in cols],
+        (F.coalesce(*dropped) if dropped else F.lit(None).cast("int")).alias(f"{free}dropped_by"),
+        *[e.counted.alias(f"{free}c{i}") for i, (_, e) in enumerate(effects)])
+    nulled = changed.withColumns({c: F.when(~text.is_blank(text.quoted(c)), text.quoted(c)) for c in cols})
+    marked = nulled.withColumn("_quality_flag", derive.quality_flag([text.quoted(c).isNull() for c in cols]))
+    return Cleaned(df, marked, cols, seq, effects, free)
 
 
 def auto_clean(df: DataFrame, cols: list[str], seq: str, as_of=None) -> tuple[Report, Cleaned]:

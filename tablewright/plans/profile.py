@@ -13,7 +13,7 @@ from ..operators import histogram
 from ..operators.cells import by_name, head_rows, leading_cells
 from ..operators.dedupe import duplicate_counts
 from ..operators.ranks import Stats, statistics
-from ..session import settle, stage
+from ..session import stage
 
 # How many leading values decide the type, the date format, and
 # the count of mixed formats; shares above which a type is assigned.
@@ -319,14 +319,15 @@ def types(df: DataFrame, cols: list[str], seq: str, profile: dict[str, dict] | N
 def analyze(df: DataFrame, cols: list[str], seq: str, samples: int = 5) -> Report:
     """Profile a table of text columns.
 
-    The table itself is read for a histogram of all columns, which is stored,
-    for the leading values of each column, and for duplicate rows.  Everything
+    The rows are stored once, in columns; from there they are read for a histogram
+    of all columns, which is stored, for the leading values of each column, and
+    for duplicate rows.  Everything
     else looks at the distinct values, and of those only at the columns whose
     type asks for it.  The number of jobs does not grow with the columns, and
     one summary row per column comes back to the driver.
     """
     spark = df.sparkSession
-    rows = settle(df.select(seq, *[f"`{c}`" for c in cols]), "rows")
+    rows = stage(df.select(text.quoted(seq), *[text.quoted(c) for c in cols]), "rows")
     hist = stage(histogram.value_histogram(rows, cols), "histogram")
     profile = {r["column_name"]: r.asDict() for r in _profiled(hist, cols).collect()}
     if not profile:

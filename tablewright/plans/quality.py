@@ -71,11 +71,11 @@ def row_facts(df: DataFrame, cols: list[str], rule: Column | None, expected: dic
     """Per distinct row: copies, given cells, rows that pass, cells that fit.
     Copies merge before the shuffle, which carries digests and counts."""
     # Each cell is turned to text once; missing ones read None in the digest.
-    texts = df.withColumns({f"_t{i}": F.col(f"`{c}`").cast("string") for i, c in enumerate(cols)})
+    texts = df.withColumns({f"_t{i}": text.quoted(c).cast("string") for i, c in enumerate(cols)})
     places = [F.col(f"_t{i}") for i in range(len(cols))]
     given = sum(((~text.is_void(t)).cast("int") for t in places), F.lit(0))
     passing = F.lit(1) if rule is None else F.coalesce(rule, F.lit(False)).cast("int")
-    fitting = sum((fits(F.col(f"`{c}`"), t).cast("int") for c, t in expected.items()), F.lit(0))
+    fitting = sum((fits(text.quoted(c), t).cast("int") for c, t in expected.items()), F.lit(0))
     counted = texts.select(
         *[F.coalesce(t, F.lit("None")).alias(f"_t{i}") for i, t in enumerate(places)],
         given.alias("given"), passing.alias("passing"), fitting.alias("fitting"))

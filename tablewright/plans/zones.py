@@ -17,7 +17,7 @@ Day = datetime.date | str
 def row_hash(cols: list[str], empty_as_none: bool = False) -> Column:
     """SHA-256 of the cells joined by '|', before any trimming.  A missing cell
     is hashed as the text None; with ``empty_as_none`` an empty one is too."""
-    cells = [F.col(f"`{c}`") for c in cols]
+    cells = [text.quoted(c) for c in cols]
     if empty_as_none:
         cells = [F.nullif(c, F.lit("")) for c in cells]
     return F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("None")) for c in cells]), 256)
@@ -34,26 +34,26 @@ def stamp(df: DataFrame, cols: list[str], source: Column, run_time: str, empty_a
 
 def _standardized(df: DataFrame, table: ZoneTable, seq: str) -> DataFrame:
     # Two projections: each cell is stripped once, then looked at many times.
-    stripped = df.select(seq, *[text.strip(F.col(f"`{c}`")).alias(c) for c in table.names])
+    stripped = df.select(seq, *[text.strip(text.quoted(c)).alias(c) for c in table.names])
 
     def cell(c):
-        value = F.col(f"`{c}`")
+        value = text.quoted(c)
         value = dates.iso_text(value, dates.ZONE_FORMATS) if naming.is_zone_date(c) else value
-        return F.when(F.col(f"`{c}`") != "", value)
+        return F.when(text.quoted(c) != "", value)
 
     return stripped.select(seq, *[cell(c).alias(c) for c in table.names])
 
 
 def _flag(table: ZoneTable) -> Column:
     # The three stamp columns belong to the row and are never missing.
-    return derive.quality_flag([F.col(f"`{c}`").isNull() for c in table.names], extra_columns=3)
+    return derive.quality_flag([text.quoted(c).isNull() for c in table.names], extra_columns=3)
 
 
 def cleanse(df: DataFrame, name: str, seq: str, run_time: str) -> DataFrame:
     """Curated rows: stripped, ISO dates, no null key, first row per key."""
     table = ZONE_TABLES[name]
     # Rows are dropped before the rest of their cells is looked at.
-    key = text.strip(F.col(f"`{table.key}`"))
+    key = text.strip(text.quoted(table.key))
     first = _standardized(keep_first(df.filter(key != ""), [key], seq), table, seq)
     return first.withColumns({
         "_cleansed_at": F.lit(run_time).cast("timestamp"),
@@ -97,7 +97,7 @@ def with_derived(df: DataFrame, name: str, as_of: Day) -> DataFrame:
 def typed(df: DataFrame, name: str) -> DataFrame:
     """Columns in their stored types; text that does not fit becomes NULL."""
     def cell(c, kind):
-        col = F.col(f"`{c}`")
+        col = text.quoted(c)
         if kind == "REAL":
             return numbers.plain_float(col)
         if kind == "INTEGER":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
@@ -29,13 +31,20 @@ def local_session(cpus: int | str = "*", name: str = "tablewright", memory: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's checkpoint folder.  Only
-    where the session names none (tests) a temporary one is made."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tablewright-"))
-    return folder or sc.getCheckpointDir()
+    """Folder every executor can reach: the one the session names in
+    ``spark.checkpoint.dir``.  Only a session whose executors are this machine's
+    threads (tests) may name none: it gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
+    return _local_folder()
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tablewright-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -50,32 +59,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-SMALL_BYTES = 32 * 1024 * 1024  # per core
-TINY_BYTES = 1024 * 1024
-
-
-def size_in_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of the size of a plan's result."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def is_small(df: DataFrame) -> bool:
-    """The input is under 32 MB per core."""
-    return size_in_bytes(df) < df.sparkSession.sparkContext.defaultParallelism * SMALL_BYTES
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input one partition per core: a file of one row group is a
-    single task however many cores there are.  Larger inputs have splits enough
-    and tiny ones need none; both are left as they are."""
-    if size_in_bytes(df) < TINY_BYTES or not is_small(df):
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """A small input that is read several times is stored once, spread over the
-    cores.  A large one is read where it lies."""
-    return stage(spread(df), name) if is_small(df) else df

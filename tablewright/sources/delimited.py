@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text
 from . import detect
 
 # Names Spark knows the detected encodings by.
@@ -33,51 +38,97 @@ def arrival() -> Column:
         F.monotonically_increasing_id().alias("row"))
 
 
-def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
+def has_quoted_newlines(spark: SparkSession, paths: list[str]) -> bool:
     """Some line holds an odd number of quotes.  Files that have none can be
     split among tasks; the others are read whole, one task per file."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.option("recursiveFileLookup", "true").text(path).filter(quotes % 2 == 1).isEmpty()
+    return not spark.read.text(paths).filter(quotes % 2 == 1).isEmpty()
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
-                   multi_line: bool | None = None, seq: str = "seq") -> DataFrame:
-    """Every column as text, plus ``seq``.  What is not given is detected: the
-    dialect from the first file, quoted line breaks from all files.
+# The first record of a text, which may hold line breaks inside quotes.
+FIRST_RECORD = r'''^\ufeff?((?:[^"\r\n]|"(?:[^"]|"")*")*)'''
 
-    A missing cell reads as ''; cells beyond the header are dropped.
-    """
-    if sep is None or encoding is None:
-        first = detect.list_files(spark, path).filter("length > 0").orderBy("path").limit(1)
-        heads = detect.file_heads(first).withColumn("enc", detect.encoding(F.col("head"), F.col("length")))
-        found = heads.select("enc", detect.delimiter(detect.head_text(F.col("head"), F.col("enc"))).alias("sep")).collect()
-        if not found:
-            raise ValueError(f"No data in {path}")
-        found = found[0]
-        sep, encoding = sep or found["sep"], encoding or found["enc"]
-    charset = CHARSETS.get(encoding, encoding)
+
+@dataclass(frozen=True)
+class Dialect:
+    """Files that are read alike: how, and what their columns are called."""
+
+    encoding: str
+    sep: str
+    header: str
+    paths: tuple[str, ...]
+
+    @property
+    def names(self) -> list[str]:
+        cells = next(csv.reader(io.StringIO(self.header, newline=""), delimiter=self.sep), [])
+        fix = (lambda s: s.translate(detect.HIGH_1252)) if self.encoding == "cp1252" else (lambda s: s)
+        return column_names([fix(c) for c in cells])
+
+
+def dialects(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> list[Dialect]:
+    """The files under ``path`` by encoding, delimiter and header, in the order of
+    their first files.  Only heads of files are read; empty files are left out."""
+    heads = detect.file_heads(detect.list_files(spark, path).filter("length > 0"))
+    enc = F.lit(encoding) if encoding else detect.encoding(F.col("head"), F.col("length"))
+    heads = heads.withColumn("enc", enc).withColumn("top", detect.head_text(F.col("head"), F.col("enc")))
+    found = heads.select("path", "enc", (F.lit(sep) if sep else detect.delimiter(F.col("top"))).alias("sep"),
+                         F.regexp_extract("top", FIRST_RECORD, 1).alias("header"))
+    groups = found.groupBy("enc", "sep", "header").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect()
+    return [Dialect(g["enc"], g["sep"], g["header"], tuple(g["paths"])) for g in sorted(groups, key=lambda g: g["paths"][0])]
+
+
+def _scan(spark: SparkSession, d: Dialect, multi_line: bool | None, seq: str, over: str | None) -> DataFrame:
+    charset = CHARSETS.get(d.encoding, d.encoding)
+    paths = list(d.paths)
     if multi_line is None:
-        multi_line = charset == "UTF-16" or has_quoted_newlines(spark, path)
-    reader = lambda: spark.read.options(
-        sep=sep, encoding=charset, multiLine=multi_line, quote='"', escape='"', emptyValue="", nullValue="\u0000",
-        recursiveFileLookup=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxColumns=100_000,
-        maxCharsPerColumn=-1)
-    top = reader().option("header", False).csv(path).limit(1).collect()
-    if not top:
-        raise ValueError(f"No header in {path}")
-    fix = (lambda s: s.translate(detect.HIGH_1252)) if encoding == "cp1252" and top else (lambda s: s)
-    names = column_names([None if c is None else fix(c) for c in top[0]])
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = reader().options(header=True, enforceSchema=True).schema(schema).csv(path)
+        multi_line = charset == "UTF-16" or has_quoted_newlines(spark, paths)
+    # One column more than the header: it holds something where cells are left over.
+    beyond = text.free_prefix(d.names) + "beyond"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*d.names, beyond]])
+    rows = spark.read.options(
+        sep=d.sep, encoding=charset, multiLine=multi_line, quote='"', escape='"', emptyValue="", nullValue="\u0000",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxColumns=100_000, maxCharsPerColumn=-1,
+        header=True, enforceSchema=True).schema(schema).csv(paths)
 
     def cell(name):
-        c = F.coalesce(F.col(f"`{name}`"), F.lit(""))
-        if encoding == "cp1252":
+        c = F.coalesce(text.quoted(name), F.lit(""))
+        if d.encoding == "cp1252":
             # Read as Latin-1, then give the 0x80-0x9F bytes their meaning.
             c = F.translate(c, "".join(map(chr, detect.HIGH_1252)), "".join(detect.HIGH_1252.values()))
         return c.alias(name)
 
-    return rows.select(arrival().alias(seq), *[cell(n) for n in names])
+    more = [text.quoted(beyond).isNotNull().alias(over)] if over else []
+    return rows.select(arrival().alias(seq), *[cell(n) for n in d.names], *more)
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
+                   multi_line: bool | None = None, seq: str = "seq", over: str | None = None) -> DataFrame:
+    """Every column as text, after the arrival order, which is the first column:
+    ``seq``, or the next free name if a file has a column so named.
+
+    What is not given is detected for each file.  Files that are read alike share a
+    scan, and scans are put together by the names of their columns; a column that
+    a file lacks is NULL there.  A missing cell reads as ''.  Cells beyond the
+    header are dropped; ``over`` names a column that says in which rows (see
+    ``dropped_cells``).  A file of over 100,000 columns is an error.
+    """
+    found = dialects(spark, path, sep, encoding)
+    if not found:
+        raise ValueError(f"No data in {path}")
+    taken = {n.lower() for d in found for n in d.names}
+    while seq.lower() in taken:
+        seq += "_"
+    out = None
+    for d in found:
+        one = _scan(spark, d, multi_line, seq, over)
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def dropped_cells(spark: SparkSession, path: str, **options) -> DataFrame:
+    """file, n: rows with cells beyond the header, of files that have any."""
+    rows = read_delimited(spark, path, over="_over", **options)
+    return rows.filter("_over").groupBy(text.quoted(rows.columns[0])["file"].alias("file")).agg(F.count("*").alias("n"))
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8") -> None:

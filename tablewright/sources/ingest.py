@@ -19,8 +19,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def overwrite(df: DataFrame, path: str) -> None:
-    """Replace a stored table; running it twice leaves the same table."""
-    df.write.mode("overwrite").parquet(path)
+    """Replace a stored table; running it twice leaves the same table.  The new one
+    is written beside the old, which goes only when the new one is whole."""
+    spark = df.sparkSession
+    new, old = f"{path}.new", f"{path}.old"
+    df.write.mode("overwrite").parquet(new)
+    jvm = spark.sparkContext._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(at(old), True)
+    if files.exists(at(path)):
+        files.rename(at(path), at(old))
+    files.rename(at(new), at(path))
+    files.delete(at(old), True)
 
 
 def ingest(spark: SparkSession, folder: str, zone: str, run_time: str,
@@ -44,7 +55,7 @@ def ingest(spark: SparkSession, folder: str, zone: str, run_time: str,
         if rows.isEmpty():
             counts[f"raw_{name}"] = 0
             continue
-        cols = [c for c in rows.columns if c != "seq"]
+        cols = rows.columns[1:]
         seen = Observation(name)
         stamped = stamp(rows, cols, F.lit(filename), run_time).observe(seen, F.count(F.lit(1)).alias("rows"))
         overwrite(stamped, f"{zone}/raw_{name}")

@@ -39,8 +39,8 @@ def _record(spark: SparkSession, path: str | None, summary: dict) -> None:
 def analyze_file(spark: SparkSession, path: str, **options) -> tuple[DataFrame, list[str], Report]:
     """(rows, columns, report) of a delimited file or folder."""
     rows = read_delimited(spark, path, **options)
-    cols = [c for c in rows.columns if c != "seq"]
-    return rows, cols, analyze(rows, cols, "seq")
+    seq, *cols = rows.columns
+    return rows, cols, analyze(rows, cols, seq)
 
 
 def clean_file(spark: SparkSession, path: str, out: str, rules: dict | None = None, runs: str | None = None,
@@ -49,7 +49,7 @@ def clean_file(spark: SparkSession, path: str, out: str, rules: dict | None = No
     to ``out`` as delimited text."""
     start, run_id = time.time(), f"RUN_{_now():%Y%m%d_%H%M%S}"
     rows, cols, report = analyze_file(spark, path, **options)
-    result = clean(rows, cols, "seq", rules or report.default_rules(), report.primary_key, as_of)
+    result = clean(rows, cols, rows.columns[0], rules or report.default_rules(), report.primary_key, as_of)
     written = result.write(out, "csv", header=True, emptyValue="", quote='"', escape='"', ignoreLeadingWhiteSpace=False,
                            ignoreTrailingWhiteSpace=False)
     nulls = sum(c.null_count for c in report.columns)
@@ -67,18 +67,18 @@ def curate_file(spark: SparkSession, path: str, zone: str) -> dict:
     started = _now()
     run_time, name = str(started), safe_table_name(path)
     rows = read_delimited(spark, path, sep=",")
-    cols = [c for c in rows.columns if c != "seq"]
+    seq, *cols = rows.columns
     overwrite(zones.stamp(rows, cols, F.lit(path.rsplit("/", 1)[-1]), run_time, empty_as_none=True), f"{zone}/raw_{name}")
     raw = spark.read.parquet(f"{zone}/raw_{name}")
-    shape = anyfile.detect(raw, cols, "seq")
-    overwrite(anyfile.cleanse(raw, shape, "seq", run_time), f"{zone}/curated_{name}")
+    shape = anyfile.detect(raw, cols, seq)
+    overwrite(anyfile.cleanse(raw, shape, seq, run_time), f"{zone}/curated_{name}")
     curated = spark.read.parquet(f"{zone}/curated_{name}")
     entries = governance.classified(anyfile.catalog_entries(shape, f"raw_{name}", spark), run_time)
     update_catalog(entries, f"{zone}/governance_catalog")
     scores = quality.scores(curated, cols + STAMPS, started=F.lit(run_time).cast("timestamp_ntz"),
                             now=F.lit(str(_now())).cast("timestamp_ntz"))
-    report = anyfile.cleanse_report(raw, shape, "seq").first().asDict()
-    top = anyfile.value_distribution(curated, shape, "seq").collect()
+    report = anyfile.cleanse_report(raw, shape, seq).first().asDict()
+    top = anyfile.value_distribution(curated, shape, seq).collect()
     return {
         "raw_table": f"raw_{name}", "curated_table": f"curated_{name}", "primary_key": shape.key,
         "date_columns": shape.date_cols, "col_types": shape.storage, **report, "quality_scores": scores.first().asDict(),

@@ -70,8 +70,7 @@ def test_sparse_column_is_typed_from_its_own_first_values(make):
 
 
 @pytest.mark.parametrize("as_struct", [False, True])
-def test_large_tables_bound_the_order_first(spark, monkeypatch, as_struct):
-    monkeypatch.setattr(cells, "is_small", lambda df: False)
+def test_leading_rows_bound_the_order_first(spark, as_struct):
     df = spark.range(0, 5000, 1, 10).select(F.col("id").alias("seq"), F.col("id").cast("string").alias("a"))
     if as_struct:
         df = df.withColumn("seq", F.struct(F.lit("f").alias("file"), F.col("seq").alias("row")))
