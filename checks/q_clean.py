@@ -8,13 +8,14 @@ from tablewright.operators import dedupe
 from tablewright.plans import clean as cleaning
 from tablewright.plans import profile
 
+from . import constants
 from . import sqltext as q
 from .base import AS_OF, query
 from .q_functions import unpivot_sql
 from .q_profile import PROF, profile_parts, report
 from .views import COLUMNS, ctes, view
 
-ACTIONS = [a for a in dict.fromkeys(row[2] for row in profile.ACTIONS) if not a.startswith("keep")]
+ACTIONS = [a for a in dict.fromkeys(row[2] for row in constants.ACTIONS) if not a.startswith("keep")]
 CHANGE = {"trim_whitespace": "trimmed", "standardize_lower": "case_normalized", "standardize_upper": "case_normalized",
           "standardize_title": "case_normalized", "standardize_date_iso": "dates_normalized", "null_negative": "nulled",
           "null_invalid_email": "nulled", "cap_outliers": "capped", "abs_values": "abs_applied"}

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import dates, derive, naming, numbers, text
 from tablewright.operators import cells
+from tablewright.plans import clean, profile
 
+from . import constants
 from . import sqltext as q
 from .base import AS_OF, query
-from .views import COLUMNS, VIEWS, ctes, view
+from .views import COLUMNS, VIEWS, ctes, table, view
 
 CUSTOMER = COLUMNS["dirty_customer"]
 
@@ -183,12 +185,12 @@ def labelled(spark, sf, label):
     return out.select("table_name", "column_name", "label", "filled")
 
 
-@query("f15_sensitivity", label_union(q.sensitivity("column_name", naming.PROFILE_KEYWORDS)))
+@query("f15_sensitivity", label_union(q.sensitivity("column_name", constants.PROFILE_KEYWORDS)))
 def f15_sensitivity(spark, sf):
     return labelled(spark, sf, naming.sensitivity)
 
 
-@query("f16_sensitivity_any", label_union(q.sensitivity("column_name", naming.ANY_FILE_KEYWORDS)))
+@query("f16_sensitivity_any", label_union(q.sensitivity("column_name", constants.ANY_FILE_KEYWORDS)))
 def f16_sensitivity_any(spark, sf):
     return labelled(spark, sf, lambda c: naming.sensitivity(c, naming.ANY_FILE_KEYWORDS))
 
@@ -240,3 +242,56 @@ def flag_query(name, test, extra):
 flag_query("zone", text.is_empty, 3)
 flag_query("any", text.is_empty, 0)
 flag_query("clean", text.is_blank, 0)
+
+
+# Whole numbers beyond the doubles, and amounts with more decimals than cents.
+@query("c12_abs_long", """SELECT l_orderkey * 10 + l_linenumber AS seq, ltrim(CAST(l_partkey AS VARCHAR) || '12345678901234567' ||
+  CAST(l_suppkey AS VARCHAR) || repeat('7', CAST(l_linenumber * 4 AS INT)), '0') AS n FROM lineitem""")
+def c12_abs_long(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    long = F.concat(F.lit("-"), F.col("l_partkey").cast("string"), F.lit("12345678901234567"), F.col("l_suppkey").cast("string"),
+                    F.expr("repeat('7', CAST(l_linenumber * 4 AS INT))"))
+    df = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), long.alias("n"))
+    return clean.clean(df, ["n"], "seq", {"columns": {"n": {"action": "abs_values"}}}).data.select("seq", "n")
+
+
+@query("c8_median_long", """WITH n AS (SELECT CAST('9007199254740992000' AS HUGEINT) + c_custkey AS v, c_custkey FROM customer),
+  o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k, count(*) OVER () AS n FROM n WHERE c_custkey % 10 <> 0)
+SELECT c_custkey AS seq, CASE WHEN c_custkey % 10 = 0 THEN (SELECT CAST(v AS VARCHAR) FROM o WHERE k = n // 2)
+  ELSE CAST(v AS VARCHAR) END AS n FROM n""")
+def c8_median_long(spark, sf):
+    key = F.col("c_custkey")
+    value = F.when(key % 10 == 0, "").otherwise((F.lit("9007199254740992000").cast("decimal(30,0)") + key).cast("string"))
+    df = table(spark, sf, "customer").select(key.alias("seq"), value.alias("n"))
+    return clean.clean(df, ["n"], "seq", {"columns": {"n": {"action": "fill_missing_median"}}}).data.select("seq", "n")
+
+
+@query("f9_amount_fine", """SELECT o_orderkey AS seq, CAST(o_orderkey % 1000 * 100 + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS DOUBLE) / 100 AS amount_usd
+FROM orders""")
+def f9_amount_fine(spark, sf):
+    """Just over and just under half a cent, in the eighth decimal."""
+    key = F.col("o_orderkey")
+    amount = F.concat((key % 1000).cast("string"), F.when(key % 2 == 0, ".00500001").otherwise(".00499999"))
+    return table(spark, sf, "orders").select(key.alias("seq"), derive.amount_usd(amount, F.lit("USD")).alias("amount_usd"))
+
+
+@query("p18_long_samples", """SELECT CAST(k - 1 AS INT) AS "position", v AS "value" FROM (SELECT v, row_number() OVER (ORDER BY v) AS k FROM (
+  SELECT DISTINCT trim(substr(text, 1, 300), ' ' || chr(9) || chr(10) || chr(13)) AS v FROM documents) WHERE lower(v) NOT IN ('', 'nan', 'null', 'none', 'n/a', 'na', '-')) WHERE k <= 5""")
+def p18_long_samples(spark, sf):
+    """The five smallest values of a column of long texts, whole."""
+    df = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.substring("text", 1, 300).alias("text"))
+    values = profile.analyze(df, ["text"], "seq").columns[0].samples
+    return spark.createDataFrame(list(enumerate(values)), "position int, value string")
+
+
+@query("c18_clean_twice", """SELECT c_custkey AS seq, trim(c_name) AS c_name, 'OK' AS _quality_flag FROM customer""")
+def c18_clean_twice(spark, sf):
+    """Cleaning a cleaned table replaces its flag, whatever else its columns are called."""
+    df = table(spark, sf, "customer").select(F.col("c_custkey").alias("seq"), F.concat(F.lit(" "), "c_name").alias("c_name"),
+                                             F.lit("k").alias("_key"), F.lit("r").alias("_rank"), F.lit("c").alias("_c0"), F.lit("b").alias("a`b"))
+    cols = ["c_name", "_key", "_rank", "_c0", "a`b"]
+    rules = {"global": {"remove_near_duplicates": True}, "columns": {"c_name": {"action": "trim_whitespace"}, "_c0": {"action": "trim_whitespace"}}}
+    once = clean.clean(df, cols, "seq", rules, "_key").data
+    twice = clean.clean(once, [c for c in once.columns if c != "seq"], "seq", rules).data
+    assert twice.columns == once.columns
+    return twice.select("seq", "c_name", "_quality_flag")

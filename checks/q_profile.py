@@ -11,6 +11,7 @@ from tablewright.operators.ranks import long_numbers, statistics
 from tablewright.plans import profile
 from tablewright.session import stage
 
+from . import constants
 from . import sqltext as q
 from .base import query
 from .q_functions import unpivot_sql
@@ -66,7 +67,7 @@ def profile_parts(v, cols, prefix=""):
   CAST(CASE WHEN inferred_type = 'email' THEN coalesce(mail.n, 0) ELSE 0 END AS BIGINT) AS email_invalid,
   CAST(CASE WHEN inferred_type = 'number' THEN coalesce(outliers, 0) ELSE 0 END AS BIGINT) AS outlier_count,
   CAST(CASE WHEN inferred_type = 'number' THEN coalesce(negatives, 0) ELSE 0 END AS BIGINT) AS negative_count,
-  {q.sensitivity('k.column_name', naming.PROFILE_KEYWORDS)} AS sensitivity
+  {q.sensitivity('k.column_name', constants.PROFILE_KEYWORDS)} AS sensitivity
   FROM {p}kind k LEFT JOIN {p}mixed mixed ON mixed.column_name = k.column_name
   LEFT JOIN {p}cased cased ON cased.column_name = k.column_name LEFT JOIN {p}mail mail ON mail.column_name = k.column_name
   LEFT JOIN {p}outl outl ON outl.column_name = k.column_name),
@@ -86,7 +87,7 @@ def profile_parts(v, cols, prefix=""):
     outlier_count || ' numeric outliers detected (IQR rule)' FROM {p}prof
   UNION ALL SELECT pos, column_name, inferred_type, 7, 'negative', 'medium', negative_count,
     negative_count || ' negative values in a column that should be positive' FROM {p}prof
-    WHERE regexp_matches(lower(column_name), '{names_sql(naming.POSITIVE_WORDS)}')),
+    WHERE regexp_matches(lower(column_name), '{names_sql(constants.POSITIVE_WORDS)}')),
 {p}found AS (SELECT * FROM {p}issues WHERE n > 0),
 {p}acts AS (SELECT * FROM (VALUES {actions_values()}) a(aord, issue, kind, action, label, is_default)),
 {p}sugg AS (SELECT f.pos, f.column_name, CAST(row_number() OVER (PARTITION BY f.column_name ORDER BY aord) - 1 AS INT)
@@ -97,12 +98,12 @@ def profile_parts(v, cols, prefix=""):
   (SELECT count(*) FROM (SELECT {q.text_key(cols)} AS k, first_value({q.text_key(cols)}) OVER (
      PARTITION BY {q.text_key(cols, True)} ORDER BY seq) AS k1 FROM {v}) WHERE k <> k1) AS near_duplicates),
 {p}pk AS (SELECT column_name FROM {p}prof WHERE null_count = 0 AND unique_count = total_rows
-  ORDER BY CASE WHEN regexp_matches(lower(column_name), '{names_sql(naming.KEY_WORDS)}') THEN 0 ELSE 1 END, pos LIMIT 1)"""
+  ORDER BY CASE WHEN regexp_matches(lower(column_name), '{names_sql(constants.KEY_WORDS)}') THEN 0 ELSE 1 END, pos LIMIT 1)"""
 
 
 def actions_values():
     rows = []
-    for i, (issue, kind, action, label, default) in enumerate(profile.ACTIONS):
+    for i, (issue, kind, action, label, default) in enumerate(constants.ACTIONS):
         rows.append(f"({i}, {q.quote(issue)}, {'NULL' if kind is None else q.quote(kind)}, {q.quote(action)}, "
                     f"{q.quote(label)}, CAST({default} AS INT))")
     return ", ".join(rows)
@@ -258,7 +259,7 @@ ANY_PK_SQL = f"""
 , along AS ({unpivot_sql('dirty_product', COLUMNS['dirty_product'])})
 SELECT column_name AS primary_key FROM (SELECT pos, column_name, count(*) AS n, count(DISTINCT v) AS d
   FROM along WHERE v <> '' GROUP BY 1, 2) WHERE n = d
-ORDER BY CASE WHEN regexp_matches(lower(column_name), '{names_sql(naming.ANY_FILE_KEY_WORDS)}') THEN 0 ELSE 1 END, pos
+ORDER BY CASE WHEN regexp_matches(lower(column_name), '{names_sql(constants.ANY_FILE_KEY_WORDS)}') THEN 0 ELSE 1 END, pos
 LIMIT 1"""
 
 

@@ -9,6 +9,7 @@ from tablewright.functions import naming, numbers, text
 from tablewright.operators import cells
 from tablewright.plans import anyfile, quality
 
+from . import constants
 from . import sqltext as q
 from .base import AS_OF, query
 from .q_functions import unpivot_sql
@@ -52,14 +53,14 @@ def accuracy_sql(name):
 
 def consistency_sql(name):
     tests = []
-    for c, kind in quality.EXPECTED_TYPES[name].items():
+    for c, kind in constants.EXPECTED_TYPES[name].items():
         ok = f"NOT {void(c)}" if kind is str else f"coalesce(regexp_matches(trim({c}), '{NUMERIC}'), false)"
         tests.append(f"CAST({ok} AS INT)")
     return q.pct(f"sum({' + '.join(tests)})", f"(count(*) * {len(tests)})", 2)
 
 
 def overall_sql(prefix=""):
-    top = " + ".join(f"CAST(round({d} * 100) AS BIGINT) * {w}" for d, w in quality.WEIGHTS.items())
+    top = " + ".join(f"CAST(round({d} * 100) AS BIGINT) * {w}" for d, w in constants.WEIGHTS.items())
     return f"CAST(({top} + 50) // 100 AS DOUBLE) / 100"
 
 
@@ -158,7 +159,7 @@ def filled_sql():
 
 def registry_values():
     return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else q.quote(x) for x in row) + ")"
-                     for row in governance.REGISTRY)
+                     for row in constants.REGISTRY)
 
 
 REG_CTE = (ctes(*COLUMNS) + f""", reg AS (SELECT * FROM (VALUES {registry_values()})
@@ -222,7 +223,7 @@ def s12_storage_types_clean(spark, sf):
 
 
 def date_cols(cols):
-    return [c for c in cols if naming.has_word(c, naming.ANY_FILE_DATE_WORDS)]
+    return [c for c in cols if any(w in c.lower() for w in constants.ANY_FILE_DATE_WORDS)]
 
 
 def any_ctes(v, key):
@@ -263,7 +264,11 @@ for _v, _key in ANY_KEYS.items():
         return anyfile.cleanse_report(df, shape, "seq")
 
 
-PUBLIC = [c for c in COLUMNS["dirty_product"] if naming.sensitivity(c, naming.ANY_FILE_KEYWORDS) in ("Public", "Internal")
+def label_of(c):
+    return next((label for label, words in constants.ANY_FILE_KEYWORDS.items() if any(w in c.lower() for w in words)), "Internal")
+
+
+PUBLIC = [c for c in COLUMNS["dirty_product"] if label_of(c) in ("Public", "Internal")
           and c not in date_cols(COLUMNS["dirty_product"])]
 
 
@@ -285,8 +290,8 @@ def p20_completeness(spark, sf):
 
 
 def classify_sql(cols):
-    label = q.sensitivity("column_name", naming.ANY_FILE_KEYWORDS)
-    words = "|".join(naming.ANY_FILE_DATE_WORDS)
+    label = q.sensitivity("column_name", constants.ANY_FILE_KEYWORDS)
+    words = "|".join(constants.ANY_FILE_DATE_WORDS)
     return (f"SELECT column_name, {label} AS sensitivity_label, CAST({label} = 'PII' AS INT) AS is_pii, "
             f"storage_type AS inferred_type, CAST(regexp_matches(lower(column_name), '{words}') AS INT) AS is_date FROM stypes")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.operators import sheets
-from tablewright.plans import zones
+from tablewright.plans import clean, profile, zones
 from tablewright.session import scratch_path
 from tablewright.sources import delimited, detect, ingest, runs
 
@@ -40,6 +40,38 @@ def s1_read_documents(spark, sf):
 FOLDERS = {"comma": ",", "semicolon": ";", "tab": "\t", "pipe": "|"}
 
 
+# Four delimiters, three encodings and two column orders in one folder; the files
+# of the last kind lack a column.
+KINDS = {0: (",", "UTF-8", False), 1: (";", "ISO-8859-1", True), 2: ("\t", "UTF-16", False), 3: ("|", "UTF-8", True)}
+
+
+@query("s1_mixed_folder", """SELECT p_partkey AS id, p_name || ' é' AS "name", CASE WHEN p_partkey % 4 <> 3 THEN p_brand END AS brand,
+  p_size AS size FROM part""")
+def s1_mixed_folder(spark, sf):
+    path = scratch_path(spark, "s1m")
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" é")).alias("name"),
+                                           F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    for k, (sep, charset, turned) in KINDS.items():
+        # an accent in the header would end each file's plain ASCII head; the names hold one anyway
+        cols = ["size", "name", "id"] if k == 3 else ["brand", "size", "name", "id"] if turned else ["id", "name", "brand", "size"]
+        delimited.write_delimited(part.filter(F.col("id") % 4 == k).select(*cols), f"{path}/{k}", sep, charset)
+    back = delimited.read_delimited(spark, path)
+    return back.select(F.col("id").cast("bigint").alias("id"), "name", "brand", F.col("size").cast("int").alias("size"))
+
+
+@query("s1_dropped_cells", """SELECT 'wide' AS folder, count(*) AS n FROM part WHERE p_size % 7 = 0""")
+def s1_dropped_cells(spark, sf):
+    """Rows with a cell beyond the header are counted."""
+    path = scratch_path(spark, "s1w")
+    line = F.concat(F.col("p_partkey").cast("string"), F.lit(","), "p_brand", F.when(F.col("p_size") % 7 == 0, F.lit(",more")).otherwise(F.lit("")))
+    rows = table(spark, sf, "part").select(F.lit(1).alias("place"), line.alias("value"))
+    # one file, so that its header is its first line
+    head = spark.createDataFrame([(0, "id,brand")], "place int, value string")
+    head.union(rows).repartition(1).sortWithinPartitions("place").select("value").write.text(f"{path}/wide")
+    found = delimited.dropped_cells(spark, f"{path}/wide", sep=",")
+    return found.groupBy(F.lit("wide").alias("folder")).agg(F.sum("n").alias("n"))
+
+
 @query("s2_delimiter_profile", ctes("dirty_product") + " UNION ALL ".join(
     f"SELECT '{name}' AS folder, '{name}' AS delimiter, count(*) AS n FROM dirty_product WHERE seq % 4 = {i}"
     for i, name in enumerate(FOLDERS)))
@@ -187,12 +219,14 @@ def grid(spark, sf):
     return tuple(out)
 
 
-GRID_SQL = "WITH " + GRID.replace("{part}", "part")
-FILL_SQL = GRID_SQL + """, filled AS (SELECT c.sheet_id, c."row", c.col,
+GRID_SQL = "WITH " + GRID.replace("{part}", "part").replace("cells AS (", "cells AS MATERIALIZED (").replace(
+    "merges AS (", "merges AS MATERIALIZED (")
+FILL_SQL = GRID_SQL + """, mrows AS (SELECT sheet_id, min_row, min_col, max_col, unnest(range(min_row, max_row + 1)) AS "row" FROM merges),
+covered AS MATERIALIZED (SELECT sheet_id, min_row, min_col, "row", unnest(range(min_col, max_col + 1)) AS col FROM mrows),
+filled AS MATERIALIZED (SELECT c.sheet_id, c."row", c.col,
   CASE WHEN m.sheet_id IS NOT NULL THEN t."value" ELSE c."value" END AS "value",
   CASE WHEN m.sheet_id IS NOT NULL THEN t.vtype ELSE c.vtype END AS vtype
-FROM cells c LEFT JOIN merges m ON c.sheet_id = m.sheet_id AND c."row" BETWEEN min_row AND max_row
-  AND c.col BETWEEN min_col AND max_col
+FROM cells c LEFT JOIN covered m ON c.sheet_id = m.sheet_id AND c."row" = m."row" AND c.col = m.col
 LEFT JOIN cells t ON t.sheet_id = m.sheet_id AND t."row" = m.min_row AND t.col = m.min_col),
 texts AS (SELECT sheet_id, "row", col, CASE WHEN "value" IS NULL THEN '' WHEN vtype = 'datetime' AND "value" LIKE '% 00:00:00'
   THEN left("value", 10) WHEN vtype = 'float' AND CAST(try_cast("value" AS DOUBLE) AS BIGINT) = try_cast("value" AS DOUBLE)
@@ -261,6 +295,20 @@ def x5_rows(spark, sf):
     return rows.select("sheet_id", "row", F.array_join(pairs, "|").alias("record"))
 
 
+@query("x5_clean_sheet", FILL_SQL + """SELECT b."row" AS seq, max(text) FILTER (t.col = 1) AS "Product ID",
+  trim(max(text) FILTER (t.col = 2)) AS "Product Name", coalesce(nullif(max(text) FILTER (t.col = 3), ''), 'Unknown') AS "Size"
+FROM texts t JOIN blk b ON b.sheet_id = t.sheet_id AND b."row" = t."row"
+JOIN cho ON cho.sheet_id = b.sheet_id AND cho.block = b.block WHERE t.sheet_id = (SELECT min(sheet_id) FROM cells) GROUP BY 1""")
+def x5_clean_sheet(spark, sf):
+    """A worksheet's rows as columns, profiled and cleaned."""
+    sheet_cells, merges = grid(spark, sf)
+    rows, _ = sheets.read_sheets(sheet_cells, merges)
+    df, cols = sheets.sheet_table(rows, sheet_cells.agg(F.min("sheet_id")).first()[0])
+    assert [c.name for c in profile.analyze(df, cols, "row", samples=0).columns] == cols
+    rules = {"columns": {"Size": {"action": "fill_missing_unknown"}, "Product Name": {"action": "trim_whitespace"}}}
+    return clean.clean(df, cols, "row", rules).data.select(F.col("row").alias("seq"), "Product ID", "Product Name", "Size")
+
+
 @query("x5_facts", FILL_SQL + """SELECT shaped.sheet_id, merged AS merged_cells_filled, CAST(two AS INT) AS multi_level_header,
   (SELECT count(*) FROM siz WHERE siz.sheet_id = shaped.sheet_id) AS tables_detected FROM shaped""")
 def x5_facts(spark, sf):

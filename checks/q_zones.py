@@ -8,6 +8,7 @@ from tablewright.catalog.tables import ZONE_TABLES
 from tablewright.functions import naming
 from tablewright.plans import zones
 
+from . import constants
 from . import sqltext as q
 from .base import AS_OF, query
 from .q_functions import ANOMALY_SQL, IP_SQL, USD_SQL, age_sql, tenure_sql
@@ -22,16 +23,16 @@ def curated_ctes(*views):
     """cur_<view>: the curated rows of each view, for more CTEs to use."""
     out = []
     for v in views:
-        table = ZONE_TABLES[ZONE_TABLE[v]]
+        key, names = constants.ZONE_KEYS[ZONE_TABLE[v]], COLUMNS[v]
         cells = []
-        for c in table.names:
+        for c in names:
             s = f"""nullif(trim("{c}"), '')"""
-            cells.append(f'{q.date_iso(s, q.ZONE) if naming.is_zone_date(c) else s} AS "{c}"')
-        n = " + ".join(f'CAST("{c}" IS NULL AS INT)' for c in table.names)
+            cells.append(f'{q.date_iso(s, q.ZONE) if c.endswith(tuple(constants.ZONE_DATE_ENDINGS)) else s} AS "{c}"')
+        n = " + ".join(f'CAST("{c}" IS NULL AS INT)' for c in names)
         out.append(f"std_{v} AS (SELECT seq, {', '.join(cells)} FROM {v})")
-        out.append(f"""flag_{v} AS (SELECT *, CASE WHEN ({n}) * 10 > {3 * (len(table.names) + 3)} THEN 'POOR' ELSE 'OK'
-          END AS _quality_flag, row_number() OVER (PARTITION BY {table.key} ORDER BY seq) AS rn FROM std_{v})""")
-        out.append(f"cur_{v} AS (SELECT * EXCLUDE (rn) FROM flag_{v} WHERE {table.key} IS NOT NULL AND rn = 1)")
+        out.append(f"""flag_{v} AS (SELECT *, CASE WHEN ({n}) * 10 > {3 * (len(names) + 3)} THEN 'POOR' ELSE 'OK'
+          END AS _quality_flag, row_number() OVER (PARTITION BY {key} ORDER BY seq) AS rn FROM std_{v})""")
+        out.append(f"cur_{v} AS (SELECT * EXCLUDE (rn) FROM flag_{v} WHERE {key} IS NOT NULL AND rn = 1)")
     return ctes(*views) + ",\n" + ",\n".join(out)
 
 
@@ -51,7 +52,7 @@ for _v in COLUMNS:
 
 @query("z2_cleanse_report", curated_ctes(*COLUMNS) + " UNION ALL ".join(f"""
 SELECT '{ZONE_TABLE[v]}' AS table_name, (SELECT count(*) FROM {v}) AS rows_in, (SELECT count(*) FROM cur_{v}) AS rows_out,
-  (SELECT count(*) FROM flag_{v} WHERE {ZONE_TABLES[ZONE_TABLE[v]].key} IS NOT NULL AND rn > 1) AS dupes_removed,
+  (SELECT count(*) FROM flag_{v} WHERE {constants.ZONE_KEYS[ZONE_TABLE[v]]} IS NOT NULL AND rn > 1) AS dupes_removed,
   (SELECT count(*) FROM cur_{v} WHERE _quality_flag = 'POOR') AS poor_quality""" for v in COLUMNS))
 def z2_cleanse_report(spark, sf):
     out = None
@@ -70,11 +71,11 @@ DERIVED_SQL = {
 }
 
 for _v, _sql in DERIVED_SQL.items():
-    _t = ZONE_TABLES[ZONE_TABLE[_v]]
+    _key = constants.ZONE_KEYS[ZONE_TABLE[_v]]
 
-    @query(f"z4_derive_{SHORT[_v]}", curated_ctes(_v) + f"SELECT {_t.key}, {_sql} FROM cur_{_v}")
-    def z4(spark, sf, v=_v, t=_t):
-        return derived(spark, sf, v).select(t.key, t.derived)
+    @query(f"z4_derive_{SHORT[_v]}", curated_ctes(_v) + f"SELECT {_key}, {_sql} FROM cur_{_v}")
+    def z4(spark, sf, v=_v, key=_key, name=_sql.rsplit(" AS ", 1)[1]):
+        return derived(spark, sf, v).select(key, name)
 
 
 ACTIVE_SQL = """

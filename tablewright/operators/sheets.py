@@ -41,12 +41,13 @@ def unmerge(cells: DataFrame, merges: DataFrame) -> DataFrame:
 def cell_text(value: Column, vtype: Column) -> Column:
     """Nothing for null, the day for a midnight, no fraction for a whole float."""
     number = value.try_cast("double")
-    whole = (number == F.floor(number)) & (F.abs(number) < 1e38)
+    whole = number == F.floor(number)
     return (
         F.when(value.isNull() | (vtype == "null"), "")
         .when((vtype == "datetime") & value.rlike(r"[ T]00:00:00(\.0+)?$"), F.left(value, F.lit(10)))
         .when(vtype == "datetime", F.regexp_replace(value, "T", " "))
-        .when((vtype == "float") & whole, value.try_cast("decimal(38,0)").cast("string"))
+        # floats from 1e38 on have no fraction to drop: they stay as written
+        .when((vtype == "float") & whole, F.coalesce(value.try_cast("decimal(38,0)").cast("string"), value))
         .otherwise(value)
     )
 
@@ -138,10 +139,12 @@ def read_sheets(cells: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFra
     blocked = stage(blocks(body_rows(filled, shape)), "blocks")
     chosen = chosen_blocks(block_sizes(blocked))
     again = F.row_number().over(Window.partitionBy("sheet_id", "header").orderBy("col"))
-    named = headers(filled, shape).withColumn("again", again).select(
+    # Stored, so that a join on a sheet that holds a third of all cells can be split.
+    named = stage(headers(filled, shape).withColumn("again", again).select(
         "sheet_id", "col",
         F.when(F.col("again") > 1, F.concat("header", F.lit("_"), F.col("again").cast("string")))
-        .otherwise(F.col("header")).alias("header"))
+        .otherwise(F.col("header")).alias("header")), "headers")
+    chosen = stage(chosen, "chosen")
     rows = blocked.join(chosen, ["sheet_id", "block"], "left_semi").select("sheet_id", "row")
     texts = filled.join(rows, ["sheet_id", "row"], "left_semi").join(named, ["sheet_id", "col"]).select(
         "sheet_id", "row", F.struct("col", "header", cell_text(F.col("value"), F.col("vtype")).alias("text")).alias("cell"))
@@ -153,3 +156,16 @@ def read_sheets(cells: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFra
         "sheet_id", "merged_cells_filled", "multi_level_header",
         F.coalesce("tables_detected", F.lit(0)).alias("tables_detected"))
     return lists.select("sheet_id", "row", record.alias("record")), facts
+
+
+def sheet_table(rows: DataFrame, sheet_id) -> tuple[DataFrame, list[str]]:
+    """(row and a text column per header, the headers) of one sheet of
+    ``read_sheets``: a table to profile and clean, with ``row`` (or the next free
+    name) as its arrival order.  Every row holds all headers, so the first tells them."""
+    own = rows.filter(F.col("sheet_id") == sheet_id)
+    first = own.select(F.map_keys("record").alias("names")).first()
+    names = list(first["names"]) if first else []
+    row = "row"
+    while row in {n.lower() for n in names}:
+        row += "_"
+    return own.select(F.col("row").alias(row), *[F.col("record")[n].alias(n) for n in names]), names

@@ -109,6 +109,12 @@ def typed(df: DataFrame, name: str) -> DataFrame:
     return df.withColumns({c: cell(c, k) for c, k in table.columns.items() if k != "TEXT"})
 
 
+def as_text(df: DataFrame, name: str) -> DataFrame:
+    """A stored curated table as the plans read it: its own columns as text."""
+    table = ZONE_TABLES[name]
+    return df.withColumns({c: text.quoted(c).cast("string") for c, k in table.columns.items() if k != "TEXT"})
+
+
 # --- consumption zone ------------------------------------------------------
 
 

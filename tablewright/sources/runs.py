@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import datetime
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,31 @@ STEP_SCHEMA = ("run_id string, step string, status string, rows_in bigint, rows_
                "started_at timestamp, message string")
 
 
+class Steps:
+    """Records of a run's steps: name, rows, status, time."""
+
+    def __init__(self, run_id: str):
+        self.run_id, self.rows = run_id, []
+
+    @contextlib.contextmanager
+    def step(self, name: str):
+        """Records the enclosed work; set ``rows_in`` and ``rows_out`` in the dict."""
+        clock, seen = time.time(), {}
+        started = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+        status, message = "SUCCESS", None
+        try:
+            yield seen
+        except Exception as e:
+            status, message = "FAILED", str(e)[:500]
+            raise
+        finally:
+            self.rows.append((self.run_id, name, status, seen.get("rows_in"), seen.get("rows_out"),
+                              round(time.time() - clock, 2), started, message))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, STEP_SCHEMA)
+
+
 def append_runs(records: DataFrame, path: str) -> None:
     """Add run records; previews are not kept."""
     records.drop("preview", "preview_headers").write.mode("append").json(path)

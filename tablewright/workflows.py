@@ -21,7 +21,7 @@ from .plans.profile import Report, analyze
 from .session import stage
 from .sources.delimited import read_delimited
 from .sources.ingest import ingest, overwrite, path_exists
-from .sources.runs import SCHEMA, append_runs
+from .sources.runs import SCHEMA, Steps, append_runs
 
 STAMPS = ["_cleansed_at", "_is_duplicate", "_quality_flag"]
 
@@ -96,20 +96,41 @@ def update_catalog(entries: DataFrame, path: str) -> None:
     overwrite(entries, path)
 
 
+def _with_columns(df: DataFrame, name: str) -> DataFrame:
+    """A raw table with all columns of its schema; what the source lacks is NULL."""
+    here = {c.lower() for c in df.columns}
+    return df.withColumns({c: F.lit(None).cast("string") for c in ZONE_TABLES[name].names if c.lower() not in here})
+
+
 def run_warehouse(spark: SparkSession, folder: str, zone: str, runs: str | None = None,
                   as_of: datetime.date | str | None = None, sources: dict[str, str] = SOURCE_FILES) -> dict:
-    """Ingest, cleanse, derive, publish, classify, score; tables go to ``zone``."""
+    """Ingest, cleanse, derive, publish, classify, score; tables go to ``zone``,
+    curated ones in their stored types.  The run's steps are recorded beside ``runs``."""
     started, clock = _now(), time.time()
     run_time, as_of = str(started), str(as_of or datetime.date.today())
-    counts = ingest(spark, folder, zone, run_time, sources)
+    steps = Steps(f"RUN_{started:%Y%m%d_%H%M%S}")
+    try:
+        return _warehouse(spark, folder, zone, runs, as_of, sources, run_time, steps, clock)
+    finally:
+        if runs and steps.rows:
+            steps.table(spark).write.mode("append").json(f"{runs.rstrip('/')}_steps")
+
+
+def _warehouse(spark, folder, zone, runs, as_of, sources, run_time, steps, clock) -> dict:
+    with steps.step("ingest") as seen:
+        counts = ingest(spark, folder, zone, run_time, sources)
+        seen["rows_out"] = sum(counts.values())
     names = [n for n in ZONE_TABLES if path_exists(spark, f"{zone}/raw_{n}")]
-    raw = {n: spark.read.parquet(f"{zone}/raw_{n}") for n in names}
+    raw = {n: _with_columns(spark.read.parquet(f"{zone}/raw_{n}"), n) for n in names}
     for n in names:
-        overwrite(zones.with_derived(zones.cleanse(raw[n], n, "seq", run_time), n, as_of), f"{zone}/curated_{n}")
-    curated = {n: spark.read.parquet(f"{zone}/curated_{n}") for n in names}
+        with steps.step(f"cleanse {n}"):
+            rows = zones.with_derived(zones.cleanse(raw[n], n, raw[n].columns[0], run_time), n, as_of)
+            overwrite(zones.typed(rows, n), f"{zone}/curated_{n}")
+    curated = {n: zones.as_text(spark.read.parquet(f"{zone}/curated_{n}"), n) for n in names}
     published = zones.publish(curated)
     for n, df in published.items():
-        overwrite(df, f"{zone}/{n}")
+        with steps.step(f"publish {n}"):
+            overwrite(df, f"{zone}/{n}")
     overwrite(governance.classified(governance.registry(spark), run_time), f"{zone}/governance_catalog")
     scores = None
     for n in names:
@@ -121,7 +142,7 @@ def run_warehouse(spark: SparkSession, folder: str, zone: str, runs: str | None
     loaded = zones.row_counts({n: spark.read.parquet(f"{zone}/{n}") for n in published}).collect()
     elapsed = round(time.time() - clock, 2)
     summary = {
-        "run_id": f"RUN_{started:%Y%m%d_%H%M%S}", "status": "SUCCESS", "ingested": counts, **total,
+        "run_id": steps.run_id, "status": "SUCCESS", "ingested": counts, **total,
         "loaded": {r["table_name"]: r["rows"] for r in loaded}, "elapsed_sec": elapsed,
         "ingestion_rate": round(total["total_raw_rows"] / max(elapsed, 1)),
         "quality_scores": {r["table_name"]: r.asDict() for r in spark.read.parquet(f"{zone}/quality_scores").collect()}}

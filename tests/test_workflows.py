@@ -42,3 +42,17 @@ def test_warehouse_with_missing_sources(spark, tmp_path):
     assert got["loaded"] == {"cons_active_customers": 1, "cons_high_value_transactions": 1}
     assert set(got["quality_scores"]) == {"curated_customer_profiles", "curated_transaction_logs", "_aggregate"}
     assert runs.latest_runs(spark, str(tmp_path / "runs")).first()["rows"] == 5
+    steps = spark.read.json(str(tmp_path / "runs_steps"))
+    assert {r["step"]: r["status"] for r in steps.collect()}["ingest"] == "SUCCESS" and steps.count() == 5
+    kinds = dict(spark.read.parquet(str(tmp_path / "zone" / "curated_transaction_logs")).dtypes)
+    assert (kinds["amount"], kinds["txn_id"], kinds["amount_usd"]) == ("double", "string", "double")
+
+
+def test_source_without_all_columns(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "hr_records.csv").write_text("emp_id,salary,seq\nE1,10.5,x\nE2,,y\n")
+    sources = {"hr_records.csv": "hr_records"}
+    got = workflows.run_warehouse(spark, str(tmp_path / "in"), str(tmp_path / "zone"), as_of="2025-01-01", sources=sources)
+    assert got["total_curated_rows"] == 2
+    rows = spark.read.parquet(str(tmp_path / "zone" / "curated_hr_records")).orderBy("emp_id").collect()
+    assert [(r["emp_id"], r["salary"], r["department"], r["is_active"]) for r in rows] == [("E1", 10.5, None, None), ("E2", None, None, None)]
