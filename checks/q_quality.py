@@ -91,6 +91,14 @@ def q2_uniqueness(spark, sf):
     return one(a, "dirty_customer").unionAll(one(b, "lineitem"))
 
 
+@query("s10_first_rows", ctes("dirty_txn") + f"""SELECT count(*) AS row_count, {completeness_sql('', COLUMNS["dirty_txn"])} AS completeness,
+  {uniqueness_sql('', COLUMNS["dirty_txn"])} AS uniqueness FROM (SELECT * FROM dirty_txn ORDER BY seq LIMIT 5000)""")
+def s10_first_rows(spark, sf):
+    """Scores of the first 5,000 rows, on request."""
+    found = quality.scores(view(spark, sf, "dirty_txn"), COLUMNS["dirty_txn"], limit=5000, seq="seq")
+    return found.select("row_count", "completeness", "uniqueness")
+
+
 RULED = ["dirty_txn", "dirty_hr", "dirty_sensor"]
 
 

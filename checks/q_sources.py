@@ -27,14 +27,14 @@ def s1_read_delimited(spark, sf):
     return back.drop("_arrival").withColumn("seq", F.col("seq").cast("bigint"))
 
 
-@query("s1_read_documents", "SELECT doc_id, length(text) AS chars, md5(text) AS digest FROM documents")
+@query("s1_read_documents", "SELECT doc_id, length(text) AS chars, md5(text) AS digest, lang, source, n_chars FROM documents")
 def s1_read_documents(spark, sf):
     """Whole texts with quotes and line breaks through a delimited file."""
     path = scratch_path(spark, "s1d")
-    delimited.write_delimited(table(spark, sf, "documents").select("doc_id", "text"), path)
+    delimited.write_delimited(table(spark, sf, "documents"), path)
     back = delimited.read_delimited(spark, path)
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").cast("bigint").alias("chars"),
-                       F.md5("text").alias("digest"))
+                       F.md5("text").alias("digest"), "lang", "source", F.col("n_chars").cast("bigint").alias("n_chars"))
 
 
 FOLDERS = {"comma": ",", "semicolon": ";", "tab": "\t", "pipe": "|"}
