@@ -92,51 +92,81 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+ROWS, BYTES = 1 << 16, 4 << 20  # what a task holds before it passes it on
+
+
+class Sink:
+    """Rows on their way out of a task, passed on in batches of bounded size."""
+
+    def __init__(self, schema: str):
+        kinds = {"bigint": pa.int64(), "binary": pa.binary()}
+        self.names, self.types = zip(*[(n, kinds[k]) for n, k in (f.split() for f in schema.split(", "))])
+        self.rows, self.size = [], 0
+
+    def add(self, row: tuple, size: int = 0):
+        self.rows.append(row)
+        self.size += size
+        if len(self.rows) >= ROWS or self.size >= BYTES:
+            yield self.batch()
+
+    def batch(self) -> pa.RecordBatch:
+        columns = list(zip(*self.rows)) if self.rows else [[]] * len(self.names)
+        self.rows, self.size = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, self.types)], names=list(self.names))
+
+
+def _each(batch: pa.RecordBatch, *names: str):
+    """The rows one by one: only one row's texts are Python objects at a time."""
+    columns = [batch[n] for n in names]
+    for i in range(batch.num_rows):
+        yield [c[i].as_py() for c in columns]
+
+
+BUCKET, KEYED = "k bigint", "k bigint, u bigint, a bigint, b bigint, at bigint"
+CONTEXT = "k bigint, n bigint, a bigint, b bigint, at bigint, text binary"
+RUN = "a bigint, b bigint, at bigint, n bigint, run bigint, core bigint, whole bigint"
+STRING = "a bigint, b bigint, at bigint, n bigint, d bigint, own bigint"
+
+
 def _buckets(length, gram, refs):
     """Rows k, u (and a, b, at if ``refs``) of all anchors: bucket of the anchor's
     q-gram, and of the stretch that its run covers."""
     def run(batches):
-        digest = xxhash.xxh3_64_intdigest
+        digest, out = xxhash.xxh3_64_intdigest, Sink(KEYED if refs else BUCKET)
         for batch in batches:
             a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
-            rows: list[list] = [[], [], [], [], []]
             for t, p, lo, hi, raw, base in anchors(batch["text"], length, gram):
-                rows[0].append(digest(raw[p:p + gram]))
+                k = signed(digest(raw[p:p + gram]))
                 if refs:
-                    rows[1].append(digest(raw[lo:hi + length], p - lo))
-                    rows[2].append(a[t])
-                    rows[3].append(b[t])
-                    rows[4].append(packed(p - base, p - lo, p - hi))
-            names = ["k", "u", "a", "b", "at"] if refs else ["k"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(r, np.uint64).view(np.int64) if n in "ku" else r, pa.int64()) for n, r in zip(names, rows)], names=names)
+                    u = signed(digest(raw[lo:hi + length], p - lo))
+                    yield from out.add((k, u, a[t], b[t], packed(p - base, p - lo, p - hi)))
+                else:
+                    yield from out.add((k,))
+        yield out.batch()
     return run
 
 
 def _contexts(length):
     """Rows k, n, a, b, at, text: the stretch of each wanted anchor."""
     def run(batches):
-        unzip = zstandard.ZstdDecompressor()
+        unzip, out = zstandard.ZstdDecompressor(), Sink(CONTEXT)
         for batch in batches:
-            rows = []
-            for a, b, data, wanted in zip(*(batch[c].to_pylist() for c in ("a", "b", "data", "wanted"))):
+            for a, b, data, wanted in _each(batch, "a", "b", "data", "wanted"):
                 raw = unzip.decompress(data)
                 for w in wanted:
                     p, far, near = unpacked(w["at"])
-                    rows.append((w["k"], w["n"], a, b, w["at"], raw[p - far:p - near + length]))
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            columns = zip(*rows) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["k", "n", "a", "b", "at", "text"])
+                    around = raw[p - far:p - near + length]
+                    yield from out.add((w["k"], w["n"], a, b, w["at"], around), len(around))
+        yield out.batch()
     return run
 
 
 def _shorter_runs(length, step):
     """Rows a, b, at, n, run, core, whole: buckets of the runs of ``step`` distances."""
     def run(batches):
-        digest = xxhash.xxh3_64_intdigest
+        digest, out = xxhash.xxh3_64_intdigest, Sink(RUN)
         for batch in batches:
-            rows = []
-            for k, n, a, b, at, text in zip(*(batch[c].to_pylist() for c in ("k", "n", "a", "b", "at", "text"))):
+            for k, n, a, b, at, text in _each(batch, "k", "n", "a", "b", "at", "text"):
                 _, far, near = unpacked(at)
                 salt = k.to_bytes(8, "little", signed=True)
                 for c in range(near // step, far // step + 1):
@@ -144,26 +174,24 @@ def _shorter_runs(length, step):
                     begin, end = max(step * c, near), min(step * c + step - 1, far)
                     core = text[far - step * c:far - step * c - step + 1 + length]
                     whole = text[far - end:far - begin + length]
-                    rows.append((a, b, at, n, c, signed(digest(salt + core, c)), signed(digest(salt + whole, c << 20 | begin << 10 | end))))
-            columns = zip(*rows) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "at", "n", "run", "core", "whole"])
+                    yield from out.add((a, b, at, n, c, signed(digest(salt + core, c)),
+                                        signed(digest(salt + whole, c << 20 | begin << 10 | end))))
+        yield out.batch()
     return run
 
 
 def _strings(length, step):
     """Rows a, b, at, n, d, own: the bucket of every single string of the wanted runs."""
     def run(batches):
-        digest = xxhash.xxh3_64_intdigest
+        digest, out = xxhash.xxh3_64_intdigest, Sink(STRING)
         for batch in batches:
-            rows = []
-            for k, n, a, b, at, text, runs in zip(*(batch[c].to_pylist() for c in ("k", "n", "a", "b", "at", "text", "runs"))):
+            for k, n, a, b, at, text, runs in _each(batch, "k", "n", "a", "b", "at", "text", "runs"):
                 _, far, near = unpacked(at)
                 salt = k.to_bytes(8, "little", signed=True)
                 for c in runs:
                     for d in range(max(step * c, near), min(step * c + step - 1, far) + 1):
-                        rows.append((a, b, at, n, d, signed(digest(salt + text[far - d:far - d + length], d))))
-            columns = zip(*rows) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "at", "n", "d", "own"])
+                        yield from out.add((a, b, at, n, d, signed(digest(salt + text[far - d:far - d + length], d))))
+        yield out.batch()
     return run
 
 
@@ -176,8 +204,8 @@ def repeated(rows: DataFrame, bucket: str, weight=None) -> DataFrame:
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP) -> DataFrame:
     """a, b, lo, hi: stretches of repeated strings, by the keys of ``_keyed``."""
     texts = docs.select("a", "b", "text")
-    shared = repeated(texts.mapInArrow(_buckets(length, gram, False), "k bigint"), "k")
-    found = texts.mapInArrow(_buckets(length, gram, True), "k bigint, u bigint, a bigint, b bigint, at bigint")
+    shared = repeated(texts.mapInArrow(_buckets(length, gram, False), BUCKET), "k")
+    found = texts.mapInArrow(_buckets(length, gram, True), KEYED)
     found = stage(found.join(shared, "k"), "repeats-anchors")
     groups = stage(found.groupBy("k", "u").agg(F.count("*").alias("n"), F.min(F.struct(*REF)).alias("ref")), "repeats-groups")
     again = stage(groups.filter("n > 1").select("k", "u"), "repeats-whole")
@@ -189,9 +217,8 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = S
     wanted = groups.join(stage(open_, "repeats-open"), "k").select("k", "n", "ref.*")
     wanted = stage(wanted.groupBy("a", "b").agg(F.collect_list(F.struct("at", "k", "n")).alias("wanted")), "repeats-wanted")
     texts = docs.select("a", "b", _zipped("text").alias("data"))
-    around = stage(texts.join(wanted, ["a", "b"]).mapInArrow(
-        _contexts(length), "k bigint, n bigint, a bigint, b bigint, at bigint, text binary"), "repeats-contexts")
-    runs = stage(around.mapInArrow(_shorter_runs(length, step), "a bigint, b bigint, at bigint, n bigint, run bigint, core bigint, whole bigint"), "repeats-runs")
+    around = stage(texts.join(wanted, ["a", "b"]).mapInArrow(_contexts(length), CONTEXT), "repeats-contexts")
+    runs = stage(around.mapInArrow(_shorter_runs(length, step), RUN), "repeats-runs")
     whole = repeated(runs, "whole", "n")
     runs = stage(runs.join(repeated(runs, "core", "n"), "core").join(whole.withColumn("done", F.lit(True)), "whole", "left"), "repeats-shorter")
     begin, end = F.greatest(F.col("run") * step, near), F.least(F.col("run") * step + step - 1, far)
@@ -199,8 +226,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = S
 
     edges = stage(runs.filter("done IS NULL AND n = 1").select("core").distinct(), "repeats-edges")
     wanted = runs.join(edges, "core").groupBy(*REF).agg(F.collect_list("run").alias("runs"))
-    single = around.join(stage(wanted, "repeats-single"), REF).mapInArrow(
-        _strings(length, step), "a bigint, b bigint, at bigint, n bigint, d bigint, own bigint")
+    single = around.join(stage(wanted, "repeats-single"), REF).mapInArrow(_strings(length, step), STRING)
     single = stage(single, "repeats-strings")
     single = single.filter("n = 1").join(repeated(single, "own", "n"), "own")
     return out.union(single.select("a", "b", (place - F.col("d")).alias("lo"), (place - F.col("d") + length).alias("hi")))
@@ -239,17 +265,21 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ste
     def cut(batches):
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = []
-            for data, pairs in zip(batch["data"].to_pylist(), batch["spans"].to_pylist()):
+            out, first = Sink("n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"), 0
+            for i, (data, pairs) in enumerate(_each(batch, "data", "spans")):
                 raw = unzip.decompress(data)
                 runs, kept, upto = merged((x["lo"], x["hi"]) for x in pairs or ()), [], 0
                 for lo, hi in runs:
                     kept.append(raw[upto:lo])
                     upto = hi
-                rows.append((len(raw), sum(hi - lo for lo, hi in runs), len(runs), b"".join(kept) + raw[upto:]))
-            columns = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.binary()])]],
-                                             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                row = (len(raw), sum(hi - lo for lo, hi in runs), len(runs), b"".join(kept) + raw[upto:])
+                for part in out.add(row, len(row[3])):
+                    yield with_ids(batch["doc_id"].slice(first, i + 1 - first), part)
+                    first = i + 1
+            yield with_ids(batch["doc_id"].slice(first), out.batch())
+
+    def with_ids(ids, part):
+        return pa.RecordBatch.from_arrays([ids, *part.columns], names=["doc_id", *part.schema.names])
 
     zipped = docs.select("doc_id", "a", "b", _zipped("text").alias("data"))
     return (zipped.join(lists, ["a", "b"], "left").select("doc_id", "data", "spans")
