@@ -52,13 +52,21 @@ def targets(sources: DataFrame, weights=WEIGHTS, percent: int = 150, max_passes:
                        .otherwise(F.least("cap", F.col("weight") * F.col("final"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, percent: int = 150, max_passes: int = 2, row: str | None = None) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, source): doc_id, source, size,
-    source_size, target, taken, and row (the column so named, if any)."""
-    number = F.lit(0) if row is None else quoted(row)
-    src = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), src))
-    sized = docs.select("doc_id", "source", number.alias("row"), word_count(F.col("text")).alias("size"), src.alias("src"), digest.alias("turn"))
+def source_key(source: Column) -> Column:
+    """Sorts as the sources do by code point, null last."""
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
+
+
+def shuffle_key(doc_id: Column, src: Column) -> Column:
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), src))
+
+
+def _placed(docs: DataFrame, weights, percent, max_passes, row: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows with their words up to and including them in their source's order, and
+    the sources with their targets; both stored."""
+    src = source_key(F.col("source"))
+    sized = docs.select("doc_id", "source", row.alias("row"), word_count(F.col("text")).alias("size"), src.alias("src"),
+                        shuffle_key(F.col("doc_id"), src).alias("turn"))
     # the leading bits of the digest, so buckets are ranges of the order
     bucket = F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("bigint") * BUCKETS / (1 << 32)).cast("int")
     sized = stage(sized.withColumn("bucket", bucket), "mix-sizes")
@@ -68,28 +76,58 @@ def mix(docs: DataFrame, weights=WEIGHTS, percent: int = 150, max_passes: int =
     in_source = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("offset", F.coalesce(F.sum("words").over(in_source), F.lit(0)))
     shares = stage(targets(sized.groupBy("src").agg(F.sum("size").alias("size")), weights, percent, max_passes), "mix-targets")
-    offsets = offsets.join(shares.select("src", F.col("size").alias("source_size"), "target"), "src").drop("words")
-    in_bucket = W.partitionBy("src", "bucket").orderBy("turn", "size").rowsBetween(W.unboundedPreceding, 0)
+    offsets = stage(offsets.join(shares.select("src", F.col("size").alias("source_size"), "target"), "src").drop("words"), "mix-offsets")
+    in_bucket = W.partitionBy("src", "bucket").orderBy("turn", "size", "row").rowsBetween(W.unboundedPreceding, 0)
     placed = (sized.join(offsets, ["src", "bucket"])
               .withColumn("upto", F.col("offset") + F.sum("size").over(in_bucket)).drop("offset", "bucket"))
-    placed = stage(placed, "mix-placed")
+    return stage(placed, "mix-placed"), shares
 
-    passes = placed.select("src", "turn", "size", "upto", "source_size", "target",
-                           F.explode(F.array(*[F.lit(i) for i in range(max_passes)])).alias("pass"))
-    passes = passes.withColumn("finish", finish(F.col("pass"))).filter("size > 0 AND finish IS NOT NULL")
-    end = last_served(passes, shares)
+
+def _passes(placed: DataFrame, max_passes: int) -> DataFrame:
+    rows = placed.select("src", "turn", "size", "upto", "row", "source_size", "target",
+                         F.explode(F.array(*[F.lit(i) for i in range(max_passes)])).alias("pass"))
+    return rows.withColumn("finish", finish(F.col("pass"))).filter("size > 0 AND finish IS NOT NULL")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, percent: int = 150, max_passes: int = 2) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, source): doc_id, source, size,
+    source_size, target, taken."""
+    placed, shares = _placed(docs, weights, percent, max_passes, F.lit(0))
+    end = last_served(_passes(placed, max_passes), shares)
     here = [_served(F.lit(i), end) for i in range(max_passes)]
     taken = sum(here[1:], here[0])
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"), "row")
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, weights=WEIGHTS, percent: int = 150, max_passes: int = 2) -> DataFrame:
     """The rows of ``docs`` that the mix takes anything of, with their columns and
-    ``taken`` (or the next free name): the words it takes, repeats counted."""
+    ``taken`` (or the next free name): the words it takes, repeats counted.
+
+    What is served of a source in a pass is a beginning of its shuffled order, so
+    the last row of each tells of every row what is taken; no text is shuffled."""
     row, out = free_name(docs, "row"), free_name(docs, "taken")
     rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
-    taken = stage(mix(rows, row=row, **options).filter("taken > 0").select(F.col("row").alias(row), F.col("taken").alias(out)), "mix-taken")
-    return rows.join(taken, row).select(*[quoted(c) for c in docs.columns], quoted(out))
+    placed, shares = _placed(rows, weights, percent, max_passes, quoted(row))
+    passes = _passes(placed, max_passes)
+    end = last_served(passes, shares)
+    served = passes if end is None else passes.filter(_key(F.col("pass")) <= _last(end))
+    place = F.struct("turn", "size", "row")
+    lasts = [F.max(F.when(F.col("pass") == i, place)).alias(f"last{i}") for i in range(max_passes)]
+    of = free_name(rows, "src_of_end")
+    ends = stage(served.groupBy(F.col("src").alias(of)).agg(*lasts), "mix-ends")
+
+    src = source_key(F.col("source"))
+    mine = F.struct(shuffle_key(F.col("doc_id"), src).alias("turn"), word_count(F.col("text")).alias("size"), quoted(row).alias("row"))
+    place, prefix = free_name(rows, "place"), free_name(rows, "ends")
+    ends = ends.select(of, F.struct(*[f"last{i}" for i in range(max_passes)]).alias(prefix))
+    joined = rows.withColumn(place, mine).join(ends, src == F.col(of))
+    taken = F.lit(0).cast("bigint")
+    for i in range(max_passes):
+        last = quoted(prefix)[f"last{i}"]
+        cut = F.lit(False) if end is None or end["pass"] != i else (F.col(of) == end["src"]) & (quoted(place) == last)
+        taken = taken + F.when(cut, F.lit(None if end is None else end["left"])).when(
+            quoted(place) <= last, quoted(place).size).otherwise(F.lit(0))
+    return joined.withColumn(out, taken).filter(quoted(out) > 0).select(*[quoted(c) for c in docs.columns], quoted(out))
 
 
 def finish(turn: Column) -> Column:
@@ -126,13 +164,23 @@ def _first_over(rows: DataFrame, order: list[str], size: str, budget: int):
             .orderBy(*order).first())
 
 
+FIELDS = {"finish": "double", "src": "string", "turn": "string", "upto": "bigint", "pass": "int"}
+
+
+def _key(turn: Column) -> Column:
+    """Place of a row's pass in the order of service."""
+    mine = (finish(turn), F.col("src"), F.col("turn"), F.col("upto"), turn)
+    return F.struct(*[c.cast(kind).alias(n) for c, (n, kind) in zip(mine, FIELDS.items())])
+
+
+def _last(end: dict) -> Column:
+    return F.struct(*[F.lit(end[n]).cast(kind).alias(n) for n, kind in FIELDS.items()])
+
+
 def _served(turn: Column, end) -> Column:
-    """Words taken of a document in one pass."""
+    """Words taken of a row in one pass."""
     if end is None:
         return F.col("size")
-    mine = (finish(turn), F.col("src"), F.col("turn"), F.col("upto"), turn)
-    fields = dict(zip(("finish", "src", "turn", "upto", "pass"), ("double", "string", "string", "bigint", "int")))
-    key = F.struct(*[c.cast(kind).alias(n) for c, (n, kind) in zip(mine, fields.items())])
-    last = F.struct(*[F.lit(end[n]).cast(kind).alias(n) for n, kind in fields.items()])
     none = (F.col("size") == 0) | finish(turn).isNull()
-    return (F.when(none, F.lit(0)).when(key < last, F.col("size")).when(key == last, F.lit(end["left"])).otherwise(F.lit(0)))
+    return (F.when(none, F.lit(0)).when(_key(turn) < _last(end), F.col("size"))
+            .when(_key(turn) == _last(end), F.lit(end["left"])).otherwise(F.lit(0)))

@@ -204,9 +204,10 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, limit: int = LIST, id
     prints, fp = with_fingerprint(docs, text, fp)
     rows = stage(prints.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
     narrow = rows.select(quoted(row).alias("row"), quoted(id_col).alias("doc_id"), quoted(fp).alias("fp"))
-    found = narrow.join(classes(narrow, distance, limit), "fp")
+    found = stage(narrow.join(classes(narrow, distance, limit), "fp"), "simhash-found")
     # the first row of a class, found by a sum that merges before the shuffle
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("n"))
-    first = first.filter("n > 1").select("component", F.col("first.row").alias("kept"))
+    # stored, so that the join on a large class is split
+    first = stage(first.filter("n > 1").select("component", F.col("first.row").alias("kept")), "simhash-first")
     gone = stage(found.join(first, "component").filter("row <> kept").select(F.col("row").alias(row)), "simhash-gone")
     return rows.join(gone, row, "left_anti").select(*[quoted(c) for c in docs.columns])
