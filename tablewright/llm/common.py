@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -63,7 +63,7 @@ def least_places(data: np.ndarray, width: int) -> np.ndarray:
 def anchors(texts: pa.Array, length: int = LENGTH, gram: int = GRAM):
     """(text, anchor, first string, last string, data, base) for runs of strings with
     one anchor; places count from the text's start, data[base:] is the text."""
-    for first, part in slices(texts, 1 << 21):
+    for first, part in slices(texts):
         data = np.frombuffer(part.buffers()[2] or b"", np.uint8)
         ends = np.frombuffer(part.buffers()[1], np.int32)[part.offset:part.offset + len(part) + 1].astype(np.int64)
         data, ends = data[ends[0]:ends[-1]], ends - ends[0]
