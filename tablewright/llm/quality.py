@@ -2,8 +2,20 @@
 
 A text is compressed with zstandard as a whole and in fixed chunks.  Repetitive
 text compresses to far less than prose of its length, random text (keys, encoded
-data) to far more.  Both limits depend on the length, since short texts carry
-the frame's overhead and long ones repeat their vocabulary.
+data) to far more.  Encoded text of few characters (hex, digits) compresses well
+for that reason alone, so the density, the ratio in bits against the entropy of the
+text's bytes, is rated apart.
+
+The limits come from the table itself: from the ratios and densities of all its
+texts that pass the base rules, by length, and of all their full chunks.  A length
+class is a quarter of a doubling; classes are joined, from short to long, until they
+hold ``CLASS_TEXTS`` texts.  With the quartiles q1 and q3 of a class, ratios must lie
+within q1 - ``FENCE`` * (q3 - q1) and q3 + ``FENCE`` * (q3 - q1), densities below the
+upper one of these; q3 - q1 counts as ``LEAST_SPREAD`` at least.  The quartiles are
+those of a histogram in steps of 1/``STEPS``, so they do not depend on the order or
+the partitions of the rows, and hold as long as under a quarter of a class is junk
+on one side.  A table with fewer than ``CLASS_TEXTS`` such texts is judged by the
+fixed limits ``BANDS`` and ``CHUNK_BAND``.
 
 Null text is an empty text: no words, so it fails the base rules.  Repeated rows
 are judged each for itself; other columns are passed on.
@@ -11,6 +23,9 @@ are judged each for itself; other columns are passed on.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,12 +34,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import byte_lengths, free_name, quoted, slices, struct_array, word_ids, words_of
 
-# (texts of at most this many bytes, smallest ratio, largest ratio) of compressed to plain bytes
+# (texts of at most this many bytes, smallest ratio, largest ratio) of compressed to plain bytes;
+# a fourth number is the largest density
 BANDS = ((128, 0.60, 9.0), (256, 0.42, 1.05), (512, 0.40, 0.90), (1024, 0.40, 0.82), (2048, 0.38, 0.74),
          (4096, 0.37, 0.68), (8192, 0.35, 0.64), (65536, 0.32, 0.62), (1 << 62, 0.25, 0.60))
 CHUNK_BYTES = 4096
 CHUNK_BAND = (0.30, 0.66)
 CHUNK_SHARE = 0.25  # of full chunks that may lie outside the band
+CLASSES = 4  # of length, for each doubling
+CLASS_TEXTS = 32
+FENCE = 2.5
+LEAST_SPREAD = 0.005
+STEPS = 4096
 LEVEL = 3
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -40,14 +61,107 @@ def ratio(packer, data: bytes) -> float:
     return len(packer.compress(data)) / len(data) if data else 1.0
 
 
+def density(packed: float, data: bytes) -> float:
+    """``packed`` (a ratio) in bits a byte, against the entropy of the bytes of ``data``."""
+    counts = np.bincount(np.frombuffer(data, np.uint8))
+    share = counts[counts > 0] / max(len(data), 1)
+    entropy = float(-(share * np.log2(share)).sum())
+    return 8 * packed / entropy if entropy > 0 else 0.0
+
+
+def within(packed: float, data: bytes, low: float, high: float, dense: float = math.inf) -> bool:
+    return low <= packed <= high and (dense == math.inf or density(packed, data) <= dense)
+
+
+def chunks_of(data: bytes, chunk: int) -> list[bytes]:
+    """The full chunks; what is left at the end belongs to none."""
+    return [data[i * chunk:(i + 1) * chunk] for i in range(len(data) // chunk)]
+
+
 def compression(packer, data: bytes, bands=BANDS, chunk=CHUNK_BYTES, chunk_band=CHUNK_BAND, share=CHUNK_SHARE):
     """(ratio of the whole, share of full chunks outside their band, verdict)."""
     whole = ratio(packer, data)
-    low, high = next((lo, hi) for most, lo, hi in bands if len(data) <= most)
-    full = len(data) // chunk
-    bad = sum(not chunk_band[0] <= ratio(packer, data[i * chunk:(i + 1) * chunk]) <= chunk_band[1] for i in range(full))
-    bad = bad / full if full else 0.0
-    return whole, bad, low <= whole <= high and bad <= share
+    band = next(limits for most, *limits in bands if len(data) <= most)
+    parts = chunks_of(data, chunk)
+    bad = sum(not within(ratio(packer, part), part, *chunk_band) for part in parts) / len(parts) if parts else 0.0
+    return whole, bad, within(whole, data, *band) and bad <= share
+
+
+def length_class(n_bytes: int) -> int:
+    return math.floor(CLASSES * math.log2(n_bytes))
+
+
+_CHUNKS = -1  # in place of a length class
+
+
+def _points(packer, data: bytes, chunk: int) -> list[tuple[int, int, int]]:
+    """(length class, ratio, density) of a text and of its full chunks, the last two in steps."""
+    out = []
+    for kind, part in [(length_class(len(data)), data), *[(_CHUNKS, x) for x in chunks_of(data, chunk)]]:
+        packed = ratio(packer, part)
+        out.append((kind, int(packed * STEPS), int(density(packed, part) * STEPS)))
+    return out
+
+
+def quartiles(counts: dict[int, int]) -> tuple[int, int]:
+    order, total = sorted(counts), sum(counts.values())
+    upto = np.cumsum([counts[k] for k in order])
+    return tuple(order[int(np.searchsorted(upto, part * total))] for part in (0.25, 0.75))
+
+
+def fences(counts: dict[int, int]) -> tuple[float, float]:
+    """Limits of a measure counted in steps: the rule stands above."""
+    first, third = (q / STEPS for q in quartiles(counts))
+    reach = FENCE * max(third - first, LEAST_SPREAD)
+    return first - reach, third + 1 / STEPS + reach
+
+
+def limits_from(rows) -> dict:
+    """``bands`` and ``chunk_band`` from (measure, length class, step, count) rows,
+    measure 0 the ratio and 1 the density; none if the texts are too few."""
+    held: dict[int, tuple[Counter, Counter]] = {}
+    for measure_, kind, step, n in rows:
+        held.setdefault(kind, (Counter(), Counter()))[measure_][step] += n
+    chunks = held.pop(_CHUNKS, None)
+    joined: list[list] = []  # [last class, ratios, densities]
+    for kind in sorted(held):
+        if joined and joined[-1][1].total() < CLASS_TEXTS:
+            joined[-1] = [kind, *(a + b for a, b in zip(joined[-1][1:], held[kind]))]
+        else:
+            joined.append([kind, *held[kind]])
+    if len(joined) > 1 and joined[-1][1].total() < CLASS_TEXTS:
+        kind, *last = joined.pop()
+        joined[-1] = [kind, *(a + b for a, b in zip(joined[-1][1:], last))]
+    if not joined or joined[0][1].total() < CLASS_TEXTS:
+        return {}
+    joined[-1][0] = 1 << 12  # all that are longer
+    bands = []
+    for kind, ratios, densities in joined:
+        most = 1 << 62 if kind == 1 << 12 else math.ceil(2 ** ((kind + 1) / CLASSES)) - 1
+        bands.append((most, *fences(ratios), fences(densities)[1]))
+    out = {"bands": tuple(bands)}
+    if chunks and chunks[0].total() >= CLASS_TEXTS:
+        out["chunk_band"] = (*fences(chunks[0]), fences(chunks[1])[1])
+    return out
+
+
+def limits_of(docs: DataFrame, text: str = "text", chunk: int = CHUNK_BYTES) -> dict:
+    """The limits of a table, by one aggregate over all its texts; the driver gets a
+    histogram of at most a row per class and step."""
+    @F.arrow_udf("array<struct<kind: int, ratio: int, density: int>>")
+    def points(texts: pa.Array) -> pa.Array:
+        packer = zstandard.ZstdCompressor(level=LEVEL)
+        row = pa.list_(pa.struct([(n, pa.int32()) for n in ("kind", "ratio", "density")]))
+        out = [pa.array([], row)]
+        for _, part in slices(texts):
+            failed = base_rules(part)["base_failed"].to_pylist()
+            out.append(pa.array([[] if bad else [dict(zip(("kind", "ratio", "density"), p)) for p in _points(packer, t.encode(), chunk)]
+                                 for t, bad in zip(part.to_pylist(), failed)], row))
+        return pa.concat_arrays(out)
+
+    each = docs.select(F.explode(points.asNondeterministic()(quoted(text))).alias("p")).select("p.*")
+    steps = each.select("kind", F.posexplode(F.array("ratio", "density")).alias("measure", "step"))
+    return limits_from(steps.groupBy("measure", "kind", "step").count().collect())
 
 
 def repeat_words(ids: np.ndarray, width: int) -> int:
@@ -72,33 +186,38 @@ def dup_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+def base_rules(part: pa.Array) -> dict[str, pa.Array]:
+    """The countable columns of ``SCHEMA`` for a slice of texts."""
+    starts, words = words_of(part)
+    ids, distinct = word_ids(words)
+    if len(distinct) >= 1 << 21:  # three ids no longer fit 63 bits
+        raise ValueError("over two million distinct words in one text")
+    n_words = np.diff(starts)
+    chars = np.concatenate([[0], np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    data = np.frombuffer(part.buffers()[2] or b"", np.uint8)
+    ends = np.frombuffer(part.buffers()[1], np.int32)[part.offset:part.offset + len(part) + 1]
+    marks = np.concatenate([[0], np.cumsum(_SYMBOL[data[ends[0]:ends[-1]]])])
+    repeats = np.array([repeat_words(ids[a:b], len(distinct)) for a, b in zip(starts[:-1], starts[1:])], np.int64)
+    return {
+        "n_words": pa.array(n_words, pa.int64()), "word_chars": pa.array(np.diff(chars[starts]), pa.int64()),
+        "n_symbols": pa.array(np.diff(marks[ends - ends[0]]), pa.int64()),
+        "n_dup_lines": pa.array([dup_lines(t.as_py()) for t in part], pa.int64()),
+        "n_repeat_words": pa.array(repeats, pa.int64()),
+        "base_failed": pa.array((n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)),
+    }
+
+
 def measure(texts: pa.Array, **limits) -> pa.Array:
     """The columns of ``SCHEMA`` for a column of texts."""
     packer = zstandard.ZstdCompressor(level=LEVEL)
     parts = []
     for _, part in slices(texts):
-        starts, words = words_of(part)
-        ids, distinct = word_ids(words)
-        if len(distinct) >= 1 << 21:  # three ids no longer fit 63 bits
-            raise ValueError("over two million distinct words in one text")
-        n_words = np.diff(starts)
-        chars = np.concatenate([[0], np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)])
-        data = np.frombuffer(part.buffers()[2] or b"", np.uint8)
-        ends = np.frombuffer(part.buffers()[1], np.int32)[part.offset:part.offset + len(part) + 1]
-        marks = np.concatenate([[0], np.cumsum(_SYMBOL[data[ends[0]:ends[-1]]])])
-        symbols = np.diff(marks[ends - ends[0]])
-        repeats = np.array([repeat_words(ids[a:b], len(distinct)) for a, b in zip(starts[:-1], starts[1:])], np.int64)
-        texts_ = part.to_pylist()
-        dups = [dup_lines(t) for t in texts_]
-        packed = [compression(packer, t.encode(), **limits) for t in texts_]
-        failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
-        parts.append(struct_array({
-            "n_words": pa.array(n_words, pa.int64()), "word_chars": pa.array(np.diff(chars[starts]), pa.int64()),
-            "n_symbols": pa.array(symbols, pa.int64()), "n_dup_lines": pa.array(dups, pa.int64()),
-            "n_repeat_words": pa.array(repeats, pa.int64()), "base_failed": pa.array(failed),
+        base = base_rules(part)
+        packed = [compression(packer, t.encode(), **limits) for t in part.to_pylist()]
+        parts.append(struct_array(base | {
             "ratio": pa.array([p[0] for p in packed], pa.float64()),
             "bad_chunks": pa.array([p[1] for p in packed], pa.float64()),
-            "kept": pa.array([bool(p[2] and not f) for p, f in zip(packed, failed)]),
+            "kept": pa.array([bool(p[2] and not f) for p, f in zip(packed, base["base_failed"].to_pylist())]),
         }))
     return pa.concat_arrays(parts) if parts else pa.array([], _struct_type())
 
@@ -110,7 +229,11 @@ def _struct_type():
 
 def with_quality(docs: DataFrame, text: str = "text", out: str = "quality", **limits) -> tuple[DataFrame, str]:
     """``docs`` with a struct of the columns in ``SCHEMA``, and the struct's name
-    (``out``, or the next free name).  ``limits``: bands, chunk, chunk_band, share."""
+    (``out``, or the next free name).  ``limits``: bands, chunk, chunk_band, share;
+    the bands not given are derived from all rows of ``docs``, which reads them once."""
+    if "bands" not in limits or "chunk_band" not in limits:
+        limits = limits_of(docs, text, limits.get("chunk", CHUNK_BYTES)) | limits
+
     @F.arrow_udf(SCHEMA)
     def judge(texts: pa.Array) -> pa.Array:
         return measure(texts, **limits)

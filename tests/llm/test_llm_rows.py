@@ -76,6 +76,25 @@ def test_quality_random_texts():
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute_quality(t)
 
 
+def test_quality_limits_come_from_the_table(spark):
+    draw = random.Random(21)
+    clean = [prose(draw.randint(350, 450), 100 + i) for i in range(300)]
+    # junk that the base rules pass: a small vocabulary, hex words, and words of two characters
+    dull = [" ".join("".join(draw.choices(WORDS[:9], k=2)) for _ in range(400)) for _ in range(6)]
+    encoded = [" ".join("".join(draw.choices("0123456789abcdef", k=12)) for _ in range(350)) for _ in range(6)]
+    binary = [" ".join("".join(draw.choices("01", k=11)) for _ in range(400)) for _ in range(6)]
+    rows = [(k, t) for k, texts in (("clean", clean), ("dull", dull), ("encoded", encoded), ("binary", binary)) for t in texts]
+    judged, name = quality.with_quality(spark.createDataFrame(rows, "kind string, text string").repartition(5))
+    got = judged.select("kind", f"{name}.*").collect()
+    assert not any(r.base_failed for r in got)
+    kept = Counter(r.kind for r in got if r.kept)
+    assert kept["clean"] >= 297 and set(kept) == {"clean"}
+    # the rule does not depend on the order of rows or on their partitions
+    table = spark.createDataFrame(rows, "kind string, text string")
+    assert quality.limits_of(table) == quality.limits_of(table.repartition(3).orderBy("text"))
+    assert quality.limits_of(table.limit(20)) == {}  # the fixed limits
+
+
 def test_words_and_hashes():
     texts = ["a  b\tc\n", "", " x", "x\x0by\x0cz", "é ü"]
     starts, words = words_of(pa.array(texts))
