@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import deque
 
 
 class Automaton:
@@ -63,27 +62,42 @@ class Automaton:
                     self.moves[into][symbol] = (known, m + n)
                     todo.append((known, to))
 
+    def alike(self, a: int, b: int, floor: float) -> float:
+        """Mean log likelihood of what follows ``b`` under what follows ``a``."""
+        todo, total, n_all = [(a, b)], 0.0, 0
+        while todo and n_all < 400:
+            a, b = todo.pop()
+            n = self.arrivals(a)
+            if self.ends[b]:
+                total += self.ends[b] * math.log((self.ends[a] or floor) / (n + 1))
+                n_all += self.ends[b]
+            for symbol, (to_b, g) in self.moves[b].items():
+                to_a, f = self.moves[a].get(symbol, (None, floor))
+                total += g * math.log(f / (n + 1))
+                n_all += g
+                if to_a is not None and to_a != to_b:
+                    todo.append((to_a, to_b))
+        return total / max(n_all, 1)
+
     def merged(self, alpha: float) -> "Automaton":
-        """Merge each state with the first compatible one settled before it."""
+        """Merge each state, the most frequent first, with the compatible one settled
+        before it under which its strings are likeliest.  A state may merge with its
+        own ancestor, so runs of any length become loops."""
         settled, seen = [0], {0}
-        queue = deque((0, s) for s in sorted(self.moves[0]))
-        while queue:
-            parent, symbol = queue.popleft()
+        while True:
+            fringe = [(-n, r, s) for r in settled for s, (to, n) in self.moves[r].items() if to not in seen]
+            if not fringe:
+                return self
+            _, parent, symbol = min(fringe)
             state, n = self.moves[parent][symbol]
-            if state in seen:
-                continue
-            for other in settled:
-                if self.compatible(other, state, alpha):
-                    self.moves[parent][symbol] = (other, n)
-                    self.fold(other, state)
-                    # folding may have hung new states under any settled one
-                    queue = deque((r, s) for r in settled for s in sorted(self.moves[r]) if self.moves[r][s][0] not in seen)
-                    break
+            fits = [o for o in settled if self.compatible(o, state, alpha)]
+            if fits:
+                other = max(fits, key=lambda o: self.alike(o, state, 0.05))
+                self.moves[parent][symbol] = (other, n)
+                self.fold(other, state)
             else:
                 settled.append(state)
                 seen.add(state)
-                queue.extend((state, s) for s in sorted(self.moves[state]))
-        return self
 
     def table(self, floor: float) -> list[tuple[dict, float]]:
         """Per state: symbol to (next state, log probability), and the log
@@ -94,9 +108,26 @@ class Automaton:
             out.append(({s: (to, math.log(c / n)) for s, (to, c) in moves.items()}, math.log(floor / (n + 1))))
         return out
 
+    def end_table(self, floor: float) -> list[float]:
+        """Per state: log probability that a string ends there."""
+        return [math.log(e / n if e else floor / (n + 1)) for e, n in ((e, self.arrivals(s)) for s, e in enumerate(self.ends))]
+
+    def reachable(self) -> "Automaton":
+        """The same automaton without the states that merging left behind."""
+        order, number = [0], {0: 0}
+        for state in order:
+            for to, _ in self.moves[state].values():
+                if to not in number:
+                    number[to] = len(order)
+                    order.append(to)
+        moves = [{s: (number[to], n) for s, (to, n) in self.moves[state].items()} for state in order]
+        self.ends, self.moves = [self.ends[state] for state in order], moves
+        return self
+
 
-def likelihood(table, text: str, least: float = -math.inf) -> float:
-    """Log likelihood of the symbols of ``text``; -inf once it is under ``least``."""
+def likelihood(table, text: str, least: float = -math.inf, ends: list[float] | None = None) -> float:
+    """Log likelihood of the symbols of ``text``, and with ``ends`` of its end after
+    them; -inf once it is under ``least``."""
     at, total = 0, 0.0
     for symbol in text:
         moves, unseen = table[at]
@@ -104,4 +135,4 @@ def likelihood(table, text: str, least: float = -math.inf) -> float:
         total += p
         if total < least:
             return -math.inf
-    return total
+    return total + ends[at] if ends else total

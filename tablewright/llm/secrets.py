@@ -38,18 +38,18 @@ FLOOR = 0.05           # pseudo-count of a symbol a state has never seen
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _ALNUM = _UPPER + _LOWER + _DIGIT
-# Published formats of credentials, as parts: a string stands for itself, a pair
-# for that many random characters of an alphabet.
+# Published formats of credentials, as parts: a string stands for itself, a triple
+# for between so many and so many random characters of an alphabet.
 FORMATS = {
-    "access_key": ["AKIA", (16, _UPPER + "234567")],
-    "session_key": ["ASIA", (16, _UPPER + "234567")],
-    "secret_key": [(40, _ALNUM + "/+")],
-    "personal_token": ["ghp_", (36, _ALNUM)],
-    "chat_token": ["xoxb-", (12, _DIGIT), "-", (12, _DIGIT), "-", (24, _ALNUM)],
-    "payment_key": ["sk_live_", (24, _ALNUM)],
-    "maps_key": ["AIza", (35, _ALNUM + "_-")],
-    "web_token": ["eyJ", (17, _ALNUM), ".eyJ", (40, _ALNUM), ".", (43, _ALNUM + "_-")],
-    "upper_hex": [(32, _DIGIT + "ABCDEF")],
+    "access_key": ["AKIA", (16, 16, _UPPER + "234567")],
+    "session_key": ["ASIA", (16, 16, _UPPER + "234567")],
+    "secret_key": [(32, 88, _ALNUM + "/+")],
+    "personal_token": ["ghp_", (36, 80, _ALNUM)],
+    "chat_token": ["xoxb-", (10, 13, _DIGIT), "-", (10, 13, _DIGIT), "-", (24, 36, _ALNUM)],
+    "payment_key": ["sk_live_", (24, 99, _ALNUM)],
+    "maps_key": ["AIza", (35, 35, _ALNUM + "_-")],
+    "web_token": ["eyJ", (17, 90, _ALNUM + "_-"), ".eyJ", (30, 300, _ALNUM + "_-"), ".", (43, 342, _ALNUM + "_-")],
+    "upper_hex": [(32, 64, _DIGIT + "ABCDEF")],
 }
 # Words of ordinary text, from which long ordinary runs are made.
 ORDINARY = """about above after again against because before between being could during every found great having
@@ -74,7 +74,7 @@ def labelled_credentials(per_format: int = PER_FORMAT, seed: int = 7) -> list[tu
     rows = []
     for name, parts in FORMATS.items():
         for _ in range(per_format):
-            rows.append((name, "".join(p if isinstance(p, str) else "".join(draw.choices(p[1], k=p[0])) for p in parts)))
+            rows.append((name, "".join(p if isinstance(p, str) else "".join(draw.choices(p[2], k=draw.randint(*p[:2]))) for p in parts)))
     return rows
 
 
@@ -111,11 +111,11 @@ class Grammars:
             by_format.setdefault(kind, []).append(text)
         self.formats = {}
         for kind, texts in sorted(by_format.items()):
-            table = Automaton(texts).merged(alpha).table(FLOOR)
-            lengths = [len(t) for t in texts]
+            automaton = Automaton(texts).merged(alpha).reachable()
+            table, ends = automaton.table(FLOOR), automaton.end_table(FLOOR)
             # a credential may be likelier than any seen, and a little less likely
             worst = min(likelihood(table, t) / len(t) for t in texts)
-            self.formats[kind] = (table, min(lengths), max(lengths), worst - 0.35)
+            self.formats[kind] = (table, ends, worst - 0.35)
         self.pairs = _pair_model(ordinary or ordinary_strings())
         self.gain = functools.lru_cache(maxsize=50_000)(self._gain)
 
@@ -123,13 +123,12 @@ class Grammars:
         return _restored, (self.formats, self.pairs)
 
     def _gain(self, token: str) -> tuple[float, str]:
-        """(best log likelihood ratio, its format)."""
+        """(best log likelihood ratio, its format), over all formats whatever the length."""
         base = self.ordinary(token)
         best = (-math.inf, "")
-        for kind, (table, short, long, worst) in self.formats.items():
-            if short <= len(token) <= long:
-                p = likelihood(table, token, max(base, worst * len(token)))
-                best = max(best, (p - base, kind))
+        for kind, (table, ends, worst) in self.formats.items():
+            p = likelihood(table, token, max(base, worst * len(token)), ends)
+            best = max(best, (p - base, kind))
         return best
 
     def ordinary(self, token: str) -> float:

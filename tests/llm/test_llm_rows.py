@@ -133,6 +133,24 @@ def test_grammars_separate_credentials_from_text():
     assert sum(g.gain(t)[0] >= secrets.MIN_GAIN for t in ordinary) / len(ordinary) < 0.005
 
 
+def test_credentials_of_any_length():
+    g, draw = secrets.Grammars(), random.Random(31)
+    some = lambda n, alphabet=secrets._ALNUM: "".join(draw.choices(alphabet, k=n))
+    tokens = [some(n, "0123456789ABCDEF") for n in (32, 48, 64, 128)] + ["ghp_" + some(n) for n in (36, 82, 251)]
+    tokens += ["sk_live_" + some(n) for n in (24, 60, 99)] + [some(n, secrets._ALNUM + "/+") for n in (40, 44, 64, 86)]
+    tokens += [f"xoxb-{some(11, '0123456789')}-{some(13, '0123456789')}-{some(24)}"]
+    tokens += [f"eyJ{some(33)}.eyJ{some(n)}.{some(m)}" for n, m in ((60, 43), (200, 86), (900, 342))]
+    assert [t for t in tokens if g.gain(t)[0] < secrets.MIN_GAIN] == []
+
+
+def test_likelihood_counts_the_end():
+    a = automata.Automaton(["a" * n for n in (4, 5, 6, 7)] * 30).merged(0.05).reachable()
+    table, ends = a.table(0.05), a.end_table(0.05)
+    total = lambda ends: sum(np.exp(automata.likelihood(table, "a" * n, ends=ends)) for n in range(400))
+    assert total(ends) < 1.05 < 4 < total(None)  # what is over 1 are the floors of unseen ends
+    assert automata.likelihood(table, "aaaaa", ends=ends) < automata.likelihood(table, "aaaaa")
+
+
 def test_automaton_merges_and_keeps_probability():
     strings = ["k" + "".join(random.Random(i).choices("ab", k=6)) for i in range(300)]
     a = automata.Automaton(strings)
