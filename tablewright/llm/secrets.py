@@ -4,9 +4,12 @@ for credentials that stand alone.
 Labelled credentials of each format are read into a prefix tree whose states are
 merged where their next-symbol frequencies are statistically compatible.  The
 resulting automaton gives the likelihood of any string under the format.  A text's
-candidates, all its runs of credential characters, are scored by the best format
-against an automaton of ordinary text; those far likelier as a credential are
-spans too.
+candidates are its runs of credential characters, outside the patterns' matches, and
+parts of them: from the run's start, after each '=' or '/', and where the beginning
+that a format always has stands; up to the run's end or any character but letters and
+digits.  They are scored by the best format against an automaton of ordinary text;
+of those far likelier as a credential, the set without overlap that gains the most
+are spans too.
 
 Null text is an empty text, without spans.  Every row is scanned by itself, whole;
 repeated rows give repeated results; other columns are passed on.
@@ -34,6 +37,7 @@ CANDIDATE = re.compile(r"(?<![\w+/=.-])[A-Za-z0-9+/_.=-]{16,}(?!\w)")
 MIN_GAIN = 14.0        # log likelihood ratio, format to ordinary text
 PER_FORMAT = 120       # labelled credentials drawn for each format
 ALPHA = 0.05
+LEAST = 16             # characters of a candidate
 FLOOR = 0.05           # pseudo-count of a symbol a state has never seen
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -117,7 +121,12 @@ class Grammars:
             worst = min(likelihood(table, t) / len(t) for t in texts)
             self.formats[kind] = (table, ends, worst - 0.35)
         self.pairs = _pair_model(ordinary or ordinary_strings())
+        self._prepare()
+
+    def _prepare(self) -> None:
         self.gain = functools.lru_cache(maxsize=50_000)(self._gain)
+        self._known = functools.lru_cache(maxsize=20_000)(self._parts)
+        self.heads = tuple({h for table, _, _ in self.formats.values() if len(h := _head(table)) >= 3})
 
     def __reduce__(self):
         return _restored, (self.formats, self.pairs)
@@ -131,6 +140,59 @@ class Grammars:
             best = max(best, (p - base, kind))
         return best
 
+    def parts(self, run: str, min_gain: float) -> tuple[tuple[int, int], ...]:
+        return (self._known if len(run) <= 256 else self._parts)(run, min_gain)
+
+    def _parts(self, run: str, min_gain: float) -> tuple[tuple[int, int], ...]:
+        """(start, end) of the candidates in ``run`` that together gain the most, without
+        overlap, each ``min_gain`` at least.  All starts go through all automata at once,
+        and of those that meet in a state the likelier goes on."""
+        size = len(run.rstrip(".-="))
+        starts = {0} | {i + 1 for i, c in enumerate(run[:size]) if c in "=/"}
+        for head in self.heads:
+            at = run.find(head)
+            while at >= 0:
+                starts.add(at)
+                at = run.find(head, at + 1)
+        pairs, unseen = self.pairs
+        rest = [0.0] * (size + 1)  # ordinary likelihood of what is left, from each place on
+        for i in range(size - 1, -1, -1):
+            rest[i] = rest[i + 1] + pairs.get((run[i - 1] if i else "", run[i]), unseen)
+        total, chosen = [0.0] * (size + 1), [-1] * (size + 1)  # best gain up to a place; start of the candidate that ends there
+        alive: dict[tuple[str, int], tuple[float, float, int]] = {}  # (format, state): gain, likelihood, start
+        for i in range(size):
+            symbol, nxt = run[i], {}
+            ordinary = rest[i] - rest[i + 1]
+            if i in starts and size - i >= LEAST:
+                for kind in self.formats:
+                    gain, _, start = alive.get((kind, 0), (-math.inf, 0.0, 0))
+                    if total[start] + gain <= total[i]:
+                        alive[kind, 0] = (0.0, 0.0, i)
+            total[i + 1] = total[i]
+            ends_here = i + 1 == size or not run[i + 1].isalnum()
+            for (kind, state), (gain, p, start) in alive.items():
+                table, ends, worst = self.formats[kind]
+                moves, none = table[state]
+                to, step = moves.get(symbol, (state, none))
+                gain, p = gain + step - ordinary, p + step
+                # nothing that follows can have a likelihood over 1
+                if gain - rest[i + 1] < min_gain or p < worst * (size - start):
+                    continue
+                if (kind, to) not in nxt or total[nxt[kind, to][2]] + nxt[kind, to][0] < total[start] + gain:
+                    nxt[kind, to] = (gain, p, start)
+                if ends_here and i + 1 - start >= LEAST and gain + ends[to] >= min_gain and p + ends[to] >= worst * (i + 1 - start):
+                    if total[start] + gain + ends[to] > total[i + 1]:
+                        total[i + 1], chosen[i + 1] = total[start] + gain + ends[to], start
+            alive = nxt
+        found, at = [], size
+        while at > 0:
+            if chosen[at] >= 0:
+                found.append((chosen[at], at))
+                at = chosen[at]
+            else:
+                at -= 1
+        return tuple(reversed(found))
+
     def ordinary(self, token: str) -> float:
         pairs, unseen = self.pairs
         last, total = "", 0.0
@@ -143,10 +205,21 @@ class Grammars:
 def _restored(formats, pairs):
     g = Grammars.__new__(Grammars)
     g.formats, g.pairs = formats, pairs
-    g.gain = functools.lru_cache(maxsize=50_000)(g._gain)
+    g._prepare()
     return g
 
 
+def _head(table) -> str:
+    """The symbols that strings of a format begin with, as inferred."""
+    head, at = "", 0
+    while len(head) < 16:
+        to, symbol, p = max(((to, s, p) for s, (to, p) in table[at][0].items()), key=lambda x: x[2], default=(0, "", -math.inf))
+        if p < math.log(0.9):
+            break
+        head, at = head + symbol, to
+    return head
+
+
 def _pair_model(strings) -> tuple[dict, float]:
     """Automaton of ordinary text with a state per last character; all 66
     credential characters keep some probability after any."""
@@ -187,10 +260,11 @@ def format_spans(text: str, grammars: Grammars, base, min_gain: float = MIN_GAIN
     """(start, kind number, end) of candidates likelier under a format, apart from base spans."""
     out = []
     for m in CANDIDATE.finditer(text):
-        token = m.group().rstrip(".-=") if m.group()[-1] in ".-=" else m.group()
-        start, end = m.start(), m.start() + len(token)
-        if len(token) >= 16 and grammars.gain(token)[0] >= min_gain and not any(a < end and start < b for a, _, b in base):
-            out.append((start, 3, end))
+        at = m.start()
+        for a, _, b in [x for x in base if x[0] < m.end() and x[2] > at] + [(m.end(), 0, m.end())]:
+            if a - at >= LEAST:
+                out += [(at + start, 3, at + end) for start, end in grammars.parts(text[at:a], min_gain)]
+            at = max(at, b)
     return out
 
 

@@ -143,6 +143,22 @@ def test_credentials_of_any_length():
     assert [t for t in tokens if g.gain(t)[0] < secrets.MIN_GAIN] == []
 
 
+def test_credentials_inside_runs():
+    g, draw = secrets.Grammars(), random.Random(33)
+    some = lambda n, alphabet=secrets._ALNUM: "".join(draw.choices(alphabet, k=n))
+    found = lambda text: [text[a:b] for a, _, b in secrets.format_spans(text, g, secrets.base_spans(text))]
+    ghp, maps, key = "ghp_" + some(36), "AIza" + some(35), some(40)
+    assert found(f"GITHUB_PAT={ghp}") == [ghp]
+    assert found(f"GET /api/js?sig={maps}&v=3") == [maps]
+    assert found(f"AWS_SECRET_ACCESS_KEY={key} and /srv/data/{ghp}/file.txt") == [key, ghp]
+    assert found(f"first={ghp}=second={maps}") == [ghp, maps]
+    assert found(f"name.of.the.backup-{ghp}") == [ghp]
+    # beside a pattern's match, which stays one span
+    assert found(f"deadbeefdeadbeefdeadbeef0123/{ghp}") == [ghp]
+    plain = ["/usr/local/share/information/question.html", "name=international_government/report-2019.txt", "a=b=c/d/e=public/national/static"]
+    assert [found(t) for t in plain + secrets.ordinary_strings(300, seed=97)] == [[]] * 303
+
+
 def test_likelihood_counts_the_end():
     a = automata.Automaton(["a" * n for n in (4, 5, 6, 7)] * 30).merged(0.05).reachable()
     table, ends = a.table(0.05), a.end_table(0.05)
