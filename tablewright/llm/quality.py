@@ -165,10 +165,14 @@ def limits_of(docs: DataFrame, text: str = "text", chunk: int = CHUNK_BYTES) ->
 
 
 def repeat_words(ids: np.ndarray, width: int) -> int:
-    """Words inside three-word windows that occur at least twice in the text."""
+    """Words inside three-word windows that occur at least twice in the text.
+    ``width``: more than any id; up to 2^31, so any text that fits a task."""
     if len(ids) < 4:
         return 0
-    code = (ids[:-2] * width + ids[1:-1]) * width + ids[2:]
+    pairs = ids[:-2] * width + ids[1:-1]
+    if width >= 1 << 21:  # three ids no longer fit 63 bits, the number of a pair and an id do
+        pairs = np.unique(pairs, return_inverse=True)[1]
+    code = pairs * width + ids[2:]
     order = np.argsort(code, kind="stable")
     same = code[order][1:] == code[order][:-1]
     if not same.any():
@@ -190,8 +194,6 @@ def base_rules(part: pa.Array) -> dict[str, pa.Array]:
     """The countable columns of ``SCHEMA`` for a slice of texts."""
     starts, words = words_of(part)
     ids, distinct = word_ids(words)
-    if len(distinct) >= 1 << 21:  # three ids no longer fit 63 bits
-        raise ValueError("over two million distinct words in one text")
     n_words = np.diff(starts)
     chars = np.concatenate([[0], np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)])
     data = np.frombuffer(part.buffers()[2] or b"", np.uint8)

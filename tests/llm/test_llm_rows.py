@@ -76,6 +76,17 @@ def test_quality_random_texts():
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute_quality(t)
 
 
+def test_quality_text_of_millions_of_distinct_words():
+    words = [f"{i:x}" for i in range((1 << 21) + 5)]
+    text = " ".join(words + words[:4])  # four words in two windows that occur twice
+    got, short = quality.measure(pa.array([text, "a b"])).to_pylist()
+    assert (got["n_words"], got["n_repeat_words"], got["base_failed"]) == (len(words) + 4, 8, False)
+    assert (short["n_words"], short["base_failed"]) == (2, True)
+    # pairs that are equal in the lower bits only
+    assert quality.repeat_words(np.array([0, 7, 9, 16, 7, 9, 5]), 1 << 30) == 0
+    assert quality.repeat_words(np.array([16, 7, 9, 16, 7, 9, 5]), 1 << 30) == 6
+
+
 def test_quality_limits_come_from_the_table(spark):
     draw = random.Random(21)
     clean = [prose(draw.randint(350, 450), 100 + i) for i in range(300)]
