@@ -284,6 +284,15 @@ def p18_long_samples(spark, sf):
     return spark.createDataFrame(list(enumerate(values)), "position int, value string")
 
 
+@query("p18_whole_samples", """SELECT CAST(k - 1 AS INT) AS "position", v AS "value" FROM (SELECT v, row_number() OVER (ORDER BY v) AS k FROM (
+  SELECT DISTINCT trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS v FROM documents) WHERE lower(v) NOT IN ('', 'nan', 'null', 'none', 'n/a', 'na', '-')) WHERE k <= 5""")
+def p18_whole_samples(spark, sf):
+    """The five smallest values of a column of texts of any length, uncut."""
+    df = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "text")
+    values = profile.analyze(df, ["text"], "seq").columns[0].samples
+    return spark.createDataFrame(list(enumerate(values)), "position int, value string")
+
+
 @query("c18_clean_twice", """SELECT c_custkey AS seq, trim(c_name) AS c_name, 'OK' AS _quality_flag FROM customer""")
 def c18_clean_twice(spark, sf):
     """Cleaning a cleaned table replaces its flag, whatever else its columns are called."""

@@ -26,3 +26,10 @@ def test_query(spark, name):
 
 def test_every_query_has_sql():
     assert set(registry.QUERIES) == set(registry.ORACLE)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_samples_are_whole_texts(spark):
+    found = registry.QUERIES["p18_whole_samples"](spark, SF)
+    assert check_oracle.compare(found, check_oracle.duck(SF), registry.ORACLE["p18_whole_samples"]).startswith("ok")
+    assert max(len(r.value) for r in found.collect()) > 300
