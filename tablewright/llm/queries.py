@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, quality, secrets, simhash, substrings, toxicity, urls, warc
+from . import decontaminate, licenses, mixing, periods, quality, secrets, simhash, substrings, tokens, toxicity, urls, warc
 from .common import quoted
 
 QUERIES: dict = {}
@@ -141,6 +142,37 @@ def op7(spark, sf):
     return licenses.matches(table(spark, sf, "documents"))
 
 
+def planted(n, h):
+    """Where ``h``, the checksum of the id, ends in 0, a tail of the text repeats its
+    beginning: the place whose word stands at each of n places."""
+    place = np.arange(n)
+    if h is not None and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        place[a:] = a + (place[a:] - a) % (1 + (n - a) // (3 + g % 8))
+    return place
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = periods.with_runs(docs, seed=F.crc32(F.col("doc_id").cast("string").cast("binary")), change=planted)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return found.select("doc_id", F.coalesce(F.size("runs"), F.lit(0)).cast("bigint").alias("n_runs"), "top.start", "top.length", "top.period",
+                        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+                        F.sha2(F.coalesce(F.array_join(line, ""), F.lit("")), 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
+@query("op13_token_counts")
+def op13(spark, sf):
+    import public_tokenizers
+
+    counted, name = tokens.with_token_counts(table(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
+                          quoted(name).alias("n_tokens"), (quoted(name) > 1024).alias("over_limit"))
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     import corpus_pipeline
