@@ -5,14 +5,17 @@ equal), of at least ``max(LEAST, POWER * q)`` words, which no neighbouring word
 The places whose word equals the one q further on form an interval of at least
 ``(POWER - 1) * q`` places; runs are found by these intervals:
 
-1. *Tiles.*  For every octave of periods [s, 2s) a text is cut at every s-th word.  The
-   tile of a cut holds s words before it and 4s after it.  Tiles that can't belong to a run
-   are left out: in a run the s words after a cut stand once more at a distance within the
-   octave, and so do those after the cut before or the cut behind (rolling hashes; they only
-   leave out, they decide nothing).
+1. *Tiles.*  For every octave of periods [s, 2s) a text is cut at every s-th word.  What
+   is looked at around a cut are s words before it and 4s after it.  Cuts that can't belong
+   to a run are left out: in a run the s words after a cut stand once more at a distance
+   within the octave, and so do those after the cut before or the cut behind (rolling hashes;
+   they only leave out, they decide nothing); and where 3s words have a period below s, none
+   of the octave is the smallest (checked for periods up to ``SHORT``).  A tile holds up to
+   ``TILE_WORDS`` words of cuts in succession, or four cuts, and overlaps the next.
 2. *Fragments.*  Each tile is solved alone, after a shuffle that deals tiles evenly: the
-   Z-function of the words after the cut gives how far they agree with those q further
-   on, that of the words before it read backwards how far back.
+   Z-function of the words after a cut gives how far they agree with those q further
+   on, that of the words before it read backwards how far back.  Where the q words after the
+   cut are a shorter piece repeated, q is not the smallest period and nothing is passed on.
 3. *Stitching.*  Fragments are shuffled by text and period, and those that overlap are
    joined.  A stretch that also has a smaller period has it from end to end, so of equal
    stretches of a text the least period stays.
@@ -22,8 +25,7 @@ its fragments in succession overlap, and the outer ones reach its ends, so nothi
 
 Words are runs of anything but ASCII white space; equal words are told by their number in
 the text, not by a hash.  Null and empty texts have no words and no runs.  Long texts are cut
-like short ones: a tile has 5s words, their number falls by half from octave to octave, and
-only those that may belong to a run travel.  Equal rows get equal results, ties are resolved
+like short ones; only tiles that may belong to a run travel.  Equal rows get equal results, ties are resolved
 as stated, an empty table gives an empty table, other columns are not looked at.
 """
 
@@ -45,8 +47,10 @@ LEAST = 6   # words of a run, at least
 POWER = 4   # times that a run's period fits into it, at least (3 and more are found)
 HELD_ROWS, HELD_BYTES = 1 << 14, 4 << 20  # rows held before they are passed on
 COMPARED = 1 << 20  # hashes compared at a time
+SHORT = 16          # periods up to which higher octaves are left out
+TILE_WORDS = 512    # words of a tile's cuts
 
-TILE = "a bigint, b bigint, step bigint, cut bigint, before bigint, words binary"
+TILE = "a bigint, b bigint, step bigint, cut bigint, n_cuts bigint, before bigint, words binary"
 FRAGMENT = "a bigint, b bigint, period bigint, lo bigint, hi bigint"
 
 _ODD = 0x9E3779B97F4A7C15 | 1
@@ -82,20 +86,43 @@ def cuts(codes: np.ndarray, starts: np.ndarray, step: int, least: int, power: in
     return at[matched], text[matched]
 
 
-def tiles(ids: np.ndarray, starts: np.ndarray, least: int = LEAST, power: int = POWER) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
-    """(text, step, cut, words before the cut, words) of all tiles that may belong to a
-    run.  ``ids``: the words of all texts in a row, text i from ``starts[i]`` on."""
+def reach_at(ids: np.ndarray, period: int) -> np.ndarray:
+    """For each place the end of the stretch from there on that has the period."""
+    n = len(ids)
+    if period >= n:
+        return np.arange(n) + 1
+    differs = np.where(ids[:-period] != ids[period:], np.arange(n - period), n - period)
+    first = np.minimum.accumulate(differs[::-1])[::-1]
+    return np.concatenate([first + period, np.full(period, n)])
+
+
+def tiles(ids: np.ndarray, starts: np.ndarray, least: int = LEAST, power: int = POWER) -> Iterator[tuple]:
+    """(text, step, first cut, number of cuts, words before the first cut, words) of all
+    tiles that may belong to a run.  ``ids``: the words of all texts in a row, text i from
+    ``starts[i]`` on."""
     if not len(ids):
         return
     # words of different texts are never equal
-    codes = mix64(ids + np.repeat(np.arange(len(starts) - 1), np.diff(starts)) * (int(ids.max()) + 1))
-    step, longest = 1, int(np.diff(starts).max())
+    own = ids + np.repeat(np.arange(len(starts) - 1), np.diff(starts)) * (int(ids.max()) + 1)
+    codes = mix64(own)
+    step, longest, reach = 1, int(np.diff(starts).max()), np.zeros(len(ids), np.int64)
     while power * step <= longest:
-        where, text = cuts(codes, starts, step, least, power)
-        for cut, t in zip(where.tolist(), text.tolist()):
-            begin, end = int(starts[t]), int(starts[t + 1])
-            first = max(cut - step, begin)
-            yield t, step, cut - begin, cut - first, ids[first:min(cut + 4 * step, end)]
+        cut, text = cuts(codes, starts, step, least, power)
+        below = reach[cut] >= np.minimum(cut + 3 * step, starts[text + 1])
+        cut, text = cut[~below], text[~below]
+        if len(cut):
+            most = max(TILE_WORDS // step, 4)
+            opens = np.concatenate([[True], (np.diff(cut) != step) | (np.diff(text) != 0)])
+            place = np.arange(len(cut))
+            place -= np.maximum.accumulate(np.where(opens, place, 0))
+            heads = np.flatnonzero(place % most == 0)
+            for head, end in zip(heads.tolist(), [*heads[1:].tolist(), len(cut)]):
+                t, at, last = int(text[head]), int(cut[head]), int(cut[end - 1])
+                begin = int(starts[t])
+                first = max(at - step, begin)
+                yield t, step, at - begin, end - head, at - first, ids[first:min(last + 4 * step, int(starts[t + 1]))]
+        for period in range(step, min(2 * step, SHORT + 1)):
+            reach = np.maximum(reach, reach_at(own, period))
         step *= 2
         codes = doubled(codes, step)
 
@@ -114,18 +141,38 @@ def z_function(s: list) -> list[int]:
     return z
 
 
-def fragments(step: int, cut: int, before: int, words: list) -> Iterator[tuple[int, int, int]]:
-    """(period, lo, hi): places lo <= i < hi around the cut whose word equals the one a
-    period further on, for the periods of the octave that hold for ``step`` places."""
+def around(step: int, before: int, words: list) -> Iterator[tuple[int, int, int]]:
+    """(period, back, ahead): how many words before the cut and from it on equal those a
+    period further on, for the periods of the octave that hold for ``step`` words."""
     ahead = words[before:]
     forward = z_function(ahead)
     found = [q for q in range(step, min(2 * step, len(ahead))) if forward[q] >= step]
-    if found:
-        # the words before the cut, read backwards, then the two steps after it, read backwards
-        near = ahead[:2 * step]
-        back = z_function(words[:before][::-1] + [-1] + near[::-1])
-        for q in found:
-            yield q, cut - back[before + 1 + len(near) - q], cut + forward[q]
+    if not found:
+        return
+    pieces = [d for d in range(1, step) if forward[d] >= step - d]
+    # the words before the cut, read backwards, then the two steps after it, read backwards
+    near = ahead[:2 * step]
+    back = z_function(words[:before][::-1] + [-1] + near[::-1])
+    for q in found:
+        if not any(q % d == 0 and forward[d] >= q - d for d in pieces):
+            yield q, back[before + 1 + len(near) - q], forward[q]
+
+
+def fragments(step: int, cut: int, n_cuts: int, before: int, words: list) -> list[tuple[int, int, int]]:
+    """(period, lo, hi): the places lo <= i < hi around the cuts of a tile whose word
+    equals the one a period further on; those of successive cuts that meet are one."""
+    out, last = [], {}
+    for j in range(n_cuts):
+        at = before + j * step
+        first = max(at - step, 0)
+        for q, back, ahead in around(step, at - first, words[first:at + 4 * step]):
+            lo, hi = cut + j * step - back, cut + j * step + ahead
+            if q in last and lo <= out[last[q]][2]:
+                out[last[q]] = (q, out[last[q]][1], max(hi, out[last[q]][2]))
+            else:
+                last[q] = len(out)
+                out.append((q, lo, hi))
+    return out
 
 
 def numbered(texts: pa.Array, change, seeds: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
@@ -171,15 +218,15 @@ def runs(docs: DataFrame, change=as_it_is, least: int = LEAST, power: int = POWE
                 a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
                 for first, starts, place, words in numbered(batch["text"], change, batch["seed"]):
                     ids = word_ids(words)[0][place]
-                    for t, step, cut, before, tile in tiles(ids, starts, least, power):
-                        yield a[first + t], b[first + t], step, cut, before, tile.astype(np.int32).tobytes()
+                    for t, *facts, tile in tiles(ids, starts, least, power):
+                        yield a[first + t], b[first + t], *facts, tile.astype(np.int32).tobytes()
         yield from _batches(rows(), TILE)
 
     def solve(batches):
         def rows():
             for batch in batches:
-                for a, b, step, cut, before, words in zip(*(batch[n] for n in ("a", "b", "step", "cut", "before", "words"))):
-                    for found in fragments(step.as_py(), cut.as_py(), before.as_py(), np.frombuffer(words.as_py(), np.int32).tolist()):
+                for a, b, *facts, words in zip(*batch.columns):
+                    for found in fragments(*(x.as_py() for x in facts), np.frombuffer(words.as_py(), np.int32).tolist()):
                         yield a.as_py(), b.as_py(), *found
         yield from _batches(rows(), FRAGMENT)
 

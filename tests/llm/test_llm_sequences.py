@@ -107,12 +107,28 @@ def test_runs_of_an_empty_table_and_of_too_low_a_power(spark, monkeypatch):
 
 def test_slices_and_portions_do_not_matter(monkeypatch):
     ids = np.array([1, 2, 3] * 9 + [5] * 11 + list(range(40)))
-    whole = [(*t[:4], t[4].tolist()) for t in periods.tiles(ids, np.array([0, len(ids)]))]
+    listed = lambda found: [(*t[1:-1], t[-1].tolist()) for t in found]
+    whole = listed(periods.tiles(ids, np.array([0, len(ids)])))
     monkeypatch.setattr(periods, "COMPARED", 1)
-    assert whole == [(*t[:4], t[4].tolist()) for t in periods.tiles(ids, np.array([0, len(ids)]))]
+    assert whole == listed(periods.tiles(ids, np.array([0, len(ids)])))
     # the same text after another one
-    later = periods.tiles(np.concatenate([ids, ids]), np.array([0, len(ids), 2 * len(ids)]))
-    assert whole == [(0, *t[1:4], t[4].tolist()) for t in later if t[0] == 1]
+    assert whole == listed(t for t in periods.tiles(np.concatenate([ids, ids]), np.array([0, len(ids), 2 * len(ids)])) if t[0] == 1)
+
+
+def test_tiles_of_any_size_give_the_same_runs(monkeypatch):
+    for n, text in enumerate(texts_with_runs(17, 150)):
+        words = text.split()
+        ids = np.unique(np.array(words, object).astype(str), return_inverse=True)[1] if words else np.zeros(0, np.int64)
+        for size, short in ((1, 0), (16, 16), (512, 2)):
+            monkeypatch.setattr(periods, "TILE_WORDS", size)
+            monkeypatch.setattr(periods, "SHORT", short)
+            places: dict = {}
+            for _, *facts, tile in periods.tiles(ids, np.array([0, len(ids)])):
+                for q, lo, hi in periods.fragments(*facts, tile.tolist()):
+                    places.setdefault(q, set()).update(range(lo, hi))
+            for s, length, q in brute_runs(words):
+                assert set(range(s, s + length - q)) <= places[q], (n, size)
+            assert all(words[i] == words[i + q] for q in places for i in places[q])
 
 
 @needs_tables
