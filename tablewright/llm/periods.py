@@ -24,7 +24,8 @@ An interval of 3q places or more holds at least two cuts whose s words agree, an
 its fragments in succession overlap, and the outer ones reach its ends, so nothing is lost.
 
 Words are runs of anything but ASCII white space; equal words are told by their number in
-the text, not by a hash.  Null and empty texts have no words and no runs.  Long texts are cut
+the text, not by a hash.  Only texts that have tiles are stored beside them and joined with
+their runs; the others are read again and need nothing of other tasks.  Null and empty texts have no words and no runs.  Long texts are cut
 like short ones; only tiles that may belong to a run travel.  Equal rows get equal results, ties are resolved
 as stated, an empty table gives an empty table, other columns are not looked at.
 """
@@ -37,6 +38,8 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablewright.session import stage
@@ -50,7 +53,10 @@ COMPARED = 1 << 20  # hashes compared at a time
 SHORT = 16          # periods up to which higher octaves are left out
 TILE_WORDS = 512    # words of a tile's cuts
 
-TILE = "a bigint, b bigint, step bigint, cut bigint, n_cuts bigint, before bigint, words binary"
+TASK_BYTES = 4 << 20  # of tiles for one task
+
+# a tile, or, where step is 0, a text that has tiles
+TILE = "seed bigint, a bigint, b bigint, step bigint, cut bigint, n_cuts bigint, before bigint, words binary"
 FRAGMENT = "a bigint, b bigint, period bigint, lo bigint, hi bigint"
 
 _ODD = 0x9E3779B97F4A7C15 | 1
@@ -185,14 +191,17 @@ def numbered(texts: pa.Array, change, seeds: pa.Array) -> Iterator[tuple[int, np
         yield first, starts, place, words
 
 
-def _batches(rows: Iterator[tuple], fields: str) -> Iterator[pa.RecordBatch]:
-    """Rows in batches of bounded size."""
+def _schema(fields: str, **others: pa.DataType) -> pa.Schema:
     kinds = {"bigint": pa.int64(), "binary": pa.binary()}
-    schema = pa.schema([(n, kinds[k]) for n, k in (f.split() for f in fields.split(", "))])
+    return pa.schema([*others.items(), *[(n, kinds[k]) for n, k in (f.split() for f in fields.split(", "))]])
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded size."""
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += len(row[-1]) if isinstance(row[-1], bytes) else 0
+        size += len(row[-1]) if isinstance(row[-1], (bytes, str)) else 0
         if len(held) >= HELD_ROWS or size >= HELD_BYTES:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
             held, size = [], 0
@@ -205,32 +214,43 @@ def as_it_is(n: int, seed) -> np.ndarray:
     return np.arange(n)
 
 
-def runs(docs: DataFrame, change=as_it_is, least: int = LEAST, power: int = POWER) -> DataFrame:
-    """a, b, start, length, period of all runs.  ``docs``: keys a and b (rows of equal
-    keys are equal), text, and ``seed`` for ``change``, which gives for a number of words
-    and a seed the place whose word stands at each place (as a rule the place itself)."""
+def _exploded(docs: DataFrame, change, least: int, power: int) -> DataFrame:
+    """The tiles of all texts, and the texts that have any, as a stored table."""
     if power < 4:
         raise ValueError("Runs of fewer than four periods are not found.")
 
     def explode(batches):
-        def rows():
-            for batch in batches:
-                a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
-                for first, starts, place, words in numbered(batch["text"], change, batch["seed"]):
-                    ids = word_ids(words)[0][place]
-                    for t, *facts, tile in tiles(ids, starts, least, power):
-                        yield a[first + t], b[first + t], *facts, tile.astype(np.int32).tobytes()
-        yield from _batches(rows(), TILE)
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield from _batches(rows(batch, packer), _schema(TILE, doc=batch.schema.field("doc").type))
+
+    def rows(batch, packer):
+        doc, seed, a, b = (batch[n] for n in ("doc", "seed", "a", "b"))
+        for first, starts, place, words in numbered(batch["text"], change, seed):
+            last = -1
+            for t, *facts, tile in sorted(tiles(word_ids(words)[0][place], starts, least, power), key=lambda x: x[0]):
+                keys = seed[first + t].as_py(), a[first + t].as_py(), b[first + t].as_py()
+                if t != last:
+                    last = t
+                    yield doc[first + t].as_py(), *keys, 0, 0, 0, 0, packer.compress(batch["text"][first + t].as_py().encode())
+                yield None, *keys, *facts, tile.astype(np.int32).tobytes()
+
+    kind = docs.schema["doc"].dataType.simpleString()
+    return stage(docs.mapInArrow(explode, f"doc {kind}, {TILE}"), "period-tiles")
 
+
+def _stitched(held: DataFrame, least: int, power: int) -> DataFrame:
     def solve(batches):
         def rows():
             for batch in batches:
                 for a, b, *facts, words in zip(*batch.columns):
                     for found in fragments(*(x.as_py() for x in facts), np.frombuffer(words.as_py(), np.int32).tolist()):
                         yield a.as_py(), b.as_py(), *found
-        yield from _batches(rows(), FRAGMENT)
+        yield from _batches(rows(), _schema(FRAGMENT))
 
-    dealt = docs.select("a", "b", "text", "seed").mapInArrow(explode, TILE).repartition("a", "b", "step", "cut")
+    tiled = held.filter("step > 0").select("a", "b", "step", "cut", "n_cuts", "before", "words")
+    size = tiled.agg(F.sum(F.octet_length("words").cast("bigint"))).first()[0] or 0
+    dealt = tiled.repartition(max(1, -(-size // TASK_BYTES)), "a", "b", "step", "cut")
     # repeated rows give equal fragments, which merge before the shuffle
     each = stage(dealt.mapInArrow(solve, FRAGMENT).distinct(), "period-fragments")
     order = Window.partitionBy("a", "b", "period").orderBy("lo")
@@ -243,6 +263,13 @@ def runs(docs: DataFrame, change=as_it_is, least: int = LEAST, power: int = POWE
     return whole.groupBy("a", "b", "start", "length").agg(F.min("period").alias("period"))
 
 
+def _keyed(docs: DataFrame, key: str, text: str, seed) -> DataFrame:
+    """Rows of equal keys a and b are equal."""
+    seed = F.lit(None) if seed is None else seed
+    docs = docs.select(quoted(key).alias("doc"), F.coalesce(quoted(text), F.lit("")).alias("text"), seed.cast("bigint").alias("seed"))
+    return docs.withColumn("a", F.xxhash64("doc", "seed")).withColumn("b", F.xxhash64("text", "doc", "seed"))
+
+
 def kept_places(n: int, found: list[tuple[int, int, int]]) -> np.ndarray:
     """Which words stay: of every run (start, length, period) its first period."""
     edge = np.zeros(n + 1, np.int64)
@@ -266,27 +293,50 @@ def with_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", seed=Non
     """Per row of ``docs``: its key; ``n_words``; ``runs``, by start, then period (null
     without runs); ``top``, the run of the greatest exponent (ties: the least start, then
     period; null without runs); ``collapsed``, the words joined by one space without those
-    that a run contains after its first period.  ``seed``, ``change``: see ``runs``."""
-    seed = F.lit(None) if seed is None else seed
-    docs = docs.select(quoted(key).alias("doc"), F.coalesce(quoted(text), F.lit("")).alias("text"), seed.cast("bigint").alias("seed"))
-    docs = docs.withColumn("a", F.xxhash64("doc", "seed")).withColumn("b", F.xxhash64("text", "doc", "seed"))
-    found = runs(docs, change, least, power)
+    that a run contains after its first period.  ``change`` gives, for a number of words and
+    the row's ``seed``, the place whose word stands at each place (as a rule the place itself)."""
+    docs = _keyed(docs, key, text, seed)
+    held = _exploded(docs, change, least, power)
+    found = _stitched(held, least, power)
     found = stage(found.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("start", "period", "length"))).alias("runs")), "period-runs")
-    triple = pa.struct([(n, pa.int64()) for n in ("start", "length", "period")])
+    triple = lambda *names: pa.struct([(n, pa.int64()) for n in names])
+    result = [("n_words", pa.int64()), ("runs", pa.list_(triple("start", "period", "length"))),
+              ("top", triple("start", "length", "period")), ("collapsed", pa.string())]
 
-    def collapse(batches):
+    def without(batches):
+        """Texts that have no tiles: nothing repeats."""
         for batch in batches:
             for first, starts, place, words in numbered(batch["text"], change, batch["seed"]):
-                part, left, top = batch.slice(first, len(starts) - 1), [], []
-                for lo, hi, given in zip(starts[:-1].tolist(), starts[1:].tolist(), part["runs"].to_pylist()):
-                    given = [(r["start"], r["length"], r["period"]) for r in given or ()]
-                    kept = place[lo:hi][kept_places(hi - lo, given)]
-                    left.append(" ".join(words.take(pa.array(kept)).to_pylist()))
-                    top.append(dict(zip(("start", "length", "period"), best(given))) if given else None)
+                tiled = {t for t, *_ in tiles(word_ids(words)[0][place], starts, least, power)}
+                rest = pa.array([t for t in range(len(starts) - 1) if t not in tiled], pa.int64())
+                lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words.take(pa.array(place)))
+                n = len(rest)
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc"], pa.array(np.diff(starts), pa.int64()), part["runs"], pa.array(top, triple), pa.array(left, pa.string())],
-                    names=["doc", "n_words", "runs", "top", "collapsed"])
+                    [batch["doc"].slice(first, len(starts) - 1).take(rest), pa.array(np.diff(starts), pa.int64()).take(rest),
+                     *[pa.nulls(n, k) for _, k in result[1:3]], pc.binary_join(lists.take(rest), " ")],
+                    names=["doc", *[name for name, _ in result]])
 
-    kind = docs.schema["doc"].dataType.simpleString()
-    rows = docs.join(found, ["a", "b"], "left").select("doc", "text", "seed", "runs")
-    return rows.mapInArrow(collapse, f"doc {kind}, {RESULT}").withColumnRenamed("doc", key)
+    def collapse(batches):
+        unzip = zstandard.ZstdDecompressor()
+
+        def rows(batch):
+            for doc, seed, data, given in zip(*batch.columns):
+                starts, words = words_of(pa.array([unzip.decompress(data.as_py()).decode()]))
+                runs = [(r["start"], r["length"], r["period"]) for r in given.as_py() or ()]
+                kept = change(len(words), seed.as_py())[kept_places(len(words), runs)]
+                top = dict(zip(("start", "length", "period"), best(runs))) if runs else None
+                yield doc.as_py(), len(words), given.as_py(), top, " ".join(words.take(pa.array(kept)).to_pylist())
+
+        for batch in batches:
+            yield from _batches(rows(batch), pa.schema([("doc", batch.schema.field("doc").type), *result]))
+
+    schema = f"doc {docs.schema['doc'].dataType.simpleString()}, {RESULT}"
+    tiled = held.filter("step = 0").select("doc", "seed", "a", "b", "words").join(found, ["a", "b"], "left")
+    alone = docs.select("doc", "text", "seed").mapInArrow(without, schema)
+    return alone.unionAll(tiled.select("doc", "seed", "words", "runs").mapInArrow(collapse, schema)).withColumnRenamed("doc", key)
+
+
+def runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, power: int = POWER) -> DataFrame:
+    """(key, start, length, period) of all runs, a row each."""
+    found = with_runs(docs, key, text, least=least, power=power)
+    return found.select(key, F.explode("runs").alias("run")).select(key, "run.start", "run.length", "run.period")

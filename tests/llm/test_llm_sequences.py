@@ -102,7 +102,9 @@ def test_runs_of_long_texts(spark, monkeypatch):
 def test_runs_of_an_empty_table_and_of_too_low_a_power(spark, monkeypatch):
     assert not op12([], spark, monkeypatch)
     with pytest.raises(ValueError):
-        periods.runs(spark.createDataFrame([], "a bigint, b bigint, text string, seed bigint"), power=3)
+        periods.runs(spark.createDataFrame([], "doc_id bigint, text string"), power=3)
+    docs = spark.createDataFrame([("x", "a b " * 9), ("y", "a b c")], "doc_id string, text string")
+    assert [tuple(r) for r in periods.runs(docs).collect()] == [("x", 0, 18, 2)]
 
 
 def test_slices_and_portions_do_not_matter(monkeypatch):
