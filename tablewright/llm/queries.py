@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, periods, quality, secrets, simhash, substrings, tokens, toxicity, urls, warc
+from . import decontaminate, hardnegs, licenses, mixing, periods, quality, secrets, simhash, substrings, tokens, toxicity, urls, warc
 from .common import quoted
 
 QUERIES: dict = {}
@@ -142,6 +142,30 @@ def op7(spark, sf):
     return licenses.matches(table(spark, sf, "documents"))
 
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS same, CAST(list_dot_product(a.x, v.x) AS BIGINT) AS score
+  FROM v a JOIN v ON v.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11(spark, sf):
+    vectors, key = table(spark, sf, "embeddings"), F.col("vec_id")
+    label = F.when(key % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegs.hard_negatives(vectors, anchors=key % 100 == 0, label=label)
+
+
 def planted(n, h):
     """Where ``h``, the checksum of the id, ends in 0, a tail of the text repeats its
     beginning: the place whose word stands at each of n places."""
