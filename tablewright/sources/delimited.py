@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from . import detect
+from . import detect, quoted
 
 # Names Spark knows the detected encodings by.
 CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "utf-16": "UTF-16", "cp1252": "ISO-8859-1",
@@ -38,13 +38,6 @@ def arrival() -> Column:
         F.monotonically_increasing_id().alias("row"))
 
 
-def has_quoted_newlines(spark: SparkSession, paths: list[str]) -> bool:
-    """Some line holds an odd number of quotes.  Files that have none can be
-    split among tasks; the others are read whole, one task per file."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(paths).filter(quotes % 2 == 1).isEmpty()
-
-
 # The first record of a text, which may hold line breaks inside quotes.
 FIRST_RECORD = r'''^\ufeff?((?:[^"\r\n]|"(?:[^"]|"")*")*)'''
 
@@ -80,8 +73,11 @@ def dialects(spark: SparkSession, path: str, sep: str | None = None, encoding: s
 def _scan(spark: SparkSession, d: Dialect, multi_line: bool | None, seq: str, over: str | None) -> DataFrame:
     charset = CHARSETS.get(d.encoding, d.encoding)
     paths = list(d.paths)
+    splittable = charset != "UTF-16" and len(d.sep) == 1
     if multi_line is None:
-        multi_line = charset == "UTF-16" or has_quoted_newlines(spark, paths)
+        multi_line = not splittable or quoted.has_quoted_breaks(spark, paths, d.sep)
+    if multi_line and splittable:
+        return _quoted_scan(spark, d, charset, seq, over)
     # One column more than the header: it holds something where cells are left over.
     beyond = text.free_prefix(d.names) + "beyond"
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*d.names, beyond]])
@@ -90,15 +86,23 @@ def _scan(spark: SparkSession, d: Dialect, multi_line: bool | None, seq: str, ov
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxColumns=100_000, maxCharsPerColumn=-1,
         header=True, enforceSchema=True).schema(schema).csv(paths)
 
-    def cell(name):
-        c = F.coalesce(text.quoted(name), F.lit(""))
-        if d.encoding == "cp1252":
-            # Read as Latin-1, then give the 0x80-0x9F bytes their meaning.
-            c = F.translate(c, "".join(map(chr, detect.HIGH_1252)), "".join(detect.HIGH_1252.values()))
-        return c.alias(name)
-
     more = [text.quoted(beyond).isNotNull().alias(over)] if over else []
-    return rows.select(arrival().alias(seq), *[cell(n) for n in d.names], *more)
+    return rows.select(arrival().alias(seq), *[_meant(F.coalesce(text.quoted(n), F.lit("")), d).alias(n) for n in d.names], *more)
+
+
+def _meant(c: Column, d: Dialect) -> Column:
+    """Windows-1252 is read as Latin-1, then the bytes 0x80-0x9F get their meaning."""
+    if d.encoding != "cp1252":
+        return c
+    return F.translate(c, "".join(map(chr, detect.HIGH_1252)), "".join(detect.HIGH_1252.values()))
+
+
+def _quoted_scan(spark: SparkSession, d: Dialect, charset: str, seq: str, over: str | None) -> DataFrame:
+    value = F.col("value")
+    value = F.make_valid_utf8(value) if charset == "UTF-8" else F.decode(value.cast("binary"), charset)
+    rows = quoted.parsed(spark, list(d.paths), d.sep, len(d.names), _meant(value, d))
+    more = [F.col("over").alias(over)] if over else []
+    return rows.select(F.struct("file", "block", "row").alias(seq), *[F.col(f"c{i}").alias(n) for i, n in enumerate(d.names)], *more)
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
@@ -106,7 +110,9 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
     """Every column as text, after the arrival order, which is the first column:
     ``seq``, or the next free name if a file has a column so named.
 
-    What is not given is detected for each file.  Files that are read alike share a
+    Files are split among tasks, also where quoted cells hold line breaks (see
+    ``quoted``; such files are stored once); only files in UTF-16 that have such cells are
+    read by one task each.  What is not given is detected for each file.  Files that are read alike share a
     scan, and scans are put together by the names of their columns; a column that
     a file lacks is NULL there.  A missing cell reads as ''.  Cells beyond the
     header are dropped; ``over`` names a column that says in which rows (see
