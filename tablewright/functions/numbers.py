@@ -76,6 +76,12 @@ def ratio(n: Column, total: Column, digits: int, scale: int = 100) -> Column:
     return F.when(total > 0, exact).otherwise(F.lit(0.0))
 
 
+def share(n: int, total: int, digits: int, scale: int = 100) -> float:
+    """The same of two known numbers."""
+    unit = 10**digits
+    return (n * 2 * scale * unit + total) // (2 * total) / unit if total else 0.0
+
+
 def round_decimal(x: Column, digits: int) -> Column:
     """Round a double half up on its decimal digits."""
     exact = F.round(x.try_cast("decimal(38,10)"), digits).cast("double")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, naming, numbers, text
-from ..session import stage
+from .packed import first_of
 
 
 def by_name(name: Column, values: dict[str, object]) -> Column:
@@ -61,8 +59,8 @@ def _literal(value) -> Column:
     return F.lit(value)
 
 
-def head_rows(df: DataFrame, seq: str, k: int) -> DataFrame:
-    """The first k rows in arrival order.
+def head_and_total(df: DataFrame, seq: str, k: int) -> tuple[DataFrame, int]:
+    """The first k rows in arrival order, and how many rows there are.
 
     A bound is found first, reading only the order: the last row of some partition
     that holds k rows.  The top-k then reads that far and not the k first rows of
@@ -70,37 +68,23 @@ def head_rows(df: DataFrame, seq: str, k: int) -> DataFrame:
     """
     order = text.quoted(seq)
     sizes = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.max(order).alias("last"))
-    bound = sizes.filter(F.col("n") >= k).agg(F.min("last")).first()[0]
+    total, bound = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.min(F.when(F.col("n") >= k, F.col("last")))).first()
     if bound is not None:
         df = df.filter(order <= _literal(bound))
-    return df.orderBy(order).limit(k)
+    return df.orderBy(order).limit(k), total
 
 
-def first_values(df: DataFrame, cols: list[str], seq: str, k: int, keep) -> DataFrame:
-    """(column_name, value, rank): the first k cells of each column in arrival
-    order, of those that satisfy ``keep``.  Each column is a bounded top-k: a
-    task holds k rows and never sorts its input."""
-    parts = []
-    for c in cols:
-        one = df.select(F.lit(c).alias("column_name"), text.quoted(c).alias("value"), F.col(seq).alias("seq"))
-        parts.append(one.filter(keep(F.col("value"))).orderBy("seq").limit(k))
-    order = Window.partitionBy("column_name").orderBy("seq")
-    return reduce(DataFrame.unionAll, parts).select("column_name", "value", F.row_number().over(order).alias("rank"))
+def head_rows(df: DataFrame, seq: str, k: int) -> DataFrame:
+    return head_and_total(df, seq, k)[0]
 
 
-def leading_cells(df: DataFrame, cols: list[str], seq: str, k: int, keep, available: dict[str, int]) -> DataFrame:
-    """The same, from the leading rows where they hold enough such cells;
-    ``available`` is the number of such cells in each column."""
-    head = stage(head_rows(df.select(seq, *[text.quoted(c) for c in cols]), seq, 4 * k), "head")
+def first_values(df: DataFrame, cols: list[str], seq: str, k: int, keep) -> DataFrame:
+    """(column_name, value, rank): the first k cells of each column in arrival
+    order, of those that satisfy ``keep``.  One pass, however many columns: a task holds
+    and passes on k cells of each."""
     order = Window.partitionBy("column_name").orderBy("seq")
-    cells = long_cells(head, cols, seq, keep).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    cells = cells.select("column_name", "value", "rank")
-    found = {r["column_name"]: r["n"] for r in cells.groupBy("column_name").agg(F.count("*").alias("n")).collect()}
-    sparse = [c for c in cols if found.get(c, 0) < min(k, available[c])]
-    if not sparse:
-        return cells
-    rest = first_values(df, sparse, seq, k, keep)
-    return cells.filter(~F.col("column_name").isin(sparse)).unionAll(rest)
+    found = first_of(df, cols, seq, k, keep).withColumn("rank", F.row_number().over(order))
+    return found.filter(F.col("rank") <= k).select("column_name", "value", "rank")
 
 
 def date_columns(df: DataFrame, cols: list[str], seq: str) -> DataFrame:

@@ -337,7 +337,14 @@ def clean(df: DataFrame, cols: list[str], seq: str, rules: dict, key: str | None
     return Cleaned(df, marked, cols, seq, effects, free)
 
 
+def without_idle(rules: dict, report: Report) -> dict:
+    """The rules without the table rules that, by the report of the same rows, remove none."""
+    idle = {"remove_full_duplicates": not report.full_duplicates, "remove_near_duplicates": not report.full_duplicates + report.near_duplicates,
+            "dedupe_by_pk": True}  # the report's key has no repeats
+    return rules | {"global": {r: on and not idle.get(r) for r, on in rules.get("global", {}).items()}}
+
+
 def auto_clean(df: DataFrame, cols: list[str], seq: str, as_of=None) -> tuple[Report, Cleaned]:
     """Profile, choose the default rules, clean."""
     report = analyze(df, cols, seq, samples=0)
-    return report, clean(df, cols, seq, report.default_rules(), report.primary_key, as_of)
+    return report, clean(df, cols, seq, without_idle(report.default_rules(), report), report.primary_key, as_of)

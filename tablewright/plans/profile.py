@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, naming, numbers, text
-from ..operators import histogram
-from ..operators.cells import by_name, head_rows, leading_cells
+from ..operators import histogram, packed
+from ..operators.cells import first_values, head_and_total, head_rows, long_cells
 from ..operators.dedupe import duplicate_counts
 from ..operators.ranks import Stats, statistics
 from ..session import stage
@@ -63,59 +63,94 @@ CASE_TYPES = ("text", "categorical", "email")
 
 def column_profile(df: DataFrame, cols: list[str]) -> DataFrame:
     """position, column_name, total_rows, null_count, null_pct, completeness,
-    unique_count, whitespace_count: one pass and one shuffle of distinct values."""
-    return _profiled(histogram.value_histogram(df, cols), cols)
+    unique_count, whitespace_count: one pass that ships packed hashes."""
+    held = packed.pack(df, cols, df.count())
+    facts = packed.sums(held, packed.counted(held, dict.fromkeys(range(len(cols)), 2)))
+    rows = [(i, cols[i], f["total"], f["blank"], f["distinct"], f["padded"]) for i, f in sorted(facts.items()) if f["total"]]
+    return _shares(df.sparkSession.createDataFrame(rows, COUNTS))
 
 
-def _profiled(hist: DataFrame, cols: list[str]) -> DataFrame:
+COUNTS = "position int, column_name string, total_rows bigint, null_count bigint, unique_count bigint, whitespace_count bigint"
+
+
+def _shares(counts: DataFrame) -> DataFrame:
     n, total = F.col("null_count"), F.col("total_rows")
-    return histogram.column_counts(hist).select(
-        "position", by_name(F.col("position"), dict(enumerate(cols))).alias("column_name"), "total_rows", "null_count",
-        numbers.ratio(n, total, 2).alias("null_pct"),
-        numbers.ratio(total - n, total, 1).alias("completeness"),
-        "unique_count", "whitespace_count",
-    )
-
-
-def leading_values(df: DataFrame, cols: list[str], seq: str, available: dict[str, int]) -> DataFrame:
-    """The first filled cells of each column with what they look like."""
-    head = leading_cells(df, cols, seq, MIXED_SAMPLE, histogram.filled, available)
-    stripped = head.select("column_name", "rank", text.strip(F.col("value")).alias("s"))
-    s = F.col("s")
-    return stripped.select(
+    return counts.select(
+        "position", "column_name", "total_rows", "null_count", numbers.ratio(n, total, 2).alias("null_pct"),
+        numbers.ratio(total - n, total, 1).alias("completeness"), "unique_count", "whitespace_count")
+
+
+def _looks(leading: DataFrame) -> dict[str, dict]:
+    """What the first filled cells (column_name, rank, value) of each column look like:
+    shares by kind, and of the date formats the usual one of the first fifty."""
+    cells = leading.select("column_name", "rank", text.strip(F.col("value")).alias("s"))
+    s, rank = F.col("s"), F.col("rank")
+    cells = cells.select(
         "column_name", "rank", dates.tagged_format(dates.tagged_date(s)).alias("date_format"),
-        text.is_email(s).alias("is_email"), numbers.number(s).isNotNull().alias("is_number"),
-        text.is_phone(s).alias("is_phone"))
-
-
-def semantic_types(leading: DataFrame, profile: DataFrame) -> DataFrame:
-    """position, column_name, inferred_type, date_format, format_issues."""
-    rank, found = F.col("rank"), F.col("date_format")
-    share = lambda test: F.avg(F.when(rank <= TYPE_SAMPLE, test.cast("double")))
-    # Per format: seen how often among the first fifty, where first, and how
-    # often among the first five hundred.
-    formats = F.array(*[
-        F.struct((-F.count_if((rank <= FORMAT_SAMPLE) & (found == f))).alias("n"),
-                 F.min(F.when(found == f, rank)).alias("first"), F.lit(f).alias("name"),
-                 F.count_if(found == f).alias("all"))
-        for f in dates.PROFILE_FORMATS])
-    looks = leading.groupBy("column_name").agg(
-        share(found.isNotNull()).alias("dates"), share(F.col("is_email")).alias("emails"),
-        share(F.col("is_number")).alias("numbers"), share(F.col("is_phone")).alias("phones"),
-        F.count("date_format").alias("dated"), F.array_min(formats).alias("usual"))
-    kind = (
-        F.when(F.col("dates") > DATE_SHARE, "date")
-        .when(F.col("emails") > EMAIL_SHARE, "email")
-        .when(F.col("numbers") > NUMBER_SHARE, "number")
-        .when(F.col("phones") > PHONE_SHARE, "phone")
-        .when(F.col("unique_count").between(2, CATEGORY_LIMIT), "categorical")
-        .otherwise("text")
-    )
-    has_format = (F.col("inferred_type") == "date") & (F.col("usual.n") < 0)
-    joined = profile.select("position", "column_name", "unique_count").join(F.broadcast(looks), "column_name", "left")
-    return joined.withColumn("inferred_type", kind).select(
-        "position", "column_name", "inferred_type", F.when(has_format, F.col("usual.name")).alias("date_format"),
-        F.when(has_format, F.col("dated") - F.col("usual.all")).otherwise(F.lit(0)).cast("bigint").alias("format_issues"))
+        text.is_email(s).alias("is_email"), numbers.number(s).isNotNull().alias("is_number"), text.is_phone(s).alias("is_phone"))
+    early = rank <= TYPE_SAMPLE
+    seen = cells.groupBy("column_name", "date_format").agg(
+        F.count("*").alias("n"), F.count_if(early).alias("early"), F.count_if(early & F.col("is_email")).alias("emails"),
+        F.count_if(early & F.col("is_number")).alias("numbers"), F.count_if(early & F.col("is_phone")).alias("phones"),
+        F.count_if(rank <= FORMAT_SAMPLE).alias("usual"), F.min("rank").alias("first"))
+    by_column: dict[str, list] = {}
+    for r in seen.collect():
+        by_column.setdefault(r["column_name"], []).append(r)
+    out = {}
+    for c, rs in by_column.items():
+        share = lambda name, rows=rs: sum(r[name] for r in rows) / sum(r["early"] for r in rs)
+        dated = [r for r in rs if r["date_format"] is not None]
+        usual = min((r for r in dated if r["usual"]), key=lambda r: (-r["usual"], r["first"]), default=None)
+        out[c] = {"n": sum(r["n"] for r in rs), "dates": share("early", dated), "emails": share("emails"), "numbers": share("numbers"),
+                  "phones": share("phones"), "format": usual and usual["date_format"],
+                  "others": sum(r["n"] for r in dated) - (usual["n"] if usual else 0)}
+    return out
+
+
+def leading_looks(df: DataFrame, cols: list[str], seq: str) -> tuple[dict[str, dict], int]:
+    """What the leading cells of each column look like, and how many rows there are.
+    The leading rows answer for all columns but sparse ones, which share one more pass."""
+    k = MIXED_SAMPLE
+    rows = df.select(text.quoted(seq).alias("seq"), *[text.quoted(c) for c in cols])
+    head, total = head_and_total(rows, "seq", 4 * k)
+    order = Window.partitionBy("column_name").orderBy("seq")
+    cells = long_cells(head, cols, "seq", histogram.filled).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    looks = _looks(cells)
+    sparse = [c for c in cols if total > 4 * k and (c not in looks or looks[c]["n"] < k)]
+    if sparse:
+        looks |= _looks(first_values(rows, sparse, "seq", k, histogram.filled))
+    return looks, total
+
+
+def kind_of(looks: dict | None, unique: int | None = None) -> str | None:
+    """Type of a column; None if it takes the number of its values to tell."""
+    if looks:
+        for name, share, least in (("date", "dates", DATE_SHARE), ("email", "emails", EMAIL_SHARE),
+                                   ("number", "numbers", NUMBER_SHARE), ("phone", "phones", PHONE_SHARE)):
+            if looks[share] > least:
+                return name
+    return None if unique is None else "categorical" if 2 <= unique <= CATEGORY_LIMIT else "text"
+
+
+def _formats(kind: str, looks: dict | None) -> tuple[str | None, int]:
+    """Usual date format of a date column, and cells in other formats."""
+    return (looks["format"], looks["others"]) if kind == "date" and looks["format"] else (None, 0)
+
+
+def types(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
+    """position, column_name, inferred_type, date_format, format_issues.  Only columns whose
+    leading cells don't tell are counted, and those only up to the limit that matters."""
+    looks, total = leading_looks(df, cols, seq)
+    open_ = [c for c in cols if kind_of(looks.get(c)) is None]
+    unique: dict[str, int] = {}
+    if open_:
+        held = packed.pack(df, open_, total, most=CATEGORY_LIMIT + 1)
+        facts = packed.sums(held, packed.counted(held, dict.fromkeys(range(len(open_)), 2)))
+        unique = {c: facts[i]["distinct"] if i in facts else 0 for i, c in enumerate(open_)}
+    kinds = {c: kind_of(looks.get(c), unique.get(c, 0)) for c in cols}
+    rows = [(i, c, kinds[c], *_formats(kinds[c], looks.get(c))) for i, c in enumerate(cols)] if total else []
+    return df.sparkSession.createDataFrame(
+        rows, "position int, column_name string, inferred_type string, date_format string, format_issues bigint")
 
 
 def primary_key(profile: DataFrame, words: list[str] = naming.KEY_WORDS) -> DataFrame:
@@ -302,66 +337,65 @@ def number_issues(values: DataFrame, stats: dict[str, Stats]) -> DataFrame:
         some(outside).alias("outlier_count"), some(x < 0).alias("negative_count"))
 
 
-def _known(spark: SparkSession, profile: dict[str, dict]) -> DataFrame:
-    return spark.createDataFrame(
-        [(p["position"], n, p["unique_count"]) for n, p in profile.items()],
-        "position int, column_name string, unique_count bigint")
-
-
-def types(df: DataFrame, cols: list[str], seq: str, profile: dict[str, dict] | None = None) -> DataFrame:
-    """Semantic types; counts each column first unless given its profile."""
-    if profile is None:
-        profile = {r["column_name"]: r.asDict() for r in column_profile(df, cols).collect()}
-    available = {c: p["total_rows"] - p["null_count"] for c, p in profile.items()}
-    return semantic_types(leading_values(df, cols, seq, available), _known(df.sparkSession, profile))
+def near_duplicates(df: DataFrame, cols: list[str], seq: str, mixed: DataFrame) -> int:
+    """Rows that equal an earlier one but for case and outer whitespace; ``mixed``: hashes of
+    the folded rows that are spelled in several ways.  Only those rows are shuffled."""
+    name = text.free_prefix([seq, *cols]) + "folded"
+    rows = packed.with_folded(df.select(text.quoted(seq), *[text.quoted(c) for c in cols]), cols, name)
+    some = rows.join(mixed.select(F.col("hash").alias(name)), name, "left_semi").drop(name)
+    return duplicate_counts(some, cols, seq).first()["near_duplicates"]
 
 
 def analyze(df: DataFrame, cols: list[str], seq: str, samples: int = 5) -> Report:
     """Profile a table of text columns.
 
-    The rows are stored once, in columns; from there they are read for a histogram
-    of all columns, which is stored, for the leading values of each column, and
-    for duplicate rows.  Everything
-    else looks at the distinct values, and of those only at the columns whose
-    type asks for it.  The number of jobs does not grow with the columns, and
-    one summary row per column comes back to the driver.
+    The leading rows tell types and formats.  One pass over the table then packs hashes of
+    cells and rows, the numbers of number columns and the samples; what is counted, unique,
+    spelled differently, duplicate or an outlier follows from that.  Further passes, one each,
+    are made for the leading cells of sparse columns and for rows that are spelled in several
+    ways, where there are such.  The number of jobs does not grow
+    with the columns, and one summary row per column comes back to the driver.
+
+    ``df`` is read by each pass and must be the same every time: pass a stored table if it
+    is expensive to compute.
     """
     spark = df.sparkSession
-    rows = stage(df.select(text.quoted(seq), *[text.quoted(c) for c in cols]), "rows")
-    hist = stage(histogram.value_histogram(rows, cols), "histogram")
-    profile = {r["column_name"]: r.asDict() for r in _profiled(hist, cols).collect()}
-    if not profile:
+    df = df.select(text.quoted(seq), *[text.quoted(c) for c in cols])
+    looks, total = leading_looks(df, cols, seq)
+    if not total or not cols:
         raise ValueError("The table is empty or has no columns.")
-    kinds = {r["column_name"]: r for r in types(rows, cols, seq, profile).collect()}
-    of_type = lambda *ts: [c for c in cols if kinds[c]["inferred_type"] in ts]
-
-    def counts(make, names):
-        return {r["column_name"]: r.asDict() for r in make(hist, cols, names).collect()} if names else {}
-
-    def numeric_counts(hist, cols, names):
-        values = stage(histogram.numeric_values(hist, cols, names), "numbers")
-        return number_issues(values, statistics(values, median=False))
-
-    cased = counts(histogram.case_variants, of_type(*CASE_TYPES))
-    emails = counts(histogram.invalid_emails, of_type("email"))
-    numeric = counts(numeric_counts, of_type("number"))
-    picked: dict[str, list[str]] = {}
-    for r in histogram.samples(hist, rows, cols, samples).orderBy("position", "rank").collect() if samples else []:
-        picked.setdefault(r["column_name"], []).append(r["value"])
-    dup = duplicate_counts(rows, cols, seq).first()
+    told = {c: kind_of(looks.get(c)) for c in cols}
+    of_type = lambda *ts: [c for c in cols if told[c] in ts]
+    cased = of_type(None, *CASE_TYPES)
+    held = packed.pack(df, cols, total, cased, of_type("email"), of_type("number"), rows=True, least=samples)
+    widths = {i: 4 if c in cased else 2 for i, c in enumerate(cols)} | {packed.ROWS: 4}
+    facts = packed.sums(held, packed.counted(held, widths))
+    nothing = dict.fromkeys(("total", "blank", "padded", "invalid", "distinct", "odd", "mixed"), 0)
+    facts = {i: facts.get(i, nothing) for i in widths}
+    numeric: dict[str, dict] = {}
+    if of_type("number"):
+        values = stage(packed.number_values(held, cols), "numbers")
+        stats = statistics(values, median=False)
+        numeric = {r["column_name"]: r.asDict() for r in number_issues(values, stats).collect()}
+    picked = packed.least_values(held, samples) if samples else {}
+    rows, near = facts[packed.ROWS], 0
+    if rows["mixed"]:
+        of_rows = packed.counted(held.filter(F.col("col") == packed.ROWS), widths)
+        near = near_duplicates(df, cols, seq, stage(of_rows.select(F.explode("mixed").alias("hash")), "mixed"))
     out = []
-    for c in cols:
-        p, k = profile[c], kinds[c]
+    for i, c in enumerate(cols):
+        f = facts[i]
+        kind = kind_of(looks.get(c), f["distinct"])
+        date_format, format_issues = _formats(kind, looks.get(c))
         out.append(Column(
-            name=c, position=p["position"], inferred_type=k["inferred_type"], date_format=k["date_format"],
-            total_rows=p["total_rows"], null_count=p["null_count"], null_pct=p["null_pct"],
-            completeness=p["completeness"], unique_count=p["unique_count"], whitespace_count=p["whitespace_count"],
-            case_issues=cased.get(c, {}).get("case_issues", 0), format_issues=k["format_issues"],
-            email_invalid=emails.get(c, {}).get("email_invalid", 0),
+            name=c, position=i, inferred_type=kind, date_format=date_format,
+            total_rows=f["total"], null_count=f["blank"], null_pct=numbers.share(f["blank"], total, 2),
+            completeness=numbers.share(total - f["blank"], total, 1), unique_count=f["distinct"], whitespace_count=f["padded"],
+            case_issues=f["odd"] if kind in CASE_TYPES else 0, format_issues=format_issues, email_invalid=f["invalid"],
             outlier_count=numeric.get(c, {}).get("outlier_count", 0),
-            negative_count=numeric.get(c, {}).get("negative_count", 0), samples=picked.get(c, []),
+            negative_count=numeric.get(c, {}).get("negative_count", 0), samples=picked.get(i, []),
         ))
-    return Report(out, dup["total_rows"], dup["full_duplicates"], dup["near_duplicates"])
+    return Report(out, total, total - rows["distinct"], near)
 
 
 def preview(df: DataFrame, seq: str, k: int = 5) -> DataFrame:

@@ -37,8 +37,8 @@ def _record(spark: SparkSession, path: str | None, summary: dict) -> None:
 
 
 def analyze_file(spark: SparkSession, path: str, **options) -> tuple[DataFrame, list[str], Report]:
-    """(rows, columns, report) of a delimited file or folder."""
-    rows = read_delimited(spark, path, **options)
+    """(rows, columns, report) of a delimited file or folder; its text is parsed once."""
+    rows = stage(read_delimited(spark, path, **options), "rows")
     seq, *cols = rows.columns
     return rows, cols, analyze(rows, cols, seq)
 
