@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
@@ -79,14 +79,17 @@ def combined(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def with_folded(df: DataFrame, cols: list[str], name: str) -> DataFrame:
-    """Add the hash of the row in lower case that marks mixed rows."""
-    @F.arrow_udf("bigint")
-    def folded(*columns: pa.Array) -> pa.Array:
-        cells = [Cells(c, True) for c in columns]
-        return pa.array(combined([x.folds[0][x.codes] for x in cells]).view(np.int64))
+def row_hashes(cols: list[str]) -> Column:
+    """r0 to r3, the hashes of a row as ``pack`` makes them: two of the row as it is, two
+    in lower case."""
+    names = ["r0", "r1", "r2", "r3"]
 
-    return df.withColumn(name, folded(*[text.quoted(c) for c in cols]))
+    @F.arrow_udf(", ".join(f"{n} bigint" for n in names))
+    def hash_rows(*columns: pa.Array) -> pa.Array:
+        each = [[k[x.codes] for k in x.keys + x.folds] for x in (Cells(c, True) for c in columns)]
+        return pa.StructArray.from_arrays([pa.array(combined(list(k)).view(np.int64)) for k in zip(*each)], names=names)
+
+    return hash_rows(*[text.quoted(c) for c in cols])
 
 
 def merged(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:

@@ -11,7 +11,7 @@ import datetime
 from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import dates, derive, numbers, text
@@ -200,16 +200,36 @@ def median_texts(df: DataFrame, medians: dict[str, float | None]) -> dict[str, s
 
 def _whole_median(df: DataFrame, c: str, m: float) -> str:
     """Digits of the upper median among the whole numbers that are read as ``m``:
-    those below are counted, the rest ordered by length and digits."""
+    those below are counted, the rest told apart by length and digits."""
     x = numbers.number(text.quoted(c))
     counts = df.agg(F.count(x).alias("n"), F.count_if(x < m).alias("below")).first()
     cell = text.quoted(c)
     digits = F.when(F.contains(cell, F.lit(".")), F.lit(str(abs(int(m))))).otherwise(numbers.whole_text(cell))
-    same = df.filter(x == m).groupBy(digits.alias("digits")).agg(F.count("*").alias("n"))
-    rise = [F.length("digits"), F.col("digits")] if m > 0 else [F.length("digits").desc(), F.col("digits").desc()]
-    upto = F.sum("n").over(Window.orderBy(*rise).rowsBetween(Window.unboundedPreceding, 0))
-    row = same.withColumn("upto", upto).filter(F.col("upto") > counts["n"] // 2 - counts["below"]).orderBy("upto").first()
-    return ("-" if m < 0 else "") + row["digits"]
+    same = stage(df.filter(x == m).groupBy(digits.alias("digits")).agg(F.count("*").alias("n")), "digits")
+    return ("-" if m < 0 else "") + _digits_at(same, counts["n"] // 2 - counts["below"], m > 0)
+
+
+RADIX = 4  # digits told apart in one pass, so that at most 10,000 counts come back
+
+
+def _digits_at(values: DataFrame, k: int, rising: bool) -> str:
+    """The k-th (from 0) of the whole numbers in ``values`` (digits without leading zeros, n
+    times each), by radix selection: first the length is found that holds it, then its
+    digits, a few in each pass.  No task orders numbers."""
+    def narrowed(rows: DataFrame, part: Column, k: int):
+        counts = rows.groupBy(part.alias("part")).agg(F.sum("n").alias("n")).collect()
+        for r in sorted(counts, key=lambda r: r["part"], reverse=not rising):
+            if k < r["n"]:
+                return r["part"], k
+            k -= r["n"]
+        raise ValueError("There are fewer numbers.")
+
+    length, k = narrowed(values, F.length("digits"), k)
+    values, found = values.filter(F.length("digits") == length), ""
+    while len(found) < length:
+        part, k = narrowed(values.filter(F.startswith("digits", F.lit(found))), F.substring("digits", len(found) + 1, RADIX), k)
+        found += part
+    return found
 
 
 @dataclass

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import dates, naming, numbers, text
 from ..operators import histogram, packed
 from ..operators.cells import first_values, head_and_total, head_rows, long_cells
-from ..operators.dedupe import duplicate_counts
 from ..operators.ranks import Stats, statistics
 from ..session import stage
 
@@ -338,12 +337,13 @@ def number_issues(values: DataFrame, stats: dict[str, Stats]) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, cols: list[str], seq: str, mixed: DataFrame) -> int:
-    """Rows that equal an earlier one but for case and outer whitespace; ``mixed``: hashes of
-    the folded rows that are spelled in several ways.  Only those rows are shuffled."""
-    name = text.free_prefix([seq, *cols]) + "folded"
-    rows = packed.with_folded(df.select(text.quoted(seq), *[text.quoted(c) for c in cols]), cols, name)
-    some = rows.join(mixed.select(F.col("hash").alias(name)), name, "left_semi").drop(name)
-    return duplicate_counts(some, cols, seq).first()["near_duplicates"]
+    """Rows that equal an earlier one but for case and outer whitespace and are not spelled
+    like the first of them; ``mixed``: hashes (r2) of the folded rows that are spelled in
+    several ways.  Only those rows are shuffled, as hashes."""
+    rows = df.select(text.quoted(seq).alias("seq"), packed.row_hashes(cols).alias("h")).select("seq", "h.*")
+    spelled = rows.join(mixed, "r2", "left_semi").groupBy("r2", "r3", "r0", "r1").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    groups = spelled.groupBy("r2", "r3").agg((F.sum("n") - F.min_by("n", "first")).alias("odd"))
+    return groups.agg(F.coalesce(F.sum("odd"), F.lit(0))).first()[0]
 
 
 def analyze(df: DataFrame, cols: list[str], seq: str, samples: int = 5) -> Report:
@@ -381,7 +381,7 @@ def analyze(df: DataFrame, cols: list[str], seq: str, samples: int = 5) -> Repor
     rows, near = facts[packed.ROWS], 0
     if rows["mixed"]:
         of_rows = packed.counted(held.filter(F.col("col") == packed.ROWS), widths)
-        near = near_duplicates(df, cols, seq, stage(of_rows.select(F.explode("mixed").alias("hash")), "mixed"))
+        near = near_duplicates(df, cols, seq, of_rows.select(F.explode("mixed").alias("r2")))
     out = []
     for i, c in enumerate(cols):
         f = facts[i]
