@@ -9,10 +9,13 @@ parts of them: from the run's start, after each '=' or '/', and where the beginn
 that a format always has stands; up to the run's end or any character but letters and
 digits.  They are scored by the best format against an automaton of ordinary text;
 of those far likelier as a credential, the set without overlap that gains the most
-are spans too.
+are spans too.  A format whose credentials always begin alike is asked only where that
+beginning stands.  A candidate that is likelier under the automaton of a public identifier
+(labelled the same way) than under every format without such a beginning is none.
 
-Null text is an empty text, without spans.  Every row is scanned by itself, whole;
-repeated rows give repeated results; other columns are passed on.
+Null text is an empty text, without spans.  Every row is scanned by itself, whole, whatever
+its length; an empty table gives an empty table; of candidates that gain alike the one that
+begins first stays; repeated rows give repeated results; other columns are passed on.
 """
 
 from __future__ import annotations
@@ -33,11 +36,12 @@ KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are taken whole, so this equals [0-9a-f]+ of 24 and more
-CANDIDATE = re.compile(r"(?<![\w+/=.-])[A-Za-z0-9+/_.=-]{16,}(?!\w)")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")  # letters of other scripts bound a run like any other character
 MIN_GAIN = 14.0        # log likelihood ratio, format to ordinary text
 PER_FORMAT = 120       # labelled credentials drawn for each format
 ALPHA = 0.05
 LEAST = 16             # characters of a candidate
+PLAIN_LEAST = 24       # of one under a format without a beginning of its own
 FLOOR = 0.05           # pseudo-count of a symbol a state has never seen
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -55,6 +59,19 @@ FORMATS = {
     "web_token": ["eyJ", (17, 90, _ALNUM + "_-"), ".eyJ", (30, 300, _ALNUM + "_-"), ".", (43, 342, _ALNUM + "_-")],
     "upper_hex": [(32, 64, _DIGIT + "ABCDEF")],
 }
+# Published formats of identifiers that are no secrets, written likewise.
+_BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+_HEX = _DIGIT + "abcdef"
+IDENTIFIERS = {
+    "uuid": [(8, 8, _HEX), "-", (4, 4, _HEX), "-", (4, 4, _HEX), "-", (4, 4, _HEX), "-", (12, 12, _HEX)],
+    "upper_uuid": [(8, 8, _HEX.upper()), "-", (4, 4, _HEX.upper()), "-", (4, 4, _HEX.upper()), "-", (4, 4, _HEX.upper()), "-", (12, 12, _HEX.upper())],
+    "content_id": ["Qm", (44, 44, _BASE58)],
+    "content_id_32": ["bafy", (55, 55, _LOWER + "234567")],
+    "integrity_256": ["sha256-", (43, 44, _ALNUM + "/+")],
+    "integrity_512": ["sha512-", (86, 88, _ALNUM + "/+")],
+    "public_key": ["AAAAB3NzaC1yc2EAAAADAQABAAAB", (100, 700, _ALNUM + "/+")],
+    "public_key_ed": ["AAAAC3NzaC1lZDI1NTE5AAAAI", (43, 43, _ALNUM + "/+")],
+}
 # Words of ordinary text, from which long ordinary runs are made.
 ORDINARY = """about above after again against because before between being could during every found great having
 however information international into large little making might national never number often other people place
@@ -72,11 +89,11 @@ test name user file path value class type list date time version default config
 example com org net http""".split()
 
 
-def labelled_credentials(per_format: int = PER_FORMAT, seed: int = 7) -> list[tuple[str, str]]:
+def labelled_credentials(per_format: int = PER_FORMAT, seed: int = 7, formats: dict | None = None) -> list[tuple[str, str]]:
     """(format, credential) rows in the published formats."""
     draw = random.Random(seed)
     rows = []
-    for name, parts in FORMATS.items():
+    for name, parts in (FORMATS if formats is None else formats).items():
         for _ in range(per_format):
             rows.append((name, "".join(p if isinstance(p, str) else "".join(draw.choices(p[2], k=draw.randint(*p[:2]))) for p in parts)))
     return rows
@@ -99,7 +116,7 @@ def ordinary_strings(n: int = 3000, seed: int = 11) -> list[str]:
         elif shape < 0.88:
             out.append("".join(w.capitalize() for w in words))
         elif shape < 0.94:
-            out.append(draw.choice("-=._/+") * draw.randint(16, 60))
+            out.append(draw.choice("-=._/+" + _ALNUM) * draw.randint(16, 60))
         else:
             out.append(f"{draw.randint(1990, 2030)}-{draw.randint(1, 12):02d}-{draw.randint(1, 28):02d}"
                        + draw.choice(["T", "_", "-", "."]) + str(draw.randint(0, 10 ** 6)))
@@ -107,9 +124,9 @@ def ordinary_strings(n: int = 3000, seed: int = 11) -> list[str]:
 
 
 class Grammars:
-    """An automaton per format and one of ordinary text."""
+    """An automaton per format and per kind of identifier, and one of ordinary text."""
 
-    def __init__(self, labelled=None, ordinary=None, alpha: float = ALPHA):
+    def __init__(self, labelled=None, ordinary=None, alpha: float = ALPHA, identifiers=None):
         by_format: dict[str, list[str]] = {}
         for kind, text in labelled or labelled_credentials():
             by_format.setdefault(kind, []).append(text)
@@ -120,25 +137,50 @@ class Grammars:
             # a credential may be likelier than any seen, and a little less likely
             worst = min(likelihood(table, t) / len(t) for t in texts)
             self.formats[kind] = (table, ends, worst - 0.35)
+        by_kind: dict[str, list[str]] = {}
+        for kind, text in labelled_credentials(formats=IDENTIFIERS) if identifiers is None else identifiers:
+            by_kind.setdefault(kind, []).append(text)
+        self.identifiers = []
+        for kind, texts in sorted(by_kind.items()):
+            automaton = Automaton(texts).merged(alpha).reachable()
+            self.identifiers.append((automaton.table(FLOOR), automaton.end_table(FLOOR)))
         self.pairs = _pair_model(ordinary or ordinary_strings())
         self._prepare()
 
     def _prepare(self) -> None:
         self.gain = functools.lru_cache(maxsize=50_000)(self._gain)
         self._known = functools.lru_cache(maxsize=20_000)(self._parts)
-        self.heads = tuple({h for table, _, _ in self.formats.values() if len(h := _head(table)) >= 3})
+        self.head = {kind: h if len(h := _head(table)) >= 3 else "" for kind, (table, _, _) in self.formats.items()}
+        self.heads = tuple(sorted({h for h in self.head.values() if h}))
 
     def __reduce__(self):
-        return _restored, (self.formats, self.pairs)
+        return _restored, (self.formats, self.identifiers, self.pairs)
+
+    def identifier(self, part: str) -> bool:
+        """Is a candidate, or what stands in it between '/' or '=', likelier an identifier
+        than a credential of a format without a beginning of its own?"""
+        if part.startswith(self.heads):
+            return False
+        plain = [(table, ends) for kind, (table, ends, _) in self.formats.items() if not self.head[kind]]
+        for piece in {part, *re.split("[/=]", part)}:
+            if len(piece) >= PLAIN_LEAST:
+                secret = max((likelihood(table, piece, ends=ends) for table, ends in plain), default=-math.inf)
+                if any(likelihood(table, piece, secret, ends) > secret for table, ends in self.identifiers):
+                    return True
+        return False
+
+    def least(self, kind: str) -> int:
+        return LEAST if self.head[kind] else PLAIN_LEAST
 
     def _gain(self, token: str) -> tuple[float, str]:
         """(best log likelihood ratio, its format), over all formats whatever the length."""
         base = self.ordinary(token)
         best = (-math.inf, "")
         for kind, (table, ends, worst) in self.formats.items():
-            p = likelihood(table, token, max(base, worst * len(token)), ends)
-            best = max(best, (p - base, kind))
-        return best
+            if token.startswith(self.head[kind]) and len(token) >= self.least(kind):
+                p = likelihood(table, token, max(base, worst * len(token)), ends)
+                best = max(best, (p - base, kind))
+        return (-math.inf, "") if best[1] and self.identifier(token) else best
 
     def parts(self, run: str, min_gain: float) -> tuple[tuple[int, int], ...]:
         return (self._known if len(run) <= 256 else self._parts)(run, min_gain)
@@ -164,9 +206,9 @@ class Grammars:
             symbol, nxt = run[i], {}
             ordinary = rest[i] - rest[i + 1]
             if i in starts and size - i >= LEAST:
-                for kind in self.formats:
+                for kind, head in self.head.items():
                     gain, _, start = alive.get((kind, 0), (-math.inf, 0.0, 0))
-                    if total[start] + gain <= total[i]:
+                    if run.startswith(head, i) and total[start] + gain <= total[i]:
                         alive[kind, 0] = (0.0, 0.0, i)
             total[i + 1] = total[i]
             ends_here = i + 1 == size or not run[i + 1].isalnum()
@@ -180,7 +222,7 @@ class Grammars:
                     continue
                 if (kind, to) not in nxt or total[nxt[kind, to][2]] + nxt[kind, to][0] < total[start] + gain:
                     nxt[kind, to] = (gain, p, start)
-                if ends_here and i + 1 - start >= LEAST and gain + ends[to] >= min_gain and p + ends[to] >= worst * (i + 1 - start):
+                if ends_here and i + 1 - start >= self.least(kind) and gain + ends[to] >= min_gain and p + ends[to] >= worst * (i + 1 - start):
                     if total[start] + gain + ends[to] > total[i + 1]:
                         total[i + 1], chosen[i + 1] = total[start] + gain + ends[to], start
             alive = nxt
@@ -191,7 +233,9 @@ class Grammars:
                 at = chosen[at]
             else:
                 at -= 1
-        return tuple(reversed(found))
+        # a part of an identifier is none either: what stands before it, back to a '=', counts too
+        return tuple((a, b) for a, b in reversed(found)
+                     if not self.identifier(run[a:b]) and not self.identifier(run[run.rfind("=", 0, a) + 1:b]))
 
     def ordinary(self, token: str) -> float:
         pairs, unseen = self.pairs
@@ -202,9 +246,9 @@ class Grammars:
         return total
 
 
-def _restored(formats, pairs):
+def _restored(formats, identifiers, pairs):
     g = Grammars.__new__(Grammars)
-    g.formats, g.pairs = formats, pairs
+    g.formats, g.identifiers, g.pairs = formats, identifiers, pairs
     g._prepare()
     return g
 
