@@ -167,6 +167,21 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(simhash, "stage", lambda df, name, keep=simhash.stage: stored.append(name) or keep(df, name))
+    chain = list(range(200))
+    random.Random(3).shuffle(chain)
+    orders = {"in order": list(range(200)), "shuffled": chain}
+    for name, nodes in orders.items():
+        stored.clear()
+        edges = spark.createDataFrame(list(zip(nodes[:-1], nodes[1:])), "a bigint, b bigint")
+        got = simhash.components(edges).collect()
+        assert {r.component for r in got} == {0} and len(got) == 200
+        rounds = stored.count("renamed") + stored.count("followed")
+        assert rounds <= (12 if name == "in order" else 24), (name, rounds)
+
+
 def brute_components(values):
     """Smallest index reachable over links, for every value's index."""
     name = list(range(len(values)))
