@@ -3,6 +3,8 @@ the Spark expressions."""
 
 from __future__ import annotations
 
+# Texts that stand for a missing value, the shapes of addresses and numbers,
+# the shapes of dates, and the lists of formats in the order they are tried.
 BLANKS = "('', 'nan', 'null', 'none', 'n/a', 'na', '-')"
 EMAIL = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$"
 PHONE = r"^[\+\-\(\)\s\d]{7,}$"
