@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewright import workflows
 from tablewright.operators import dedupe
 from tablewright.plans import clean as cleaning
 from tablewright.plans import profile
+from tablewright.session import scratch_path
+from tablewright.sources import delimited
 
 from . import constants
 from . import sqltext as q
 from .base import AS_OF, query
 from .q_functions import unpivot_sql
 from .q_profile import PROF, profile_parts, report
-from .views import COLUMNS, ctes, view
+from .views import COLUMNS, ctes, table, view
 
 ACTIONS = [a for a in dict.fromkeys(row[2] for row in constants.ACTIONS) if not a.startswith("keep")]
 CHANGE = {"trim_whitespace": "trimmed", "standardize_lower": "case_normalized", "standardize_upper": "case_normalized",
@@ -339,3 +342,84 @@ def c20_auto_clean(spark, sf):
 @query("c20_auto_clean_hr", auto_sql("dirty_hr"))
 def c20_auto_clean_hr(spark, sf):
     return cleaning.auto_clean(view(spark, sf, "dirty_hr"), COLUMNS["dirty_hr"], "seq", AS_OF)[1].data
+
+
+# --- tables cleaned together: statistics and duplicates of each for itself -------------------
+
+def by_currency(actions, **table_rules):
+    """CTEs gst (statistics of the amount and the merchant in each currency) and grow (each row with them)."""
+    src = "dirty_txn"
+    dedupe = ""
+    if table_rules.get("near"):
+        cells = [c for c in COLUMNS[src] if c != "currency"]
+        dedupe = f"gdd AS (SELECT * FROM {src} QUALIFY row_number() OVER (PARTITION BY currency, {q.text_key(cells, True)} ORDER BY seq) = 1),"
+        src = "gdd"
+    return ctes("dirty_txn") + f""", {dedupe}
+gnum AS (SELECT currency, amount, {q.number('amount')} AS x FROM {src}),
+grank AS (SELECT *, row_number() OVER (PARTITION BY currency ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY currency) AS n
+  FROM gnum WHERE x IS NOT NULL),
+gquart AS (SELECT currency, any_value(n) AS n, avg(x) AS mean, max(x) FILTER (i = n // 2) AS median, max(x) FILTER (i = n // 4) AS q1,
+  max(x) FILTER (i = 3 * n // 4) AS q3 FROM grank GROUP BY 1),
+gmode AS (SELECT currency, merchant AS mode FROM {src} WHERE NOT {q.blank('merchant')} GROUP BY 1, 2
+  QUALIFY row_number() OVER (PARTITION BY currency ORDER BY count(*) DESC, min(seq)) = 1),
+gst AS MATERIALIZED (SELECT k.currency, mode, mean, CASE WHEN EXISTS (SELECT 1 FROM gnum g WHERE g.currency = k.currency AND g.x = median
+    AND NOT contains(g.amount, '.')) THEN CAST(CAST(median AS BIGINT) AS VARCHAR) ELSE CAST(median AS VARCHAR) END AS median_text,
+  CASE WHEN n >= 8 AND q3 <> q1 THEN q1 - 1.5 * (q3 - q1) END AS lo, CASE WHEN n >= 8 AND q3 <> q1 THEN q3 + 1.5 * (q3 - q1) END AS hi
+  FROM gquart k LEFT JOIN gmode m ON m.currency = k.currency),
+grow AS (SELECT t.seq, t.currency, t.amount, t.merchant, {q.number('t.amount')} AS x, s.* EXCLUDE (currency)
+  FROM {src} t LEFT JOIN gst s ON s.currency = t.currency)
+"""
+
+
+def together(spark, sf, actions, **table_rules):
+    cols = [c for c in COLUMNS["dirty_txn"] if c != "currency"]
+    return cleaning.clean(view(spark, sf, "dirty_txn"), cols, "seq", rules(actions, **table_rules), None, AS_OF, by=["currency"])
+
+
+def exact_cents(x):
+    """``cents`` of all digits of a double, for bounds that end on half a cent."""
+    return f"CAST(CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,20)), 2) AS DOUBLE) AS VARCHAR)"
+
+
+def given(c):
+    return f"CASE WHEN NOT {q.blank(c)} THEN {c} END"
+
+
+@query("c10_cap_groups", by_currency({}) + f"""SELECT seq, currency, CASE WHEN x < lo THEN {exact_cents('lo')} WHEN x > hi THEN {exact_cents('hi')}
+  ELSE {given('amount')} END AS amount FROM grow""")
+def c10_cap_groups(spark, sf):
+    """Amounts capped at the bounds of their currency."""
+    return together(spark, sf, {"amount": "cap_outliers"}).data.select("seq", "currency", "amount")
+
+
+@query("c8_fill_groups", by_currency({}, near=True) + f"""SELECT seq, currency, coalesce({given('amount')}, median_text) AS amount,
+  coalesce({given('merchant')}, mode) AS merchant FROM grow""")
+def c8_fill_groups(spark, sf):
+    """Medians and commonest values of each currency, after near duplicates within it are gone."""
+    found = together(spark, sf, {"amount": "fill_missing_median", "merchant": "fill_missing_mode"}, remove_near_duplicates=True)
+    return found.data.select("seq", "currency", "amount", "merchant")
+
+
+@query("c16_log_groups", by_currency({}) + """SELECT currency, 'amount' AS column_name, 'capped' AS change, count(*) AS n FROM grow
+WHERE x < lo OR x > hi GROUP BY 1""")
+def c16_log_groups(spark, sf):
+    return together(spark, sf, {"amount": "cap_outliers"}).change_log()
+
+
+# The size of a part is text in a few rows, the code a fraction: neither is lost in the stored types.
+STORED_SQL = """SELECT p_partkey AS id, trim(p_name) AS "name", CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) AS price,
+  CASE WHEN p_partkey % 150 = 149 THEN 'XL' ELSE CAST(p_size AS VARCHAR) END AS size,
+  CASE WHEN p_partkey % 150 = 148 THEN 2.5::DOUBLE ELSE p_size::DOUBLE END AS code FROM part"""
+
+
+@query("s9_clean_table", STORED_SQL)
+def s9_clean_table(spark, sf):
+    """A file cleaned into a table, in the types that its cells fit."""
+    part = table(spark, sf, "part").orderBy("p_partkey")
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    path, zone = f"{scratch_path(spark, 's9t')}/parts.csv", scratch_path(spark, "s9t-zone")
+    delimited.write_delimited(part.select(
+        key.alias("id"), F.concat(F.lit(" "), "p_name").alias("name"), F.col("p_retailprice").cast("decimal(18,2)").alias("price"),
+        F.when(key % 150 == 149, "XL").otherwise(size).alias("size"), F.when(key % 150 == 148, "2.5").otherwise(size).alias("code")), path)
+    done = workflows.clean_file(spark, path, scratch_path(spark, "s9t-out"), rules({"name": "trim_whitespace"}), zone=zone)
+    return spark.read.parquet(f"{zone}/{done['curated_table']}").drop("_quality_flag")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewright import workflows
 from tablewright.catalog import governance
 from tablewright.functions import naming, numbers, text
 from tablewright.operators import cells
 from tablewright.plans import anyfile, quality
+from tablewright.session import scratch_path
+from tablewright.sources import delimited
 
 from . import constants
 from . import sqltext as q
@@ -99,6 +102,23 @@ def s10_first_rows(spark, sf):
     return found.select("row_count", "completeness", "uniqueness")
 
 
+HR_FILE = ["emp_id", "salary", "performance_score", "full_name"]
+HR_ALL = HR_FILE + ["_cleansed_at", "_is_duplicate", "_quality_flag"]
+
+
+@query("q4_any_file", ctes("dirty_hr") + f""", hr AS (SELECT emp_id, nullif(salary, '') AS salary, nullif(performance_score, '') AS performance_score,
+  full_name, CAST(NULL AS VARCHAR) AS is_active, 'now' AS _cleansed_at, 0 AS _is_duplicate, 'OK' AS _quality_flag FROM dirty_hr)
+SELECT count(*) AS row_count, {completeness_sql('', HR_ALL)} AS completeness, {uniqueness_sql('', HR_ALL)} AS uniqueness,
+  {accuracy_sql('hr_records')} AS accuracy, {consistency_sql('hr_records')} AS consistency FROM hr""")
+def q4_any_file(spark, sf):
+    """A file named like a table that has a rule and expected types is scored by them; a column it lacks fits no type."""
+    path = f"{scratch_path(spark, 'q4')}/hr_records.csv"
+    delimited.write_delimited(view(spark, sf, "dirty_hr").select(*HR_FILE), path)
+    scores = workflows.curate_file(spark, path, scratch_path(spark, "q4-zone"))["quality_scores"]
+    names = ["row_count", "completeness", "uniqueness", "accuracy", "consistency"]
+    return spark.createDataFrame([tuple(scores[n] for n in names)], "row_count bigint, " + ", ".join(f"{n} double" for n in names[1:]))
+
+
 RULED = ["dirty_txn", "dirty_hr", "dirty_sensor"]
 
 

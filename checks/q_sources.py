@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright import workflows
 from tablewright.operators import sheets
-from tablewright.plans import clean, profile, zones
+from tablewright.plans import zones
 from tablewright.session import scratch_path
 from tablewright.sources import delimited, detect, ingest, runs
 
@@ -91,6 +95,27 @@ def s2_delimiter_profile(spark, sf):
     return kinds.join(rows, "folder").select("folder", label.alias("delimiter"), "n")
 
 
+REPORT_SQL = """SELECT 'kind_{k}' AS filename, 'csv' AS file_kind, '{delimiter}' AS delimiter, '{encoding}' AS encoding, count(*) AS total_rows,
+  CAST(2 AS BIGINT) AS total_cols, (SELECT string_agg(p_partkey, ',' ORDER BY p_partkey) FROM (SELECT p_partkey FROM part WHERE p_partkey % 3 = {k}
+  ORDER BY p_partkey LIMIT 5)) AS preview FROM part WHERE p_partkey % 3 = {k}"""
+REPORTS = {0: (",", "UTF-8", "comma", "utf-8-sig"), 1: (";", "ISO-8859-1", "semicolon", "cp1252"), 2: ("|", "UTF-16", "pipe", "utf-16")}
+
+
+@query("s4_file_report", " UNION ALL ".join(
+    REPORT_SQL.format(k=k, delimiter=name, encoding=found) for k, (_, _, name, found) in REPORTS.items()))
+def s4_file_report(spark, sf):
+    """How files are written, their size and their first rows, as the report of an analysis tells."""
+    base, rows = scratch_path(spark, "s4"), []
+    for k, (sep, charset, _, _) in REPORTS.items():
+        part = table(spark, sf, "part").filter(F.col("p_partkey") % 3 == k).orderBy("p_partkey")
+        delimited.write_delimited(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("pièce")), f"{base}/kind_{k}", sep, charset)
+        r = workflows.file_report(spark, f"{base}/kind_{k}")
+        rows.append((*[r[n] for n in ("filename", "file_kind", "delimiter", "encoding", "total_rows", "total_cols")],
+                     ",".join(p["id"] for p in r["preview_rows"])))
+    return spark.createDataFrame(rows, "filename string, file_kind string, delimiter string, encoding string, total_rows bigint, "
+                                       "total_cols bigint, preview string")
+
+
 ENCODINGS = {"utf8": ("UTF-8", "utf-8-sig"), "utf16": ("UTF-16", "utf-16"), "latin": ("ISO-8859-1", "cp1252")}
 
 
@@ -294,18 +319,48 @@ def x5_rows(spark, sf):
     return rows.select("sheet_id", "row", F.array_join(pairs, "|").alias("record"))
 
 
-@query("x5_clean_sheet", FILL_SQL + """SELECT b."row" AS seq, max(text) FILTER (t.col = 1) AS "Product ID",
-  trim(max(text) FILTER (t.col = 2)) AS "Product Name", coalesce(nullif(max(text) FILTER (t.col = 3), ''), 'Unknown') AS "Size"
-FROM texts t JOIN blk b ON b.sheet_id = t.sheet_id AND b."row" = t."row"
-JOIN cho ON cho.sheet_id = b.sheet_id AND cho.block = b.block WHERE t.sheet_id = (SELECT min(sheet_id) FROM cells) GROUP BY 1""")
+SHEET_ROWS_SQL = FILL_SQL + """, srow AS (SELECT t.sheet_id, b."row" AS seq, max(text) FILTER (t.col = 1) AS id,
+  max(text) FILTER (t.col = 2) AS "name", nullif(max(text) FILTER (t.col = 3), '') AS size FROM texts t
+  JOIN blk b ON b.sheet_id = t.sheet_id AND b."row" = t."row"
+  JOIN cho ON cho.sheet_id = b.sheet_id AND cho.block = b.block GROUP BY 1, 2)
+"""
+
+
+def clean_grid(spark, sf, **actions):
+    done, _ = workflows.clean_sheets(*grid(spark, sf), {"columns": {c.replace("_", " "): {"action": a} for c, a in actions.items()}})
+    return done
+
+
+def all_runs(done, table_of):
+    return functools.reduce(DataFrame.unionByName, [table_of(one) for one in done])
+
+
+@query("x5_clean_sheet", SHEET_ROWS_SQL + """SELECT sheet_id, seq, id AS "Product ID", trim("name") AS "Product Name",
+  coalesce(size, 'Unknown') AS "Size" FROM srow""")
 def x5_clean_sheet(spark, sf):
-    """A worksheet's rows as columns, profiled and cleaned."""
-    sheet_cells, merges = grid(spark, sf)
-    rows, _ = sheets.read_sheets(sheet_cells, merges)
-    df, cols = sheets.sheet_table(rows, sheet_cells.agg(F.min("sheet_id")).first()[0])
-    assert [c.name for c in profile.analyze(df, cols, "row", samples=0).columns] == cols
-    rules = {"columns": {"Size": {"action": "fill_missing_unknown"}, "Product Name": {"action": "trim_whitespace"}}}
-    return clean.clean(df, cols, "row", rules).data.select(F.col("row").alias("seq"), "Product ID", "Product Name", "Size")
+    """The rows of all worksheets as columns, profiled and cleaned in one run."""
+    done = clean_grid(spark, sf, Size="fill_missing_unknown", Product_Name="trim_whitespace")
+    assert all([c.name for c in one.report.columns] == one.table.names for one in done)
+    return all_runs(done, lambda one: one.result.data.select(
+        F.col(one.table.sheet).alias("sheet_id"), F.col(one.table.row).alias("seq"), "Product ID", "Product Name", "Size"))
+
+
+@query("x5_sheet_medians", SHEET_ROWS_SQL + """, sized AS (SELECT sheet_id, CAST(size AS INT) AS x,
+  row_number() OVER (PARTITION BY sheet_id ORDER BY CAST(size AS INT)) - 1 AS i, count(*) OVER (PARTITION BY sheet_id) AS n
+  FROM srow WHERE size IS NOT NULL),
+med AS (SELECT sheet_id, CAST(x AS VARCHAR) AS median FROM sized WHERE i = n // 2)
+SELECT s.sheet_id, seq, id AS "Product ID", coalesce(size, median) AS "Size" FROM srow s LEFT JOIN med m ON m.sheet_id = s.sheet_id""")
+def x5_sheet_medians(spark, sf):
+    """Missing sizes filled with the median of their own sheet."""
+    return all_runs(clean_grid(spark, sf, Size="fill_missing_median"), lambda one: one.result.data.select(
+        F.col(one.table.sheet).alias("sheet_id"), F.col(one.table.row).alias("seq"), "Product ID", "Size"))
+
+
+@query("x5_sheet_log", SHEET_ROWS_SQL + """SELECT sheet_id, 'Size' AS column_name, 'filled' AS change, count(*) AS n FROM srow
+WHERE size IS NULL AND sheet_id IN (SELECT sheet_id FROM srow WHERE size IS NOT NULL) GROUP BY 1""")
+def x5_sheet_log(spark, sf):
+    return all_runs(clean_grid(spark, sf, Size="fill_missing_mode"), lambda one: one.result.change_log()
+                    .withColumnRenamed(one.table.sheet, "sheet_id"))
 
 
 @query("x5_facts", FILL_SQL + """SELECT shaped.sheet_id, merged AS merged_cells_filled, CAST(two AS INT) AS multi_level_header,

@@ -86,3 +86,9 @@ def round_decimal(x: Column, digits: int) -> Column:
     """Round a double half up on its decimal digits."""
     exact = F.round(x.try_cast("decimal(38,10)"), digits).cast("double")
     return F.coalesce(exact, x)
+
+
+def cents_text(x: Column) -> Column:
+    """Text of a double rounded half up to cents; as it is if it is too large to have cents."""
+    exact = F.coalesce(F.round(x.try_cast("decimal(38,20)"), 2).cast("double"), F.round(x.try_cast("decimal(38,4)"), 2).cast("double"))
+    return float_text(F.coalesce(exact, x))

@@ -38,22 +38,23 @@ def with_row_keys(df: DataFrame, cols: list[str], exact: str | None = None, fold
     return out.drop(*names)
 
 
-def drop_full_duplicates(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
+def drop_full_duplicates(df: DataFrame, cols: list[str], seq: str, by: list[str] = ()) -> DataFrame:
+    """``by``: columns whose values are tables of their own, as for all functions here."""
     key = text.free_prefix(df.columns) + "key"
-    return keep_first(with_row_keys(df, cols, exact=key), [F.col(key)], seq).drop(key)
+    return keep_first(with_row_keys(df, cols, exact=key), [*map(text.quoted, by), F.col(key)], seq).drop(key)
 
 
-def drop_near_duplicates(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, cols: list[str], seq: str, by: list[str] = ()) -> DataFrame:
     """Rows that differ only in case and outer whitespace count as one."""
     key = text.free_prefix(df.columns) + "key"
-    return keep_first(with_row_keys(df, cols, folded=key), [F.col(key)], seq).drop(key)
+    return keep_first(with_row_keys(df, cols, folded=key), [*map(text.quoted, by), F.col(key)], seq).drop(key)
 
 
-def drop_key_duplicates(df: DataFrame, key: str, seq: str) -> DataFrame:
+def drop_key_duplicates(df: DataFrame, key: str, seq: str, by: list[str] = ()) -> DataFrame:
     """Rows with an empty key are all kept: each is a group of its own, so they
     are spread over all tasks."""
     value = F.coalesce(text.strip(text.quoted(key)), F.lit(""))
-    return keep_first(df, [value, F.when(value == "", F.col(seq))], seq)
+    return keep_first(df, [*map(text.quoted, by), value, F.when(value == "", text.quoted(seq))], seq)
 
 
 def duplicate_counts(df: DataFrame, cols: list[str], seq: str) -> DataFrame:

@@ -279,6 +279,27 @@ def first_of(df: DataFrame, cols: list[str], order: str, k: int, keep) -> DataFr
     return kept.mapInArrow(run, f"column_name string, value string, seq {kind}")
 
 
+def few_values(df: DataFrame, cols: list[str], most: int, keep) -> dict[str, int]:
+    """Distinct cells of each column that satisfy ``keep``, as far as ``most`` + 1: one pass, of
+    which a task passes on that many hashes of a column, whatever the column holds."""
+    every = [F.when(keep(text.quoted(c)), text.quoted(c)).alias(f"v{i}") for i, c in enumerate(cols)]
+
+    def run(batches):
+        seen: list[set] = [set() for _ in cols]
+        for batch in batches:
+            for i, found in enumerate(seen):
+                if len(found) <= most:
+                    values = pc.unique(batch[f"v{i}"].drop_null()).to_pylist()
+                    found.update(zip(*(k.view(np.int64).tolist() for k in hashes(values))))
+        rows = [(i, a, b) for i, found in enumerate(seen) for a, b in sorted(found)[:most + 1]]
+        i, a, b = zip(*rows) if rows else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["col", "a", "b"])
+
+    counts = df.select(*every).mapInArrow(run, "col int, a bigint, b bigint").distinct().groupBy("col").agg(
+        F.least(F.count("*"), F.lit(most + 1)).alias("n"))
+    return {cols[r["col"]]: r["n"] for r in counts.collect()}
+
+
 def least_values(packed: DataFrame, k: int) -> dict[int, list[str]]:
     """Of each column the k smallest distinct stripped cells that are not blank."""
     order = Window.partitionBy("col").orderBy("value")

@@ -8,10 +8,13 @@ columns count from 1.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.naming import column_names
 from ..session import stage
 
 ROWS_PER_BUCKET = 65_536  # rows of one sheet that one task orders
@@ -169,3 +172,32 @@ def sheet_table(rows: DataFrame, sheet_id) -> tuple[DataFrame, list[str]]:
     while row in {n.lower() for n in names}:
         row += "_"
     return own.select(F.col("row").alias(row), *[F.col("record")[n].alias(n) for n in names]), names
+
+
+@dataclass(frozen=True)
+class SheetTable:
+    """The rows of all sheets that have one header, as text columns; ``sheet`` and ``row`` name
+    the columns that tell the sheet and the arrival order within it."""
+
+    data: DataFrame
+    names: list[str]
+    sheet: str
+    row: str
+
+
+def header_tables(rows: DataFrame) -> list[SheetTable]:
+    """The sheets of ``read_sheets`` by header, in the order of the headers: as many tables as there
+    are headers, however many sheets.  ``rows`` is read once more for each header, so pass a
+    stored table.  Headers that differ only in case get _2, as repeated ones do."""
+    heads = sorted(r["names"] for r in rows.select(F.map_keys("record").alias("names")).distinct().collect())
+    out = []
+    for names in heads:
+        cols = column_names(names)
+        taken = {c.lower() for c in cols}
+        free = lambda name: name if name not in taken else free(name + "_")
+        sheet, row = free("sheet_id"), free("row")
+        own = rows.filter(F.map_keys("record") == F.array(*[F.lit(n) for n in names]))
+        data = own.select(F.col("sheet_id").alias(sheet), F.col("row").alias(row),
+                          *[F.col("record")[n].alias(c) for n, c in zip(names, cols)])
+        out.append(SheetTable(data, cols, sheet, row))
+    return out

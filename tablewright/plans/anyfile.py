@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, derive, naming, numbers, text
-from ..operators import histogram
+from ..operators import histogram, packed
 from ..operators.cells import by_name, date_columns, long_cells, measure, storage_types
 from ..operators.dedupe import keep_first
 from .profile import first_by_name
@@ -105,19 +105,18 @@ def completeness(curated: DataFrame, cols: list[str]) -> DataFrame:
 
 def value_distribution(curated: DataFrame, shape: Shape, seq: str) -> DataFrame:
     """column_name, value, n: commonest values of the first Public or Internal
-    column, dates aside, that has a handful of values; first seen among equals."""
+    column, dates aside, that has a handful of values; first seen among equals.
+
+    Which column that is, is settled first, by at most one value more than a handful of each column
+    a task; only the values of that one are counted."""
     cols = [c for c in shape.cols if shape.label(c) in ("Public", "Internal") and c not in shape.date_cols]
-    schema = "column_name string, value string, n bigint"
-    if not cols:
-        return curated.sparkSession.createDataFrame([], schema)
-    counts = long_cells(curated, cols, seq, keep=_given).groupBy("position", "column_name", "value").agg(
+    few = packed.few_values(curated, cols, MOST_VALUES, _given) if cols else {}
+    chosen = next((c for c in cols if FEWEST_VALUES <= few.get(c, 0) <= MOST_VALUES), None)
+    if chosen is None:
+        return curated.sparkSession.createDataFrame([], "column_name string, value string, n bigint")
+    counts = long_cells(curated, [chosen], seq, keep=_given).groupBy("column_name", "value").agg(
         F.count("*").alias("n"), F.min("seq").alias("first"))
-    sized = counts.groupBy("position").agg(F.count("*").alias("values"))
-    chosen = sized.filter(F.col("values").between(FEWEST_VALUES, MOST_VALUES)).agg(F.min("position").alias("position"))
-    return (
-        counts.join(F.broadcast(chosen), "position")
-        .orderBy(F.col("n").desc(), "first").limit(SHOWN_VALUES).select("column_name", "value", "n")
-    )
+    return counts.orderBy(F.col("n").desc(), "first").limit(SHOWN_VALUES).select("column_name", "value", "n")
 
 
 def classify(shape: Shape, spark) -> DataFrame:

@@ -3,6 +3,9 @@
 Rules are ``{"global": {rule: True}, "columns": {column: {"action": name}}}``.
 Table rules run first, then each column's action in the order given; a row that
 one action drops is not counted by the actions after it.
+
+``by`` names columns that tell tables apart which are cleaned together: duplicates are sought and
+statistics taken in each of them for itself, in the same passes however many there are.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import dates, derive, numbers, text
-from ..operators import dedupe, histogram
-from ..operators.cells import measure
+from ..operators import dedupe, group_ranks, histogram
+from ..operators.cells import measure, storage_types
 from ..operators.ranks import Stats, long_numbers, statistics
 from ..session import stage
 from .profile import Report, analyze
@@ -39,12 +42,13 @@ def cents_text(x: float) -> str:
 
 @dataclass(frozen=True)
 class ColumnFacts:
-    """What fills and caps need to know about a column, as texts and bounds."""
+    """What fills and caps need to know about a column, as texts and bounds; as columns
+    of the rows, NULL where there is none, if they differ between tables."""
 
-    mean: str | None = None
-    median: str | None = None
-    mode: str | None = None
-    band: tuple[float, float] | None = None
+    mean: str | Column | None = None
+    median: str | Column | None = None
+    mode: str | Column | None = None
+    band: tuple[float, float] | tuple[Column, Column] | None = None
 
 
 @dataclass(frozen=True)
@@ -101,8 +105,13 @@ def effect(action: str, cell: Cell, facts: ColumnFacts, as_of: str) -> Effect |
         return Effect(v, condition, "rows_dropped", drops=True)
 
     def fill(value):
+        if isinstance(value, Column):
+            return when(cell.blank & value.isNotNull(), value, "filled")
         return None if value is None else when(cell.blank, F.lit(value), "filled")
 
+    def cents(bound):
+        return numbers.cents_text(bound) if isinstance(bound, Column) else F.lit(cents_text(bound))
+
     def known(condition):
         return F.coalesce(condition, F.lit(False))
 
@@ -134,7 +143,7 @@ def effect(action: str, cell: Cell, facts: ColumnFacts, as_of: str) -> Effect |
         under, over = known(cell.number < low), known(cell.number > high)
         if action == "drop_outliers":
             return drop(under | over)
-        capped = F.when(under, cents_text(low)).when(over, cents_text(high)).otherwise(v)
+        capped = F.when(under, cents(low)).when(over, cents(high)).otherwise(v)
         return Effect(capped, under | over, "capped")
     if action == "abs_values":
         return when(known(cell.number < 0), numbers.abs_text(v, cell.number), "abs_applied")
@@ -145,16 +154,16 @@ def effect(action: str, cell: Cell, facts: ColumnFacts, as_of: str) -> Effect |
     return None  # keep_missing, keep_outliers and unknown actions
 
 
-def deduplicate(df: DataFrame, cols: list[str], seq: str, rules: dict, key: str | None) -> DataFrame:
+def deduplicate(df: DataFrame, cols: list[str], seq: str, rules: dict, key: str | None, by: list[str] = ()) -> DataFrame:
     """Table rules: full duplicates, near duplicates, key duplicates."""
     if rules.get("remove_near_duplicates"):
         # The first row of a near-duplicate group is the first of its exact
         # copies too, so this also removes full duplicates.
-        df = dedupe.drop_near_duplicates(df, cols, seq)
+        df = dedupe.drop_near_duplicates(df, cols, seq, by)
     elif rules.get("remove_full_duplicates"):
-        df = dedupe.drop_full_duplicates(df, cols, seq)
+        df = dedupe.drop_full_duplicates(df, cols, seq, by)
     if rules.get("dedupe_by_pk") and key:
-        df = dedupe.drop_key_duplicates(df, key, seq)
+        df = dedupe.drop_key_duplicates(df, key, seq, by)
     return df
 
 
@@ -232,6 +241,78 @@ def _digits_at(values: DataFrame, k: int, rising: bool) -> str:
     return found
 
 
+def group_facts(df: DataFrame, actions: dict[str, str], seq: str, by: list[str], free: str) -> tuple[DataFrame, dict[str, ColumnFacts]]:
+    """Statistics that the actions ask for in every group: a stored table with a row for each
+    group, and for each column the columns of that table.  A median from 2^53 on is written as
+    the double it is.  ``df`` is read several times."""
+    given, by = by, [f"{free}g{i}" for i in range(len(by))]  # names that no statistic has
+    df = df.withColumnsRenamed(dict(zip(given, by)))
+    of_group = [text.quoted(b) for b in by]
+    asked = {kind: [c for c, a in actions.items() if a in of] for kind, of in (
+        ("mean", MEAN_ACTIONS), ("median", MEDIAN_ACTIONS), ("mode", MODE_ACTIONS), ("band", BAND_ACTIONS))}
+    numeric = list(dict.fromkeys(asked["mean"] + asked["median"] + asked["band"]))
+    groups = df.select(*of_group).distinct()
+    name = lambda what, c: f"{free}{what}{list(actions).index(c)}"
+    if numeric:
+        entries = [F.struct(F.lit(c).alias("name"), numbers.number(text.quoted(c)).alias("x")) for c in numeric]
+        cells = df.select(*of_group, F.inline(F.array(*entries)), F.lit(1).cast("bigint").alias("n"))
+        values = stage(cells.filter(F.col("x").isNotNull()), "numbers")
+        stats = group_ranks.statistics(values, by, bool(asked["median"]), bool(asked["band"]))
+        reach = F.col("q3") - F.col("q1")
+        low, high = F.when(reach > 0, F.col("q1") - 1.5 * reach), F.when(reach > 0, F.col("q3") + 1.5 * reach)
+        of = lambda c, x: F.max(F.when(F.col("name") == c, x))
+        found = [of(c, numbers.cents_text(F.col("mean"))).alias(name("mean", c)) for c in asked["mean"]]
+        found += [of(c, F.col("median")).alias(name("median", c)) for c in asked["median"]]
+        found += [of(c, x).alias(name(w, c)) for c in asked["band"] for w, x in (("low", low), ("high", high))]
+        groups = group_ranks.joined(groups, stats.groupBy(*of_group).agg(*found), by, "left")
+    if asked["median"]:
+        # whole if it is written whole somewhere in the group
+        def written(c):
+            same = numbers.number(text.quoted(c)) == F.col(name("median", c))
+            return F.coalesce(F.bool_or(same & ~F.contains(text.quoted(c), F.lit("."))), F.lit(False)).alias(name("whole", c))
+
+        groups = stage(groups, "groups")
+        medians = groups.select(*of_group, *[name("median", c) for c in asked["median"]])
+        whole = group_ranks.joined(df, medians, by).groupBy(*of_group).agg(*[written(c) for c in asked["median"]])
+        m = lambda c: F.col(name("median", c))
+        groups = group_ranks.joined(groups, whole, by, "left").withColumns({
+            name("median", c): F.when(F.col(name("whole", c)), F.coalesce(m(c).try_cast("decimal(38,0)").cast("string"), numbers.float_text(m(c))))
+            .otherwise(numbers.float_text(m(c))) for c in asked["median"]})
+    if asked["mode"]:
+        entries = [F.struct(F.lit(c).alias("name"), text.quoted(c).alias("value")) for c in asked["mode"]]
+        cells = df.select(*of_group, text.quoted(seq).alias(f"{free}seq"), F.inline(F.array(*entries)))
+        counts = cells.filter(~text.is_blank(F.col("value"))).groupBy(*of_group, "name", "value").agg(
+            F.count("*").alias("n"), F.min(f"{free}seq").alias("first"))
+        best = lambda c: F.min(F.when(F.col("name") == c, F.struct((-F.col("n")).alias("n"), F.col("first"), F.col("value"))))
+        modes = counts.groupBy(*of_group).agg(*[best(c)["value"].alias(name("mode", c)) for c in asked["mode"]])
+        groups = group_ranks.joined(groups, modes, by, "left")
+    column = lambda what, c: F.col(name(what, c)) if c in asked[what] else None
+    facts = {c: ColumnFacts(column("mean", c), column("median", c), column("mode", c),
+                            (F.col(name("low", c)), F.col(name("high", c))) if c in asked["band"] else None)
+             for c in dict.fromkeys(numeric + asked["mode"])}
+    return stage(groups.withColumnsRenamed(dict(zip(by, given))), "group-facts"), facts
+
+
+def stored_types(df: DataFrame, cols: list[str], seq: str) -> dict[str, str]:
+    """Type that each column of cleaned rows is stored in: the one its leading cells suggest,
+    or the next wider of INTEGER, REAL and TEXT that every cell fits, so none is lost."""
+    parse = {"INTEGER": numbers.plain_int, "REAL": numbers.plain_float}
+    kinds = {r["column_name"]: r["storage_type"] for r in storage_types(df, cols, seq, missing=lambda c: c.isNull()).collect()}
+    asked = [(i, c) for i, c in enumerate(cols) if kinds[c] in parse]
+    if not asked:
+        return kinds
+    fits = df.agg(*[F.bool_and(text.quoted(c).isNull() | f(text.quoted(c)).isNotNull()).alias(f"{kind}{i}")
+                    for i, c in asked for kind, f in parse.items()]).first()
+    wider = {"INTEGER": ["INTEGER", "REAL"], "REAL": ["REAL"]}
+    return kinds | {c: next((k for k in wider[kinds[c]] if fits[f"{k}{i}"]), "TEXT") for i, c in asked}
+
+
+def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """The columns in their stored types."""
+    parse = {"INTEGER": numbers.plain_int, "REAL": numbers.plain_float}
+    return df.withColumns({c: parse[k](text.quoted(c)) for c, k in kinds.items() if k in parse})
+
+
 @dataclass
 class Cleaned:
     """A cleaning as lazy plans over the same marked rows."""
@@ -242,6 +323,11 @@ class Cleaned:
     seq: str
     effects: list[tuple[str, Effect]]
     free: str  # what the names of helper columns begin with
+    by: tuple[str, ...] = ()
+
+    @property
+    def _by(self) -> list[Column]:
+        return [text.quoted(b) for b in self.by]
 
     @property
     def dropped_by(self) -> Column:
@@ -251,7 +337,7 @@ class Cleaned:
     def data(self) -> DataFrame:
         """Cleaned rows; blank cells are NULL."""
         return self.marked.filter(self.dropped_by.isNull()).select(
-            text.quoted(self.seq), *[text.quoted(c) for c in self.cols], "_quality_flag")
+            *self._by, text.quoted(self.seq), *[text.quoted(c) for c in self.cols], "_quality_flag")
 
     def _counts(self) -> list[Column]:
         kept = self.dropped_by.isNull()
@@ -262,14 +348,16 @@ class Cleaned:
         ]
 
     def change_log(self) -> DataFrame:
-        """column_name, change, n; changes that happened."""
+        """column_name, change, n, after the columns of ``by``; changes that happened."""
         schema = "column_name string, change string, n bigint"
         if not self.effects:
-            return self.source.sparkSession.createDataFrame([], schema)
-        row = self.marked.agg(*self._counts())
+            none = self.source.select(*self._by).limit(0)
+            return none.crossJoin(self.source.sparkSession.createDataFrame([], schema)) if self.by else (
+                self.source.sparkSession.createDataFrame([], schema))
+        row = self.marked.groupBy(*self._by).agg(*self._counts())
         entries = [F.struct(F.lit(c).alias("column_name"), F.lit(e.change).alias("change"), F.col(f"_n{i}").alias("n"))
                    for i, (c, e) in enumerate(self.effects)]
-        return row.select(F.inline(F.array(*entries))).filter("n > 0")
+        return row.select(*self._by, F.inline(F.filter(F.array(*entries), lambda e: e["n"] > 0)))
 
     def summary(self) -> DataFrame:
         """One row: rows and blank cells before and after, POOR rows."""
@@ -308,7 +396,7 @@ class Cleaned:
             *self._counts(),
         ]
         observed = self.marked.observe(seen, *metrics)
-        rows = observed.filter(kept).select(*[text.quoted(c) for c in self.cols], "_quality_flag")
+        rows = observed.filter(kept).select(*self._by, *[text.quoted(c) for c in self.cols], "_quality_flag")
         rows.write.format(form).mode("overwrite").options(**options).save(path)
         got = seen.get
         changes: dict[str, dict[str, int]] = {}
@@ -321,23 +409,29 @@ class Cleaned:
 
 
 def clean(df: DataFrame, cols: list[str], seq: str, rules: dict, key: str | None = None,
-          as_of: datetime.date | str | None = None) -> Cleaned:
-    """Apply a rule set to a table of text columns.  The flag of an earlier
-    cleaning is replaced."""
+          as_of: datetime.date | str | None = None, by: list[str] = ()) -> Cleaned:
+    """Apply a rule set to a table of text columns, or to the tables that ``by`` tells apart.
+    The flag of an earlier cleaning is replaced."""
     as_of = str(as_of or datetime.date.today())
     cols = [c for c in cols if c.lower() != "_quality_flag"]
-    free = text.free_prefix([seq, "_quality_flag", *cols])
+    free = text.free_prefix([seq, "_quality_flag", *by, *cols])
     table_rules = rules.get("global", {})
-    df = df.select(text.quoted(seq), *[text.quoted(c) for c in cols])
-    rows = deduplicate(df, cols, seq, table_rules, key)
+    groups = [text.quoted(b) for b in by]
+    df = df.select(*groups, text.quoted(seq), *[text.quoted(c) for c in cols])
+    rows = deduplicate(df, cols, seq, table_rules, key, by)
     actions = {c: r.get("action") for c, r in rules.get("columns", {}).items() if c in cols and r.get("action")}
     wanted = [c for c, a in actions.items() if a in MEAN_ACTIONS + MEDIAN_ACTIONS + MODE_ACTIONS + BAND_ACTIONS]
     facts = {}
     if wanted:
-        basis = rows.select(text.quoted(seq), *[text.quoted(c) for c in wanted])
+        basis = rows.select(*groups, text.quoted(seq), *[text.quoted(c) for c in wanted])
         # Statistics take several passes: deduplicate once, keeping only the
         # columns they read.
-        facts = column_facts(stage(basis, "basis") if any(table_rules.values()) else basis, actions, seq)
+        basis = stage(basis, "basis") if any(table_rules.values()) else basis
+        if by:
+            of_groups, facts = group_facts(basis, {c: actions[c] for c in wanted}, seq, list(by), free)
+            rows = group_ranks.joined(rows, of_groups, list(by), "left")
+        else:
+            facts = column_facts(basis, actions, seq)
     effects, helpers = [], {}
     for c, action in actions.items():
         cell = Cell(c, len(effects), free)
@@ -349,12 +443,12 @@ def clean(df: DataFrame, cols: list[str], seq: str, rules: dict, key: str | None
     new = {c: e.value for c, e in effects}
     dropped = [F.when(e.counted, F.lit(i)) for i, (_, e) in enumerate(effects) if e.drops]
     changed = rows.select(
-        text.quoted(seq), *[new.get(c, text.quoted(c)).alias(c) for c in cols],
+        *groups, text.quoted(seq), *[new.get(c, text.quoted(c)).alias(c) for c in cols],
         (F.coalesce(*dropped) if dropped else F.lit(None).cast("int")).alias(f"{free}dropped_by"),
         *[e.counted.alias(f"{free}c{i}") for i, (_, e) in enumerate(effects)])
     nulled = changed.withColumns({c: F.when(~text.is_blank(text.quoted(c)), text.quoted(c)) for c in cols})
     marked = nulled.withColumn("_quality_flag", derive.quality_flag([text.quoted(c).isNull() for c in cols]))
-    return Cleaned(df, marked, cols, seq, effects, free)
+    return Cleaned(df, marked, cols, seq, effects, free, tuple(by))
 
 
 def without_idle(rules: dict, report: Report) -> dict:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from ..functions.naming import column_names
 from . import detect, quoted
 
 # Names Spark knows the detected encodings by.
@@ -18,19 +19,6 @@ CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "utf-16": "UTF-16", "cp1252"
             "iso-8859-1": "ISO-8859-1", "latin-1": "ISO-8859-1"}
 
 
-def column_names(header: list[str | None]) -> list[str]:
-    """Names of the columns: a blank one is col_<n>, a repeated one gets _2."""
-    out: list[str] = []
-    for i, cell in enumerate(header):
-        name = base = (cell or "").strip("﻿") or f"col_{i + 1}"
-        n = 1
-        while name.lower() in (o.lower() for o in out):
-            n += 1
-            name = f"{base}_{n}"
-        out.append(name)
-    return out
-
-
 def arrival() -> Column:
     """Order of rows as they stand in their files.  Use it right on a file scan."""
     return F.struct(

@@ -14,7 +14,8 @@ from checks import registry
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["f3_date_zone", "f9_amount_usd", "z1_cleanse_customer", "z2_cleanse_report", "z5_active_customers", "p1_column_profile",
           "p14_issues", "c3_all_dedupes", "c12_abs_long", "c8_median_long", "f9_amount_fine", "p18_long_samples", "c18_clean_twice", "c10_cap", "c16_change_log", "c20_auto_clean", "q7_all_tables",
-          "g3_catalog_upsert", "z3_any_cleanse", "s1_mixed_folder", "s1_dropped_cells", "x5_clean_sheet", "r1_runs"]
+          "g3_catalog_upsert", "z3_any_cleanse", "s1_mixed_folder", "s1_dropped_cells", "x5_clean_sheet", "x5_sheet_medians", "c8_fill_groups", "c10_cap_groups",
+          "s4_file_report", "s9_clean_table", "q4_any_file", "p19_value_dist", "r1_runs"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
