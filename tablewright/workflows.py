@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime
 import time
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +16,20 @@ from pyspark.sql import functions as F
 from .catalog import governance
 from .catalog.tables import SOURCE_FILES, ZONE_TABLES
 from .functions.naming import safe_table_name
+from .operators import sheets
 from .plans import anyfile, quality, zones
-from .plans.clean import clean
-from .plans.profile import Report, analyze
+from .plans.clean import Cleaned, clean, stored_types, typed, without_idle
+from .plans.profile import Report, analyze, preview
 from .session import stage
-from .sources.delimited import read_delimited
+from .sources.delimited import dialects, read_delimited
 from .sources.ingest import ingest, overwrite, path_exists
 from .sources.runs import SCHEMA, Steps, append_runs
 
 STAMPS = ["_cleansed_at", "_is_duplicate", "_quality_flag"]
 
+# What a report calls the delimiters.
+DELIMITER_NAMES = {",": "comma", "\t": "tab", ";": "semicolon", "|": "pipe"}
+
 
 def _now() -> datetime.datetime:
     return datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
@@ -43,15 +48,47 @@ def analyze_file(spark: SparkSession, path: str, **options) -> tuple[DataFrame,
     return rows, cols, analyze(rows, cols, seq)
 
 
+def file_report(spark: SparkSession, path: str, rows_shown: int = 5, **options) -> dict:
+    """All that is found out about a delimited file or folder: how it is written, its profile
+    and its first rows.  ``dialects`` has an entry for every way in which the files of a folder
+    are written; ``delimiter`` and ``encoding`` are those of its first file."""
+    kinds = [{"delimiter": DELIMITER_NAMES.get(d.sep, d.sep), "encoding": d.encoding, "columns": d.names, "files": len(d.paths)}
+             for d in dialects(spark, path, options.get("sep"), options.get("encoding"))]
+    rows, cols, report = analyze_file(spark, path, **options)
+    shown = preview(rows, rows.columns[0], rows_shown).select(*[F.col(f"`{c.replace('`', '``')}`") for c in cols]).collect()
+    return {
+        "filename": path.rstrip("/").rsplit("/", 1)[-1], "file_kind": "csv", "total_rows": report.total_rows, "total_cols": len(cols),
+        "delimiter": kinds[0]["delimiter"], "encoding": kinds[0]["encoding"], "dialects": kinds,
+        "columns": [asdict(c) | {"sensitivity": c.sensitivity, "is_pii": c.is_pii, "issues": c.issues, "suggestions": c.suggestions}
+                    for c in report.columns],
+        "fully_duplicate_rows": report.full_duplicates, "near_duplicate_rows": report.near_duplicates,
+        "recommended_rules": report.global_rules, "primary_key": report.primary_key, "stats": report.stats,
+        "preview_rows": [dict(zip(cols, r)) for r in shown]}
+
+
+def store_typed(result: Cleaned, path: str) -> dict[str, str]:
+    """Replace the table at ``path`` by the cleaned rows, each column in the type that its cells
+    fit.  Returns the types."""
+    rows = stage(result.data, "cleaned")
+    kinds = stored_types(rows, result.cols, result.seq)
+    names = [*result.by, *result.cols, "_quality_flag"]
+    overwrite(typed(rows, kinds).select(*[F.col(f"`{n.replace('`', '``')}`") for n in names]), path)
+    return kinds
+
+
 def clean_file(spark: SparkSession, path: str, out: str, rules: dict | None = None, runs: str | None = None,
-               as_of: datetime.date | str | None = None, **options) -> dict:
+               as_of: datetime.date | str | None = None, zone: str | None = None, **options) -> dict:
     """Profile a file, clean it by ``rules`` or the default ones, and write it
-    to ``out`` as delimited text."""
+    to ``out`` as delimited text; with ``zone`` also to its table curated_<name>, in
+    the types that the cleaned cells fit."""
     start, run_id = time.time(), f"RUN_{_now():%Y%m%d_%H%M%S}"
     rows, cols, report = analyze_file(spark, path, **options)
     result = clean(rows, cols, rows.columns[0], rules or report.default_rules(), report.primary_key, as_of)
     written = result.write(out, "csv", header=True, emptyValue="", quote='"', escape='"', ignoreLeadingWhiteSpace=False,
                            ignoreTrailingWhiteSpace=False)
+    if zone:
+        table = f"curated_{safe_table_name(path)}"
+        written |= {"curated_table": table, "col_types": store_typed(result, f"{zone}/{table}")}
     nulls = sum(c.null_count for c in report.columns)
     summary = {
         "run_id": run_id, "status": "SUCCESS", "filename": path.rsplit("/", 1)[-1], "original_rows": report.total_rows,
@@ -61,9 +98,36 @@ def clean_file(spark: SparkSession, path: str, out: str, rules: dict | None = No
     return summary
 
 
+@dataclass(frozen=True)
+class SheetRun:
+    """The cleaning of all sheets that have one header."""
+
+    table: sheets.SheetTable
+    report: Report
+    result: Cleaned
+
+
+def clean_sheets(cells: DataFrame, merges: DataFrame, rules: dict | None = None,
+                 as_of: datetime.date | str | None = None) -> tuple[list[SheetRun], DataFrame]:
+    """(runs, facts of the sheets): profile and clean every worksheet of a source.
+
+    All sheets of one header are one run: types and issues are told from all their rows, and
+    ``rules``, or the default ones of that profile, hold for all of them.  Duplicates are
+    sought and fills and bounds computed sheet by sheet.  The number of jobs grows with the
+    headers, not with the sheets."""
+    rows, facts = sheets.read_sheets(cells, merges)
+    runs = []
+    for table in sheets.header_tables(stage(rows, "sheet-rows")):
+        report = analyze(table.data, table.names, table.row, samples=0)
+        chosen = rules or without_idle(report.default_rules(), report)
+        runs.append(SheetRun(table, report, clean(table.data, table.names, table.row, chosen, report.primary_key, as_of, [table.sheet])))
+    return runs, facts
+
+
 def curate_file(spark: SparkSession, path: str, zone: str) -> dict:
     """Curate a file of any shape into ``zone``: raw and curated tables, scores,
-    and its entries in the governance catalog."""
+    and its entries in the governance catalog.  A file named like a table that has a business
+    rule or expected types is scored by them."""
     started = _now()
     run_time, name = str(started), safe_table_name(path)
     rows = read_delimited(spark, path, sep=",")
@@ -75,8 +139,9 @@ def curate_file(spark: SparkSession, path: str, zone: str) -> dict:
     curated = spark.read.parquet(f"{zone}/curated_{name}")
     entries = governance.classified(anyfile.catalog_entries(shape, f"raw_{name}", spark), run_time)
     update_catalog(entries, f"{zone}/governance_catalog")
-    scores = quality.scores(curated, cols + STAMPS, started=F.lit(run_time).cast("timestamp_ntz"),
-                            now=F.lit(str(_now())).cast("timestamp_ntz"))
+    expected = quality.EXPECTED_TYPES.get(name, {})
+    scores = quality.scores(_with_columns(curated, name) if expected else curated, cols + STAMPS, quality.business_rule(name), expected,
+                            started=F.lit(run_time).cast("timestamp_ntz"), now=F.lit(str(_now())).cast("timestamp_ntz"))
     report = anyfile.cleanse_report(raw, shape, seq).first().asDict()
     top = anyfile.value_distribution(curated, shape, seq).collect()
     return {
