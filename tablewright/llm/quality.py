@@ -7,18 +7,21 @@ for that reason alone, so the density, the ratio in bits against the entropy of
 text's bytes, is rated apart.
 
 The limits come from the table itself: from the ratios and densities of all its
-texts that pass the base rules, by length, and of all their full chunks.  A length
-class is a quarter of a doubling; classes are joined, from short to long, until they
-hold ``CLASS_TEXTS`` texts.  With the quartiles q1 and q3 of a class, ratios must lie
+texts that pass the base rules, by length, and of all their chunks.  A length class is
+a quarter of a doubling.  To its texts come ``PRIOR`` made-up ones that stand for the fixed limits
+``BANDS`` (chunks: ``CHUNK_BAND``): spread evenly, so that their quartiles belong to these limits, for
+densities at twice the ratios (8 bits to 4 bits of entropy).
+So there is one rule for every size: a class without texts has the fixed limits, and the more texts
+it has the more they decide.  With the quartiles q1 and q3 of a class, ratios must lie
 within q1 - ``FENCE`` * (q3 - q1) and q3 + ``FENCE`` * (q3 - q1), densities below the
 upper one of these; q3 - q1 counts as ``LEAST_SPREAD`` at least.  The quartiles are
 those of a histogram in steps of 1/``STEPS``, so they do not depend on the order or
 the partitions of the rows, and hold as long as under a quarter of a class is junk
-on one side.  A table with fewer than ``CLASS_TEXTS`` such texts is judged by the
-fixed limits ``BANDS`` and ``CHUNK_BAND``.
+on one side.
 
 Null text is an empty text: no words, so it fails the base rules.  Repeated rows
-are judged each for itself; other columns are passed on.
+are judged each for itself; other columns are passed on.  A very long text is measured whole, by
+the task that holds it; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,9 +43,10 @@ BANDS = ((128, 0.60, 9.0), (256, 0.42, 1.05), (512, 0.40, 0.90), (1024, 0.40, 0.
          (4096, 0.37, 0.68), (8192, 0.35, 0.64), (65536, 0.32, 0.62), (1 << 62, 0.25, 0.60))
 CHUNK_BYTES = 4096
 CHUNK_BAND = (0.30, 0.66)
-CHUNK_SHARE = 0.25  # of full chunks that may lie outside the band
+CHUNK_SHARE = 0.25  # of chunks that may lie outside the band
 CLASSES = 4  # of length, for each doubling
-CLASS_TEXTS = 32
+PRIOR = 16  # texts that the fixed limits count as, spread evenly over PARTS places
+PARTS = 64
 FENCE = 2.5
 LEAST_SPREAD = 0.005
 STEPS = 4096
@@ -74,12 +78,16 @@ def within(packed: float, data: bytes, low: float, high: float, dense: float = m
 
 
 def chunks_of(data: bytes, chunk: int) -> list[bytes]:
-    """The full chunks; what is left at the end belongs to none."""
-    return [data[i * chunk:(i + 1) * chunk] for i in range(len(data) // chunk)]
+    """Chunks of full size that cover the text: the last one ends with it and may overlap the
+    one before.  A text shorter than a chunk has none, it is rated as a whole."""
+    starts = list(range(0, len(data) - chunk + 1, chunk))
+    if starts and starts[-1] + chunk < len(data):
+        starts.append(len(data) - chunk)
+    return [data[i:i + chunk] for i in starts]
 
 
 def compression(packer, data: bytes, bands=BANDS, chunk=CHUNK_BYTES, chunk_band=CHUNK_BAND, share=CHUNK_SHARE):
-    """(ratio of the whole, share of full chunks outside their band, verdict)."""
+    """(ratio of the whole, share of chunks outside their band, verdict)."""
     whole = ratio(packer, data)
     band = next(limits for most, *limits in bands if len(data) <= most)
     parts = chunks_of(data, chunk)
@@ -95,7 +103,7 @@ _CHUNKS = -1  # in place of a length class
 
 
 def _points(packer, data: bytes, chunk: int) -> list[tuple[int, int, int]]:
-    """(length class, ratio, density) of a text and of its full chunks, the last two in steps."""
+    """(length class, ratio, density) of a text and of its chunks, the last two in steps."""
     out = []
     for kind, part in [(length_class(len(data)), data), *[(_CHUNKS, x) for x in chunks_of(data, chunk)]]:
         packed = ratio(packer, part)
@@ -103,46 +111,47 @@ def _points(packer, data: bytes, chunk: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def quartiles(counts: dict[int, int]) -> tuple[int, int]:
+def quartiles(counts: dict[int, float]) -> tuple[int, int]:
     order, total = sorted(counts), sum(counts.values())
     upto = np.cumsum([counts[k] for k in order])
     return tuple(order[int(np.searchsorted(upto, part * total))] for part in (0.25, 0.75))
 
 
-def fences(counts: dict[int, int]) -> tuple[float, float]:
+def fences(counts: dict[int, float]) -> tuple[float, float]:
     """Limits of a measure counted in steps: the rule stands above."""
     first, third = (q / STEPS for q in quartiles(counts))
     reach = FENCE * max(third - first, LEAST_SPREAD)
     return first - reach, third + 1 / STEPS + reach
 
 
+def prior(low: float, high: float) -> tuple[Counter, Counter]:
+    """What ``PRIOR`` texts with these limits would count: (ratios, densities)."""
+    spread = (high - low) / (1 + 2 * FENCE)  # between the quartiles
+    first = low + (FENCE - 0.5) * spread
+    at = [first + 2 * spread * (i + 0.5) / PARTS for i in range(PARTS)]
+    return tuple(Counter({int(by * x * STEPS): PRIOR / PARTS for x in at}) for by in (1, 2))
+
+
 def limits_from(rows) -> dict:
     """``bands`` and ``chunk_band`` from (measure, length class, step, count) rows,
-    measure 0 the ratio and 1 the density; none if the texts are too few."""
+    measure 0 the ratio and 1 the density."""
     held: dict[int, tuple[Counter, Counter]] = {}
     for measure_, kind, step, n in rows:
         held.setdefault(kind, (Counter(), Counter()))[measure_][step] += n
-    chunks = held.pop(_CHUNKS, None)
-    joined: list[list] = []  # [last class, ratios, densities]
-    for kind in sorted(held):
-        if joined and joined[-1][1].total() < CLASS_TEXTS:
-            joined[-1] = [kind, *(a + b for a, b in zip(joined[-1][1:], held[kind]))]
-        else:
-            joined.append([kind, *held[kind]])
-    if len(joined) > 1 and joined[-1][1].total() < CLASS_TEXTS:
-        kind, *last = joined.pop()
-        joined[-1] = [kind, *(a + b for a, b in zip(joined[-1][1:], last))]
-    if not joined or joined[0][1].total() < CLASS_TEXTS:
-        return {}
-    joined[-1][0] = 1 << 12  # all that are longer
+    both = prior(*CHUNK_BAND)
+    for all_, own in zip(both, held.pop(_CHUNKS, (Counter(), Counter()))):
+        all_.update(own)
+    out = {"chunk_band": (*fences(both[0]), fences(both[1])[1])}
     bands = []
-    for kind, ratios, densities in joined:
-        most = 1 << 62 if kind == 1 << 12 else math.ceil(2 ** ((kind + 1) / CLASSES)) - 1
-        bands.append((most, *fences(ratios), fences(densities)[1]))
-    out = {"bands": tuple(bands)}
-    if chunks and chunks[0].total() >= CLASS_TEXTS:
-        out["chunk_band"] = (*fences(chunks[0]), fences(chunks[1])[1])
-    return out
+    for kind in sorted(held):
+        most = math.ceil(2 ** ((kind + 1) / CLASSES)) - 1
+        both = prior(*next(limits for longest, *limits in BANDS if most <= longest))
+        for all_, own in zip(both, held[kind]):
+            all_.update(own)
+        bands.append((most, *fences(both[0]), fences(both[1])[1]))
+    if bands:  # the last holds for all that are longer
+        bands[-1] = (1 << 62, *bands[-1][1:])
+    return out | {"bands": tuple(bands) or BANDS}
 
 
 def limits_of(docs: DataFrame, text: str = "text", chunk: int = CHUNK_BYTES) -> dict:
