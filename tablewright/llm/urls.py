@@ -6,23 +6,24 @@ get the verdict of a model trained on a small labelled table: the n-grams of hos
 and path are hashed apart from each other into one weight vector.
 
 A null URL, or one without ``://``, has an empty host and path, which no rule
-fits; the model judges the empty strings.  Rows are judged each for itself;
-other columns are passed on.
+fits; the model judges the empty strings.  Of two rules for one place the one that allows
+holds.  Very long URLs are judged whole, repeated ones alike, an empty table gives an empty
+table; other columns are passed on.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import as_strings, ascii_lower, free_name, mix64, quoted
+from .common import Shipped, as_strings, ascii_lower, free_name, mix64, quoted
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
-MAX_RULES = 500  # rules become one expression
 GRAMS = (3, 4, 5)
 WEIGHTS = 1 << 15
 
@@ -84,18 +85,28 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(url, pattern, 1)), F.regexp_extract(url, pattern, 2)
 
 
-def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """(rule as host and path joined, its verdict), null where none fits."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} fit one expression")
-    name, verdict = F, F
-    for decision, at, prefix in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r)):
-        fits = ((host == at) | host.endswith("." + at)) & path.startswith(prefix)
-        name = name.when(fits, F.lit(at + prefix))
-        verdict = verdict.when(fits, F.lit(decision))
-    if not rules:
-        return F.lit(None).cast("string"), F.lit(None).cast("string")
-    return name, verdict
+class Rules:
+    """(verdict, host, path) rules, looked up by each ending of a host and each length of path that
+    a rule has, so the work for a URL does not grow with their number."""
+
+    def __init__(self, rules=RULES):
+        # of two rules for one place the smaller verdict holds
+        self.verdicts = {(at, prefix): verdict for verdict, at, prefix in sorted(rules, reverse=True)}
+        self.lengths = sorted({len(prefix) for _, prefix in self.verdicts})
+
+    def find(self, host: str, path: str) -> tuple[str | None, str | None]:
+        """(rule as host and path joined, its verdict) of the longest that fits, else nulls."""
+        found, at = [], 0
+        while at >= 0:
+            ending = host[at:]
+            for n in self.lengths[:bisect.bisect_right(self.lengths, len(path))]:
+                verdict = self.verdicts.get((ending, path[:n]))
+                if verdict is not None:
+                    found.append((-len(ending) - n, verdict, ending, path[:n]))
+            dot = host.find(".", at)
+            at = dot + 1 if dot >= 0 else -1
+        _, verdict, ending, prefix = min(found, default=(0, None, None, None))
+        return (None if verdict is None else ending + prefix), verdict
 
 
 def grams(host: str, path: str) -> np.ndarray:
@@ -145,19 +156,22 @@ def score(weights: np.ndarray, host: str, path: str) -> float:
 
 def with_verdict(pages: DataFrame, url: str = "url", out: str = "url_filter", rules=RULES, labelled=None, threshold: float = 0.5) -> tuple[DataFrame, str]:
     """``pages`` with a struct host, path, rule, verdict, score; and its name."""
-    weights = train(labelled)
+    held = Shipped(pages.sparkSession, (train(labelled), Rules(rules)))
 
-    @F.arrow_udf("double")
-    def blocked(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        return pa.array([score(weights, h.as_py(), p.as_py()) for h, p in zip(as_strings(hosts), as_strings(paths))], pa.float64())
+    @F.arrow_udf("rule string, decided string, score double")
+    def judged(hosts: pa.Array, paths: pa.Array) -> pa.Array:
+        weights, known = held.get()
+        pairs = list(zip(as_strings(hosts).to_pylist(), as_strings(paths).to_pylist()))
+        each = {p: (*known.find(*p), score(weights, *p)) for p in set(pairs)}  # repeated URLs once
+        columns = list(zip(*[each[p] for p in pairs])) or [(), (), ()]
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()))],
+                                          names=["rule", "decided", "score"])
 
     out = free_name(pages, out)
     host, path = host_and_path(quoted(url))
     parts = pages.withColumn(out, F.struct(host.alias("host"), path.alias("path")))
     o = quoted(out)
-    rule, decided = rule_for(o.host, o.path, rules)
-    scored = parts.withColumn(out, F.struct(o.host.alias("host"), o.path.alias("path"), rule.alias("rule"), decided.alias("decided"),
-                                            blocked.asNondeterministic()(o.host, o.path).alias("score")))
-    verdict = F.coalesce(o.decided, F.when(o.score >= threshold, "block").otherwise("allow"))
-    return scored.withColumn(out, F.struct(o.host.alias("host"), o.path.alias("path"), o.rule.alias("rule"),
-                                           verdict.alias("verdict"), o.score.alias("score"))), out
+    found = parts.withColumn(out, F.struct(o.host.alias("host"), o.path.alias("path"), judged.asNondeterministic()(o.host, o.path).alias("j")))
+    verdict = F.coalesce(o.j.decided, F.when(o.j.score >= threshold, "block").otherwise("allow"))
+    return found.withColumn(out, F.struct(o.host.alias("host"), o.path.alias("path"), o.j.rule.alias("rule"),
+                                          verdict.alias("verdict"), o.j.score.alias("score"))), out
