@@ -17,9 +17,10 @@ size to be within the limit (the q-gram lemma) are not embedded: no leak is lost
 The benchmark is a stated query set: it is used in blocks of at most ``BLOCK``
 words, each held by every task, and the texts are scanned once for each block.
 
-Null texts and items are empty; an empty item is nowhere.  Items of fewer than
-``MIN_WORDS`` words identify nothing and are not searched.  Items of equal text,
-and items repeated under one id, give each their rows.  Empty tables give none.
+Null texts and items are empty; an empty item is nowhere.  Items so short that the limit
+allows no edit (under five words at 0.8) are found where they stand word for word; ``min_words``
+leaves shorter ones out, on request.  Items of equal text, and items repeated under one id, give each
+their rows.  Very long texts are searched whole, in slices of windows.  Empty tables give none.
 """
 
 from __future__ import annotations
@@ -32,12 +33,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Shipped, free_name, mix64, quoted, slices
 
 SIMILARITY = 0.8
 RECALL = 0.99
-MIN_WORDS = 5
+MIN_WORDS = 1
 BLOCK = 200_000    # words of the benchmark in a block
 SAMPLES = 3        # places in a key
 TRIALS = 300       # edited items per band of lengths, to measure the walk
@@ -225,6 +227,8 @@ class Index:
             shortest = band.short - band.limit(band.short)
             least = min(m - 1 - 2 * band.limit(m) for m in range(band.short, band.long + 1)) - self.repeats
             first = np.arange(max(0, len(ids) - shortest + 1))
+            if band.limit(band.long) == 0:  # no edits, so the first word is an item's
+                first = first[np.isin(ids[first], [item[0] for _, item in band.group])]
             held = counts[np.minimum(first + band.wide, len(ids)) - 1] - counts[first]
             first = first[held >= max(least, 0)]
             stop = np.minimum(first + band.wide, ends[first])
@@ -316,10 +320,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     found = None
     for rows in blocks_of(benchmark, item_id, item_text):
         split = [(i, words_in(t)) for i, (_, t) in enumerate(rows)]
-        split = [(i, ws) for i, ws in split if len(ws) >= min_words]
+        split = [(i, ws) for i, ws in split if len(ws) >= max(1, min_words)]
         if not split:
             continue
-        held = Shipped(docs.sparkSession, (Index(split, similarity, recall), [r[0] for r in rows]))
+        kind_of_item = to_arrow_type(benchmark.schema[item_id].dataType)
+        held = Shipped(docs.sparkSession, (Index(split, similarity, recall), pa.array([r[0] for r in rows], kind_of_item)))
         part = texts.mapInArrow(functools.partial(_search, held), schema)
         found = part if found is None else found.union(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
@@ -330,8 +335,8 @@ def _search(held, batches):
     for batch in batches:
         ids = batch["doc_id"].to_pylist()
         rows = list(index.search(batch["text"]))
-        columns = [[ids[r[0]] for r in rows], [names[r[1]] for r in rows], *[[r[i] for r in rows] for i in (2, 3, 4)]]
-        types = [batch.schema.field("doc_id").type, pa.array(names).type if names else pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        columns = [[ids[r[0]] for r in rows], [names[r[1]].as_py() for r in rows], *[[r[i] for r in rows] for i in (2, 3, 4)]]
+        types = [batch.schema.field("doc_id").type, names.type, pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
                                          names=["doc_id", "item_id", "first_word", "n_words", "distance"])
 
@@ -343,7 +348,7 @@ def with_leak(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: st
     item_text = options.pop("item_text", "text")
     for rows in blocks_of(benchmark, options.pop("item_id", "item_id"), item_text):
         split = [(i, words_in(t)) for i, (_, t) in enumerate(rows)]
-        split = [(i, ws) for i, ws in split if len(ws) >= options.get("min_words", MIN_WORDS)]
+        split = [(i, ws) for i, ws in split if len(ws) >= max(1, options.get("min_words", MIN_WORDS))]
         if split:
             held = Shipped(docs.sparkSession, Index(split, options.get("similarity", SIMILARITY), options.get("recall", RECALL)))
             total = total + _counter(held)(quoted(text))

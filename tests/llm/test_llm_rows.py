@@ -103,7 +103,27 @@ def test_quality_limits_come_from_the_table(spark):
     # the rule does not depend on the order of rows or on their partitions
     table = spark.createDataFrame(rows, "kind string, text string")
     assert quality.limits_of(table) == quality.limits_of(table.repartition(3).orderBy("text"))
-    assert quality.limits_of(table.limit(20)) == {}  # the fixed limits
+
+
+def test_quality_limits_move_little_with_each_text():
+    """One rule for every size: no text's arrival moves a limit far, also not where a class passes 32 texts."""
+    fixed = quality.limits_from([])
+    assert fixed["bands"] == quality.BANDS and fixed["chunk_band"][:2] == pytest.approx(quality.CHUNK_BAND, abs=0.01)
+    draw = random.Random(8)
+    ratios = [draw.gauss(0.45, 0.01) for _ in range(400)]
+    kind, before = quality.length_class(3000), None
+    for n in range(1, len(ratios)):
+        rows = [(m, kind, int(by * x * quality.STEPS), 1) for x in ratios[:n] for m, by in ((0, 1), (1, 2))]
+        (_, low, high, dense), = quality.limits_from(rows)["bands"]
+        assert all(low <= x <= high for x in ratios[:n] if abs(x - 0.45) < 0.02)
+        if before:
+            # the fixed limits are 0.37 and 0.68, those of the texts about 0.40 and 0.50
+            assert max(abs(low - before[0]), abs(high - before[1])) < 0.05 and abs(dense - before[2]) < 0.07, n
+        before = low, high, dense
+    assert 0.39 < low < 0.43 and 0.47 < high < 0.52
+    # the last chunk ends with the text
+    assert [len(c) for c in quality.chunks_of(b"x" * 10_000, 4096)] == [4096] * 3 and quality.chunks_of(b"ab" * 4096, 4096)[1:] == [b"ab" * 2048]
+    assert quality.chunks_of(b"x" * 4095, 4096) == []
 
 
 def test_words_and_hashes():
@@ -294,8 +314,26 @@ def test_urls(spark):
     unseen = {"https://casino-slots.example.org/free-bonus": True, "http://cheap-viagra-pills.example.net/buy": True,
               "https://docs.library.example.org/wiki/books": False, "https://university.example.edu/courses/history": False}
     assert all((urls.score(w, *urls._split(u)) >= 0.5) == bad for u, bad in unseen.items())
-    with pytest.raises(ValueError):
-        urls.rule_for(F.lit("a"), F.lit("b"), [("allow", "a", "/")] * 501)
+    long = "http://" + "a." * 2000 + "net/fr/" + "x" * 100_000
+    again = spark.createDataFrame([(long,)] * 3 + [("http://x.net/fr/1",)] * 2, "url string")
+    assert {(r.rule, r.verdict) for r in urls.with_verdict(again)[0].select("url_filter.*").collect()} == {("net/fr/", "block")}
+
+
+def test_any_number_of_url_rules(spark):
+    draw = random.Random(4)
+    labels = ["a", "b", "c", ""]
+    rules = list({(draw.choice(["allow", "block"]), ".".join(draw.choices(labels, k=draw.randint(1, 3))),
+                   "/" * draw.randint(0, 1) + "".join(draw.choices("xy/", k=draw.randint(0, 4)))) for _ in range(900)})
+    rules += [("block", "d.example", f"/{i}") for i in range(1500)]
+    given = [(".".join(draw.choices(labels, k=draw.randint(1, 4))), "/" + "".join(draw.choices("xy/", k=draw.randint(0, 6)))) for _ in range(300)]
+    given += [("z.d.example", "/1499x"), ("zd.example", "/1499x")]
+    pages = spark.createDataFrame([(f"http://{h}{p}",) for h, p in given], "url string")
+    for r in urls.with_verdict(pages, rules=rules)[0].select("url_filter.*").distinct().collect():
+        fit = [(-len(at + prefix), v, at, prefix) for v, at, prefix in rules
+               if (r.host == at or r.host.endswith("." + at)) and r.path.startswith(prefix)]
+        assert r.rule == (min(fit)[2] + min(fit)[3] if fit else None), (r, fit)
+        assert not fit or r.verdict == min(fit)[1]
+    assert len(rules) > 1900 and urls.with_verdict(pages, rules=())[0].filter("url_filter.rule IS NOT NULL").isEmpty()
 
 
 def toxic_rows(n, seed=3):
@@ -433,3 +471,22 @@ def test_license_bands_are_enough():
 
 def test_hashes_are_whole_text():
     assert hashlib.sha256(secrets.written([(3, 0, 9), (5, 2, 7)]).encode()).hexdigest() == secrets.sha256_of("assign:3:9,hex:5:7")
+
+
+def test_short_benchmark_items_are_found_word_for_word(spark):
+    items = spark.createDataFrame([(1, "Zebra!"), (2, "blue zebra"), (3, "one two three four"), (4, ""), (5, None), (6, "?")], "item_id int, text string")
+    docs = spark.createDataFrame([(1, "A zebra, blue. One two three x four"), (2, "the BLUE zebra"), (3, "one two three-four one, two three four"), (4, None),
+                                  (5, ""), (6, "zebras blue"), (7, "zebra"), (8, "x " * 50_000 + "blue zebra")], "doc_id int, text string")
+    found = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.distance) for r in decontaminate.leaks(docs, items).collect()}
+    assert found == {(1, 1): (1, 1, 0), (2, 1): (2, 1, 0), (2, 2): (1, 2, 0), (3, 3): (3, 4, 0), (7, 1): (0, 1, 0), (8, 1): (50_001, 1, 0), (8, 2): (50_000, 2, 0)}
+    assert [r.doc_id for r in decontaminate.clean_documents(docs, items).orderBy("doc_id").collect()] == [4, 5, 6]
+    assert {r.item_id for r in decontaminate.leaks(docs, items, min_words=2).collect()} == {2, 3}
+
+
+def test_toxicity_thresholds_are_drawn_to_the_common_one(spark):
+    rows = toxic_rows(900)
+    docs = spark.createDataFrame([(r[0], r[1], "few" if i % 40 == 0 else r[2]) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id bigint, toxic int")
+    _, thresholds = toxicity.train(docs, labels)
+    assert thresholds and all(0 < t < 1 for t in thresholds.values())
+    assert abs(thresholds.get("few", 0.5) - 0.5) < 0.25  # a handful of rows moves it by a fifth of the way at most
