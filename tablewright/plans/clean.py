@@ -33,10 +33,11 @@ FILLS = {"fill_missing_zero": "0", "fill_missing_unknown": "Unknown"}
 
 
 def cents_text(x: float) -> str:
-    """Text of a float rounded half up to cents."""
+    """Text of a float rounded half up to cents, after ten places: what arithmetic leaves in the
+    last digits of a bound that ends on half a cent (-33113.904999999984) doesn't turn it."""
     try:
-        return repr(float(Decimal(repr(x)).quantize(Decimal("0.01"), ROUND_HALF_UP)))
-    except ArithmeticError:  # too large to have cents
+        return repr(float(Decimal(round(x * 1e10)).scaleb(-10).quantize(Decimal("0.01"), ROUND_HALF_UP)))
+    except (ArithmeticError, ValueError):  # too large to have cents, or no number
         return repr(x)
 
 

@@ -1,8 +1,10 @@
 """Profiles and cleaning of a small hand-made table."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from checks import q_clean
 from tablewright.operators import cells, dedupe
 from tablewright.plans import anyfile, clean, profile, quality
 from tablewright.session import scratch_path
@@ -139,6 +141,14 @@ def test_fills_and_caps(make, table):
     assert out({"amount": "keep_missing", "gone": "trim_whitespace"}, "amount")[6] is None
 
 
+def test_bounds_on_half_a_cent_are_rounded_as_in_sql(make):
+    quartiles = [(n * 12347 % 30_000_000 / 100, n * 7919 % 50_000_000 / 100 + 0.01) for n in range(2000)]
+    bounds = [x for q1, reach in quartiles for q3 in [q1 + reach] for x in (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))]
+    want = duckdb.sql(f"SELECT {q_clean.cents('x')} FROM (SELECT unnest([{', '.join(repr(str(x)) + '::DOUBLE' for x in bounds)}]) AS x)").fetchall()
+    assert [clean.cents_text(x) for x in bounds] == [r[0] for r in want]
+    assert (clean.cents_text(1e300), clean.cents_text(float("nan"))) == ("1e+300", "nan")
+
+
 def test_key_duplicates_after_full_ones(table):
     got = run(table, {}, key="id", remove_full_duplicates=True, dedupe_by_pk=True)
     assert [r["seq"] for r in got.data.orderBy("seq").collect()] == [0, 1, 3, 4, 6, 7, 8, 9]
