@@ -42,12 +42,15 @@ class Shape:
         return naming.sensitivity(col, naming.ANY_FILE_KEYWORDS)
 
 
-def detect(df: DataFrame, cols: list[str], seq: str) -> Shape:
-    """Types and dates from the leading rows, the key from all rows."""
-    key = primary_key(df, cols).first()
+def detect(df: DataFrame, cols: list[str], seq: str, key: str | None = None) -> Shape:
+    """Types and dates from the leading rows, the key from all rows unless one is given: a
+    key that repeats is never detected, but who knows a table's key can have its repeats removed."""
+    if key is None:
+        found = primary_key(df, cols).first()
+        key = found["primary_key"] if found else None
     dated = {r["column_name"] for r in date_columns(df, cols, seq).filter("is_date = 1").collect()}
     kinds = {r["column_name"]: r["storage_type"] for r in storage_types(df, cols, seq).collect()}
-    return Shape(cols, key["primary_key"] if key else None, [c for c in cols if c in dated], kinds)
+    return Shape(cols, key, [c for c in cols if c in dated], kinds)
 
 
 def _standardized(df: DataFrame, shape: Shape, seq: str) -> DataFrame:

@@ -166,6 +166,15 @@ def test_any_shape(make):
     assert [(r["column_name"], r["value"], r["n"]) for r in top] == [("ref", "a", 1), ("ref", "b", 1), ("ref", "c", 1)]
 
 
+def test_a_given_key_may_repeat(make):
+    df = make({"ref": ["a", "b", " a", "", "b"], "grade": ["x", "y", "x", "x", ""]})
+    assert anyfile.detect(df, ["ref", "grade"], "seq").key is None
+    shape = anyfile.detect(df, ["ref", "grade"], "seq", "ref")
+    curated = anyfile.cleanse(df, shape, "seq", "2025-01-01 00:00:00")
+    assert [tuple(r)[1:3] for r in curated.orderBy("seq").collect()] == [("a", "x"), ("b", "y")]
+    assert tuple(anyfile.cleanse_report(df, shape, "seq").first()) == (5, 2, 3, 0)
+
+
 def test_scores(make):
     df = make({"amount": ["1", "", "-1", "x"], "status": ["a", "a", "", None]})
     got = quality.scores(df, ["amount", "status"], quality.business_rule("transaction_logs"), {"amount": float}).first()
