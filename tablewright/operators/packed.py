@@ -23,11 +23,15 @@ from pyspark.sql import functions as F
 from ..functions import numbers, text
 from ..session import stage
 
-BUCKET = 1 << 19   # rows of the table for each bucket
-HELD = 1 << 19     # entries of a column that a task holds before it passes them on
+BUCKET = 1 << 18   # rows of the table for each bucket
+HELD = 1 << 19     # entries that a task holds before it passes them on, of all columns
+FEWEST = 1 << 13   # entries of a column that it may hold in any case
+SLICE_BYTES = 1 << 20  # of text that a task takes apart at a time
+SLICE_ROWS = 1 << 11
 
 COUNTS, KEYS, NUMBERS, LEAST = 0, 1, 2, 3
-PACKED = "kind int, col int, bucket int, data binary, total bigint, blank bigint, padded bigint, invalid bigint"
+PACKED = ("kind int, col int, bucket int, data binary, total bigint, blank bigint, padded bigint, invalid bigint, "
+          "numbers array<struct<x double, n bigint>>")
 ROWS = -1          # stands for a column: whole rows
 
 EMAIL = re.compile(text.EMAIL_PATTERN)
@@ -104,6 +108,19 @@ def merged(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.
     return [k[at] for k in keys], np.add.reduceat(n, at)
 
 
+def portions(batch: pa.RecordBatch):
+    """The batch in portions of at most ``SLICE_ROWS`` rows and ``SLICE_BYTES`` of text, a longer row
+    alone: Python objects of few cells stand at a time, however long the cells are."""
+    sizes = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns),
+                np.zeros(batch.num_rows, np.int64))
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+        stop = min(max(at + 1, fits), at + SLICE_ROWS)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 class Entries:
     """Distinct entries of one column, within bounds."""
 
@@ -133,7 +150,8 @@ def pack(df: DataFrame, cols: list[str], total: int, cased=(), emails=(), numeri
     buckets = max(1, -(-total // BUCKET))
     every = [text.quoted(c).alias(f"v{i}") for i, c in enumerate(cols)]
     schema = pa.schema([("kind", pa.int32()), ("col", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary()),
-                        *[(n, pa.int64()) for n in ("total", "blank", "padded", "invalid")]])
+                        *[(n, pa.int64()) for n in ("total", "blank", "padded", "invalid")],
+                        ("numbers", pa.list_(pa.struct([("x", pa.float64()), ("n", pa.int64())])))])
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows)) if rows else [[]] * len(schema)
@@ -145,20 +163,25 @@ def pack(df: DataFrame, cols: list[str], total: int, cased=(), emails=(), numeri
         spread = keys[-2].view(np.uint64) % np.uint64(buckets)
         order = np.argsort(spread, kind="stable")
         edges = np.searchsorted(spread[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
-        return out([(KEYS, col, b, np.stack([*(k[order[lo:hi]] for k in keys), n[order[lo:hi]]]).tobytes(), *[None] * 4)
+        return out([(KEYS, col, b, np.stack([*(k[order[lo:hi]] for k in keys), n[order[lo:hi]]]).tobytes(), *[None] * 5)
                     for b, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo])
 
     def numbers_out(col: int, held: Entries) -> pa.RecordBatch:
         (x,), n = held.merge()
         held.parts, held.size = [], 0
-        return out([(NUMBERS, col, 0, x.astype(np.float64).tobytes() + n.tobytes(), *[None] * 4)])
+        pairs = pa.StructArray.from_arrays([pa.array(x.astype(np.float64)), pa.array(n)], names=["x", "n"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(n), SLICE_ROWS), len(n)), pa.int32()), pairs)
+        k = len(lists)
+        columns = [pa.array([v] * k, pa.int32()) for v in (NUMBERS, col, 0)] + [pa.nulls(k, f.type) for f in list(schema)[3:-1]]
+        return pa.RecordBatch.from_arrays([*columns, lists], schema=schema)
 
     def run(batches):
         held = {i: Entries(4 if c in cased else 2) for i, c in enumerate(cols)}
         held |= {ROWS: Entries(4)} if rows else {}
         values: dict[int, Entries] = {i: Entries(1) for i, c in enumerate(cols) if c in numeric}
         sums, closed, smallest = np.zeros((len(cols), 4), np.int64), set(), [[] for _ in cols]
-        for batch in batches:
+        most_held = max(HELD // max(1, len(held) + len(values)), min(HELD, FEWEST))
+        for batch in (part for whole in batches for part in portions(whole)):
             each = []
             for i, c in enumerate(cols):
                 cells = Cells(batch[f"v{i}"], rows or c in cased)
@@ -181,20 +204,20 @@ def pack(df: DataFrame, cols: list[str], total: int, cased=(), emails=(), numeri
             if rows:
                 held[ROWS].add([combined(list(k)).view(np.int64) for k in zip(*each)])
             for i, entries in held.items():
-                if entries.size > HELD or most and i not in closed:
-                    if len(entries.merge()[1]) > HELD // 2:
+                if entries.size > most_held or most and i not in closed:
+                    if len(entries.merge()[1]) > most_held // 2:
                         yield keys_out(i, entries)
                     elif most and entries.size >= most:
                         closed.add(i)
             for i, entries in values.items():
-                if entries.size > HELD and len(entries.merge()[1]) > HELD // 2:
+                if entries.size > most_held and len(entries.merge()[1]) > most_held // 2:
                     yield numbers_out(i, entries)
         for i, entries in held.items():
             yield keys_out(i, entries)
         for i, entries in values.items():
             yield numbers_out(i, entries)
-        yield out([(COUNTS, i, 0, None, *s) for i, s in enumerate(sums.tolist())])
-        yield out([(LEAST, i, 0, s.encode(), *[None] * 4) for i, found in enumerate(smallest) for s in found])
+        yield out([(COUNTS, i, 0, None, *s, None) for i, s in enumerate(sums.tolist())])
+        yield out([(LEAST, i, 0, s.encode(), *[None] * 5) for i, found in enumerate(smallest) for s in found])
 
     return stage(df.select(*every).mapInArrow(run, PACKED), "packed")
 
@@ -208,7 +231,7 @@ def counted(packed: DataFrame, width: dict[int, int]) -> DataFrame:
     than one.  ``width``: number of keys of each column."""
     def count(table: pa.Table) -> pa.Table:
         col = table["col"][0].as_py()
-        parts = [np.frombuffer(d.as_py(), np.int64).reshape(width[col] + 1, -1) for d in table["data"]]
+        parts = [np.frombuffer(d.as_buffer(), np.int64).reshape(width[col] + 1, -1) for d in table["data"]]
         *keys, n = np.concatenate(parts, axis=1)
         half = width[col] // 2
         keys, n = merged([*keys[half:], *keys[:half]] if width[col] == 4 else keys, n)
@@ -235,14 +258,8 @@ def sums(packed: DataFrame, buckets: DataFrame) -> dict[int, dict]:
 
 def number_values(packed: DataFrame, cols: list[str]) -> DataFrame:
     """values(name, x, n) of the numbers, repeats of a task as one row."""
-    def explode(batches):
-        for batch in batches:
-            for col, data in zip(batch["col"].to_pylist(), batch["data"]):
-                both = np.frombuffer(data.as_py(), np.int64).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([cols[col]] * both.shape[1], pa.string()), pa.array(both[0].view(np.float64)), pa.array(both[1])], names=["name", "x", "n"])
-
-    return packed.filter(F.col("kind") == NUMBERS).select("col", "data").mapInArrow(explode, "name string, x double, n bigint")
+    names = F.array(*[F.lit(c) for c in cols])
+    return packed.filter(F.col("kind") == NUMBERS).select(names[F.col("col")].alias("name"), F.inline("numbers"))
 
 
 def first_of(df: DataFrame, cols: list[str], order: str, k: int, keep) -> DataFrame:

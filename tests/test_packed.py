@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,23 @@ def test_rows_that_travel_are_few(spark):
     assert packed.sums(p, packed.counted(p, {0: 2}))[0]["distinct"] == 20_000
 
 
+def test_few_cells_stand_at_a_time(spark, monkeypatch):
+    """Long texts and long batches are taken apart in portions; many columns share what a task holds."""
+    batch = pa.record_batch({"v0": ["x" * 400_000] * 5 + ["y" * 3_000_000] + [None] * 5000, "v1": ["z"] * 5006})
+    parts = list(packed.portions(batch))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert [p.num_rows for p in parts[:4]] == [2, 2, 1, 1] and max(p.num_rows for p in parts) <= packed.SLICE_ROWS
+    monkeypatch.setattr(packed, "HELD", 4000)
+    monkeypatch.setattr(packed, "FEWEST", 10)
+    df = spark.range(8000).select(*[F.concat(F.lit(f"{i}."), "id").alias(f"c{i}") for i in range(8)]).coalesce(1)
+    p = packed.pack(df, df.columns, 8000, numeric=df.columns[:1])
+    held = p.filter(F.col("kind") == packed.KEYS).agg(F.max(F.length("data"))).first()[0] // 24
+    assert held <= packed.SLICE_ROWS + 4000 // 9
+    assert packed.sums(p, packed.counted(p, dict.fromkeys(range(8), 2)))[7]["distinct"] == 8000
+    found = packed.number_values(p, df.columns).agg(F.sum("n"), F.countDistinct("x"), F.max("name")).first()
+    assert tuple(found) == (8000, len({float(f"0.{i}") for i in range(8000)}), "c0")
+
+
 def test_a_limit_stops_counting(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("many"), (F.col("id") % 20).cast("string").alias("few")).repartition(2)
     p = packed.pack(df, ["many", "few"], 5000, most=21)
