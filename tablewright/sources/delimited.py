@@ -125,9 +125,14 @@ def dropped_cells(spark: SparkSession, path: str, **options) -> DataFrame:
     return rows.filter("_over").groupBy(text.quoted(rows.columns[0])["file"].alias("file")).agg(F.count("*").alias("n"))
 
 
+WHOLE_ROWS = 10_000  # most rows of a file that has to be read by one task
+
+
 def write_delimited(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8") -> None:
+    """One file a task; files in UTF-16, which can't be split when they are read, of at most ``WHOLE_ROWS`` rows."""
+    whole = {"maxRecordsPerFile": WHOLE_ROWS} if CHARSETS.get(encoding.lower(), encoding).upper().startswith("UTF-16") else {}
     df.write.mode("overwrite").options(
-        header=True, sep=sep, encoding=encoding, quote='"', escape='"', emptyValue="",
+        **whole, header=True, sep=sep, encoding=encoding, quote='"', escape='"', emptyValue="",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 

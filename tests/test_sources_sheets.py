@@ -3,8 +3,10 @@
 import warnings
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.operators import sheets
+from tablewright.session import scratch_path
 from tablewright.sources import delimited, detect, ingest, runs
 
 
@@ -115,3 +117,14 @@ def test_cell_text(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, v string, t string, want string")
     for r in df.select(sheets.cell_text(df.v, df.t).alias("got"), "want").collect():
         assert r["got"] == r["want"]
+
+
+def test_files_that_cannot_be_split_hold_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(delimited, "WHOLE_ROWS", 100)
+    df = spark.range(1000).select(F.col("id").cast("string").alias("cl\u00e9"), F.concat(F.lit("a\nb "), "id").alias("text")).coalesce(1)
+    path = scratch_path(spark, "whole")
+    for name, charset, files in (("wide", "UTF-16", 10), ("narrow", "UTF-8", 1)):
+        delimited.write_delimited(df, f"{path}/{name}", encoding=charset)
+        rows = delimited.read_delimited(spark, f"{path}/{name}")
+        assert rows.select("seq.file").distinct().count() == files
+        assert sorted(tuple(r) for r in rows.drop("seq").collect()) == sorted(tuple(r) for r in df.collect())
