@@ -490,3 +490,36 @@ def test_toxicity_thresholds_are_drawn_to_the_common_one(spark):
     _, thresholds = toxicity.train(docs, labels)
     assert thresholds and all(0 < t < 1 for t in thresholds.values())
     assert abs(thresholds.get("few", 0.5) - 0.5) < 0.25  # a handful of rows moves it by a fifth of the way at most
+
+
+def test_toxicity_trains_on_every_labelled_row(spark, monkeypatch):
+    ids = spark.range(6400).filter(toxicity.remainder(F.col("id")) != 0)
+    late = {r.id for v in (0, 1) for r in ids.filter(F.col("id") % 2 == v).orderBy(F.xxhash64("id")).offset(2000).collect()}
+    assert len(late) > 400
+    rows = [(i, prose(30, i) + (" lateword" if i in late else " earlyword") * (i % 2), "en", i % 2) for i in range(6400)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD", 1000)
+    stored = toxicity.stored_shards(docs, labels, "toxic")
+    assert stored.agg(F.sum(F.length("labels"))).first()[0] == ids.count() and stored.count() == 10
+    model, thresholds = toxicity.train(docs, labels)
+    clean, early, toxic = model.scores([prose(30, 9000), prose(30, 9000) + " earlyword", prose(30, 9000) + " lateword"])
+    assert clean < 0.5 <= min(early, toxic)
+    # neither the order of rows nor the number of tasks matters
+    again, same = toxicity.train(docs.repartition(7), labels.repartition(2))
+    assert same == thresholds and all((a == b).all() for a, b in zip(again._parameters().values(), model._parameters().values()))
+
+
+def test_toxicity_thresholds_search_all_values(spark):
+    draw = random.Random(4)
+    rows = [(p, v, int(draw.random() < 1 / (1 + np.exp(-v)))) for p in ("a", "b") for v in (round(draw.gauss(0, 3), 2) for _ in range(700))]
+    rows += [("one", 1.0, 1), ("far", -900.0, 1), ("far", 900.0, 0), ("far", 901.0, 1)]
+    got = {r.part: r for r in toxicity.best_thresholds(spark.createDataFrame(rows, "part string, value double, label bigint")).collect()}
+    for part in ("a", "b", "one", "far"):
+        own = [(v, y) for p, v, y in rows if p == part]
+        ones = sum(y for _, y in own)
+        values = sorted({v for v, _ in own}, reverse=True)
+        f1 = [2 * sum(y for v, y in own if v >= t) / (sum(v >= t for v, _ in own) + ones) for t in values]
+        i = int(np.argmax(f1))
+        below = values[i + 1] if i + 1 < len(values) else values[i] - 1
+        assert got[part].threshold == (values[i] + below) / 2 and (got[part].ones, got[part].zeros) == (ones, len(own) - ones)
