@@ -37,7 +37,7 @@ from .common import Shipped, as_strings, free_name, quoted, slices, word_hashes
 from .decontaminate import normal
 
 FOLDS = 5
-SHARD = 4096        # labelled rows that are trained on from the same parameters, about
+SHARD = 4096        # labelled rows in a shard, about; four fifths are trained on
 SHARD_BYTES = 1 << 25   # of their texts, about, where these are long
 BUCKETS = 1 << 17
 SIZE = 8            # of an embedding
