@@ -241,8 +241,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts) - self.shift, -40, 40)))
 
 
-@F.arrow_udf("binary")
-def stored_ids(texts: pa.Array) -> pa.Array:
+def _stored_ids(texts: pa.Array) -> pa.Array:
     """The words of each text as buckets, 32 bits each."""
     parts = [pa.array([], pa.binary())]
     for _, part in slices(as_strings(texts)):
@@ -342,7 +341,7 @@ def stored_shards(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     rows = rows.select((F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(5)) == 0).alias("held"),
                        F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).alias("shard"),
                        F.xxhash64("doc_id", F.lit("place")).alias("place"), F.col("r.label").cast("int").alias("label"),
-                       "r.lang", stored_ids(F.col("r.text")).alias("ids"))
+                       "r.lang", F.arrow_udf(_stored_ids, "binary")(F.col("r.text")).alias("ids"))
     # a file for nearly every shard, so that epochs spread over all cores
     dealt = rows.repartition(2 * shards, "held", "shard")
     return stage(dealt.groupBy("held", "shard").applyInArrow(_gather, STORED), "toxicity-shards")

@@ -1,5 +1,9 @@
 """What the physical plans must and must not contain."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
@@ -31,3 +35,12 @@ def test_dedupe_limits_groups_before_the_shuffle(spark, name):
 def test_transactions_are_reduced_before_the_join(spark):
     text = plan(entry.queries()["z5_active_customers"](spark, SF))
     assert "partial_count(txn_id" in text and "txn_id" not in text.split("Join", 1)[0].split("HashAggregate", 1)[0]
+
+
+def test_queries_are_listed_without_a_session():
+    code = ("import __spark_entry__ as e; from pyspark import SparkContext; "
+            "print(len(e.queries()), len(e.oracle_sql()), SparkContext._active_spark_context)")
+    folder = os.path.dirname(os.path.abspath(entry.__file__))
+    said = subprocess.run([sys.executable, "-B", "-c", code], cwd=folder, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr[-2000:]
+    assert said.stdout.split() == [str(len(entry.queries())), str(len(entry.oracle_sql())), "None"]
